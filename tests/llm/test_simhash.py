@@ -1,0 +1,91 @@
+import random
+from collections import Counter
+
+import numpy as np
+import xxhash
+from cases import frame, rows
+
+from banyan.llm import simhash
+
+
+def brute_fingerprint(text):
+    text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = text.encode().split()
+    if not words:
+        return 0
+    shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(fps):
+    parent = list(range(len(fps)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 3:
+                parent[find(i)] = find(j)
+    return [find(i) for i in range(len(fps))]
+
+
+def test_fingerprint():
+    for _, text, *_ in rows():
+        assert simhash.fingerprint((text or "").encode()) % 2**64 == brute_fingerprint(text)
+
+
+def test_shingle_hash_is_sparks_xxhash64(spark):
+    from pyspark.sql import functions as F
+
+    assert spark.range(1).select(F.xxhash64(F.lit("a b c"))).first()[0] % 2**64 == xxhash.xxh64_intdigest(b"a b c", 42)
+
+
+def near_values(seed, n):
+    r = random.Random(seed)
+    out = set()
+    while len(out) < n:
+        x = r.getrandbits(64)
+        for _ in range(r.choice([1, 1, 2, 8])):
+            out.add(x)
+            for _ in range(r.randint(1, 4)):
+                x ^= 1 << r.randrange(64)
+    return sorted(out)
+
+
+def test_trees_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BRUTE", 8)
+    values = near_values(1, 900)
+    signed = [int(np.uint64(x).view(np.int64)) for x in values]
+    fps = spark.createDataFrame([(x,) for x in signed], "fp long")
+    links = simhash.hamming_links(fps, leaf=16)
+    found = {x.node: x.root for x in simhash.components(links).collect()}
+    roots = brute_components(values)
+    least = {}
+    for v, r in zip(signed, roots, strict=True):
+        least[r] = min(least.get(r, v), v)
+    assert [found.get(v, v) for v in signed] == [least[r] for r in roots]
+
+
+def test_local_search_is_exact():
+    x = np.array(near_values(2, 1500), np.uint64)
+    homes = x[::2]
+    found = {(v, h) for v, hs in simhash.links(homes, x, 3) for h in hs.tolist()}
+    near = np.bitwise_count(x[:, None] ^ homes[None, :]) <= 3
+    assert found == set(zip(*map(np.ndarray.tolist, np.nonzero(near)), strict=True))
+
+
+def test_near_duplicates(spark):
+    got = simhash.near_duplicates(frame(spark)).collect()
+    data = rows()
+    fps = [brute_fingerprint(t) for _, t, *_ in data]
+    roots = brute_components(fps)
+    least = {}
+    for (i, *_), r in zip(data, roots, strict=True):
+        if i is not None:
+            least[r] = min(least.get(r, i), i)
+    assert Counter((x.doc_id, x.fp % 2**64, x.component_id) for x in got) == Counter((d[0], f, least.get(r)) for d, f, r in zip(data, fps, roots, strict=True))
+    assert simhash.near_duplicates(frame(spark, [])).collect() == []
