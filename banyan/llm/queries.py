@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import digest, license_scan, packing, quality, repeats, secret_scan, simhash
+from . import digest, license_scan, packing, pieces, quality, repeats, secret_scan, simhash, toxicity
 from .common import table
 
 
@@ -32,6 +32,14 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.find_licenses(table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op8_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_simhash_vp_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -42,7 +50,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_harmonic_packing, op2_quality_ledger, op4_canonical_digest, op5_secret_scan, op6_license_scan, op9_simhash_vp_trees, op10_suffix_dedup)
+    f.__name__: f for f in (op1_harmonic_packing, op2_quality_ledger, op4_canonical_digest, op5_secret_scan, op6_license_scan, op7_sentencepiece, op8_ftrl_toxicity, op9_simhash_vp_trees, op10_suffix_dedup)
 }
 
 ORACLES: dict[str, str] = {
