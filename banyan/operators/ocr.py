@@ -7,11 +7,12 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import text as X
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Canonical composition, which Spark has no function for."""
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
