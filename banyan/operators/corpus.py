@@ -101,7 +101,7 @@ def code_mix(text: Column, id_col: Column, share: float = 0.3, seed: int = 42) -
     words = F.split(X.strip(text), r"(?U)\s+")
 
     def mixed(w: Column) -> Column:
-        ranked = F.array_sort(F.transform(w, lambda x, i: F.struct(F.md5(F.concat(F.lit(f"{seed}|"), id_col.cast("string"), F.lit("|"), i.cast("string"))).alias("d"), i.alias("i"))))
+        ranked = F.sort_array(F.transform(w, lambda x, i: F.struct(F.md5(F.concat(F.lit(f"{seed}|"), id_col.cast("string"), F.lit("|"), i.cast("string"))).alias("d"), i.alias("i"))))
         return X.bind(
             F.transform(F.slice(ranked, 1, F.greatest(F.lit(1), F.floor(F.size(w) * F.lit(share)).cast("int"))), lambda r: r["i"]),
             lambda chosen: F.array_join(F.transform(w, lambda x, i: F.when(F.array_contains(chosen, i), X.bn_to_latin(x)).otherwise(x)), " "),

@@ -31,27 +31,32 @@ def fidelity_summary(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def _numbered(items: Column) -> Column:
-    """Each item with the number of its occurrence, so that no two are equal: runs of a sorted copy."""
+    """items with each repeat, after the first, replaced by a hash of item and repeat number: no two are equal. Runs of a sorted copy tell repeats."""
 
     def of_runs(s: Column, starts: Column) -> Column:
         run = lambda a, j: F.slice(s, a + 1, F.coalesce(F.get(starts, j + 1), F.size(s)) - a)
-        return F.flatten(F.transform(starts, lambda a, j: F.transform(run(a, j), lambda x, k: F.concat(x, F.lit("\x02"), k.cast("string")))))
+        return F.flatten(F.transform(starts, lambda a, j: F.transform(run(a, j), lambda x, k: F.when(k == 0, x).otherwise(F.xxhash64(x, k)))))
 
     starts = lambda s: F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
-    return X.bind(F.array_sort(items), lambda s: X.bind(starts(s), lambda at: of_runs(s, at)))
+    every = lambda x: F.when(F.size(F.array_distinct(x)) == F.size(x), x).otherwise(X.bind(F.sort_array(x), lambda s: X.bind(starts(s), lambda at: of_runs(s, at))))
+    return X.bind(items, every)
 
 
 def _clipped(hyp: Column, ref: Column) -> Column:
-    """Items of hyp that ref has, each at most as often; hashed, so linear in a text's length."""
+    """Items of hyp that ref has, each at most as often; linear in a text's length but for one sort."""
     return F.size(F.array_intersect(_numbered(hyp), _numbered(ref))).cast("long")
 
 
-def ngrams(words: Column, n: int) -> Column:
-    """n-grams as strings; words must not hold the separator."""
+def hashed(items: Column) -> Column:
+    """64-bit hashes, by which n-grams are compared within a pair of texts."""
+    return F.transform(items, lambda x: F.xxhash64(x))
+
+
+def ngrams(hashes: Column, n: int) -> Column:
     if n == 1:
-        return words
-    last = F.size(words) - n
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.concat_ws("\x01", F.slice(words, i + 1, n)))).otherwise(F.array().cast("array<string>"))
+        return hashes
+    grams = X.bind(hashes, lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(n)])))
+    return F.when(F.size(hashes) >= n, grams).otherwise(F.array().cast("array<bigint>"))
 
 
 def tokens_13a(text: Column) -> Column:
@@ -66,7 +71,7 @@ def tokens_13a(text: Column) -> Column:
 
 def bleu_counts(df: DataFrame, hypothesis: str, reference: str, *keys: str, tokens=tokens_13a) -> DataFrame:
     """Pooled matches m1-m4, totals t1-t4 and lengths, by keys."""
-    rows = df.select(*keys, tokens(F.col(hypothesis)).alias("h"), tokens(F.col(reference)).alias("r"))
+    rows = df.select(*keys, hashed(tokens(F.col(hypothesis))).alias("h"), hashed(tokens(F.col(reference))).alias("r"))
     each = rows.select(*keys, F.size("h").alias("hyp_len"), F.size("r").alias("ref_len"), *[_clipped(ngrams(F.col("h"), n), ngrams(F.col("r"), n)).alias(f"m{n}") for n in range(1, 5)], *[F.greatest(F.lit(0), F.size("h") - n + 1).alias(f"t{n}") for n in range(1, 5)])
     names = ["hyp_len", "ref_len", *[f"{x}{n}" for x in "mt" for n in range(1, 5)]]
     return each.groupBy(*keys).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in names])
@@ -93,7 +98,7 @@ def _chrf_words(text: Column) -> Column:
 def chrf_counts(df: DataFrame, hypothesis: str, reference: str, *keys: str, chars: int = 6, words: int = 2) -> DataFrame:
     """Pooled matches (m), hypothesis (h) and reference (r) n-grams of characters (c1..) and words (w1..)."""
     letters = lambda c: X.find_all(F.regexp_replace(c, r"(?U)\s+", ""), "(?s).")
-    rows = df.select(*keys, *[f(F.col(c)).alias(n) for n, f, c in (("ch", letters, hypothesis), ("cr", letters, reference), ("wh", _chrf_words, hypothesis), ("wr", _chrf_words, reference))])
+    rows = df.select(*keys, *[hashed(f(F.col(c))).alias(n) for n, f, c in (("ch", letters, hypothesis), ("cr", letters, reference), ("wh", _chrf_words, hypothesis), ("wr", _chrf_words, reference))])
     orders = [("c", n) for n in range(1, chars + 1)] + [("w", n) for n in range(1, words + 1)]
     each = [e for k, n in orders for e in (_clipped(ngrams(F.col(f"{k}h"), n), ngrams(F.col(f"{k}r"), n)).alias(f"m{k}{n}"), *[F.greatest(F.lit(0), F.size(f"{k}{s}") - n + 1).alias(f"{s}{k}{n}") for s in "hr"])]
     return rows.select(*keys, *each).groupBy(*keys).agg(*[F.sum(f"{p}{k}{n}").alias(f"{p}{k}{n}") for k, n in orders for p in "mhr"])
