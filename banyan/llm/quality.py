@@ -99,11 +99,8 @@ def measure(docs: DataFrame, *keep: Column) -> DataFrame:
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.transform("_words", lambda w: F.xxhash64(w)).alias("_hashes"),
     )
-    one = lambda i, k: F.get("_hashes", i + k)
-    windows = F.when(
-        F.col("n_words") >= WINDOW,
-        F.transform(F.sequence(F.lit(0), F.size("_hashes") - WINDOW), lambda i: F.xxhash64(*[one(i, k) for k in range(WINDOW)])),
-    ).otherwise(F.array().cast("array<bigint>"))
+    each = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)]))
+    windows = F.when(F.col("n_words") >= WINDOW, _bind(F.col("_hashes"), each)).otherwise(F.array().cast("array<bigint>"))
     counted = hashed.withColumn("_windows", windows)
     repeats = F.when(F.size(F.array_distinct("_windows")) == F.size("_windows"), F.lit(0).cast("long")).otherwise(_repeat_words(F.col("_windows")))
     return counted.select(*own, "doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", repeats.alias("n_repeat_words"))
@@ -127,7 +124,9 @@ def apply_policy(ledger_df: DataFrame, policy: str = CURRENT) -> DataFrame:
 def keep(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
     """The rows of docs, all columns, that the policy keeps."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_keep_row")
-    return apply_policy(ledger(docs, row), policy).where("kept").select("_keep_row.*")
+    # a filter moves below deterministic columns and would compute the measurements a second time, rule by rule
+    marked = ledger(docs, row).withColumn("_mark", F.monotonically_increasing_id())
+    return apply_policy(marked, policy).where("kept AND _mark >= 0").select("_keep_row.*")
 
 
 def ablations(ledger_df: DataFrame, policy: str = CURRENT) -> DataFrame:
