@@ -175,8 +175,8 @@ def hamming_links(fps: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> Dat
     n = fps.count()
     wanted = max(1, min(LEAVES, n // leaf))
     # a sample that doesn't depend on the partitions: the lowest of a hash
-    share = min(1.0, SAMPLE / max(n, 1))
-    ranked = fps.select("fp", F.xxhash64("fp", F.lit(7)).alias("r")).where(F.col("r") <= int(-(2**63) + share * (2**64 - 1)))
+    highest = min(2**63 - 1, -(2**63) + (2**64 * 2 * SAMPLE) // max(n, 1))
+    ranked = fps.select("fp", F.xxhash64("fp", F.lit(7)).alias("r")).where(F.col("r") <= highest)
     sample = np.array([x.fp for x in ranked.orderBy("r", "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64) if wanted > 1 else np.zeros(0, np.uint64)
     trees, first = [], 0
     for mask in HALVES:
