@@ -234,7 +234,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_row_each(docs: DataFrame) -> DataFrame:
-    """One row of each doc_id, all columns: that with the least hash of its text, or one of several that share it."""
+def one_row_each(docs: DataFrame, key: str) -> DataFrame:
+    """One row of each value of key, all columns: that with the least hash of its text, or one of several that share it."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return docs.groupBy("doc_id").agg(F.min_by(row, F.xxhash64("text")).alias("_row")).select("_row.*")
+    return docs.groupBy(F.col(key).alias("_key")).agg(F.min_by(row, F.xxhash64("text")).alias("_row")).select("_row.*")
