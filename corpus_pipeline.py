@@ -27,9 +27,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each component of linked fingerprints; of rows that share it, one."""
+    """The document of least doc_id of each component of linked fingerprints; of rows that share it, one.
+
+    Rows without a doc_id can't name a component: of those, one of each text stays.
+    """
     kept = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return documents(simhash.one_row_each(docs.join(kept, "doc_id")))
+    named = simhash.one_row_each(docs.where("doc_id IS NOT NULL").join(kept, "doc_id"), "doc_id")
+    unnamed = simhash.one_row_each(docs.where("doc_id IS NULL"), "text")
+    return documents(named.unionByName(unnamed.select(named.columns)))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
