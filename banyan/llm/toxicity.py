@@ -96,8 +96,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataF
     """r (the order), text and toxic of so many labelled rows that aren't held out."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where(~held_out()).withColumn("r", F.xxhash64("doc_id", F.lit(11)))
+    # so few rows that every task can have them, and texts stay where they are
     chosen = known.orderBy("r", "doc_id").limit(rows)
-    return common.doc_columns(docs).join(chosen, "doc_id").orderBy("r", "doc_id", F.xxhash64("text")).limit(rows).select("text", "toxic")
+    return common.doc_columns(docs).join(F.broadcast(chosen), "doc_id").orderBy("r", "doc_id", F.xxhash64("text")).limit(rows).select("text", "toxic")
 
 
 def train(rows: DataFrame, bits: int = BITS, passes: int = PASSES, **settings) -> tuple[np.ndarray, np.ndarray, float]:
