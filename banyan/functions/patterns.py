@@ -14,8 +14,10 @@ _MOD = r"[\x{FE0F}\x{1F3FB}-\x{1F3FF}]"
 EMOJI_CHAR = _ONE
 EMOJI = rf"(?:[\x{{1F1E6}}-\x{{1F1FF}}]{{2}}|[#*0-9]\x{{FE0F}}?\x{{20E3}}|{_ONE}{_MOD}*(?:\x{{200D}}{_ONE}{_MOD}*)*)"
 URL = r"https?://\S+|www\.\S+"
+#: Word characters at which no URL and no emoji can start: runs of them need no look ahead.
+_PLAIN = r"[\w&&[^hw0-9\x{1F170}\x{1F171}\x{1F17E}\x{1F17F}\x{24C2}]]"
 #: A word stops where a URL or an emoji starts, so that one pass finds what two would.
-TOKEN = rf"(?U){URL}|#\w+|@\w+|{EMOJI}|(?:(?!https?://\S|www\.\S|{EMOJI})\w)+|[^\w\s]"
+TOKEN = rf"(?U){URL}|#\w+|@\w+|{EMOJI}|(?:{_PLAIN}++|(?!https?://\S|www\.\S|{EMOJI})\w)+|[^\w\s]"
 WORD_OR_GAP = r"(?U)\w+|[^\w]+"
 CAMEL = "[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[০-৯0-9]+|[\\x{0980}-\\x{09FF}]+"
 WORD = r"[A-Za-z]+|[\x{0980}-\x{09FF}]+"

@@ -32,10 +32,13 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def gate(text: Column, predicted: Column, confidence: Column, threshold: float = 0.5, accept_ratio: float = 0.5) -> dict[str, Column]:
-    """Language of a text from its script, else from a model's prediction: bn, en or unsupported, with the reason."""
-    empty = X.strip(text) == ""
-    ratio = X.bengali_ratio(text)
+def gate(text: Column, predicted: Column, confidence: Column, threshold: float = 0.5, accept_ratio: float = 0.5, ratio: Column | None = None) -> dict[str, Column]:
+    """Language of a text from its script, else from a model's prediction: bn, en or unsupported, with the reason.
+
+    ratio: a column that has the text's Bengali share already, so that it is computed once.
+    """
+    empty = ~text.rlike(r"(?U)\S")
+    ratio = X.bengali_ratio(text) if ratio is None else ratio
     script = ratio >= accept_ratio
     model = predicted.isin("bn", "en") & (confidence >= threshold)
     own = F.when(predicted == "bn", confidence).otherwise(0.0)

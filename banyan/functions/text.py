@@ -163,7 +163,9 @@ def without_hash(tag: Column) -> Column:
 
 def bengali_ratio(text: Column) -> Column:
     """Bengali code points among those and ASCII letters; 0.0 if there are none."""
-    bn, en = F.regexp_count(text, F.lit(P.BENGALI)), F.regexp_count(text, F.lit(P.LATIN))
+    # runs go at once, which is faster than to count letter by letter
+    count = lambda p: F.length(text) - F.length(F.regexp_replace(text, f"{p}+", ""))
+    bn, en = count(P.BENGALI), count(P.LATIN)
     return F.when(bn + en > 0, bn / (bn + en)).otherwise(F.lit(0.0))
 
 

@@ -337,8 +337,8 @@ _GATE_L = "CASE WHEN doc_id % 5 = 0 THEN 'bn' ELSE lang END"
     "CASE WHEN e THEN NULL WHEN r >= 0.5 THEN 'bn2en' WHEN p = 'bn' AND c >= 0.5 THEN 'bn2en' WHEN p = 'en' AND c >= 0.5 THEN 'en2bn' END AS direction FROM r"
 )
 def language_gate_route(spark, sf_dir):
-    x = table(spark, sf_dir, "documents").select("doc_id", F.expr(_GATE_T).alias("t"), F.expr(_GATE_L).alias("p"), F.expr(_CONF).alias("c"))
-    g = S.gate(F.col("t"), F.col("p"), F.col("c"))
+    x = table(spark, sf_dir, "documents").select("doc_id", F.expr(_GATE_T).alias("t"), F.expr(_GATE_L).alias("p"), F.expr(_CONF).alias("c")).withColumn("r", X.bengali_ratio(F.col("t")))
+    g = S.gate(F.col("t"), F.col("p"), F.col("c"), ratio=F.col("r"))
     out = x.select("doc_id", *[g[k].alias(k) for k in ("language", "confidence", "reason")])
     return out.withColumn("direction", S.direction_of(F.col("language")))
 
