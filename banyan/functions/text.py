@@ -124,7 +124,8 @@ def bn_to_latin(text: Column, fix_nukta: bool = False) -> Column:
             text = F.replace(text, F.lit(letter + "়"), F.lit(joined))
     letters, after = mapping(consonants), mapping(T.SIGNS | {T.VIRAMA: ""})
     others = mapping(T.VOWELS | T.MARKS | T.DIGITS)
-    pieces = find_all(text, f"(?s)[{''.join(consonants)}][{T.VIRAMA}{''.join(T.SIGNS)}]?|.")
+    # what has no Bengali letter passes in runs
+    pieces = find_all(text, f"(?s)[{''.join(consonants)}][{T.VIRAMA}{''.join(T.SIGNS)}]?|[^\\x{{0980}}-\\x{{09FF}}０]+|.")
 
     def one(p: Column) -> Column:
         base = F.try_element_at(letters, F.substring(p, 1, 1))
