@@ -9,13 +9,15 @@ product of those of its longer contexts; the odds of the two tell how much a
 bit's prediction trusts the node, else longer contexts.  Where training has not
 seen a longer context, the weights of the shorter ones are scaled to one.
 
-Counting: each task counts its texts' tokens and (context, byte) grams and one
-shuffle adds them up.  The exact tree is built in buckets of grams that agree
-in the two nearest context bytes, as all longer contexts lie within; depths 0
-and 1 (65,792 nodes at most) are put together on the driver.  For scoring, the
-nodes of depth 2 and more go to a table of fixed size (``SLOTS`` tags and
-predictions); of nodes that share a slot the most seen stays, the others
-predict as their next shorter context.  So what is broadcast never grows.
+Counting: each task cuts its texts into chunks and sends each chunk's distinct
+(context, byte) grams, with their counts in training texts, in ``BUCKETS``
+parts: grams that agree in the two nearest context bytes share a bucket, and so
+do all longer contexts of a node.  So a bucket adds up its grams and holds the
+exact tree of its contexts of two bytes and more, one bit's nodes at a time;
+depths 0 and 1 (65,792 nodes at most) are put together on the driver.  Scoring
+goes the same way: each bucket gives every chunk the log probabilities of the
+chunk's own grams by the exact tree, and each chunk adds them up along its
+texts.  What is broadcast never grows, and no node is left out.
 
 Base: log10 of (c + 0.5) / (N + 0.5 (V + 1)) per token.  Tokens of a count over
 N / ``HEAVY``, fewer than ``HEAVY``, are broadcast; all others are joined by a
@@ -32,28 +34,28 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 DEPTH = 5
-SLOTS = 1 << 24
-#: Slots that one task fills and sends as one row.
-RANGE = 1 << 18
-BUCKETS = 64
+BUCKETS = 1024
 HEAVY = 1 << 18
+#: Bytes of text of a chunk, unless one text has more, and of a row that holds texts of it.
+CHUNK, PART = 16_000_000, 1_000_000
 #: Bytes of text that a task turns into grams at once, and entries that it holds before it sends them on.
 SLICE, HELD = 2_000_000, 2_000_000
 END = b"\n"
 LOWEST = -(1 << 63)
-MULT, MIXED = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-CACHE_BITS = 21
+MULT = np.uint64(0x9E3779B97F4A7C15)
+CHUNK_SCHEMA = "kind string, chunk long, bucket int, m int, key long, n long, a binary, b binary"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -103,46 +105,112 @@ def grams(sequences: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.n
         yield from of(group, first)
 
 
+def nearest_first(keys: np.ndarray, depth: int) -> np.ndarray:
+    """Grams with their context bytes in reverse order, so that those of a bucket stand together when sorted; its own inverse."""
+    out = np.zeros_like(keys)
+    for j in range(1, depth + 1):
+        out = (out << np.uint64(8)) | ((keys >> np.uint64(8 * j)) & np.uint64(255))
+    return (out << np.uint64(8)) | (keys & np.uint64(255))
+
+
+def squeeze(x: bytes) -> bytes:
+    return pa.compress(x, codec="zstd", asbytes=True)
+
+
+def expand(x: bytes, size: int) -> bytes:
+    return pa.decompress(x, size, codec="zstd", asbytes=True)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Integers squeezed byte place by byte place."""
+    return squeeze(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
+
+
+def unplanes(x: bytes, m: int, dtype: type) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(expand(x, m * width), np.uint8).reshape(width, m).T).view(dtype).reshape(m)
+
+
+def grams_in(x: bytes, m: int, depth: int) -> np.ndarray:
+    """The grams of a row of kind g, in its order."""
+    return nearest_first(np.cumsum(unplanes(x, m, np.uint64), dtype=np.uint64), depth)
+
+
+def added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, of = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+    return keys, np.bincount(of, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
+
+
 def count(docs: DataFrame, depth: int) -> DataFrame:
-    """kind ('g' grams, 't' tokens), key, n over the training rows."""
-    schema = pa.schema([("kind", pa.string()), ("key", pa.int64()), ("n", pa.int64())])
+    """Rows of three kinds: 't' a token's key and its count n in training rows, to be added up; 'g' a chunk's m distinct grams of a bucket and
+    their counts in training rows; 'd' n documents of a chunk, their sequences (m bytes) and their keys."""
+    schema = pa.schema([("kind", pa.string()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("m", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens: Counter[bytes] = Counter()
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, of = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            return keys, np.bincount(of, np.concatenate([n for _, n in held])).astype(np.int64)
-
-        def send(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for a in range(0, len(keys), 200_000):
-                k = keys[a : a + 200_000]
-                yield common.batch(schema, pa.array(["g"] * len(k)), k.view(np.int64), n[a : a + 200_000])
+        chunk = (TaskContext.get().partitionId() << 32) - 1
+        held: list[tuple[bytes, int, int, bool, bool]] = []
+        size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            yield common.batch(schema, ["t"] * len(tokens), [token_hash(w) for w in tokens], list(tokens.values()))
+            none = pa.nulls(len(tokens))
+            yield common.batch(schema, ["t"] * len(tokens), *(none.cast(schema.field(k).type) for k in (1, 2, 3)), [token_hash(w) for w in tokens], list(tokens.values()), none.cast(pa.binary()), none.cast(pa.binary()))
             tokens.clear()
 
+        def documents() -> Iterator[pa.RecordBatch]:
+            at = 0
+            while at < len(held):
+                end, part = at, 0
+                while end < len(held) and (end == at or part + len(held[end][0]) <= PART):
+                    part += len(held[end][0])
+                    end += 1
+                keys = np.array([(k, t, null, len(s)) for s, k, t, null, _ in held[at:end]], np.int64)
+                yield common.batch(schema, ["d"], [chunk], [-1], [part], [None], [end - at], [squeeze(b"".join(x[0] for x in held[at:end]))], [squeeze(keys.tobytes())])
+                at = end
+
+        def distinct() -> Iterator[pa.RecordBatch]:
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            for trains in (True, False):
+                for g, _ in grams([x[0] for x in held if x[4] == trains], depth):
+                    keys, n = np.unique(g, return_counts=True)
+                    found.append((nearest_first(keys, depth), n * trains))
+            if not found:
+                return
+            keys, n = added(found)
+            pair = keys >> np.uint64(8 * (depth - 1))
+            bucket = ((pair * MULT) >> np.uint64(32)) % np.uint64(BUCKETS)
+            order = np.argsort(bucket, kind="stable")
+            keys, n, bucket = keys[order], n[order], bucket[order].astype(np.int32)
+            starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+            rows = []
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
+                rows.append((int(bucket[a]), b - a, planes(np.diff(keys[a:b], prepend=np.uint64(0))), planes(n[a:b])))
+            buckets, ms, ks, ns = zip(*rows, strict=True)
+            yield common.batch(schema, ["g"] * len(rows), [chunk] * len(rows), buckets, ms, [None] * len(rows), [None] * len(rows), ks, ns)
+
         for b in batches:
-            rows = [words_of(x) for x, i in zip(common.texts(b), b.column("doc_id").to_pylist(), strict=True) if is_training(i)]
-            for words in rows:
-                tokens.update(words)
-            tokens[b""] += len(rows)
-            for g, _ in grams([sequence(w) for w in rows], depth):
-                held.append(np.unique(g, return_counts=True))
-            if sum(len(k) for k, _ in held) > HELD:
-                held = [merged()]
-                if len(held[0][0]) > HELD // 2:
-                    yield from send(*held[0])
-                    held = []
+            for text, i, k, t in zip(common.texts(b), *(b.column(c).to_pylist() for c in ("doc_id", "k", "t")), strict=True):
+                words, trains = words_of(text), is_training(i)
+                if trains:
+                    tokens.update(words)
+                    tokens[b""] += 1
+                s = sequence(words)
+                if not held or size + len(s) > CHUNK:
+                    if held:
+                        yield from distinct()
+                        yield from documents()
+                    held, size = [], 0
+                    chunk += 1
+                held.append((s, k, t, i is None, trains))
+                size += len(s)
             if len(tokens) > 400_000:
                 yield from flush()
-        if held:
-            yield from send(*merged())
+        yield from distinct()
+        yield from documents()
         yield from flush()
 
-    return common.map_batches(common.doc_columns(docs), f, "kind string, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    keyed = common.doc_columns(docs).select(F.coalesce("doc_id", F.lit(LOWEST)).alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), "doc_id", "text")
+    return common.map_batches(keyed, f, CHUNK_SCHEMA)
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -169,20 +237,23 @@ def weigh(own: np.ndarray, longer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.logaddexp(own, longer) - math.log(2), 1 / (1 + np.exp(-d))
 
 
-def bit_nodes(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of grams: the distinct nodes (context << 8 | place in the binary tree, 1 to 255) and their counts of bits 0 and 1."""
-    context, byte = keys >> np.uint64(8), keys & np.uint64(255)
-    ids, bits = [], []
-    for j in range(8):
-        prefix = (np.uint64(1) << np.uint64(j)) | (byte >> np.uint64(8 - j))
-        ids.append((context << np.uint64(8)) | prefix)
-        bits.append((byte >> np.uint64(7 - j)) & np.uint64(1))
-    nodes, of = np.unique(np.concatenate(ids), return_inverse=True)
-    one = np.concatenate(bits).astype(bool)
-    weight = np.tile(n, 8).astype(float)
+def bit_nodes(keys: np.ndarray, n: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of bit j of grams: the distinct nodes (context << 8 | place in the binary tree, 1 to 255) and their counts of bits 0 and 1."""
+    nodes, of = np.unique(node_of(keys, j), return_inverse=True)
+    one = bit_of(keys, j)
+    weight = n.astype(float)
     return nodes, np.bincount(of[~one], weight[~one], len(nodes)), np.bincount(of[one], weight[one], len(nodes))
 
 
+def node_of(keys: np.ndarray, j: int) -> np.ndarray:
+    prefix = (np.uint64(1) << np.uint64(j)) | ((keys & np.uint64(255)) >> np.uint64(8 - j))
+    return (keys & ~np.uint64(255)) | prefix
+
+
+def bit_of(keys: np.ndarray, j: int) -> np.ndarray:
+    return ((keys >> np.uint64(7 - j)) & np.uint64(1)).astype(bool)
+
+
 def shorter(nodes: np.ndarray, depth: int) -> np.ndarray:
     """The nodes with the context's farthest byte cut off, to depth bytes."""
     mask = np.uint64((1 << (8 * depth)) - 1)
@@ -232,131 +303,146 @@ class Top:
         return np.where(self.used[d1] > 0, one, np.where(self.used[d0] > 0, none, 0.5))
 
 
-def slot_of(nodes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slot and tag (1 to 255) of nodes of a depth."""
-    h = (nodes * MULT) ^ (nodes >> np.uint64(29)) ^ np.uint64((depth * 0x9E3779B97F4A7C15) & (2**64 - 1))
-    h = (h ^ (h >> np.uint64(32))) * MIXED
-    h ^= h >> np.uint64(29)
-    return (h % np.uint64(SLOTS)).astype(np.int64), ((h >> np.uint64(40)) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
+def predictions(keys: np.ndarray, n: np.ndarray, top: Top, depth: int, j: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By depth from 2: all nodes of bit j of the grams, sorted, and their predictions of bit 1."""
+    out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    if not len(keys):
+        return out
+    found = levels(*bit_nodes(keys, n, j), depth, 2)
+    for d in range(2, depth + 1):
+        nodes, n0, n1, trust, _, of = found[d]
+        if d == 2:
+            i = shorter(nodes, 1).astype(np.int64)
+            before, above, rest = top.mix[1, i], top.used[1, i], top.left[1, i]
+        else:
+            before, above, rest = mix[of], used[of], left[of]
+        mix, used, left = before + rest * trust * (n1 + 0.5) / (n0 + n1 + 1), above + rest * trust, rest * (1 - trust)
+        out[d] = (nodes, mix / used)
+    return out
 
 
 class Model:
-    """What scoring needs: the dense top and the slots. Probabilities of a byte depend on its context alone and sum to one."""
+    """What scoring needs: the dense top and each bit's predictions, of which one is used at a time. Probabilities of a byte depend on its context alone and sum to one."""
 
-    def __init__(self, top: Top, tags: np.ndarray, predictions: np.ndarray, depth: int):
-        self.top, self.tags, self.predictions, self.depth = top, tags, predictions, depth
-        self.keys, self.known = np.full(1 << CACHE_BITS, 2**64 - 1, np.uint64), np.zeros(1 << CACHE_BITS, np.float32)
+    def __init__(self, top: Top, bits: Iterable[dict[int, tuple[np.ndarray, np.ndarray]]], depth: int):
+        self.top, self.bits, self.depth = top, bits, depth
 
     def compute(self, keys: np.ndarray) -> np.ndarray:
         """log10 of the byte given the context, for grams."""
-        context, byte = keys >> np.uint64(8), keys & np.uint64(255)
         total = np.zeros(len(keys))
-        for j in range(8):
-            prefix = (np.uint64(1) << np.uint64(j)) | (byte >> np.uint64(8 - j))
-            nodes = (context << np.uint64(8)) | prefix
-            p = np.full(len(keys), np.nan)
+        for j, found in enumerate(self.bits):
+            wanted = node_of(keys, j)
+            p = np.empty(len(keys))
             todo = np.arange(len(keys))
             for d in range(self.depth, 1, -1):
-                slot, tag = slot_of(shorter(nodes[todo], d), d)
-                hit = self.tags[slot] == tag
-                p[todo[hit]] = 1 / (1 + np.exp(-self.predictions[slot[hit]].astype(float)))
+                if d not in found:
+                    continue
+                nodes, ps = found[d]
+                x = shorter(wanted[todo], d)
+                at = np.minimum(np.searchsorted(nodes, x), len(nodes) - 1)
+                hit = nodes[at] == x
+                p[todo[hit]] = ps[at[hit]]
                 todo = todo[~hit]
-            p[todo] = self.top.predict(shorter(nodes[todo], 1))
+            p[todo] = self.top.predict(shorter(wanted[todo], 1))
             p = np.clip(p, 1e-6, 1 - 1e-6)
-            total += np.log10(np.where((byte >> np.uint64(7 - j)) & np.uint64(1), p, 1 - p))
+            total += np.log10(np.where(bit_of(keys, j), p, 1 - p))
         return total
 
     def logs(self, keys: np.ndarray) -> np.ndarray:
-        slot = ((keys * MULT) >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
-        miss = np.flatnonzero(self.keys[slot] != keys)
-        out = self.known[slot].astype(float)
-        if len(miss):
-            fresh, of = np.unique(keys[miss], return_inverse=True)
-            found = self.compute(fresh)
-            out[miss] = found[of]
-            at = ((fresh * MULT) >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
-            self.keys[at], self.known[at] = fresh, found
-            # of grams that share a slot one stays; its value must be its own
-            stay = self.keys[at] == fresh
-            self.known[at[stay]] = found[stay]
-        return out
+        distinct, of = np.unique(keys, return_inverse=True)
+        return self.compute(distinct)[of]
 
 
-def build(counts: DataFrame, depth: int = DEPTH) -> tuple[Top, np.ndarray, np.ndarray]:
-    """counts: kind, key, n. The top, and tags and predictions of all slots."""
-    if not 2 <= depth <= 6:
-        raise ValueError("depth must be from 2 to 6")
-    g = counts.where("kind = 'g'").select(F.col("key"), "n", F.pmod(F.xxhash64(F.expr("(key >> 8) & 65535")), F.lit(BUCKETS)).cast("int").alias("bucket"))
+class Lookup:
+    """Values of a chunk's grams: a table of one entry a slot, and a search for those whose slot another holds."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+        self.shift = np.uint64(64 - max(8, int(len(keys) * 4).bit_length()))
+        slot = self.slots(self.keys)
+        self.held = np.zeros(1 << (64 - int(self.shift)), np.int32)
+        self.held[slot] = np.arange(len(slot), dtype=np.int32)
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * MULT) >> self.shift).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = self.held[self.slots(keys)]
+        miss = np.flatnonzero(self.keys[at] != keys)
+        at[miss] = np.searchsorted(self.keys, keys[miss])
+        return self.values[at]
+
 
-    def tree(t: pa.Table) -> dict[int, tuple]:
-        return levels(*bit_nodes(t.column("key").to_numpy().view(np.uint64), t.column("n").to_numpy()), depth, 2)
+def bucket_grams(t: pa.Table, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of a bucket's rows, and their counts; 0 for those that no training text has."""
+    held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    size = 0
+    for m, a, b in zip(*(t.column(c).to_pylist() for c in ("m", "a", "b")), strict=True):
+        held.append((grams_in(a, m, depth), unplanes(b, m, np.int64)))
+        size += m
+        if size > HELD + 2 * len(held[0][0]):
+            held, size = [added(held)], 0
+    return added(held)
 
+
+def top_of(counts: DataFrame, depth: int) -> Top:
     top_schema = pa.schema([("node", pa.int32()), ("n0", pa.float64()), ("n1", pa.float64()), ("w", pa.float64())])
 
     def two(t: pa.Table) -> pa.Table:
-        nodes, n0, n1, _, weighted, _ = tree(t)[2]
-        up, of = np.unique(shorter(nodes, 1), return_inverse=True)
-        add = lambda x: np.bincount(of, x, len(up))
-        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip((up.astype(np.int32), add(n0), add(n1), add(weighted)), top_schema, strict=True)], schema=top_schema)
-
-    summed = g.groupBy("bucket").applyInArrow(two, "node int, n0 double, n1 double, w double").groupBy("node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "w")])
+        keys, n = bucket_grams(t, depth)
+        keys, n = keys[n > 0], n[n > 0]
+        parts: list[tuple] = [((),) * 4]
+        for j in range(8) if len(keys) else ():
+            nodes, n0, n1, _, weighted, _ = levels(*bit_nodes(keys, n, j), depth, 2)[2]
+            up, of = np.unique(shorter(nodes, 1), return_inverse=True)
+            parts.append((up.astype(np.int32), *(np.bincount(of, x, len(up)) for x in (n0, n1, weighted))))
+        return pa.Table.from_arrays([pa.array(np.concatenate(c), f.type, safe=False) for c, f in zip(zip(*parts, strict=True), top_schema, strict=True)], schema=top_schema)
+
+    summed = counts.where("kind = 'g'").select("bucket", "m", "a", "b").groupBy("bucket").applyInArrow(two, "node int, n0 double, n1 double, w double").groupBy("node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "w")])
     found = summed.orderBy("node").toArrow()
-    top = Top(*(found.column(c).to_numpy() for c in ("node", "n0", "n1", "w")))
-
-    slot_schema = pa.schema([("r", pa.int32()), ("slot", pa.int32()), ("tag", pa.int16()), ("p", pa.float32()), ("n", pa.float64())])
-
-    def predictions(t: pa.Table) -> pa.Table:
-        parts, mix, used, left = [], None, None, None
-        found = tree(t)
-        for d in range(2, depth + 1):
-            nodes, n0, n1, trust, _, _ = found[d]
-            if d == 2:
-                i = shorter(nodes, 1).astype(np.int64)
-                before, above, rest = top.mix[1, i], top.used[1, i], top.left[1, i]
-            else:
-                of = found[d][5]
-                before, above, rest = mix[of], used[of], left[of]
-            mix, used, left = before + rest * trust * (n1 + 0.5) / (n0 + n1 + 1), above + rest * trust, rest * (1 - trust)
-            slot, tag = slot_of(nodes, d)
-            # as log odds, which half precision holds near 0 and 1 as well
-            p = np.clip(mix / used, 1e-6, 1 - 1e-6)
-            parts.append((slot // RANGE, slot, tag, np.log(p / (1 - p)), n0 + n1))
-        return pa.Table.from_arrays([pa.array(np.concatenate(c), f.type, safe=False) for c, f in zip(zip(*parts, strict=True), slot_schema, strict=True)], schema=slot_schema)
-
-    dense_schema = pa.schema([("r", pa.int32()), ("tags", pa.binary()), ("p", pa.binary())])
-
-    def dense(t: pa.Table) -> pa.Table:
-        r, slot, tag, p, n = (t.column(c).to_numpy() for c in ("r", "slot", "tag", "p", "n"))
-        # the most seen of a slot last; ties by tag and prediction, so that every run agrees
-        by = np.lexsort((p, tag, n))
-        tags, ps = np.zeros(RANGE, np.uint8), np.zeros(RANGE, np.float16)
-        at = slot[by] - r[0] * RANGE
-        tags[at], ps[at] = tag[by].astype(np.uint8), p[by].astype(np.float16)
-        return pa.Table.from_arrays([pa.array([int(r[0])], pa.int32()), pa.array([tags.tobytes()], pa.binary()), pa.array([ps.tobytes()], pa.binary())], schema=dense_schema)
-
-    slots = g.groupBy("bucket").applyInArrow(predictions, "r int, slot int, tag short, p float, n double")
-    tags, ps = np.zeros(SLOTS, np.uint8), np.zeros(SLOTS, np.float16)
-    for row in slots.groupBy("r").applyInArrow(dense, "r int, tags binary, p binary").toLocalIterator():
-        a = row.r * RANGE
-        tags[a : a + RANGE], ps[a : a + RANGE] = np.frombuffer(row.tags, np.uint8), np.frombuffer(row.p, np.float16)
-    return top, tags, ps
+    return Top(*(found.column(c).to_numpy() for c in ("node", "n0", "n1", "w")))
+
+
+def build(counts: DataFrame, depth: int = DEPTH) -> tuple[Top, list[dict[int, tuple[np.ndarray, np.ndarray]]]]:
+    """The whole model of count()'s rows on one machine, for tables that are small enough; score() never holds it."""
+    if not 2 <= depth <= 6:
+        raise ValueError("depth must be from 2 to 6")
+    top = top_of(counts, depth)
+    keys, n = bucket_grams(counts.where("kind = 'g'").select("m", "a", "b").toArrow(), depth)
+    return top, [predictions(keys[n > 0], n[n > 0], top, depth, j) for j in range(8)]
+
+
+def gram_logs(counts: DataFrame, top: Top, depth: int) -> DataFrame:
+    """kind 'g', chunk, m, n, a and b: each chunk's grams of a bucket, and in b their log10 by the exact tree, single precision."""
+    schema = pa.schema([("kind", pa.string()), ("chunk", pa.int64()), ("m", pa.int32()), ("n", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
+    shared = counts.sparkSession.sparkContext.broadcast(top)
+
+    def f(t: pa.Table) -> pa.Table:
+        keys, n = bucket_grams(t, depth)
+        seen = n > 0
+        logs = Model(shared.value, (predictions(keys[seen], n[seen], shared.value, depth, j) for j in range(8)), depth).compute(keys).astype(np.float32)
+        of = [logs[np.searchsorted(keys, grams_in(a, m, depth))].tobytes() for m, a in zip(t.column("m").to_pylist(), t.column("a").to_pylist(), strict=True)]
+        return pa.Table.from_arrays([pa.array(["g"] * len(t)), t.column("chunk"), t.column("m"), pa.nulls(len(t), pa.int64()), t.column("a"), pa.array(of, pa.binary())], schema=schema)
+
+    return counts.where("kind = 'g'").select("bucket", "chunk", "m", "a", "b").groupBy("bucket").applyInArrow(f, "kind string, chunk long, m int, n long, a binary, b binary")
 
 
 def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every document."""
+    if not 2 <= depth <= 6:
+        raise ValueError("depth must be from 2 to 6")
     spark = docs.sparkSession
     counts = common.cut(count(docs, depth))
-    of_tokens = counts.where("kind = 't' and n > 0").select(F.col("key").alias("h"), F.col("n").alias("c"))
+    of_tokens = common.cut(counts.where("kind = 't' and n > 0").groupBy(F.col("key").alias("h")).agg(F.sum("n").alias("c")))
     total, kinds = of_tokens.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     spread = math.log10(total + 0.5 * (kinds + 1))
     heavy = {r.h: r.c for r in of_tokens.where(F.col("c") > F.lit(total / HEAVY)).collect()}
-    top, tags, ps = build(counts, depth)
-    shared = spark.sparkContext.broadcast((top, tags, ps, heavy))
+    shared = spark.sparkContext.broadcast(heavy)
     row_schema = pa.schema([("k", pa.int64()), ("t", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("size", pa.int64()), ("hs", pa.list_(pa.int64())), ("ns", pa.list_(pa.int32()))])
 
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top, tags, ps, heavy = shared.value
-        model = Model(top, tags, ps, depth)
+    def f(t: pa.Table) -> pa.Table:
+        heavy = shared.value
 
         class Hash(dict):
             def __missing__(self, word: bytes) -> int:
@@ -366,20 +452,31 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                 return h
 
         hashes = Hash()
-        for b in batches:
-            rows, sequences = [], []
-            for text in common.texts(b):
-                words = words_of(text)
-                sequences.append(sequence(words))
+        held, parts = [], []
+        for kind, m, n, a, b in zip(*(t.column(c).to_pylist() for c in ("kind", "m", "n", "a", "b")), strict=True):
+            if kind == "g":
+                held.append((grams_in(a, m, depth), np.frombuffer(b, np.float32)))
+            else:
+                parts.append((m, n, a, b))
+        logs = Lookup(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        del held
+        out = []
+        for m, n, a, b in parts:
+            text, keys = expand(a, m), np.frombuffer(expand(b, n * 32), np.int64).reshape(n, 4)
+            ends = np.cumsum(keys[:, 3])
+            sequences = [text[x:y] for x, y in zip((ends - keys[:, 3]).tolist(), ends.tolist(), strict=True)]
+            rows = []
+            for s in sequences:
+                words = s.split()
                 known, base, hs, ns = 0, 0.0, [], []
-                for w, n in Counter(words).items():
+                for w, c in Counter(words).items():
                     h = hashes[w]
-                    c = heavy.get(h)
-                    if c is None:
-                        hs.append(h), ns.append(n)
+                    seen = heavy.get(h)
+                    if seen is None:
+                        hs.append(h), ns.append(c)
                     else:
-                        known += n
-                        base += n * math.log10(c + 0.5)
+                        known += c
+                        base += c * math.log10(seen + 0.5)
                 h = hashes[b""]
                 if h in heavy:
                     known += 1
@@ -387,14 +484,18 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                 else:
                     hs.append(h), ns.append(1)
                 rows.append((len(words) + 1, known, base, hs, ns))
-            totals = np.zeros(len(sequences))
+            totals = np.zeros(n)
             for g, owner in grams(sequences, depth):
-                totals += np.bincount(owner, model.logs(g), len(totals))
-            n_tokens, known, base, hs, ns = zip(*rows, strict=True) if rows else [[]] * 5
-            yield common.batch(row_schema, b.column("k"), b.column("t"), b.column("doc_id"), n_tokens, known, base, totals, list(map(len, sequences)), hs, ns)
-
-    keyed = common.doc_columns(docs).select(F.coalesce("doc_id", F.lit(LOWEST)).alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), "doc_id", "text")
-    rows = common.cut(common.map_batches(keyed, f, "k long, t long, doc_id long, n_tokens long, known long, base double, score double, size long, hs array<long>, ns array<int>"))
+                totals += np.bincount(owner, logs(g), n)
+            n_tokens, known, base, hs, ns = zip(*rows, strict=True)
+            ids = pa.array(keys[:, 0], pa.int64(), mask=keys[:, 2].astype(bool))
+            out.append(common.batch(row_schema, pa.array(keys[:, 0]), pa.array(keys[:, 1]), ids, n_tokens, known, base, totals, pa.array(keys[:, 3]), hs, ns))
+        return pa.Table.from_batches(out, row_schema)
+
+    texts = counts.where("kind = 'd'").select("kind", "chunk", "m", "n", "a", "b")
+    parts = texts.unionByName(gram_logs(counts, top_of(counts, depth), depth))
+    rows = common.cut(parts.groupBy("chunk").applyInArrow(f, "k long, t long, doc_id long, n_tokens long, known long, base double, score double, size long, hs array<long>, ns array<int>"))
+    common.drop(counts)
     # one row of those that are wholly equal stands for all
     light = rows.select("k", "t", F.explode(F.arrays_zip("hs", "ns")).alias("x")).select("k", "t", F.col("x.hs").alias("h"), F.col("x.ns").alias("n"))
     rest = light.join(of_tokens, "h", "left").groupBy("k", "t").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rest"))

@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -96,6 +97,20 @@ def test_scores(spark, monkeypatch, heavy):
         assert g.score == pytest.approx(tree, rel=3e-3, abs=0.05)
 
 
+def test_every_node_scores(spark, monkeypatch):
+    monkeypatch.setattr(ct, "CHUNK", 3000, raising=False)
+    monkeypatch.setattr(ct, "PART", 1000, raising=False)
+    r = random.Random(3)
+    data = [(i, " ".join(f"{r.getrandbits(64):x}" for _ in range(12)) + " the same words", "en", "s", 1) for i in range(60)] + rows()[40:52]
+    brute = Brute(data, 4)
+    by = lambda x: (x[0] is None, x[0] or 0, x[1], x[2])
+    got = sorted(((x.doc_id, x.n_tokens, x.score) for x in ct.score(frame(spark, data), 4).collect()), key=by)
+    want = sorted(((i, len(w) + 1, brute.log10(w)) for i, w in sequences(data)), key=by)
+    assert len(got) == len(want)
+    for g, w in zip(got, want, strict=True):
+        assert g[:2] == w[:2] and g[2] == pytest.approx(w[2], rel=1e-6)
+
+
 def test_byte_probabilities_sum_to_one(spark, sf):
     counts = ct.count(spark.read.parquet(f"{sf}/documents.parquet"), 5).cache()
     model = ct.Model(*ct.build(counts, 5), 5)
