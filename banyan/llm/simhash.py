@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -39,7 +39,7 @@ SAMPLE, LEAVES = 65_536, 4096
 #: Homes that a shard holds against all its visitors at once.
 BRUTE = 1024
 
-FINGERPRINT_SCHEMA = "doc_id long, fp long"
+FINGERPRINT_SCHEMA = "doc_id long, fp long, t long"
 #: One entry of the tables below: masks of the two halves.
 HALVES = (np.uint64(0xFFFFFFFF00000000), np.uint64(0x00000000FFFFFFFF))
 
@@ -64,14 +64,14 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (signed) of every document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """doc_id, fp (signed) and t, a hash of the text, of every document."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("t", pa.int64())])
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield common.batch(schema, b.column("doc_id"), [fingerprint(x) for x in common.texts(b)])
+            yield common.batch(schema, b.column("doc_id"), [fingerprint(x) for x in common.texts(b)], b.column("t"))
 
-    return common.map_batches(common.doc_columns(docs), f, FINGERPRINT_SCHEMA)
+    return common.map_batches(common.doc_columns(docs).withColumn("t", F.xxhash64("text")), f, FINGERPRINT_SCHEMA)
 
 
 class Tree:
@@ -220,21 +220,33 @@ def components(edges: DataFrame) -> DataFrame:
         common.drop(last)
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp and component_id, the smallest doc_id that links reach."""
-    fps = common.cut(fingerprints(docs))
-    # min_id of each fingerprint collapses equal texts before anything is joined
-    each = common.cut(fps.groupBy("fp").agg(F.min("doc_id").alias("min_id")))
+def least_of_components(fps: DataFrame, radius: int, **values: Column) -> DataFrame:
+    """fp of every fingerprint, and the least of each of the values in all rows that its links reach; null if there is none."""
+    # the least of each fingerprint collapses equal texts before anything is joined
+    each = common.cut(fps.groupBy("fp").agg(*[F.min(v).alias(k) for k, v in values.items()]))
     found = components(hamming_links(each.select("fp"), radius))
     of = found.select(F.col("node").alias("fp"), "root").union(found.select(F.col("root").alias("fp"), "root").distinct())
-    named = of.join(each, "fp").select("fp", "root", "min_id")
-    least = named.groupBy("root").agg(F.min("min_id").alias("least"))
-    linked = named.join(least, "root").select("fp", "least")
-    of_fp = each.join(linked, "fp", "left").select("fp", F.coalesce("least", "min_id").alias("component_id"))
-    return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    named = of.join(each, "fp")
+    least = named.groupBy("root").agg(*[F.min(k).alias(f"least_{k}") for k in values])
+    linked = named.join(least, "root").select("fp", *[f"least_{k}" for k in values])
+    return each.join(linked, "fp", "left").select("fp", *[F.coalesce(f"least_{k}", k).alias(k) for k in values])
+
 
+def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """doc_id, fp and component_id, the smallest doc_id that links reach."""
+    fps = common.cut(fingerprints(docs).drop("t"))
+    return fps.join(least_of_components(fps, radius, component_id=F.col("doc_id")), "fp").select("doc_id", "fp", "component_id")
 
-def one_row_each(docs: DataFrame, key: str) -> DataFrame:
-    """One row of each value of key, all columns: that with the least hash of its text, or one of several that share it."""
+
+def one_row_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Of each component one row with a doc_id, the one of least doc_id and then least hash of its text, and one without; all columns."""
+    fps = common.cut(fingerprints(docs))
+    no_id = F.col("doc_id").isNull()
+    found = least_of_components(fps, radius, named=F.when(~no_id, F.struct("doc_id", "t")), unnamed=F.when(no_id, F.struct(F.lit(0).cast("long").alias("doc_id"), "t")))
+    # a doc_id may stand beside different texts: rows are told apart by both
+    keep = found.select(F.explode(F.array(F.struct(F.lit(False).alias("_n"), F.col("named").alias("x")), F.struct(F.lit(True).alias("_n"), F.col("unnamed").alias("x")))).alias("y")).where("y.x IS NOT NULL")
+    keep = keep.select(F.col("y.x.doc_id").alias("_k"), F.col("y._n").alias("_n"), F.col("y.x.t").alias("_t")).distinct()
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return docs.groupBy(F.col(key).alias("_key")).agg(F.min_by(row, F.xxhash64("text")).alias("_row")).select("_row.*")
+    key = (F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_k"), no_id.alias("_n"), F.xxhash64(F.col("text").cast("string")).alias("_t"))
+    rows = docs.groupBy(*key).agg(F.min_by(row, F.xxhash64(row)).alias("_row"))
+    return rows.join(keep, ["_k", "_n", "_t"], "left_semi").select("_row.*")

@@ -27,14 +27,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each component of linked fingerprints; of rows that share it, one.
+    """Of each component of linked fingerprints one document: the row of least doc_id, then of least hash of its text.
 
-    Rows without a doc_id can't name a component: of those, one of each text stays.
+    Rows are chosen as rows, as a doc_id may stand beside several texts.  Rows
+    without a doc_id are chosen among themselves, one of each component.
     """
-    kept = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = simhash.one_row_each(docs.where("doc_id IS NOT NULL").join(kept, "doc_id"), "doc_id")
-    unnamed = simhash.one_row_each(docs.where("doc_id IS NULL"), "text")
-    return documents(named.unionByName(unnamed.select(named.columns)))
+    return documents(simhash.one_row_each(docs))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

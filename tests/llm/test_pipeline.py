@@ -1,5 +1,6 @@
 """Every stage of the pipeline against brute force, each on what the one before kept."""
 
+import random
 from collections import Counter
 
 import pytest
@@ -60,6 +61,18 @@ def test_each_stage(spark, docs):
     held(STAGES["packing"](spark, clean, "").collect(), list(want.elements()), 1024)
 
 
+def test_near_dedup_keeps_a_row_of_each_component(spark):
+    r = random.Random(1)
+    long = [" ".join(f"w{r.randint(0, 10**6)}" for _ in range(400)) for _ in range(5)]
+    a, b, c, d, e = long
+    near = next(x for k in range(400) if (x := f"{' '.join(e.split()[:k])} changed {' '.join(e.split()[k + 1:])}") and 0 < (brute_fingerprint(x) ^ brute_fingerprint(e)).bit_count() <= 3)
+    data = [(5, a), (5, b), (13, c), (15, c), (15, d), (None, e), (None, near), (None, e)]
+    got = pairs(STAGES["near_dedup"](spark, frame(spark, [(i, t, "en", "s", len(t)) for i, t in data], clash=False), ""))
+    unnamed = [(i, t) for i, t in got.elements() if i is None]
+    assert len(unnamed) == 1 and unnamed[0][1] in (e, near)
+    assert got - Counter(unnamed) == Counter([(5, a), (5, b), (13, c), (15, d)])
+
+
 def test_empty(spark):
     df = frame(spark, [], clash=False)
     for _, stage in p.STAGES:
