@@ -5,9 +5,12 @@ within a kind.  The method adds kind ``entropy``: a candidate is a maximal run
 of one character class; a window slides over it, its character counts and the
 sum of their c*log2(c) updated by one step in and one out, so each step costs
 the same whatever the window's length.  Windows at or above the class's
-threshold merge to one span.  Candidates that match the allow list (word-like,
-repeated, sample or hyphen-grouped id forms) are suppressed, and so are those
-inside a base span.
+threshold merge to one span; a run shorter than the window, of as many characters
+as the shortest window at least, is one window with a threshold scaled to its
+length.  The part around a sample word (between = / _ -, and no farther than one
+window) is cut out of a run, and what is left on either side is a candidate of
+its own.  Candidates that match the allow list (word-like, repeated or
+hyphen-grouped id forms) are suppressed, and so are those inside a base span.
 
 Places are code points, end exclusive.  Null texts count as empty and give no
 spans.  Every row is scanned whole and by itself, so ties, repeated rows and
@@ -50,10 +53,11 @@ CLASSES = (
     CharClass("hex", "0-9A-Fa-f", 20, 3.0),
     CharClass("base64", "0-9A-Za-z+/_=-", 24, 4.0),
 )
-#: Candidates that are no secrets: one letter case and no digit, samples, one character over and over, grouped ids.
+#: Words of samples, and what parts a run.
+SAMPLE, PARTS = re.compile(r"example|sample|placeholder|changeme|xxxx|0123456789|abcdef0123", re.I), "=/_-"
+#: Candidates that are no secrets: one letter case and no digit, one character over and over, grouped ids.
 ALLOW = (
     re.compile(r"[A-Za-z]?[a-z_/=+-]*|[A-Z_/=+-]*"),
-    re.compile(r".*(?:example|sample|placeholder|changeme|xxxx|0123456789|abcdef0123).*", re.I | re.S),
     re.compile(r"(.)\1*"),
     re.compile(r"[0-9]+"),
     re.compile(r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}"),
@@ -87,13 +91,28 @@ def windows(s: str, window: int, bits: float) -> list[tuple[int, int]]:
     return out
 
 
+def without_samples(s: str, window: int) -> list[tuple[int, int]]:
+    """Places of the pieces of s that are left beside its sample words."""
+    out, at = [], 0
+    for m in SAMPLE.finditer(s):
+        a, b = m.span()
+        while a > max(at, m.start() - window) and s[a - 1] not in PARTS:
+            a -= 1
+        while b < min(len(s), m.end() + window) and s[b] not in PARTS:
+            b += 1
+        if a > at:
+            out.append((at, a))
+        at = max(at, b)
+    return [*out, (at, len(s))]
+
+
 class Scanner:
     """Spans of a text. run and table find the texts without any candidate fast."""
 
     def __init__(self, classes: tuple[CharClass, ...] = CLASSES, allow: tuple[re.Pattern, ...] = ALLOW):
         self.allow = allow
-        self.classes = [(c, re.compile(f"[{c.chars}]{{{c.window},}}")) for c in classes]
-        least = min(c.window for c in classes)
+        self.least = least = min(c.window for c in classes)
+        self.classes = [(c, re.compile(f"[{c.chars}]{{{least},}}")) for c in classes]
         inside = [re.compile(f"[{''.join(c.chars for c in classes)}]", re.A).match(chr(b)) is not None for b in range(128)] + [False] * 128
         self.table, self.run = bytes(120 if x else 46 for x in inside), b"x" * least
 
@@ -112,13 +131,16 @@ class Scanner:
             extra: set[tuple[int, int]] = set()
             for c, pattern in self.classes:
                 for m in pattern.finditer(text):
-                    s = m.group()
-                    if any(a.fullmatch(s) for a in self.allow):
-                        continue
-                    for a, b in windows(s, c.window, c.bits):
-                        a, b = a + m.start(), b + m.start()
-                        if not any(x <= a and b <= y for x, y, _ in base):
-                            extra.add((a, b))
+                    run = m.group()
+                    for at, end in without_samples(run, c.window):
+                        s = run[at:end]
+                        if len(s) < self.least or any(a.fullmatch(s) for a in self.allow):
+                            continue
+                        bits = c.bits * min(1.0, math.log(len(s), c.window))
+                        for a, b in windows(s, c.window, bits):
+                            a, b = a + at + m.start(), b + at + m.start()
+                            if not any(x <= a and b <= y for x, y, _ in base):
+                                extra.add((a, b))
             spans: list[tuple[int, int]] = []
             for a, b in sorted(extra):
                 if spans and a < spans[-1][1]:

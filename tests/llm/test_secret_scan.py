@@ -60,6 +60,15 @@ def test_entropy_and_allow_list():
     assert kinds(TEXTS[4]) == ["hex"]
 
 
+def test_secrets_beside_sample_words_and_in_short_runs():
+    scan = s.Scanner()
+    first, second = "wJalrXUtnFEMI7MDENGbPxRfiCY1", "R4nd0mT0kenV4lueQ8zLk2Pj7Wv1Xc3yH5sB9dGa"
+    for text, secret in ((f"EXAMPLE_KEY={first}", first), (f"docs/sample/{second}", second), (f"{second}/xxxx/{first}", second), (f"{second}/xxxx/{first}", first), (second + "xxxx" + second[::-1] * 2, second[::-1]), ("x Zq7Rk2Lw9Xv4Bn1Tc8Hs3 y", "Zq7Rk2Lw9Xv4Bn1Tc8Hs3")):
+        at = text.rindex(secret)
+        assert any(a <= at and at + len(secret) <= b for a, b, k in scan(text) if k == "entropy"), text
+    assert scan("x myExampleKey4Rt9Zq2Lw7Xv1 y") == scan("x docs/examples/sample_values/of-the-words y") == []
+
+
 def test_redact(spark):
     df = frame(spark, [(1, TEXTS[0], "en", "s", 1), (2, None, "en", "s", 1), (3, "clean", "en", "s", 1)])
     out = {x.doc_id: x.text for x in s.redact(df).collect()}
