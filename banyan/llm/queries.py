@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import context_tree, digest, license_scan, packing, pieces, quality, repeats, secret_scan, simhash, toxicity
-from .common import table
+from .common import cut, table
 
 
 def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +21,12 @@ def op2_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ablations of every policy over all documents, from a ledger that is written once."""
+    stored = cut(quality.ledger(table(spark, sf_dir, "documents")).select("doc_id", "fail_bits"))
+    return reduce(DataFrame.unionByName, (quality.ablations(stored, p).withColumn("policy", F.lit(p)) for p in quality.POLICIES))
+
+
 def op3_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.score(table(spark, sf_dir, "documents"))
 
@@ -54,7 +61,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_harmonic_packing, op2_quality_ledger, op3_context_tree_weighting, op4_canonical_digest, op5_secret_scan, op6_license_scan, op7_sentencepiece, op8_ftrl_toxicity, op9_simhash_vp_trees, op10_suffix_dedup)
+    f.__name__: f for f in (op1_harmonic_packing, op2_quality_ledger, quality_ablations, op3_context_tree_weighting, op4_canonical_digest, op5_secret_scan, op6_license_scan, op7_sentencepiece, op8_ftrl_toxicity, op9_simhash_vp_trees, op10_suffix_dedup)
 }
 
 ORACLES: dict[str, str] = {

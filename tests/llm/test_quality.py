@@ -58,3 +58,17 @@ def test_oracle(spark, sf):
     db.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     want = db.sql(ORACLES["op2_quality_ledger"]).fetchall()
     assert Counter(map(tuple, op2_quality_ledger(spark, sf).collect())) == Counter(want)
+
+
+def test_ablations_of_the_whole_table(spark, sf):
+    from banyan.llm.queries import QUERIES
+
+    bits = [brute(x.text)[-1] for x in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    want = set()
+    for policy in quality.POLICIES:
+        m = quality.mask(policy)
+        for r in quality.RULES:
+            if m >> r.bit & 1:
+                b = 1 << r.bit
+                want.add((r.name, sum(x & b > 0 for x in bits), sum(x & m == b for x in bits), sum(x & m & ~b == 0 for x in bits), policy))
+    assert set(map(tuple, QUERIES["quality_ablations"](spark, sf).collect())) == want
