@@ -19,10 +19,11 @@ further columns change nothing; an empty table gives no rows.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -38,7 +39,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 KEYWORDS = ("password", "passwd", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-LOG = [0.0] + [c * math.log2(c) for c in range(1, 4096)]
+#: c * log2(c) in units of 2^-40: sums of whole numbers don't drift, however long a run is.
+UNIT = 1 << 40
+LOG = [0] + [round(c * math.log2(c) * UNIT) for c in range(1, 4096)]
 
 
 @dataclass(frozen=True)
@@ -57,11 +60,12 @@ CLASSES = (
 SAMPLE, PARTS = re.compile(r"example|sample|placeholder|changeme|xxxx|0123456789|abcdef0123", re.I), "=/_-"
 #: Candidates that are no secrets: one letter case and no digit, one character over and over, grouped ids.
 ALLOW = (
-    re.compile(r"[A-Za-z]?[a-z_/=+-]*|[A-Z_/=+-]*"),
+    re.compile(r"[A-Za-z]?[a-z_/=+-]*+|[A-Z_/=+-]*+"),
     re.compile(r"(.)\1*"),
     re.compile(r"[0-9]+"),
     re.compile(r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}"),
-    re.compile(r"(?:[A-Za-z]?[a-z]*[-_/+=])+[A-Za-z]?[a-z]*"),
+    # a part between separators has one parse, and possessive repeats never give back: linear in the run's length
+    re.compile(r"(?:(?:[A-Za-z][a-z]*+)?+[-_/+=])*+(?:[A-Za-z][a-z]*+)?+"),
 )
 
 
@@ -71,7 +75,8 @@ def windows(s: str, window: int, bits: float) -> list[tuple[int, int]]:
     if not n:
         return []
     counts: dict[str, int] = {}
-    total, least, out = 0.0, math.log2(n) - bits, []
+    # entropy = log2(n) - total / n, so bits or more is a total of most or less; a tie counts
+    total, most, out = 0, round((math.log2(n) - bits) * n * UNIT) + 4096, []
     for i, c in enumerate(s):
         k = counts.get(c, 0)
         counts[c] = k + 1
@@ -81,8 +86,7 @@ def windows(s: str, window: int, bits: float) -> list[tuple[int, int]]:
             k = counts[c]
             counts[c] = k - 1
             total += LOG[k - 1] - LOG[k]
-        # entropy = log2(n) - total / n
-        if i >= n - 1 and total <= least * n + 1e-9:
+        if i >= n - 1 and total <= most:
             start, end = i - n + 1, i + 1
             if out and start <= out[-1][1]:
                 out[-1] = (out[-1][0], end)
@@ -106,6 +110,20 @@ def without_samples(s: str, window: int) -> list[tuple[int, int]]:
     return [*out, (at, len(s))]
 
 
+def within(spans: list[tuple[int, int, str]]) -> Callable[[int, int], bool]:
+    """Whether a place lies within one of the spans: of those that start no later, the farthest end tells."""
+    starts, ends = [], []
+    for a, b, _ in sorted(spans):
+        starts.append(a)
+        ends.append(max(b, ends[-1]) if ends else b)
+
+    def inside(a: int, b: int) -> bool:
+        k = bisect.bisect_right(starts, a)
+        return k > 0 and ends[k - 1] >= b
+
+    return inside
+
+
 class Scanner:
     """Spans of a text. run and table find the texts without any candidate fast."""
 
@@ -127,7 +145,7 @@ class Scanner:
         # no run of any class's characters is long enough in most texts; bytes of other characters count as gaps
         if self.run in text.encode().translate(self.table):
             found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
-            base = sorted(found)
+            inside = within(found)
             extra: set[tuple[int, int]] = set()
             for c, pattern in self.classes:
                 for m in pattern.finditer(text):
@@ -139,7 +157,7 @@ class Scanner:
                         bits = c.bits * min(1.0, math.log(len(s), c.window))
                         for a, b in windows(s, c.window, bits):
                             a, b = a + at + m.start(), b + at + m.start()
-                            if not any(x <= a and b <= y for x, y, _ in base):
+                            if not inside(a, b):
                                 extra.add((a, b))
             spans: list[tuple[int, int]] = []
             for a, b in sorted(extra):

@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 from cases import frame, rows
@@ -69,6 +70,109 @@ def test_secrets_beside_sample_words_and_in_short_runs():
     assert scan("x myExampleKey4Rt9Zq2Lw7Xv1 y") == scan("x docs/examples/sample_values/of-the-words y") == []
 
 
+SAMPLE = ("example", "sample", "placeholder", "changeme", "xxxx", "0123456789", "abcdef0123")
+
+
+def allowed(x):
+    """No secret: one letter case and no digit (or one capital first, in the whole or in each part), one character, digits, a grouped id."""
+    letters = lambda p: all(c.isascii() and c.isalpha() for c in p) and (p == "" or p[1:] == p[1:].lower())
+    marks = "_/=+-"
+    if all(c in marks or "a" <= c <= "z" for c in x[1:]) and (x[0].isalpha() or x[0] in marks) or all(c in marks or "A" <= c <= "Z" for c in x):
+        return True
+    if len(set(x)) == 1 or x.isdigit():
+        return True
+    groups = x.split("-")
+    if [len(g) for g in groups] == [8, 4, 4, 4, 12] and all(c in "0123456789abcdefABCDEF" for c in "".join(groups)):
+        return True
+    return all(letters(p) for p in re.split(r"[-_/+=]", x))
+
+
+def brute(text):
+    """All spans by the definition, windows counted anew at every place."""
+    found = [(a, b, s.KINDS[k]) for a, k, b in base(text)]
+    extra = set()
+    for chars, window, bits in (("0123456789abcdefABCDEF", 20, 3.0), ("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-", 24, 4.0)):
+        runs, at = [], 0
+        while at < len(text):
+            end = at
+            while end < len(text) and text[end] in chars:
+                end += 1
+            if end - at >= 20:
+                runs.append((at, end))
+            at = max(end, at + 1)
+        for x, y in runs:
+            gone, seek = set(), x
+            while True:
+                hits = [(text.lower().find(w, seek, y), -k, len(w)) for k, w in enumerate(SAMPLE)]
+                hits = [h for h in hits if h[0] >= 0]
+                if not hits:
+                    break
+                first = min(h[0] for h in hits)
+                size = next(n for a, _, n in sorted(hits, key=lambda h: -h[1]) if a == first)
+                a, b = first, first + size
+                while a > x and a - 1 not in gone and a > first - window and text[a - 1] not in "=/_-":
+                    a -= 1
+                while b < y and b < first + size + window and text[b] not in "=/_-":
+                    b += 1
+                gone |= set(range(a, b))
+                seek = first + size
+            left = [i for i in range(x, y) if i not in gone]
+            pieces = []
+            for i in left:
+                if pieces and pieces[-1][1] == i:
+                    pieces[-1][1] = i + 1
+                else:
+                    pieces.append([i, i + 1])
+            for a, b in pieces:
+                p = text[a:b]
+                if len(p) < 20 or allowed(p):
+                    continue
+                n = min(window, len(p))
+                least = bits * min(1.0, math.log(len(p), window))
+                hot = []
+                for i in range(len(p) - n + 1):
+                    c = Counter(p[i : i + n])
+                    if -sum(v / n * math.log2(v / n) for v in c.values()) >= least - 1e-10:
+                        if hot and a + i <= hot[-1][1]:
+                            hot[-1][1] = a + i + n
+                        else:
+                            hot.append([a + i, a + i + n])
+                extra |= {(c, d) for c, d in hot if not any(u <= c and d <= v for u, v, _ in found)}
+    spans = []
+    for a, b in sorted(extra):
+        if spans and a < spans[-1][1]:
+            spans[-1][1] = max(b, spans[-1][1])
+        else:
+            spans.append([a, b])
+    return sorted(found + [(a, b, "entropy") for a, b in spans], key=lambda x: (x[0], s.KINDS.index(x[2])))
+
+
+def test_all_spans_against_brute_force():
+    r, scan = random.Random(11), s.Scanner()
+    some = ["example", "Sample/", "xxxx", "0123456789", "password=", "token: ", "AKIA", "-", "_", "/", "=", " ", "é", "the", "Word", "550e8400-e29b-41d4-a716-446655440000", "deadbeef"]
+    token = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    seen = Counter()
+    for _ in range(3000):
+        parts = []
+        for _ in range(r.randint(1, 7)):
+            parts.append(r.choice([r.choice(some), token("0123456789abcdef", r.randint(1, 40)), token("abcdefghijkABCDEFG0123456789+/", r.randint(1, 45)), token("abcdefgh-", r.randint(1, 30)), "AKIA" + token("ABCDXYZ0123", r.randint(10, 25))]))
+        text = "".join(parts)
+        got = scan(text)
+        assert got == brute(text), text
+        seen.update(k for *_, k in got)
+    assert min(seen[k] for k in s.KINDS) > 50
+
+
+def test_time_is_linear():
+    """Texts that make a backtracking pattern take years."""
+    scan = s.Scanner()
+    began = time.time()
+    for text in ("ab-" * 10_000 + "9", "-".join("abcdefghijklmnopqrstu") + "-v2", "a-" * 500_000 + "Q9", "Ab" * 500_000 + "-9", "x/y_z+" * 150_000 + "7", "xxxx" * 250_000, "ExampleKey" * 100_000, "token" * 200_000, "password= " * 100_000, "AKIA" * 250_000, "9f" * 500_000):
+        scan(text)
+    assert time.time() - began < 60
+    assert scan("ab-" * 10_000 + "cd") == []
+
+
 def test_redact(spark):
     df = frame(spark, [(1, TEXTS[0], "en", "s", 1), (2, None, "en", "s", 1), (3, "clean", "en", "s", 1)])
     out = {x.doc_id: x.text for x in s.redact(df).collect()}
