@@ -1,13 +1,15 @@
 """Harmonic packing of tokenized documents into sequences.
 
-A document's ids are cut where they fit: whole sequences of ``capacity``
-first, then the rest by binary decomposition, so every piece has a length
-``capacity / k`` for a class ``k`` = 1, 2, 4, ...  A bin of class ``k`` takes
-exactly ``k`` pieces and is full.  Each task fills its own bins (no shuffle,
-no state between tasks); the pieces that are left of the classes when a task
-ends, fewer than ``k`` each, go together by falling length, which fills
-sequences exactly as every length divides the longer ones.  The last, unfilled
-one is split at powers of two.  So no sequence needs padding.
+A document is cut into whole sequences of ``capacity`` ids and one rest.  The
+rests fall into reciprocal-capacity classes: class ``k`` has the lengths in
+(capacity / (k + 1), capacity / k].  A bin of class ``k`` takes exactly ``k``
+rests, and each task fills its own bins (no shuffle, no state between tasks).
+As a document may be cut anywhere, the gap that a bin of full count leaves, at
+most capacity / (k + 1) ids, isn't padded: the next document's rest, instead of
+going to its class, is cut to fill it, and what is left of it is a rest like
+any other.  What is left of all classes when a task ends, fewer than ``k`` rests
+each, isn't packed by classes but laid end to end and cut at ``capacity``; the
+last, unfilled sequence is split at powers of two.  So no sequence needs padding.
 
 Null and empty texts have the end id alone.  Repeated rows, equal doc_ids and
 ties are packed one by one.  An empty table gives no rows; further columns of
@@ -20,6 +22,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +31,13 @@ from pyspark.sql import DataFrame
 
 from . import common
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bin_class long"
 ARROW = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
 #: Scripts whose letters, numbers and spaces are the same in every Unicode version since 3.2; a text with others is
 #: left to the tokenizers library as a whole.
 STABLE = "\x00-ȠΑ-ΡΣ-ώА-яঅ-ঌা-ৄ‐-‧ぁ-ゔ一-龥가-힣"
-#: A worker keeps the ids of so many words.
-CACHE = 400_000
+#: A worker keeps the ids of so many words, of so many characters at most.
+CACHE, KEEP = 400_000, 48
 
 
 class Words(dict):
@@ -46,7 +49,7 @@ class Words(dict):
     def __missing__(self, word: str) -> bytes:
         ids = self.single(f" {word}".encode()) if word.isalpha() else self.ordinary(f" {word}")
         ids = np.array(ids, "<u4").tobytes()
-        if len(self) < CACHE:
+        if len(word) <= KEEP and len(self) < CACHE:
             self[word] = ids
         return ids
 
@@ -92,58 +95,94 @@ def encoder(name: str = "byte_bpe_50k") -> Encoder:
     return Encoder(public_tokenizers.path(f"{name}.json"), public_tokenizers.path(f"{name}.tiktoken"), public_tokenizers.PATTERN)
 
 
+@dataclass
+class Piece:
+    """Ids of a document from start on, packed; doc_tokens: how many the document has."""
+
+    doc_id: int | None
+    start: int
+    ids: bytes
+    doc_tokens: int
+
+    def __len__(self) -> int:
+        return len(self.ids) >> 2
+
+    def cut(self, n: int) -> Piece:
+        """The first n ids, which this piece loses."""
+        head = Piece(self.doc_id, self.start, self.ids[: 4 * n], self.doc_tokens)
+        self.start, self.ids = self.start + n, self.ids[4 * n :]
+        return head
+
+
 class Packer:
-    """Bins of one task. Yields (sequence, offset) for pieces in the order given; finish() places what is left."""
+    """Bins of one task. Both methods give the rows of the sequences that are complete."""
 
     def __init__(self, capacity: int, first: int):
-        self.capacity, self.next, self.open = capacity, first, {}
-
-    def sequence(self) -> int:
+        self.capacity, self.next = capacity, first
+        #: Rests that wait, by class; and a bin of full count whose gap the next rest fills, with its class.
+        self.open: dict[int, list[Piece]] = {}
+        self.gap: tuple[int, list[Piece], int] | None = None
+
+    def rows(self, parts: list[Piece], k: int) -> list[tuple]:
+        out, at = [], 0
+        for p in parts:
+            out.append((p.doc_id, p.start, len(p), zlib.crc32(p.ids), p.doc_tokens, self.next, at, k))
+            at += len(p)
         self.next += 1
-        return self.next - 1
-
-    def place(self, length: int, piece: tuple) -> list[tuple]:
-        """The pieces of the bin that this one fills, or none so far."""
-        k = self.capacity // length
-        waiting = self.open.setdefault(length, [])
-        waiting.append(piece)
-        if len(waiting) < k:
-            return []
-        s = self.sequence()
-        self.open[length] = []
-        return [(*p, s, i * length) for i, p in enumerate(waiting)]
+        return out
 
-    def finish(self) -> list[tuple]:
-        rest = [(n, p) for n in sorted(self.open, reverse=True) for p in self.open[n]]
-        left, out, room, size = sum(n for n, _ in rest), [], 0, 0
-        for n, p in rest:
+    def add(self, doc: Piece) -> list[tuple]:
+        """A document: whole sequences go at once, the rest to the gap and then to its class."""
+        out: list[tuple] = []
+        whole = len(doc) // self.capacity * self.capacity
+        for at in range(0, whole, self.capacity):
+            out += self.rows([Piece(doc.doc_id, at, doc.ids[4 * at : 4 * (at + self.capacity)], doc.doc_tokens)], 1)
+        doc = Piece(doc.doc_id, whole, doc.ids[4 * whole :], doc.doc_tokens)
+        if self.gap and len(doc):
+            room, parts, k = self.gap
+            parts.append(doc.cut(min(room, len(doc))))
+            room -= len(parts[-1])
+            self.gap = (room, parts, k) if room else None
+            if not room:
+                out += self.rows(parts, k)
+        if not len(doc):
+            return out
+        k = self.capacity // len(doc)
+        waiting = self.open.setdefault(k, [])
+        waiting.append(doc)
+        if len(waiting) == k:
+            del self.open[k]
+            room = self.capacity - sum(map(len, waiting))
             if not room:
-                # full sequences while enough is left, then the largest powers of two
-                size = room = min(self.capacity, 1 << (left.bit_length() - 1))
-                s = self.sequence()
-            out.append((*p, s, size - room))
-            room -= n
-            left -= n
-        self.open = {}
+                out += self.rows(waiting, k)
+            else:
+                # no gap is open here: this document would have filled it
+                self.gap = (room, waiting, k)
         return out
 
-
-def pieces(n: int, capacity: int) -> list[tuple[int, int]]:
-    """(start, length) of a document of n ids."""
-    full, rest = divmod(n, capacity)
-    out, at = [(i * capacity, capacity) for i in range(full)], full * capacity
-    size = capacity >> 1
-    while rest:
-        if rest & size:
-            out.append((at, size))
-            at += size
-            rest -= size
-        size >>= 1
-    return out
+    def finish(self) -> list[tuple]:
+        """What is left, end to end, the longest first; bin_class 0."""
+        rest = [p for k in sorted(self.open) for p in self.open[k]] + (self.gap[1] if self.gap else [])
+        left, out = sum(map(len, rest)), []
+        parts: list[Piece] = []
+        room = 0
+        for p in rest:
+            while len(p):
+                if not room:
+                    # full sequences while enough is left, then the largest powers of two
+                    room = min(self.capacity, 1 << (left.bit_length() - 1))
+                parts.append(p.cut(min(room, len(p))))
+                room -= len(parts[-1])
+                left -= len(parts[-1])
+                if not room:
+                    out += self.rows(parts, 0)
+                    parts = []
+        self.open, self.gap = {}, None
+        return out
 
 
 def harmonic_pack(docs: DataFrame, capacity: int = 1024, tokenizer: str = "byte_bpe_50k", end_id: int = 0) -> DataFrame:
-    """One row per piece of every document; capacity is a power of two."""
+    """One row per piece of every document; capacity is a power of two. bin_class: the class of the piece's sequence, 0 if it is of a task's leftovers."""
     if capacity < 1 or capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
 
@@ -158,9 +197,7 @@ def harmonic_pack(docs: DataFrame, capacity: int = 1024, tokenizer: str = "byte_
             found = []
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 ids = encode(text or "") + end
-                n = len(ids) >> 2
-                for start, length in pieces(n, capacity):
-                    found += packer.place(length, (doc_id, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n))
+                found += packer.add(Piece(doc_id, 0, ids, len(ids) >> 2))
             if found:
                 yield rows(found)
         yield rows(packer.finish())
