@@ -2,37 +2,37 @@
 
 A text's canonical form is its NFKC form, case-folded, NFKC again, with white
 space folded to single spaces.  Its fingerprint is the 128-bit XXH3 of that
-form in hexadecimal.  Two texts are alike (1.0) if their fingerprints agree and
-the bytes of their canonical forms do, else not (0.0).
+form in hexadecimal.  Rows group by fingerprint, and inside equal buckets by the
+forms' bytes.  Two texts are alike (1.0) if their fingerprints agree and the
+bytes of their canonical forms do, else not (0.0).
 
 Null texts count as empty and all empty or white texts are alike.  Rows that
-repeat a doc_id are ordered by text; null doc_ids come before all others.  An
+repeat a doc_id are ordered by a hash of text; null doc_ids come before all
+others.  A group's id is the smallest doc_id in it, null if there is none.  An
 empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import unicodedata
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Bytes of text that go to one task when neighbours are brought together.
-BUCKET_BYTES = 8_000_000
+#: Repeated fingerprints (16 bytes each) that are sent to all tasks at most.
+KEYS = 1_000_000
 LOWEST = -(1 << 63)
 
-PAIR_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-PAIR_ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+PAIR_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, form string"
+PAIR_ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("form", pa.string())])
 
 
 def canonical(text: str) -> str:
@@ -65,80 +65,97 @@ def canonical_forms(docs: DataFrame) -> DataFrame:
     return common.map_batches(common.doc_columns(docs), forms, "doc_id long, fingerprint string, canonical string")
 
 
-def canonical_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint, group_id (smallest doc_id of equal canonical forms) and group_size.
+def canonical_groups(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """found with group_id and group_size. found: rows of docs with doc_id, fingerprint and form, the SHA-256 of the canonical form.
 
-    Grouping is by fingerprint and the form's bytes, so forms that share a
-    fingerprint by accident stay apart; counts are pre-aggregated by each task,
-    and the rows of a large group are never brought together.
+    Only texts whose fingerprint occurs twice or more are compared: each task
+    collapses its equal forms by their bytes, and one row of each goes on, so
+    the rows of a large group are never brought together.  Where those
+    fingerprints are too many to be sent to all tasks, all texts are compared.
     """
+    twice = found.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
     forms = canonical_forms(docs)
-    keys = ["fingerprint", "canonical"]
-    groups = forms.groupBy(*keys).agg(F.min("doc_id").alias("group_id"), F.count("*").alias("group_size"))
-    return forms.join(groups, keys).select("doc_id", "fingerprint", "group_id", "group_size")
+    if twice.count() <= KEYS:
+        forms = forms.join(F.broadcast(twice), "fingerprint", "left_semi")
+    groups = forms.groupBy("fingerprint", "canonical").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("group_size"))
+    groups = common.cut(groups.where("group_size > 1").select("fingerprint", F.sha2("canonical", 256).alias("form"), "group_id", "group_size"))
+    out = common.join_counted(found, groups, ["fingerprint", "form"], "group_size")
+    return out.withColumns({"group_id": F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("group_id")), "group_size": F.coalesce("group_size", F.lit(1))})
 
 
-def _firsts(docs: DataFrame, bucket_bytes: int) -> list[int]:
-    """The smallest doc_id of each bucket of neighbours: a few numbers, one for each bucket_bytes of text."""
-    ids = docs.select(F.coalesce("doc_id", F.lit(LOWEST)).alias("i"), F.octet_length("text").alias("n"))
-    n, total, low = ids.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.min("i")).first()
-    if not n:
-        return []
-    buckets = min(n, math.ceil(total / bucket_bytes) or 1)
-    cuts = ids.stat.approxQuantile("i", [k / buckets for k in range(1, buckets)], 0.2 / buckets) if buckets > 1 else []
-    return sorted({low, *(int(x) for x in cuts if x > low)})
+def _row(doc_id: int | None, text: str, this: tuple[str, str], after: str, following: tuple[str, str]) -> tuple:
+    """One result; this and following: canonical form and fingerprint of the text and the next one."""
+    half = len(text) // 2
+    changed = text[: len(text) - half] + after[:half]
+    form = canonical(changed)
+    edited = (form, fingerprint(form))
+    return doc_id, len(text), hashlib.sha256(changed.encode()).hexdigest(), this[1], edited[1], likeness(this, edited), likeness(this, following), hashlib.sha256(this[0].encode()).hexdigest()
 
 
-def edited_pairs(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def _form(text: str) -> tuple[str, str]:
+    form = canonical(text)
+    return form, fingerprint(form)
+
+
+def edited_pairs(docs: DataFrame) -> DataFrame:
     """Each text against its edited text and the next document's, in the order of doc_id (after the last: the first).
 
     The edited text has the last half (rounded down) of the code points
-    replaced by as many first ones of the next document.  Runs of neighbouring
-    doc_ids go to one task each; the rows with a run's smallest doc_id go to the
-    run before as well.  Texts are compressed for the shuffle.
+    replaced by as many first ones of the next document.  Rows are dealt by
+    ranges of doc_id, those of one doc_id by ranges of their texts' hashes and
+    then of places in the input, so that no doc_id fills a task.  A task reads
+    its rows in order and holds one text at a time; the first and the last one of
+    each task, two texts, are matched in a second step.  Adds form, the SHA-256
+    of the canonical form.
     """
     docs = common.doc_columns(docs)
-    firsts = np.array(_firsts(docs, bucket_bytes), np.int64)
-    moved = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("z", pa.binary()), ("copy", pa.bool_())])
+    moved = pa.schema([("i", pa.int64()), ("t", pa.int64()), ("place", pa.int64()), ("doc_id", pa.int64()), ("z", pa.binary())])
+    edge_schema = pa.schema([*PAIR_ARROW, ("part", pa.int32()), ("head", pa.bool_()), ("z", pa.binary())])
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(1).compress
         for b in batches:
-            ids = b.column("doc_id")
-            known = pc.fill_null(ids, LOWEST).to_numpy(zero_copy_only=False)
-            at = np.maximum(np.searchsorted(firsts, known, "right") - 1, 0)
-            z = pa.array(map(pack, common.texts(b)), pa.binary())
-            lead = np.flatnonzero(firsts[at] == known)
-            again = pa.array(lead)
-            yield common.batch(
-                moved,
-                np.concatenate([at, (at[lead] - 1) % len(firsts)]).astype(np.int32),
-                pa.concat_arrays([ids, ids.take(again)]),
-                pa.concat_arrays([z, z.take(again)]),
-                np.arange(len(at) + len(lead)) >= len(at),
-            )
-
-    def pairs(t: pa.Table) -> pa.Table:
+            yield common.batch(moved, b.column("i"), b.column("t"), b.column("place"), b.column("doc_id"), pa.array(map(pack, common.texts(b)), pa.binary()))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack, part, last = zstandard.ZstdDecompressor().decompress, TaskContext.get().partitionId(), None
+        none = (None,) * len(PAIR_ARROW)
+        for b in batches:
+            out: list[tuple] = []
+            for doc_id, z in zip(b.column("doc_id").to_pylist(), b.column("z").to_pylist(), strict=True):
+                text = unpack(z).decode()
+                form = _form(text)
+                if last is None:
+                    out.append((*none, part, True, z))
+                else:
+                    out.append((*_row(*last[:3], text, form), None, None, None))
+                last = (doc_id, text, form, z)
+            if out:
+                yield common.batch(edge_schema, *zip(*out, strict=True))
+        if last is not None:
+            yield common.batch(edge_schema, *([x] for x in (last[0], *none[1:], part, False, last[3])))
+
+    def edge(t: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor().decompress
-        rows = sorted(
-            ((LOWEST if i is None else i, unpack(z).decode(), i, c) for i, z, c in zip(*(t.column(k).to_pylist() for k in ("doc_id", "z", "copy")), strict=True)),
-            key=lambda r: r[:2],
-        )
-        own, copies = [r[1:3] for r in rows if not r[3]], [r[1] for r in rows if r[3]]
-        out: list[tuple] = []
-        form = canonical(own[0][0]) if own else ""
-        this = (form, fingerprint(form))
-        for k, (text, doc_id) in enumerate(own):
-            after = own[k + 1][0] if k + 1 < len(own) else copies[0]
-            half = len(text) // 2
-            changed = text[: len(text) - half] + after[:half]
-            form = canonical(changed)
-            edited = (form, fingerprint(form))
-            form = canonical(after)
-            following = (form, fingerprint(form))
-            out.append((doc_id, len(text), hashlib.sha256(changed.encode()).hexdigest(), this[1], edited[1], likeness(this, edited), likeness(this, following)))
-            this = following
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 7, PAIR_ARROW, strict=True)], schema=PAIR_ARROW)
-
-    dealt = common.map_batches(docs, deal, "bucket int, doc_id long, z binary, copy boolean")
-    return dealt.groupBy("bucket").applyInArrow(pairs, PAIR_SCHEMA)
+        rows = {h: (i, unpack(z).decode()) for i, h, z in zip(*(t.column(c).to_pylist() for c in ("doc_id", "head", "z")), strict=True)}
+        (doc_id, text), (_, after) = rows[False], rows[True]
+        out = _row(doc_id, text, _form(text), after, _form(after))
+        return pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip(out, PAIR_ARROW, strict=True)], schema=PAIR_ARROW)
+
+    keyed = docs.select(F.coalesce("doc_id", F.lit(LOWEST)).alias("i"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), F.monotonically_increasing_id().alias("place"), "doc_id", "text")
+    dealt = common.map_batches(keyed, squeeze, "i long, t long, place long, doc_id long, z binary").repartitionByRange("i", "t", "place").sortWithinPartitions("i", "t", "place")
+    found = common.cut(dealt.select("doc_id", "z").mapInArrow(pairs, f"{PAIR_SCHEMA}, part int, head boolean, z binary"))
+    # one number for each task that had rows
+    parts = sorted(r.part for r in found.where("head").select("part").collect())
+    whole = found.where("part IS NULL").select(*PAIR_ARROW.names)
+    if not parts:
+        return whole
+    before = docs.sparkSession.createDataFrame(list(zip(parts, parts[-1:] + parts[:-1], strict=True)), "part int, before int")
+    edges = found.where("part IS NOT NULL").join(F.broadcast(before), "part").select(F.when(F.col("head"), F.col("before")).otherwise(F.col("part")).alias("pair"), "doc_id", "head", "z")
+    return whole.union(edges.groupBy("pair").applyInArrow(edge, PAIR_SCHEMA))
+
+
+def digests(docs: DataFrame) -> DataFrame:
+    """edited_pairs, and the group of every row by canonical form."""
+    found = common.cut(edited_pairs(docs))
+    return canonical_groups(docs, found).drop("form")

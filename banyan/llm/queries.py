@@ -32,7 +32,7 @@ def op3_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest.edited_pairs(table(spark, sf_dir, "documents"))
+    return digest.digests(table(spark, sf_dir, "documents"))
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

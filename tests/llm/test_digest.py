@@ -1,27 +1,60 @@
 import hashlib
 from collections import Counter
 
+import xxhash
 from cases import frame, rows
+from pyspark.sql import functions as F
 
 from banyan.llm import digest
 
 
+def signed(h):
+    return h - (1 << 64) if h >> 63 else h
+
+
 def brute(data):
-    order = sorted(((-(2**63) if i is None else i, t or "", i) for i, t, *_ in data), key=lambda x: x[:2])
-    for k, (_, text, i) in enumerate(order):
-        after = order[(k + 1) % len(order)][1]
+    """Rows in the order of doc_id, then of the text's hash; and groups by the canonical form itself."""
+    order = sorted(((-(2**63) if i is None else i, signed(xxhash.xxh64_intdigest((t or "").encode(), 42)), t or "", i) for i, t, *_ in data), key=lambda x: x[:2])
+    size, least = Counter(), {}
+    for _, _, t, i in order:
+        f = digest.canonical(t)
+        size[f] += 1
+        if i is not None:
+            least[f] = min(least.get(f, i), i)
+    for k, (_, _, text, i) in enumerate(order):
+        after = order[(k + 1) % len(order)][2]
         half = len(text) // 2
         changed = text[: len(text) - half] + after[:half]
         f = [digest.canonical(x) for x in (text, changed, after)]
-        yield i, len(text), hashlib.sha256(changed.encode()).hexdigest(), digest.fingerprint(f[0]), digest.fingerprint(f[1]), float(f[0] == f[1]), float(f[0] == f[2])
+        yield i, len(text), hashlib.sha256(changed.encode()).hexdigest(), digest.fingerprint(f[0]), digest.fingerprint(f[1]), float(f[0] == f[1]), float(f[0] == f[2]), least.get(f[0]), size[f[0]]
+
 
+COLUMNS = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "group_id", "group_size")
 
-def test_edited_pairs(spark):
-    for size in (10**9, 700, 1):
-        assert Counter(map(tuple, digest.edited_pairs(frame(spark), size).collect())) == Counter(brute(rows()))
-    assert digest.edited_pairs(frame(spark, [])).collect() == []
+
+def result(df):
+    return Counter(map(tuple, df.select(*COLUMNS).collect()))
+
+
+def test_digests(spark, monkeypatch):
+    # one doc_id, and one text, of a third of all rows
+    hot = rows() + [(None, rows()[7][1], "en", "s", 1)] * 12 + [(4, f"text {k % 9}", "en", "s", 1) for k in range(20)]
+    want = Counter(brute(hot))
+    assert result(digest.digests(frame(spark, hot))) == want
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "90")
+    try:
+        df = digest.edited_pairs(frame(spark, hot))
+        assert result(digest.digests(frame(spark, hot))) == want
+        monkeypatch.setattr(digest, "KEYS", 0)
+        assert result(digest.digests(frame(spark, hot))) == want
+        assert df.count() == len(hot)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert digest.digests(frame(spark, [])).collect() == []
     one = [(5, "Abcd", "en", "s", 4)]
-    assert Counter(map(tuple, digest.edited_pairs(frame(spark, one)).collect())) == Counter(brute(one))
+    assert result(digest.digests(frame(spark, one))) == Counter(brute(one))
 
 
 def test_canonical():
@@ -31,12 +64,14 @@ def test_canonical():
 
 
 def test_groups_compare_bytes(spark, monkeypatch):
-    got = digest.canonical_groups(frame(spark)).collect()
-    least, size = {}, Counter()
-    for i, t, *_ in rows():
-        f = digest.canonical(t or "")
-        size[f] += 1
-        if i is not None:
-            least[f] = min(least.get(f, i), i)
-    assert Counter((x.doc_id, x.group_id, x.group_size) for x in got) == Counter((i, least.get(digest.canonical(t or "")), size[digest.canonical(t or "")]) for i, t, *_ in rows())
+    """Where fingerprints agree by accident, the forms' bytes keep texts apart."""
+    monkeypatch.setattr(digest, "fingerprint", lambda form: "same")
+    data = [(1, "a"), (2, "A "), (3, "b"), (4, "c"), (5, "B"), (None, "b")]
+    df = frame(spark, [(i, t, "en", "s", 1) for i, t in data])
+    forms = {i: digest.canonical(t) for i, t in data}
+    found = spark.createDataFrame([(i, "same", hashlib.sha256(f.encode()).hexdigest()) for i, f in forms.items()], "doc_id long, fingerprint string, form string")
+    same = df.select("doc_id", F.lit("same").alias("fingerprint"), F.lower(F.trim("text")).alias("canonical"))
+    monkeypatch.setattr(digest, "canonical_forms", lambda docs: same)
+    got = {x.doc_id: (x.group_id, x.group_size) for x in digest.canonical_groups(df, found).collect()}
+    assert got == {1: (1, 2), 2: (1, 2), 3: (3, 3), 4: (4, 1), 5: (3, 3), None: (3, 3)}
     assert digest.likeness(("a", "x"), ("b", "x")) == 0.0
