@@ -12,6 +12,12 @@ what it links, never its pairs; equal fingerprints are collapsed before.  The
 forests join to components by alternating star steps, written to the shared
 folder after each step.
 
+Leaves grow with the number of fingerprints up to ``LEAVES``.  A leaf with more
+than ``HOT`` homes, as when many fingerprints share a half, is split again by a
+tree over all 64 bits of its own homes.  Joins by fingerprint or by component
+send keys of many rows to all tasks, so a large group of copies or a large
+component fills none.
+
 Null texts count as empty; texts without words have fingerprint zero, which
 links like any other.  Rows with a null doc_id get the component of their
 fingerprint, null if no doc_id is in it.  Repeated rows and ties share a
@@ -34,14 +40,19 @@ from . import common
 RADIUS = 3
 #: Fingerprints that a leaf of the shared trees should have.
 LEAF = 1024
-#: The trees are fitted on so many sampled fingerprints at most, and have so many leaves at most.
-SAMPLE, LEAVES = 65_536, 4096
+#: The trees have so many leaves at most, and are fitted on so many sampled fingerprints for each leaf, or on LEAST: 8 MB at most.
+LEAVES, EACH, LEAST = 65_536, 16, 65_536
+#: Homes of a leaf that is split again.
+HOT = 65_536
 #: Homes that a shard holds against all its visitors at once.
 BRUTE = 1024
+#: Fingerprints that a task sends through the trees at once.
+ROUTED = 16_384
 
 FINGERPRINT_SCHEMA = "doc_id long, fp long, t long"
 #: One entry of the tables below: masks of the two halves.
 HALVES = (np.uint64(0xFFFFFFFF00000000), np.uint64(0x00000000FFFFFFFF))
+ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def fingerprint(text: bytes) -> int:
@@ -169,37 +180,102 @@ def forest(homes: np.ndarray, visitors: np.ndarray, radius: int) -> tuple[np.nda
     return visitors[child], visitors[roots[child]]
 
 
-def hamming_links(fps: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame:
-    """u, v: links that connect exactly what is connected by pairs within radius. fps: distinct values fp."""
-    spark = fps.sparkSession
-    n = fps.count()
+def _sample(fps: DataFrame, share: float) -> DataFrame:
+    """r and fp of about such a share of the rows: the lowest of a hash, so the same whatever the partitions are."""
+    highest = min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, share)))
+    return fps.select("*", F.xxhash64("fp", F.lit(7)).alias("r")).where(F.col("r") <= highest)
+
+
+def _values(column: pa.ChunkedArray) -> np.ndarray:
+    return column.to_numpy().astype(np.int64).view(np.uint64)
+
+
+def _trees(fps: DataFrame, n: int, leaf: int) -> list[Tree]:
+    """A tree over each half of the bits."""
     wanted = max(1, min(LEAVES, n // leaf))
-    # a sample that doesn't depend on the partitions: the lowest of a hash
-    highest = min(2**63 - 1, -(2**63) + (2**64 * 2 * SAMPLE) // max(n, 1))
-    ranked = fps.select("fp", F.xxhash64("fp", F.lit(7)).alias("r")).where(F.col("r") <= highest)
-    sample = np.array([x.fp for x in ranked.orderBy("r", "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64) if wanted > 1 else np.zeros(0, np.uint64)
+    size = max(LEAST, EACH * wanted)
+    sample = _values(_sample(fps, 2 * size / max(n, 1)).orderBy("r", "fp").limit(size).select("fp").toArrow().column("fp")) if wanted > 1 else np.zeros(0, np.uint64)
     trees, first = [], 0
     for mask in HALVES:
         trees.append(Tree(sample, mask, wanted, first))
         first += trees[-1].leaves
+    return trees
+
+
+def _homes(fps: DataFrame, trees: list[Tree], columns: str, schema: pa.Schema, among: set[int] | None = None) -> DataFrame:
+    """The home leaf of each fingerprint in each tree: with the fingerprint if leaves are given, else counted by task."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(trees[-1].first + trees[-1].leaves, np.int64)
+        for b in batches:
+            x = b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            for t in trees if len(x) else ():
+                i, leaf_of, _ = t.route(x, 0)
+                if among is None:
+                    counts += np.bincount(leaf_of, minlength=len(counts))
+                else:
+                    own = np.isin(leaf_of, list(among))
+                    yield common.batch(schema, leaf_of[own], x[i[own]].view(np.int64))
+        if among is None:
+            at = np.flatnonzero(counts)
+            yield common.batch(schema, at.astype(np.int32), counts[at])
+
+    return fps.mapInArrow(f, columns)
+
+
+def _split(fps: DataFrame, trees: list[Tree], leaf: int) -> dict[int, Tree]:
+    """For each leaf with more than HOT homes, a tree over all bits of those; at most LEAVES further leaves in all."""
+    counted = _homes(fps, trees, "leaf int, n long", pa.schema([("leaf", pa.int32()), ("n", pa.int64())])).groupBy("leaf").agg(F.sum("n").alias("n"))
+    # two numbers for each leaf at most
+    hot = {r.leaf: r.n for r in counted.where(F.col("n") > HOT).collect()}
+    if not hot:
+        return {}
+    wanted = {k: max(2, min(n // leaf, LEAVES // len(hot))) for k, n in hot.items()}
+    share = max(2 * EACH * wanted[k] / n for k, n in hot.items())
+    found = _homes(_sample(fps, share).select("fp"), trees, "leaf int, fp long", pa.schema([("leaf", pa.int32()), ("fp", pa.int64())]), set(hot)).orderBy("leaf", F.xxhash64("fp", F.lit(7))).toArrow()
+    leaf_of, fp = found.column("leaf").to_numpy(), _values(found.column("fp"))
+    out, first = {}, trees[-1].first + trees[-1].leaves
+    for k in sorted(hot):
+        out[k] = Tree(fp[leaf_of == k][: EACH * wanted[k]], ALL, wanted[k], first)
+        first += out[k].leaves
+    return out
+
+
+def hamming_links(fps: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame:
+    """u, v: links that connect exactly what is connected by pairs within radius. fps: distinct values fp."""
+    common.bounded_batches(fps.sparkSession)
+    trees = _trees(fps, fps.count(), leaf)
+    split = _split(fps, trees, leaf)
     routed_schema = pa.schema([("leaf", pa.int32()), ("fp", pa.int64()), ("home", pa.bool_())])
     link_schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
+    def routed(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for t in trees:
+            i, leaf_of, home = t.route(x, radius // 2)
+            again = np.isin(leaf_of, list(split))
+            for k in np.unique(leaf_of[again]).tolist():
+                at = np.flatnonzero(leaf_of == k)
+                j, part, own = split[k].route(x[i[at]], radius)
+                yield common.batch(routed_schema, part, x[i[at[j]]].view(np.int64), home[at[j]] & own)
+            yield common.batch(routed_schema, leaf_of[~again], x[i[~again]].view(np.int64), home[~again])
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in batches:
-            x = b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            for t in trees if len(x) else ():
-                i, leaf_of, home = t.route(x, radius // 2)
-                yield common.batch(routed_schema, leaf_of, x[i].view(np.int64), home)
+            held.append(b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64))
+            size += len(held[-1])
+            if size >= ROUTED:
+                yield from routed(np.concatenate(held))
+                held, size = [], 0
+        if size:
+            yield from routed(np.concatenate(held))
 
     def shard(t: pa.Table) -> pa.Table:
         x = t.column("fp").to_numpy().view(np.uint64)
         child, root = forest(x[t.column("home").to_numpy(zero_copy_only=False)], x, radius)
         return pa.Table.from_arrays([pa.array(a.view(np.int64)) for a in (child, root)], schema=link_schema)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16384")
-    routed = fps.mapInArrow(route, "leaf int, fp long, home boolean")
-    return routed.groupBy("leaf").applyInArrow(shard, "u long, v long")
+    return fps.mapInArrow(route, "leaf int, fp long, home boolean").groupBy("leaf").applyInArrow(shard, "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -211,42 +287,45 @@ def components(edges: DataFrame) -> DataFrame:
         if seen == mark or not seen[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark = seen
+        # seen[0] links: no star has more, and stars of many go to all tasks
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"))
+        up = e.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        large = common.join_counted(up, low, ["u"], "n", "inner", seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = common.join_counted(large, low, ["u"], "n", "inner", seen[0]).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         last, e = e, common.cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())
         common.drop(last)
 
 
-def least_of_components(fps: DataFrame, radius: int, **values: Column) -> DataFrame:
-    """fp of every fingerprint, and the least of each of the values in all rows that its links reach; null if there is none."""
+def least_of_components(fps: DataFrame, radius: int, value: Column) -> DataFrame:
+    """fp and n of every fingerprint: its rows; and least: the least value in all rows that its links reach, null if there is none."""
     # the least of each fingerprint collapses equal texts before anything is joined
-    each = common.cut(fps.groupBy("fp").agg(*[F.min(v).alias(k) for k, v in values.items()]))
+    each = common.cut(fps.groupBy("fp").agg(F.count("*").alias("n"), F.min(value).alias("least")))
     found = components(hamming_links(each.select("fp"), radius))
     of = found.select(F.col("node").alias("fp"), "root").union(found.select(F.col("root").alias("fp"), "root").distinct())
-    named = of.join(each, "fp")
-    least = named.groupBy("root").agg(*[F.min(k).alias(f"least_{k}") for k in values])
-    linked = named.join(least, "root").select("fp", *[f"least_{k}" for k in values])
-    return each.join(linked, "fp", "left").select("fp", *[F.coalesce(f"least_{k}", k).alias(k) for k in values])
+    named = common.cut(of.join(each, "fp"))
+    least = named.groupBy("root").agg(F.min("least").alias("all"), F.count("*").alias("m"))
+    linked = common.join_counted(named, least, ["root"], "m").select("fp", "all")
+    return each.join(linked, "fp", "left").select("fp", "n", F.coalesce("all", "least").alias("least"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id that links reach."""
     fps = common.cut(fingerprints(docs).drop("t"))
-    return fps.join(least_of_components(fps, radius, component_id=F.col("doc_id")), "fp").select("doc_id", "fp", "component_id")
+    least = common.cut(least_of_components(fps, radius, F.col("doc_id")))
+    return common.join_counted(fps, least, ["fp"], "n").select("doc_id", "fp", F.col("least").alias("component_id"))
 
 
 def one_row_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Of each component one row with a doc_id, the one of least doc_id and then least hash of its text, and one without; all columns."""
+    """Of each component one row, all columns: the one of least doc_id, then of least hash of its text; rows without doc_id come last."""
     fps = common.cut(fingerprints(docs))
     no_id = F.col("doc_id").isNull()
-    found = least_of_components(fps, radius, named=F.when(~no_id, F.struct("doc_id", "t")), unnamed=F.when(no_id, F.struct(F.lit(0).cast("long").alias("doc_id"), "t")))
+    found = least_of_components(fps, radius, F.struct(no_id.alias("_n"), F.col("doc_id").alias("_k"), F.col("t").alias("_t")))
     # a doc_id may stand beside different texts: rows are told apart by both
-    keep = found.select(F.explode(F.array(F.struct(F.lit(False).alias("_n"), F.col("named").alias("x")), F.struct(F.lit(True).alias("_n"), F.col("unnamed").alias("x")))).alias("y")).where("y.x IS NOT NULL")
-    keep = keep.select(F.col("y.x.doc_id").alias("_k"), F.col("y._n").alias("_n"), F.col("y.x.t").alias("_t")).distinct()
+    keep = found.select("least.*").distinct().withColumn("_k", F.coalesce("_k", F.lit(0)))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    key = (F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_k"), no_id.alias("_n"), F.xxhash64(F.col("text").cast("string")).alias("_t"))
+    key = (no_id.alias("_n"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_k"), F.xxhash64(F.col("text").cast("string")).alias("_t"))
+    # of rows that agree in both, the one of least hash: each task passes one of them on
     rows = docs.groupBy(*key).agg(F.min_by(row, F.xxhash64(row)).alias("_row"))
-    return rows.join(keep, ["_k", "_n", "_t"], "left_semi").select("_row.*")
+    return rows.join(keep, ["_n", "_k", "_t"], "left_semi").select("_row.*")

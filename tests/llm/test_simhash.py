@@ -5,7 +5,7 @@ import numpy as np
 import xxhash
 from cases import frame, rows
 
-from banyan.llm import simhash
+from banyan.llm import common, simhash
 
 
 def brute_fingerprint(text):
@@ -56,13 +56,10 @@ def near_values(seed, n):
     return sorted(out)
 
 
-def test_trees_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "BRUTE", 8)
-    values = near_values(1, 900)
+def check_links(spark, values, leaf):
     signed = [int(np.uint64(x).view(np.int64)) for x in values]
     fps = spark.createDataFrame([(x,) for x in signed], "fp long")
-    links = simhash.hamming_links(fps, leaf=16)
-    found = {x.node: x.root for x in simhash.components(links).collect()}
+    found = {x.node: x.root for x in simhash.components(simhash.hamming_links(fps, leaf=leaf)).collect()}
     roots = brute_components(values)
     least = {}
     for v, r in zip(signed, roots, strict=True):
@@ -70,6 +67,35 @@ def test_trees_lose_no_link(spark, monkeypatch):
     assert [found.get(v, v) for v in signed] == [least[r] for r in roots]
 
 
+def test_trees_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BRUTE", 8)
+    check_links(spark, near_values(1, 900), 16)
+
+
+def test_hot_leaves_split_and_lose_no_link(spark, monkeypatch):
+    """Half of all fingerprints share their upper half, so no tree over that half parts them."""
+    monkeypatch.setattr(simhash, "BRUTE", 8)
+    monkeypatch.setattr(simhash, "HOT", 40)
+    monkeypatch.setattr(simhash, "ROUTED", 100)
+    values = sorted({*near_values(4, 400), *(x & 0xFFFFFFFF | 0xABCDEF01 << 32 for x in near_values(5, 400))})
+    fps = spark.createDataFrame([(int(np.uint64(x).view(np.int64)),) for x in values], "fp long")
+    trees = simhash._trees(fps, len(values), 16)
+    split = simhash._split(fps, trees, 16)
+    assert split and max(t.leaves for t in split.values()) > 4
+    check_links(spark, values, 16)
+
+
+def test_large_stars_and_groups(spark, monkeypatch):
+    """One component, and one fingerprint, of most rows: their joins go by broadcast."""
+    edges = [(0, k) for k in range(1, 400)] + [(1000 + k, 1001 + k) for k in range(60)]
+    monkeypatch.setattr(common, "SHARE", 8)
+    got = {x.node: x.root for x in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {k: 0 for k in range(1, 400)} | {1001 + k: 1000 for k in range(60)}
+    data = [(k, "the same text of many documents here", "en", "s", 1) for k in range(60)] + [(100 + k, f"{k} other words {k * k} stand in document {k}", "en", "s", 1) for k in range(20)]
+    got = {x.doc_id: x.component_id for x in simhash.near_duplicates(frame(spark, data)).collect()}
+    assert {got[k] for k in range(60)} == {0} and len(got) == 80
+
+
 def test_local_search_is_exact():
     x = np.array(near_values(2, 1500), np.uint64)
     homes = x[::2]
