@@ -1,24 +1,34 @@
 """Suffix-array dedup: bytes covered by long strings that occur twice or more.
 
-Whole documents would need as many rounds as the longest one has bytes, each
-over all that went before.  So the collection is cut into short columns first,
-so that no repeated string is lost:
-
-1. Each window of ``length`` bytes has one anchor, the leftmost 32-gram of least
-   hash in it; equal windows have it at the same place.  The windows of one
-   anchor form a segment.  Only anchors whose hash occurs twice or more matter.
-2. Segments are aligned at their anchors and collapsed if they are equal.
-   A shard holds all segments of its anchors.
-3. In a shard, the column-wise construction inserts one symbol of every segment
-   a round, from the last column to the first.  It keeps the collection's order
-   by suffix (a stable sort of the last order by anchor and symbol: the
-   Burrows-Wheeler step) and the common prefixes of neighbours (one more than
-   the least prefix between them before).  As equal windows start in the same
-   column, only the newest column's part of the transform takes part in a
-   round; older ones are final.  Columns are kept in one external file that is
-   written and read in sequence, so memory holds a few numbers a segment.
-4. A window is repeated if its common prefix with a neighbour reaches
-   ``length``, or if its segment occurs more than once.
+The method inserts one symbol of each document a round.  Whole documents would
+need as many rounds as the longest one has bytes, each over all that went
+before.  So three things differ from it, and none loses a repeated string:
+
+1. Not documents but segments are inserted.  Each window of ``length`` bytes has
+   one anchor, the leftmost 32-gram of least hash in it; equal windows have it
+   at the same place.  The windows of one anchor form a segment, which is
+   aligned at its anchor.  Only anchors whose hash occurs twice or more matter.
+2. Wholly equal segments, such as those of exact copies, are collapsed by their
+   bytes before anything is inserted; all their windows are repeated.
+3. The transform itself isn't kept, only its newest column.  In a shard, the
+   construction inserts one symbol of every segment a round, from the last
+   column to the first.  It keeps the collection's order by suffix (a stable
+   sort of the last order by anchor and symbol: the Burrows-Wheeler step) and
+   the common prefixes of neighbours (one more than the least prefix between
+   them before).  As equal windows start in the same column, older columns are
+   final and needn't be looked up again.  The symbols come in sequence, column by
+   column, from one external file.
+
+A window is repeated if its common prefix with a neighbour reaches ``length``,
+or if its segment occurs more than once.
+
+A shard holds all segments of its anchors, ``SHARD_BYTES`` of them or one anchor's.
+An anchor with more bytes than ``HOT_BYTES``, as a phrase that stands in very
+many contexts has, is split: equal windows have the anchor at the same place, so
+windows in whose first half it stands and those in whose second half it stands
+are separate, and each half groups by the longer string around the anchor that
+all its windows have.  This repeats until no group is too large; in the end the
+string is the window.  Joins send what very many rows share to all tasks.
 
 Null texts count as empty.  Texts under ``length`` bytes lose nothing.  Rows that
 repeat a doc_id are documents of their own; so are wholly equal rows, which are
@@ -46,6 +56,8 @@ LENGTH = 200
 GRAM = 32
 #: Bytes of distinct segments that a shard should have.
 SHARD_BYTES = 4_000_000
+#: Bytes of distinct segments of an anchor that is split, or one in so many of all bytes.
+HOT_BYTES, HOT_SHARE = 16_000_000, 1 << 20
 LOWEST = -(1 << 63)
 #: Odd multipliers of the rolling hash: fixed, as equal texts must get equal anchors in all tasks.
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -186,9 +198,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             n = [len(x) for x in each]
             yield common.batch(anchor_schema, np.concatenate(each) if each else [], np.repeat(b.column("k").to_numpy(), n), np.repeat(b.column("t").to_numpy(), n))
 
-    found = common.map_batches(keyed, find, "h long, k long, t long")
-    twice = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    wanted = found.join(twice, "h").groupBy("k", "t").agg(F.collect_set("h").alias("hs"))
+    found = common.cut(common.map_batches(keyed, find, "h long, k long, t long"))
+    twice = common.cut(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+    wanted = common.join_counted(found, twice, ["h"], "n", "inner", found.count()).groupBy("k", "t").agg(F.collect_set("h").alias("hs"))
 
     segment_schema = pa.schema([("h", pa.int64()), ("off", pa.int32()), ("seg", pa.binary()), ("s1", pa.int64()), ("s2", pa.int64()), ("k", pa.int64()), ("t", pa.int64()), ("at", pa.list_(pa.int32()))])
 
@@ -199,17 +211,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             for k, t, z, hs in zip(*(b.column(c) for c in ("k", "t", "z", "hs")), strict=True):
                 k, t, text = k.as_py(), t.as_py(), unpack(z.as_py())
                 h, place, first, last = anchors(np.frombuffer(text, np.uint8), length)
-                own_rows: dict[bytes, tuple] = {}
+                own_rows: dict[tuple[int, int], tuple] = {}
                 for i in np.flatnonzero(np.isin(h, hs.values.to_numpy())).tolist():
                     seg = text[first[i] : last[i] + length]
                     own = int(h[i])
                     off = int(place[i] - first[i])
-                    d = xxhash.xxh3_128_digest(seg + own.to_bytes(8, "little", signed=True) + off.to_bytes(4, "little"))
+                    name = _name(seg, own, off)
                     # a segment that a text repeats is one row with all its places
-                    if d in own_rows:
-                        own_rows[d][-1].append(int(first[i]))
+                    if name in own_rows:
+                        own_rows[name][-1].append(int(first[i]))
                     else:
-                        own_rows[d] = (own, off, seg, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), k, t, [int(first[i])])
+                        own_rows[name] = (own, off, seg, *name, k, t, [int(first[i])])
                 rows += own_rows.values()
                 if len(rows) > 20_000:
                     yield common.batch(segment_schema, *zip(*rows, strict=True))
@@ -221,35 +233,103 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     joined = _packed(docs).join(wanted, ["k", "t"])
     segments = common.cut(joined.select("k", "t", "z", "hs").mapInArrow(segment, "h long, off int, seg binary, s1 long, s2 long, k long, t long, at array<int>"))
 
-    distinct = segments.groupBy("h", "off", "seg").agg(F.sum(F.size("at")).alias("n"))
-    total = segments.agg(F.coalesce(F.sum(F.octet_length("seg")), F.lit(0))).first()[0]
-    shards = max(1, -(-total // SHARD_BYTES))
-    hit_schema = pa.schema([("s1", pa.int64()), ("s2", pa.int64()), ("runs", pa.list_(pa.int32()))])
+    common.drop(found)
+    common.drop(twice)
+
+    # an anchor's bytes by the segments' names, so that segments needn't be dealt for it
+    sizes = segments.select("h", "s1", "s2", F.octet_length("seg").alias("b")).distinct().groupBy("h").agg(F.sum("b").alias("b"))
+    distinct = segments.groupBy("h", "off", "seg").agg(F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.sum(F.size("at")).alias("n"))
+    distinct = distinct.select(F.col("h").alias("g"), F.lit(0).alias("lo"), F.lit(length - GRAM).alias("hi"), "off", "seg", "s1", "s2", "n")
+    hits = _counted(_hits(distinct, sizes.select(F.col("h").alias("g"), "b"), length), segments)
+    places = common.join_counted(segments.select("s1", "s2", "k", "t", "at"), hits, ["s1", "s2"], "m", "inner", segments.count())
+    first_of_run = F.sequence(F.lit(0), F.size("runs") - 2, F.lit(2))
+    span = lambda p: F.transform(first_of_run, lambda i: F.struct((p + F.get("runs", i)).alias("a"), (p + F.get("runs", i + 1) + length).alias("b")))
+    spans = places.select("k", "t", F.flatten(F.transform("at", span)).alias("s"))
+    return spans.groupBy("k", "t").agg(F.flatten(F.collect_list("s")).alias("spans"))
+
+
+def _name(seg: bytes, group: int, off: int) -> tuple[int, int]:
+    """128 bits for a segment of a group, with its anchor at off."""
+    d = xxhash.xxh3_128_digest(seg + group.to_bytes(8, "little", signed=True) + off.to_bytes(4, "little"))
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
+def _counted(hits: DataFrame, rows: DataFrame) -> DataFrame:
+    """hits, cut, with m, the number of rows of each name."""
+    hits = common.cut(hits)
+    n = rows.groupBy("s1", "s2").agg(F.count("*").alias("m"))
+    return common.cut(hits.join(n, ["s1", "s2"]))
+
+
+def _hits(pieces: DataFrame, sizes: DataFrame, length: int) -> DataFrame:
+    """s1, s2 and runs of windows' starts (first, last, first, ...) for the pieces with repeated windows; a name may come twice.
+
+    pieces: distinct segments (off, seg) of groups g, n of each, in whose windows
+    the anchor stands lo to hi bytes from the start.  sizes: b, the bytes of each g.
+    """
+    sizes = common.cut(sizes)
+    total = sizes.agg(F.coalesce(F.sum("b"), F.lit(0))).first()[0]
+    # fewer than HOT_SHARE
+    hot = sizes.where(F.col("b") > F.lit(max(HOT_BYTES, total // HOT_SHARE))).select("g")
+    some = hot.count()
+    cold = pieces.join(F.broadcast(hot), "g", "left_anti").union(pieces.where("lo = hi").join(F.broadcast(hot), "g", "left_semi").select(pieces.columns)) if some else pieces
+    found = _sharded(cold, max(1, -(-total // SHARD_BYTES)), length)
+    if not some:
+        return found
+    parts = common.cut(_halves(pieces.where("lo < hi").join(F.broadcast(hot), "g", "left_semi"), length))
+    distinct = common.cut(parts.groupBy("g", "lo", "hi", "off", "seg").agg(F.first("c1").alias("s1"), F.first("c2").alias("s2"), F.sum("n").alias("n")).select(pieces.columns))
+    below = _counted(_hits(distinct, distinct.groupBy("g").agg(F.sum(F.octet_length("seg")).alias("b")), length), parts.select(F.col("c1").alias("s1"), F.col("c2").alias("s2")))
+    of = parts.select(F.col("s1").alias("p1"), F.col("s2").alias("p2"), F.col("c1").alias("s1"), F.col("c2").alias("s2"), "shift")
+    own = common.join_counted(of, below, ["s1", "s2"], "m", "inner")
+    return found.union(own.select(F.col("p1").alias("s1"), F.col("p2").alias("s2"), F.transform("runs", lambda x: x + F.col("shift")).alias("runs")))
+
+
+def _halves(pieces: DataFrame, length: int) -> DataFrame:
+    """The two parts of each piece, named c1 and c2, that start shift bytes later: windows with the anchor in the first and in the second half of lo to hi."""
+    schema = pa.schema([("s1", pa.int64()), ("s2", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("shift", pa.int32()), ("g", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("off", pa.int32()), ("seg", pa.binary()), ("n", pa.int64())])
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for s1, s2, lo, hi, off, seg, n in zip(*(b.column(c).to_pylist() for c in ("s1", "s2", "lo", "hi", "off", "seg", "n")), strict=True):
+                middle, starts = (lo + hi) // 2, len(seg) - length
+                for x, y in ((lo, middle), (middle + 1, hi)):
+                    a, z = max(0, off - y), min(starts, off - x)
+                    if a > z:
+                        continue
+                    # all windows with the anchor x to y bytes from their start have these bytes
+                    group = xxhash.xxh64_intdigest(seg[off - x : off - y + length], x << 16 | y) - (1 << 63)
+                    part = seg[a : z + length]
+                    rows.append((s1, s2, *_name(part, group, off - a), a, group, x, y, off - a, part, n))
+            if rows:
+                yield common.batch(schema, *zip(*rows, strict=True))
+
+    return common.map_batches(pieces, f, "s1 long, s2 long, c1 long, c2 long, shift int, g long, lo int, hi int, off int, seg binary, n long")
+
+
+def _sharded(pieces: DataFrame, shards: int, length: int) -> DataFrame:
+    """_hits of pieces none of whose groups is too large for a task."""
+    schema = pa.schema([("s1", pa.int64()), ("s2", pa.int64()), ("runs", pa.list_(pa.int32()))])
 
     def shard(table: pa.Table) -> pa.Table:
-        h, off = table.column("h").to_numpy(), table.column("off").to_numpy().astype(np.int64)
+        g, off = table.column("g").to_numpy(), table.column("off").to_numpy().astype(np.int64)
         segs, n = table.column("seg").to_pylist(), table.column("n").to_numpy()
         # an anchor with one segment has no other to be held against
-        _, inverse, sizes = np.unique(h, return_inverse=True, return_counts=True)
+        _, inverse, sizes = np.unique(g, return_inverse=True, return_counts=True)
         among = np.flatnonzero(sizes[inverse] > 1)
         runs: list[list[tuple[int, int]]] = [[] for _ in segs]
         if len(among):
-            for i, r in zip(among.tolist(), repeated_columns(h[among], off[among], [segs[i] for i in among.tolist()], length), strict=True):
+            for i, r in zip(among.tolist(), repeated_columns(g[among], off[among], [segs[i] for i in among.tolist()], length), strict=True):
                 runs[i] = r
         rows = []
-        for i, seg in enumerate(segs):
-            r = [(0, len(seg) - length)] if n[i] > 1 else runs[i]
+        for s1, s2, seg, places, r in zip(table.column("s1").to_pylist(), table.column("s2").to_pylist(), segs, n.tolist(), runs, strict=True):
+            r = [(0, len(seg) - length)] if places > 1 else r
             if r:
-                d = xxhash.xxh3_128_digest(seg + int(h[i]).to_bytes(8, "little", signed=True) + int(off[i]).to_bytes(4, "little"))
-                rows.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), [y for x in r for y in x]))
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 3, hit_schema, strict=True)], schema=hit_schema)
+                rows.append((s1, s2, [y for x in r for y in x]))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 3, schema, strict=True)], schema=schema)
 
-    hits = distinct.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(shard, "s1 long, s2 long, runs array<int>")
-    places = segments.select("s1", "s2", "k", "t", "at").join(hits, ["s1", "s2"])
-    first_of_run = F.sequence(F.lit(0), F.size("runs") - 2, F.lit(2))
-    span = lambda p: F.transform(first_of_run, lambda i: F.struct((p + F.get("runs", i)).alias("a"), (p + F.get("runs", i + 1) + length).alias("b")))
-    spans = places.select("k", "t", F.flatten(F.transform("at", span)).alias("s"))
-    return spans.groupBy("k", "t").agg(F.flatten(F.collect_list("s")).alias("spans"))
+    dealt = pieces.select("g", "off", "seg", "s1", "s2", "n", F.pmod(F.xxhash64("g"), F.lit(shards)).cast("int").alias("shard"))
+    return dealt.groupBy("shard").applyInArrow(shard, "s1 long, s2 long, runs array<int>")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

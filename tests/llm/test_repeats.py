@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 from cases import frame, rows
 
-from banyan.llm import repeats
+from banyan.llm import common, repeats
 
 
 def brute(texts, length):
@@ -79,6 +79,28 @@ def test_report_on_table(spark, sf):
     assert Counter(map(tuple, repeats.removal_report(docs).collect())) == want
 
 
+def test_hot_anchors_split(spark, monkeypatch):
+    """One phrase stands in hundreds of different contexts, some of which repeat in part: its group is split down to single windows."""
+    monkeypatch.setattr(repeats, "HOT_BYTES", 600)
+    monkeypatch.setattr(common, "SHARE", 16)
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    phrase, before, after = word(40), word(150), word(150)
+    data = []
+    for k in range(150):
+        left = before[-r.randint(0, 150) :] if k % 3 == 0 else ""
+        right = after[: r.randint(0, 150)] if k % 4 == 0 else ""
+        data.append((k, word(r.randint(0, 200)) + left + phrase + right + word(r.randint(0, 200)), "en", "s", 1))
+    data += [(900 + k, data[3 * k][1], "en", "s", 1) for k in range(5)] + [(None, data[9][1], "en", "s", 1)] * 30
+    levels = []
+    halves = repeats._halves
+    monkeypatch.setattr(repeats, "_halves", lambda pieces, length: levels.append(1) or halves(pieces, length))
+    for length in (100, 64):
+        got = repeats.removal_report(frame(spark, data), length).collect()
+        assert Counter(map(tuple, got)) == Counter(report_rows(data, length))
+    assert len(levels) > 4
+
+
 def test_remove_keeps_columns_and_characters(spark):
     df = frame(spark)
     out = repeats.remove_repeats(df)
