@@ -29,8 +29,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of linked fingerprints one document: the row of least doc_id, then of least hash of its text.
 
-    Rows are chosen as rows, as a doc_id may stand beside several texts.  Rows
-    without a doc_id are chosen among themselves, one of each component.
+    Rows are chosen as rows, as a doc_id may stand beside several texts; a row
+    without doc_id is chosen where no row of the component has one.
     """
     return documents(simhash.one_row_each(docs))
 
@@ -56,9 +56,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = common.cut(docs)
-    return docs
+    docs = stored = common.table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = common.cut_after(lambda: stage(spark, stored, sf_dir))  # noqa: B023
+        common.drop(stored)
+        stored = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
