@@ -1,16 +1,24 @@
 """Corpus metrics: platform fidelity, BLEU, chrF++ and TER.
 
 Counts are pooled over the corpus before any formula; each row's n-grams are
-counted within the row, so no n-gram is ever shuffled.
+counted within the row, so no n-gram is ever shuffled.  N-grams are counted by
+batch: items are numbered, an n-gram is the number of its first part and of its
+last item, and equal numbers mean equal n-grams.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import scores as S
 from ..functions import text as X
@@ -19,7 +27,7 @@ PFS = ("overall", "emoji_preservation", "verbatim_preservation", "hashtag_count_
 
 
 def fidelity_rows(df: DataFrame, source: str = "source_text", output: str = "translated_text") -> DataFrame:
-    tokens = df.withColumns({"_s": X.tokenize(F.col(source)), "_o": X.tokenize(F.col(output))})
+    tokens = df.withColumns({"_s": X.protected(F.col(source)), "_o": X.protected(F.col(output))})
     return tokens.withColumns(S.fidelity(F.col("_s"), F.col("_o"))).drop("_s", "_o")
 
 
@@ -30,33 +38,64 @@ def fidelity_summary(rows: DataFrame, *keys: str) -> DataFrame:
     return summed.select(*keys, "n_total", F.inline(each))
 
 
-def _numbered(items: Column) -> Column:
-    """items with each repeat, after the first, replaced by a hash of item and repeat number: no two are equal. Runs of a sorted copy tell repeats."""
-
-    def of_runs(s: Column, starts: Column) -> Column:
-        run = lambda a, j: F.slice(s, a + 1, F.coalesce(F.get(starts, j + 1), F.size(s)) - a)
-        return F.flatten(F.transform(starts, lambda a, j: F.transform(run(a, j), lambda x, k: F.when(k == 0, x).otherwise(F.xxhash64(x, k)))))
-
-    starts = lambda s: F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
-    every = lambda x: F.when(F.size(F.array_distinct(x)) == F.size(x), x).otherwise(X.bind(F.sort_array(x), lambda s: X.bind(starts(s), lambda at: of_runs(s, at))))
-    return X.bind(items, every)
-
-
-def _clipped(hyp: Column, ref: Column) -> Column:
-    """Items of hyp that ref has, each at most as often; linear in a text's length but for one sort."""
-    return F.size(F.array_intersect(_numbered(hyp), _numbered(ref))).cast("long")
-
-
-def hashed(items: Column) -> Column:
-    """64-bit hashes, by which n-grams are compared within a pair of texts."""
-    return F.transform(items, lambda x: F.xxhash64(x))
-
-
-def ngrams(hashes: Column, n: int) -> Column:
-    if n == 1:
-        return hashes
-    grams = X.bind(hashes, lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(n)])))
-    return F.when(F.size(hashes) >= n, grams).otherwise(F.array().cast("array<bigint>"))
+def clipped(ids: np.ndarray, owner: np.ndarray, is_ref: np.ndarray, rows: int, orders: int) -> list[np.ndarray]:
+    """By order, each row's n-grams of the hypothesis that the reference has, each at most as often.
+
+    ids: numbers of all items, those of a text together; owner: their row.
+    """
+    out, width = [], max(1, int(ids.max(initial=0)).bit_length())
+    text = owner + rows * is_ref
+    at, gram, bits = np.arange(len(ids)), ids, width
+    for n in range(1, orders + 1):
+        if n > 1:
+            last = at + n - 1
+            inside = last < len(ids)
+            inside[inside] = text[at[inside]] == text[last[inside]]
+            at, gram = at[inside], gram[inside]
+            if bits + width + rows.bit_length() > 62:
+                # numbered anew, so that a gram and a row fit in 64 bits
+                gram = np.unique(gram, return_inverse=True)[1]
+                bits = max(1, int(gram.max(initial=0)).bit_length())
+            gram, bits = gram << width | ids[at + n - 1], bits + width
+        key = owner[at] << bits | gram
+        ref = is_ref[at]
+        (h, nh), (r, nr) = (np.unique(key[x], return_counts=True) for x in (~ref, ref))
+        both, i, j = np.intersect1d(h, r, assume_unique=True, return_indices=True)
+        out.append(np.bincount(both >> bits, np.minimum(nh[i], nr[j]), rows).astype(np.int64))
+    return out
+
+
+def _words(h: pa.Array, r: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, owner and is_ref of two columns of word lists; null counts as empty."""
+    sizes = [pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (h, r)]
+    flat = pa.concat_arrays([x.flatten() for x in (h, r)]).dictionary_encode()
+    return flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([np.repeat(np.arange(len(x)), x) for x in sizes]), np.repeat([False, True], [x.sum() for x in sizes])
+
+
+def _letters(h: pa.Array, r: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of two columns of texts, by code point."""
+    texts = [[t or "" for t in x.to_pylist()] for x in (h, r)]
+    sizes = [np.fromiter(map(len, x), np.int64, len(x)) for x in texts]
+    points = np.frombuffer("".join(map("".join, texts)).encode("utf-32-le"), np.uint32)
+    return np.unique(points, return_inverse=True)[1].astype(np.int64), np.concatenate([np.repeat(np.arange(len(x)), x) for x in sizes]), np.repeat([False, True], [x.sum() for x in sizes])
+
+
+def _counted(rows: DataFrame, keys: tuple[str, ...], parts: dict[str, tuple[str, int]]) -> DataFrame:
+    """keys and, for each part of columns {part}h and {part}r with its kind (words or letters) and orders, lengths h{part}, r{part} and matches m{part}1, ..."""
+    own = rows.select(*keys).schema
+    names = [c for p, (_, n) in parts.items() for c in (f"h{p}", f"r{p}", *(f"m{p}{k}" for k in range(1, n + 1)))]
+    schema = StructType([*own.fields, *(StructField(c, LongType()) for c in names)])
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = [b.column(k) for k in keys]
+            for p, (kind, orders) in parts.items():
+                ids, owner, is_ref = {"words": _words, "letters": _letters}[kind](b.column(f"{p}h"), b.column(f"{p}r"))
+                columns += [pa.array(np.bincount(owner[x], minlength=b.num_rows)) for x in (~is_ref, is_ref)]
+                columns += map(pa.array, clipped(ids, owner, is_ref, b.num_rows, orders))
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, *names])
+
+    return rows.mapInArrow(f, schema)
 
 
 def tokens_13a(text: Column) -> Column:
@@ -71,10 +110,10 @@ def tokens_13a(text: Column) -> Column:
 
 def bleu_counts(df: DataFrame, hypothesis: str, reference: str, *keys: str, tokens=tokens_13a) -> DataFrame:
     """Pooled matches m1-m4, totals t1-t4 and lengths, by keys."""
-    rows = df.select(*keys, hashed(tokens(F.col(hypothesis))).alias("h"), hashed(tokens(F.col(reference))).alias("r"))
-    each = rows.select(*keys, F.size("h").alias("hyp_len"), F.size("r").alias("ref_len"), *[_clipped(ngrams(F.col("h"), n), ngrams(F.col("r"), n)).alias(f"m{n}") for n in range(1, 5)], *[F.greatest(F.lit(0), F.size("h") - n + 1).alias(f"t{n}") for n in range(1, 5)])
-    names = ["hyp_len", "ref_len", *[f"{x}{n}" for x in "mt" for n in range(1, 5)]]
-    return each.groupBy(*keys).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in names])
+    rows = df.select(*keys, tokens(F.col(hypothesis)).alias("_h"), tokens(F.col(reference)).alias("_r"))
+    each = _counted(rows, keys, {"_": ("words", 4)})
+    sums = {"hyp_len": F.col("h_"), "ref_len": F.col("r_")} | {f"m{n}": F.col(f"m_{n}") for n in range(1, 5)} | {f"t{n}": F.greatest(F.lit(0), F.col("h_") - n + 1) for n in range(1, 5)}
+    return each.groupBy(*keys).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(k) for k, c in sums.items()])
 
 
 def bleu(counts: DataFrame) -> DataFrame:
@@ -97,11 +136,12 @@ def _chrf_words(text: Column) -> Column:
 
 def chrf_counts(df: DataFrame, hypothesis: str, reference: str, *keys: str, chars: int = 6, words: int = 2) -> DataFrame:
     """Pooled matches (m), hypothesis (h) and reference (r) n-grams of characters (c1..) and words (w1..)."""
-    letters = lambda c: X.find_all(F.regexp_replace(c, r"(?U)\s+", ""), "(?s).")
-    rows = df.select(*keys, *[hashed(f(F.col(c))).alias(n) for n, f, c in (("ch", letters, hypothesis), ("cr", letters, reference), ("wh", _chrf_words, hypothesis), ("wr", _chrf_words, reference))])
+    letters = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
+    rows = df.select(*keys, *[f(F.col(c)).alias(n) for n, f, c in (("ch", letters, hypothesis), ("cr", letters, reference), ("wh", _chrf_words, hypothesis), ("wr", _chrf_words, reference))])
+    each = _counted(rows, keys, {"c": ("letters", chars), "w": ("words", words)})
     orders = [("c", n) for n in range(1, chars + 1)] + [("w", n) for n in range(1, words + 1)]
-    each = [e for k, n in orders for e in (_clipped(ngrams(F.col(f"{k}h"), n), ngrams(F.col(f"{k}r"), n)).alias(f"m{k}{n}"), *[F.greatest(F.lit(0), F.size(f"{k}{s}") - n + 1).alias(f"{s}{k}{n}") for s in "hr"])]
-    return rows.select(*keys, *each).groupBy(*keys).agg(*[F.sum(f"{p}{k}{n}").alias(f"{p}{k}{n}") for k, n in orders for p in "mhr"])
+    sums = {f"m{k}{n}": F.col(f"m{k}{n}") for k, n in orders} | {f"{s}{k}{n}": F.greatest(F.lit(0), F.col(f"{s}{k}") - n + 1) for k, n in orders for s in "hr"}
+    return each.groupBy(*keys).agg(*[F.sum(c).alias(k) for k, c in sums.items()])
 
 
 def chrf(counts: DataFrame, chars: int = 6, words: int = 2, beta: float = 2.0) -> DataFrame:
@@ -115,40 +155,104 @@ def chrf(counts: DataFrame, chars: int = 6, words: int = 2, beta: float = 2.0) -
     return counts.withColumn("chrf", F.coalesce(F.when(p + r > 0, 100 * (1 + beta**2) * p * r / (beta**2 * p + r)), F.lit(0.0)))
 
 
-def edit_distance(a: list[str], b: list[str]) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
-
-
-def ter_edits(hyp: list[str], ref: list[str], longest: int = 10, farthest: int = 50) -> int:
-    """Edits from hyp to ref with greedy shifts: a run of hyp that stands elsewhere in ref moves there for one edit, while that helps most."""
-    shifts, best = 0, edit_distance(hyp, ref)
-    places: dict[str, list[int]] = {}
-    for j, w in enumerate(ref):
-        places.setdefault(w, []).append(j)
-    while best:
-        options = []
-        for i in range(len(hyp)):
-            for j in places.get(hyp[i], ()):
-                if i == j or abs(i - j) > farthest:
+#: A run that moves has so many words at most, and moves so far; a round weighs so many moves.
+LONGEST, FARTHEST, MOVES = 10, 50, 1000
+#: Cells of an alignment beyond which no moves are sought.
+CELLS = 25_000_000
+
+
+def _table(h: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Edit distances of all heads of h (rows) and r (columns)."""
+    place = np.arange(len(r) + 1, dtype=np.int32)
+    out = np.empty((len(h) + 1, len(r) + 1), np.int32)
+    out[0] = place
+    for i, w in enumerate(h.tolist(), 1):
+        out[i, 0] = i
+        out[i, 1:] = np.minimum(out[i - 1, :-1] + (r != w), out[i - 1, 1:] + 1)
+        out[i] = np.minimum.accumulate(out[i] - place) + place
+    return out
+
+
+def _distances(every: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Edit distance to r of each row, all at once."""
+    place = np.arange(len(r) + 1, dtype=np.int32)
+    d = np.tile(place, (len(every), 1))
+    for i in range(every.shape[1]):
+        new = np.empty_like(d)
+        new[:, 0] = i + 1
+        new[:, 1:] = np.minimum(d[:, :-1] + (every[:, i, None] != r), d[:, 1:] + 1)
+        d = np.minimum.accumulate(new - place, axis=1) + place
+    return d[:, -1]
+
+
+def _aligned(h: np.ndarray, r: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of h and of r that an edit touches, and for each word of r the last word of h up to it on the path."""
+    wrong_h, wrong_r, until = np.zeros(len(h), bool), np.zeros(len(r), bool), np.zeros(len(r), np.int64)
+    i, j = len(h), len(r)
+    while i or j:
+        if i and j and d[i, j] == d[i - 1, j - 1] + (h[i - 1] != r[j - 1]):
+            i, j = i - 1, j - 1
+            wrong_h[i] = wrong_r[j] = h[i] != r[j]
+            until[j] = i
+        elif i and d[i, j] == d[i - 1, j] + 1:
+            i -= 1
+            wrong_h[i] = True
+        else:
+            j -= 1
+            wrong_r[j], until[j] = True, i - 1
+    return wrong_h, wrong_r, until
+
+
+def _moved(h: np.ndarray, start: int, n: int, to: int) -> np.ndarray:
+    """h with n words from start on put behind the first `to` words that stay."""
+    run, rest = h[start : start + n], np.concatenate([h[:start], h[start + n :]])
+    return np.concatenate([rest[:to], run, rest[to:]])
+
+
+def _moves(h: np.ndarray, r: np.ndarray, d: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(start, n, to): runs of h that stand elsewhere in r, where both places have an error, to behind the words aligned before or within that place."""
+    wrong_h, wrong_r, until = _aligned(h, r, d)
+    for start in range(len(h)):
+        low = max(0, start - FARTHEST)
+        for at in (np.flatnonzero(r[low : start + FARTHEST + 1] == h[start]) + low).tolist():
+            n = 0
+            while n < LONGEST and start + n < len(h) and at + n < len(r) and h[start + n] == r[at + n]:
+                n += 1
+                if not wrong_h[start : start + n].any() or not wrong_r[at : at + n].any() or start <= until[at] < start + n:
                     continue
-                n = 0
-                while n < longest and i + n < len(hyp) and j + n < len(ref) and hyp[i + n] == ref[j + n]:
-                    n += 1
-                    rest = hyp[:i] + hyp[i + n :]
-                    moved = rest[:j] + hyp[i : i + n] + rest[j:]
-                    options.append((edit_distance(moved, ref), -n, i, j, moved))
-        if not options or min(options)[0] + 1 >= best:
-            break
-        best, *_, hyp = min(options)
-        shifts += 1
-        if not best:
-            break
-    return shifts + best
+                seen = set()
+                for j in range(at - 1, at + n):
+                    behind = int(until[j]) + 1 if j >= 0 else 0
+                    # within the run itself, it goes as many words to the right
+                    to = behind if behind <= start + n else behind - n
+                    if to != start and to not in seen:
+                        seen.add(to)
+                        yield start, n, to
+
+
+def ter_edits(hyp: list[str], ref: list[str]) -> int:
+    """Edits from hyp to ref: words put in, taken out or changed, and runs of words moved (one edit each), the most helpful first, while one saves an edit.
+
+    Of equal moves the longest, then the leftmost, goes first.  Distances are exact.
+    """
+    number = {w: i for i, w in enumerate(dict.fromkeys([*hyp, *ref]))}
+    h, r = (np.fromiter((number[w] for w in x), np.int64, len(x)) for x in (hyp, ref))
+    if (len(h) + 1) * (len(r) + 1) > CELLS:
+        return int(_distances(h[None, :], r)[0])
+    moves = 0
+    while True:
+        d = _table(h, r)
+        best = int(d[-1, -1])
+        found = list(itertools.islice(_moves(h, r, d), MOVES)) if best else []
+        if not found:
+            return moves + best
+        every = np.stack([_moved(h, *m) for m in found])
+        block = max(1, 4_000_000 // (len(r) + 1))
+        costs = np.concatenate([_distances(every[a : a + block], r) for a in range(0, len(every), block)]).tolist()
+        k = min(range(len(found)), key=lambda i: (costs[i], -found[i][1], found[i][0], found[i][2]))
+        if costs[k] >= best:
+            return moves + best
+        moves, h = moves + 1, every[k]
 
 
 def ter(df: DataFrame, hypothesis: str, reference: str, *keys: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,76 @@ def test_metrics(spark):
     assert [r.t for r in spark.createDataFrame([("It's 3.5, \"ok\" (a-b) 1,000 5-x!",)], "x string").select(F.explode(M.tokens_13a(F.col("x"))).alias("t")).collect()] == ["It's", "3.5", ",", '"', "ok", '"', "(", "a-b", ")", "1,000", "5", "-", "x", "!"]
 
 
+def brute_bleu_and_chrf(pairs, tokens, words):
+    """Both scores by counting lists, straight from their definitions."""
+    import re
+    from collections import Counter
+
+    grams = lambda x, n: Counter(tuple(x[i : i + n]) for i in range(len(x) - n + 1))
+
+    def pooled(split, orders):
+        for n in range(1, orders + 1):
+            each = [(grams(split(h), n), grams(split(r), n)) for h, r in pairs]
+            yield sum(sum((h & r).values()) for h, r in each), sum(sum(h.values()) for h, _ in each), sum(sum(r.values()) for _, r in each)
+
+    lengths = [sum(len(tokens(x[k])) for x in pairs) for k in (0, 1)]
+    logs, halves = 0.0, 1
+    for m, h, _ in pooled(tokens, 4):
+        if not m:
+            halves *= 2
+        logs += math.log(m / h if m else 1 / (halves * h)) / 4
+    bleu = 100 * math.exp(logs) * (math.exp(1 - lengths[1] / lengths[0]) if lengths[0] < lengths[1] else 1)
+    shares = [(m / h, m / r) for m, h, r in [*pooled(lambda t: re.sub(r"\s+", "", t), 6), *pooled(words, 2)] if h and r]
+    p, r = (sum(x[k] for x in shares) / len(shares) for k in (0, 1))
+    return bleu, 100 * 5 * p * r / (4 * p + r)
+
+
+def test_metrics_against_brute_force(spark):
+    import random
+
+    r = random.Random(12)
+    some = ["the", "cat", "sat", "on", "a", "mat", "আমি", "é😍", "dog", "x", "run"]
+    text = lambda: " ".join(r.choice(some) for _ in range(r.randint(0, 14)))
+    pairs = [(text(), text()) for _ in range(60)] + [("", "the cat"), ("the cat", ""), ("a a a a", "a a")]
+    want = brute_bleu_and_chrf(pairs, str.split, str.split)
+    df = spark.createDataFrame(pairs, "h string, r string").repartition(3)
+    got = corpus_scores(spark, pairs)
+    assert got[0] == pytest.approx(want[0]) and got[1] == pytest.approx(want[1])
+    # many different items: n-grams are numbered anew to fit
+    ids = np.array([r.randrange(2**20) for _ in range(50)] * 4, np.int64)
+    owner, is_ref = np.tile(np.repeat([0, 1], 50), 2), np.repeat([False, True], 100)
+    assert [x.tolist() for x in M.clipped(ids, owner, is_ref, 2, 6)] == [[51 - n] * 2 for n in range(1, 7)]
+    assert df.count() == len(pairs)
+
+
+def test_translation_edit_rate():
+    """The example of the metric's paper: one move, two changes, one word put in. Others by hand."""
+    ref = "SAUDI ARABIA denied THIS WEEK information published in the AMERICAN new york times".split()
+    hyp = "THIS WEEK THE SAUDIS denied information published in the new york times".split()
+    assert M.ter_edits(hyp, ref) == 4
+    for h, r, n in (("b c a", "a b c", 1), ("c d a b", "a b c d", 1), ("", "a b", 2), ("a b", "", 2), ("", "", 0), ("a x c", "a b c", 1), ("a b c d e f", "d e f a b c", 1), ("x a b y c d", "c d x a b y", 1), ("a b", "b a", 1)):
+        assert M.ter_edits(h.split(), r.split()) == n, (h, r)
+
+
+def test_translation_edit_rate_bounds():
+    import random
+    import time
+
+    r = random.Random(3)
+    plain = lambda a, b: int(M._table(np.array(a), np.array(b))[-1, -1])
+    for _ in range(200):
+        a, b = ([r.randrange(5) for _ in range(r.randint(1, 12))] for _ in range(2))
+        n = M.ter_edits([str(x) for x in a], [str(x) for x in b])
+        assert abs(len(a) - len(b)) <= n <= plain(a, b)
+        assert M._distances(np.array([a]), np.array(b)).tolist() == [plain(a, b)]
+    began = time.time()
+    words = [str(r.randrange(60)) for _ in range(160)]
+    assert M.ter_edits(words[80:] + words[:80], words) > 0
+    M.ter_edits([str(r.randrange(9)) for _ in range(200)], [str(r.randrange(9)) for _ in range(200)])
+    M.ter_edits(["a"] * 6000, ["a", "b"] * 3000)
+    assert time.time() - began < 60
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "bn").write_text("ক\nখ \nগ\n"), (tmp_path / "en").write_text("a\n b\n")
     assert sorted(map(tuple, readers.parallel_lines(spark, f"{tmp_path}/bn", f"{tmp_path}/en").collect())) == [(0, "ক", "a"), (1, "খ", "b")]
