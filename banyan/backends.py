@@ -1,20 +1,24 @@
 """Models as batch backends.
 
-A backend is a function from an iterator of pandas frames to an iterator of
-pandas frames; a model is loaded once a worker.  The ones here need no model:
-they make plans runnable and tests repeatable.
+A backend is a function from a pandas frame to a pandas frame of the same rows
+with further columns (engines: of any rows); a model is loaded once a worker.
+The ones here need no model: they make plans runnable and tests repeatable.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+#: Frames in, frames out.
 Batches = Iterator[pd.DataFrame]
 Backend = Callable[[Batches], Batches]
+#: One frame in, one frame out.
+Step = Callable[[pd.DataFrame], pd.DataFrame]
 _LOADED: dict[tuple, object] = {}
 
 
@@ -29,44 +33,98 @@ def run(df: DataFrame, backend: Backend, schema: str) -> DataFrame:
     return df.mapInPandas(backend, schema)
 
 
-def guarded(each: Callable[[pd.Series], object], column: str, default=None) -> Backend:
-    """Adds column by each row, and error where that failed: one row's failure is not the job's."""
+def batches(*steps: Step) -> Backend:
+    """Steps one after another on each batch."""
 
-    def f(batches: Batches) -> Batches:
-        for b in batches:
-            values, errors = [], []
-            for _, row in b.iterrows():
-                try:
-                    values.append(each(row))
-                    errors.append(None)
-                except Exception as e:  # noqa: BLE001
-                    values.append(default)
-                    errors.append(f"{type(e).__name__}: {e}")
-            yield b.assign(**{column: values, "error": errors})
+    def f(frames: Batches) -> Batches:
+        for b in frames:
+            for step in steps:
+                b = step(b)
+            yield b
 
     return f
 
 
-def identity_engines(n_beam: int = 2, n_sample: int = 2) -> Backend:
-    """Candidates of an engine that returns its input: beams first, with scores, then samples without; repeats and empty ones go."""
+def guarded(each: Callable[[pd.Series], object], column: str, default=None) -> Backend:
+    """Adds column by each row, and error where that failed: one row's failure is not the job's."""
 
-    def f(batches: Batches) -> Batches:
-        for b in batches:
-            rows = []
-            for _, r in b.iterrows():
-                seen = set()
-                for k in range(n_beam + n_sample):
-                    beam = k < n_beam
-                    text = r["text"] if k == 0 else f"{r['text']} {r['engine']}"
-                    if text and text not in seen:
-                        seen.add(text)
-                        rows.append((r["id"], text, r["engine"], "beam" if beam else "sample", k, -float(k + len(r["engine"])) if beam else None))
-            yield pd.DataFrame(rows, columns=["id", "text", "engine", "method", "k", "raw_score"])
+    def step(b: pd.DataFrame) -> pd.DataFrame:
+        values, errors = [], []
+        for _, row in b.iterrows():
+            try:
+                values.append(each(row))
+                errors.append(None)
+            except Exception as e:  # noqa: BLE001
+                values.append(default)
+                errors.append(f"{type(e).__name__}: {e}")
+        return b.assign(**{column: values, "error": errors})
+
+    return batches(step)
+
+
+def first_that_works(named: dict[str, Step]) -> Step:
+    """The first step that raises nothing, with its name in column engine; the last one's error passes on."""
+
+    def step(b: pd.DataFrame) -> pd.DataFrame:
+        for k, (name, f) in enumerate(named.items()):
+            try:
+                return f(b).assign(engine=name)
+            except Exception:  # noqa: BLE001
+                if k + 1 == len(named):
+                    raise
+        raise ValueError("no engine")
+
+    return step
+
+
+def kept_once(ask: Callable[[str], str | None], most: int = 100_000) -> Callable[[str], str]:
+    """ask for each word once a worker; a word whose answer fails or is empty stays as it is."""
+    kept: dict[str, str] = {}
+
+    def one(word: str) -> str:
+        found = kept.get(word)
+        if found is None:
+            try:
+                found = ask(word) or word
+            except Exception:  # noqa: BLE001
+                found = word
+            if len(kept) < most:
+                kept[word] = found
+        return found
+
+    return one
+
+
+def identity_engine(text: str, engine: str, beams: int = 2, samples: int = 2) -> list[tuple[str, str, float | None]]:
+    """(text, method, score) of an engine that returns its input: beams first, with scores, then samples without; repeats go."""
+    out, seen = [], set()
+    for k in range(beams + samples):
+        candidate = text if k == 0 else f"{text} {engine}"
+        if candidate not in seen:
+            seen.add(candidate)
+            out.append((candidate, "beam", -float(k + len(engine))) if k < beams else (candidate, "sample", None))
+    return out
 
-    return f
 
+def same_text(text: str, engine: str, direction: str) -> str:  # noqa: ARG001
+    """A round trip that returns its input."""
+    return text
 
-CANDIDATE_SCHEMA = "id long, text string, engine string, method string, k int, raw_score double"
+
+def word_overlap(a: str, b: str) -> float:
+    """Share of a's distinct words that b has; 1.0 if a has none."""
+    words = set(a.split())
+    return len(words & set(b.split())) / len(words) if words else 1.0
+
+
+def script_language(text: str) -> tuple[str | None, float]:
+    """The language of most letters by script alone, Bengali or else English, and their share of all letters."""
+    letters = [c for c in text if c.isalpha()]
+    if not letters:
+        return None, 0.0
+    bengali = sum("ঀ" <= c <= "৿" for c in letters)
+    latin = sum(c.isascii() for c in letters)
+    return ("bn", bengali / len(letters)) if bengali >= latin else ("en", latin / len(letters))
 
 
 def hash_embedding(text: str, size: int = 16) -> list[float]:
@@ -75,3 +133,10 @@ def hash_embedding(text: str, size: int = 16) -> list[float]:
     for a, b in zip(f" {text}", f"{text} ", strict=True):
         out[hashlib.md5((a + b).encode()).digest()[0] % size] += 1.0
     return out
+
+
+def embedding_similarity(a: str, b: str) -> float:
+    """Cosine of hash embeddings."""
+    x, y = hash_embedding(a), hash_embedding(b)
+    size = math.sqrt(sum(p * p for p in x) * sum(p * p for p in y))
+    return sum(p * q for p, q in zip(x, y, strict=True)) / size if size else 0.0

@@ -15,7 +15,7 @@ def mean_of(*scores: Column) -> Column:
 
 
 def fidelity(source: Column, output: Column) -> dict[str, Column]:
-    """Of two token arrays: emoji, verbatim (mentions and URLs), hashtag, and overall; null where the source has none."""
+    """Of two arrays of protected tokens: emoji, verbatim (mentions and URLs), hashtag, and overall; null where the source has none."""
 
     def kept(*kinds: str) -> Column:
         want, got = (F.array_distinct(X.of_kind(t, *kinds)) for t in (source, output))

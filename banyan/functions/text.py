@@ -66,29 +66,42 @@ def emojis(text: Column) -> Column:
     return find_all(F.coalesce(text, F.lit("")), P.EMOJI_CHAR)
 
 
+def _kind(t: Column) -> Column:
+    """Of a token. Most start with an ASCII letter and need one comparison."""
+    first = F.substring(t, 1, 1)
+    letter = first.between("a", "z") | first.between("A", "Z")
+    url = first.isin("h", "w") & t.rlike(r"^(https?://|www\.).")
+    return (
+        F.when(letter, F.when(url, "url").otherwise("word"))
+        .when(t.rlike(rf"^{P.EMOJI}$"), "emoji")
+        .when((first == "#") & (F.length(t) > 1), "hashtag")
+        .when((first == "@") & (F.length(t) > 1), "mention")
+        .when(t.rlike(r"(?U)^\w"), "word")
+        .otherwise("punct")
+    )
+
+
+def _with_kind(tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.struct(t.alias("token"), _kind(t).alias("kind")))
+
+
 def tokenize(text: Column) -> Column:
     """Array of (token, kind); kinds: url, hashtag, mention, emoji, word, punct."""
+    return _with_kind(find_all(F.coalesce(text, F.lit("")), P.TOKEN))
 
-    def kind(t: Column) -> Column:
-        first = F.substring(t, 1, 1)
-        return (
-            F.when(t.rlike(r"^(https?://|www\.)."), "url")
-            .when(t.rlike(rf"^{P.EMOJI}$"), "emoji")
-            .when((first == "#") & (F.length(t) > 1), "hashtag")
-            .when((first == "@") & (F.length(t) > 1), "mention")
-            .when(t.rlike(r"(?U)^\w"), "word")
-            .otherwise("punct")
-        )
 
-    return F.transform(find_all(F.coalesce(text, F.lit("")), P.TOKEN), lambda t: F.struct(t.alias("token"), kind(t).alias("kind")))
+def protected(text: Column) -> Column:
+    """tokenize without words and punctuation, which aren't looked for."""
+    return _with_kind(find_all(F.coalesce(text, F.lit("")), P.PROTECTED))
 
 
 def of_kind(tokens: Column, *kinds: str) -> Column:
     return F.transform(F.filter(tokens, lambda x: x["kind"].isin(*kinds)), lambda x: x["token"])
 
 
-def protected_spans(tokens: Column) -> Column:
-    return of_kind(tokens, "hashtag", "mention", "url", "emoji")
+def protected_spans(text: Column) -> Column:
+    """Hashtags, mentions, URLs and emoji in order."""
+    return find_all(F.coalesce(text, F.lit("")), P.PROTECTED)
 
 
 def _cased_as(word: Column, new: Column) -> Column:
@@ -107,11 +120,11 @@ def normalize_slang(text: Column, extra: dict[str, str] | None = None, phrases:
     if phrases:
         for k in sorted((k for k in table if " " in k), key=len, reverse=True):
             text = F.regexp_replace(text, rf"(?iU)\b{k}\b", table[k])
-    known = mapping(table)
+    known, words = mapping(table), [k for k in table if " " not in k]
 
     def one(w: Column) -> Column:
-        new = F.try_element_at(known, F.lower(w))
-        return F.when(new.isNull(), w).otherwise(_cased_as(w, new))
+        # a set tells most words apart before the map is searched
+        return F.when(F.lower(w).isin(words), _cased_as(w, F.try_element_at(known, F.lower(w)))).otherwise(w)
 
     return F.array_join(F.transform(find_all(text, P.WORD_OR_GAP), one), "")
 
@@ -135,16 +148,32 @@ def bn_to_latin(text: Column, fix_nukta: bool = False) -> Column:
     return F.array_join(F.transform(pieces, one), "")
 
 
-def latin_to_bn(text: Column) -> Column:
-    """Runs of Latin letters by the first spelling that fits; a vowel that starts a run has its own form."""
-    spelling, first = mapping(T.LATIN), mapping(T.FIRST_VOWELS)
+#: Stands before a vowel that starts a run of Latin letters; texts that have it themselves keep it.
+_START = "\ufdd0"
+
 
-    def run(part: Column) -> Column:
-        letters = find_all(part, f"(?i){'|'.join(T.LATIN)}|.")
-        one = lambda x, i: F.coalesce(F.when(i == 0, F.try_element_at(first, F.lower(x))), F.try_element_at(spelling, F.lower(x)), x)
-        return F.array_join(F.transform(letters, one), "")
+def latin_to_bn(text: Column) -> Column:
+    """Runs of Latin letters by the first spelling that fits; a vowel that starts a run has its own form.
 
-    return F.array_join(F.transform(find_all(text, "[A-Za-z]+|[^A-Za-z]+"), lambda p: F.when(p.rlike("^[A-Za-z]"), run(p)).otherwise(p)), "")
+    Spellings are replaced in the whole text one after another.  Where the end of
+    one is the start of another, the one that would be read first goes first.
+    """
+    letters = "".join(sorted({c for k in T.LATIN for c in k}))
+    text = F.regexp_replace(F.translate(text, letters.upper(), letters), "(?<![A-Za-z])(?=[aeiou])", _START)
+    by_length = lambda d: sorted(d, key=lambda k: -len(k))
+    for k in by_length(T.FIRST_VOWELS):
+        text = F.replace(text, F.lit(_START + k), F.lit(T.FIRST_VOWELS[k]))
+    reachable = [k for i, k in enumerate(T.LATIN) if not any(k.startswith(x) for x in list(T.LATIN)[:i])]
+    # k goes before x if it may take x's first letter
+    pairs = [k for k in reachable if len(k) > 1]
+    for k in sorted(pairs, key=lambda k: not any(k != x and k[-1] == x[0] for x in pairs)):
+        text = F.replace(text, F.lit(k), F.lit(T.LATIN[k]))
+    single = {k: T.LATIN[k] for k in reachable if len(k) == 1}
+    for k, new in single.items():
+        if len(new) > 1:
+            text = F.replace(text, F.lit(k), F.lit(new))
+    single = {k: new for k, new in single.items() if len(new) == 1}
+    return F.translate(text, "".join(single), "".join(single.values()))
 
 
 def sanitize(text: Column) -> Column:
@@ -204,6 +233,11 @@ def tag_languages(text: Column, source: Column, target: Column) -> Column:
     return F.concat_ws(" ", source, target, text)
 
 
+def postedit_system(language: Column) -> Column:
+    """The rules of post-editing, for the model's system part."""
+    return F.concat(F.lit("You correct machine translations of social posts into "), language, F.lit(". You change wording for fluency alone, keep every protected token as it is, and answer with the sentence and nothing else."))
+
+
 def postedit_prompt(source: Column, candidate: Column, protected: Column, language: Column) -> Column:
     """The user's part of a post-editing prompt."""
     quoted = F.when(F.size(protected) == 0, "(none)").otherwise(F.array_join(F.transform(protected, lambda p: F.concat(F.lit('"'), p, F.lit('"'))), ", "))

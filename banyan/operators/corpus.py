@@ -18,7 +18,7 @@ TRANSLATION = "bn_en_translation"
 
 
 def unify(
-    df: DataFrame, source: str, idx: Column, pair_type: str, text: Column, text_lang: str, parallel_text: Column | None = None, parallel_lang: str | None = None, romanized_text: Column | None = None,
+    df: DataFrame, source: str, idx: Column, pair_type: str, text: Column, text_lang: str | Column, parallel_text: Column | None = None, parallel_lang: str | None = None, romanized_text: Column | None = None,
     register: str = "social_media", task_labels: Column | None = None, license: str = "unknown", extract: bool = True, is_proxy: bool = False, is_romanized: bool = False,
 ) -> DataFrame:
     """Rows with valid text in the unified schema. Without extract, text isn't searched for social fields."""
@@ -30,7 +30,7 @@ def unify(
     if not extract:
         fields = {k: empty for k in ("hashtags", "emojis", "mentions")} | {"is_code_mixed": F.lit(False)}
     columns = {
-        "id": F.concat_ws("_", F.lit(source), idx.cast("string")), "source_dataset": F.lit(source), "pair_type": F.lit(pair_type), "text": text, "text_lang": F.lit(text_lang),
+        "id": F.concat_ws("_", F.lit(source), idx.cast("string")), "source_dataset": F.lit(source), "pair_type": F.lit(pair_type), "text": text, "text_lang": text_lang if isinstance(text_lang, Column) else F.lit(text_lang),
         "parallel_text": optional(parallel_text), "parallel_lang": F.lit(parallel_lang).cast("string"), "romanized_text": optional(romanized_text), "register": F.lit(register),
         **fields, "is_romanized_bn": F.lit(is_romanized), "task_labels": null if task_labels is None else task_labels, "license": F.lit(license), "is_proxy_test_set": F.lit(is_proxy),
     }
@@ -99,13 +99,12 @@ def without_leaks(df: DataFrame, proxy: DataFrame, text: str = "text") -> DataFr
 def code_mix(text: Column, id_col: Column, share: float = 0.3, seed: int = 42) -> Column:
     """Text with a share of its words (one at least) in Latin letters; null under three words or if nothing changed."""
     words = F.split(X.strip(text), r"(?U)\s+")
-
-    def mixed(w: Column) -> Column:
-        ranked = F.sort_array(F.transform(w, lambda x, i: F.struct(F.md5(F.concat(F.lit(f"{seed}|"), id_col.cast("string"), F.lit("|"), i.cast("string"))).alias("d"), i.alias("i"))))
-        return X.bind(
-            F.transform(F.slice(ranked, 1, F.greatest(F.lit(1), F.floor(F.size(w) * F.lit(share)).cast("int"))), lambda r: r["i"]),
-            lambda chosen: F.array_join(F.transform(w, lambda x, i: F.when(F.array_contains(chosen, i), X.bn_to_latin(x)).otherwise(x)), " "),
-        )
+    digest = lambda i: F.struct(F.md5(F.concat(F.lit(f"{seed}|"), id_col.cast("string"), F.lit("|"), i.cast("string"))).alias("d"), i.alias("i"))
+    # the share's words are those up to a digest: one comparison a word
+    last = lambda ds: F.get(F.sort_array(ds), F.greatest(F.lit(1), F.floor(F.size(ds) * F.lit(share)).cast("int")) - 1)
+    latin = lambda x: F.when(X.has_bengali(x), X.bn_to_latin(x)).otherwise(x)
+    chosen = lambda w, ds, k: F.array_join(F.zip_with(w, ds, lambda x, d: F.when(d <= k, latin(x)).otherwise(x)), " ")
+    mixed = lambda w: X.bind(F.transform(w, lambda x, i: digest(i)), lambda ds: X.bind(last(ds), lambda k: chosen(w, ds, k)))
 
     new = X.bind(words, lambda w: F.when(F.size(w) >= 3, mixed(w)))
     return F.when(new != text, new)
@@ -134,6 +133,26 @@ def translation_pairs(df: DataFrame, direction: str, max_rows: int | None = None
     return out
 
 
+# The samples of the proxy test set: name, rows, domain, language.
+PROXY_SAMPLES = (
+    ("banth", 800, "youtube_comment", "bn_transliterated"), ("bnsentmix", 800, "facebook_youtube_ecommerce", "bn_en_code_mixed"), ("sentmix_3l", 400, "social_media", "bn_en_hi_code_mixed"),
+    ("emomix_3l", 400, "social_media", "bn_en_hi_code_mixed"), ("en_bn_code_mixed_sentiment", 600, "review", "bn_en_code_mixed"),
+)
+
+
+def proxy_set(sources: dict[str, tuple[DataFrame, str, str]], seed: int = 42) -> DataFrame:
+    """The tagged samples' union: by the sample's name a frame, its text's column and its id's; the first of each text stays, by sample and then id."""
+    parts = []
+    for k, (name, n, domain, language) in enumerate(PROXY_SAMPLES):
+        if name not in sources:
+            continue
+        df, text, row_id = sources[name]
+        rows = sample_n(df.select(F.col(text).cast("string").alias("text"), F.col(row_id).cast("long").alias("row_id")), n, "row_id", seed)
+        parts.append(rows.withColumns({"source_dataset": F.lit(name), "domain": F.lit(domain), "language_hint": F.lit(language), "_at": F.struct(F.lit(k).alias("k"), F.col("row_id").alias("r"))}))
+    every = union_all(*parts)
+    return first_wins(every.where(X.is_valid(F.col("text"))), X.strip(F.col("text")), F.col("_at")).drop("_at")
+
+
 def infer_column(columns: list[str], *parts: str) -> str:
     """The first column whose lower-case name holds one of parts, else the first."""
     return next((c for c in columns if any(p in c.lower() for p in parts)), columns[0])

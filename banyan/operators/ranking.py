@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .corpus import first_wins
+
 
 def dedupe_candidates(df: DataFrame, keys: tuple[str, ...] = ("source_id", "engine"), text: str = "text", order: str = "cand_idx") -> DataFrame:
     """The first candidate of each text within an engine; empty texts go."""
@@ -40,9 +42,9 @@ def remaining(df: DataFrame, keys: list[str], n: int) -> DataFrame:
     return df.groupBy(*keys).agg(F.greatest(F.lit(0), F.lit(n) - F.count("*")).alias("remaining")).orderBy(F.desc("remaining"), *keys)
 
 
-def unseen(df: DataFrame, history: DataFrame, key: str) -> DataFrame:
-    """The first row of each key that history doesn't have."""
-    return df.join(history.select(key).distinct(), key, "left_anti").dropDuplicates([key])
+def unseen(df: DataFrame, history: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """The first row of each key, by order, that history doesn't have."""
+    return first_wins(df.join(history.select(key).distinct(), key, "left_anti"), F.col(key), F.col(order or key))
 
 
 def fan_out(df: DataFrame, engines: list[str]) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as X
+from ..sources.storage import kept_table
 
 #: Words a dictionary keeps at most: what is broadcast stays bounded.
 TOP = 200_000
@@ -26,6 +27,11 @@ def top_words(counts: DataFrame, k: int = TOP) -> DataFrame:
     return counts.orderBy(F.desc("cnt"), "word").limit(k)
 
 
+def kept_dictionary(spark: SparkSession, path: str, texts, k: int = TOP) -> DataFrame:
+    """The dictionary at path; where it isn't there, the k most frequent words of what texts() gives (a frame with column text), kept there."""
+    return kept_table(spark, path, lambda: top_words(word_counts(texts(), "text"), k))
+
+
 def word_costs(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     """word and cost of words: log(total / count), or log(total) + 2 a code point if unseen."""
     total = dictionary.agg(F.coalesce(F.nullif(F.sum("cnt"), F.lit(0)), F.lit(1)).alias("total"))

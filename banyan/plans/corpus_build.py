@@ -18,6 +18,5 @@ def build_splits(unified: DataFrame, seed: int = 42, fraction: float = 0.08) ->
 def live_rows(df: DataFrame) -> DataFrame:
     """Rows of a live CSV in the unified schema with three more flags; counters stay text in the labels."""
     labels = F.to_json(F.struct("topic", "like_count", "retweet_count", "view_count"))
-    out = C.unify(df, "live_tweets", F.col("id"), "monolingual_social", F.col("text"), "und", task_labels=labels, license="local-eval-only")
-    langs = df.select(F.concat(F.lit("live_tweets_"), F.col("id").cast("string")).alias("id"), F.col("lang").alias("_lang"))
-    return out.join(langs, "id").withColumns({"text_lang": F.col("_lang"), "is_synthetic": F.lit(False), "is_paid_source": F.lit(True), "is_local_eval_only": F.lit(True)}).drop("_lang")
+    out = C.unify(df, "live_tweets", F.col("id"), "monolingual_social", F.col("text"), F.col("lang"), task_labels=labels, license="local-eval-only")
+    return out.withColumns({"is_synthetic": F.lit(False), "is_paid_source": F.lit(True), "is_local_eval_only": F.lit(True)})

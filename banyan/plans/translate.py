@@ -1,87 +1,220 @@
-"""One text to its translation as a plan of columns, with models as backends."""
+"""One text to its translation as a plan of columns, with models as backends.
+
+All stages of a row stay in its row: candidates are an array column, so nothing
+is shuffled, and the text that is worked on is made once, as the engines' Python
+stage stands between it and what reads it.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..backends import CANDIDATE_SCHEMA, Backend, identity_engines, run
+from .. import backends as B
 from ..functions import scores as S
 from ..functions import tables as T
 from ..functions import text as X
 from ..operators import ranking as R
 
+CANDIDATE = "struct<text: string, engine: string, method: string, score: double>"
+
 
 @dataclass(frozen=True)
 class Options:
+    """Models of the plan. Where one is None its stage is left out, and the result says so.
+
+    engine: (text, engine) to candidates (text, method, score), best first; one that fails gives none.
+    quality: (source, candidates' texts) to a score each; None: the engines' own scores.
+    editor: (system prompt, prompt) to the edited text; None or an empty answer leaves the text as it is.
+    back: (text, engine, direction) to the text translated back; similarity: of the source and that.
+    word: (word, engine, direction) to a word of a hashtag; None: words stay.
+    segment: Column function from a hashtag to its words.
+    """
+
     engines: tuple[str, ...] = ("indictrans2", "nllb", "banglat5")
-    similarity: float = 0.85
-    backend: Backend = field(default_factory=identity_engines)
-    #: Scores come from a quality model (column qe), else from the beams' log-probabilities.
-    by_model: bool = False
+    roundtrip_engine: str = "nllb"
+    threshold: float = 0.85
+    engine: Callable[..., list[tuple[str, str, float | None]]] = B.identity_engine
+    quality: Callable[[str, list[str]], list[float]] | None = None
+    editor: Callable[[str, str], str | None] | None = None
+    back: Callable[[str, str, str], str] = B.same_text
+    similarity: Callable[[str, str], float] = B.word_overlap
+    word: Callable[[str, str, str], str] | None = None
+    segment: Callable[[Column], Column] = lambda tag: X.camel_split(X.without_hash(tag))
 
 
 def prepared(df: DataFrame, direction: str) -> DataFrame:
-    """Adds work: slang normalised and, towards English, Latin-script Bengali in Bengali letters."""
-    slang = X.normalize_slang(F.col("text"))
-    out = df.withColumn("_slang", slang)
-    if direction == "bn2en":
-        out = out.withColumn("work", F.when(X.is_romanised(F.col("_slang")), X.latin_to_bn(F.col("_slang"))).otherwise(F.col("_slang")))
+    """Adds normalized (slang), transliterated, and work: towards English, Latin-script Bengali in Bengali letters."""
+    out = df.withColumn("normalized", X.normalize_slang(F.col("text")))
+    if direction != "bn2en":
+        return out.withColumns({"transliterated": F.lit(False), "work": F.col("normalized")})
+    bound = X.bind(F.col("normalized"), lambda t: F.struct(t.alias("n"), X.is_romanised(t).alias("r"), F.when(X.is_romanised(t), X.latin_to_bn(t)).otherwise(t).alias("w")))
+    return out.withColumn("_p", bound).select(*df.columns, F.col("_p.n").alias("normalized"), F.col("_p.r").alias("transliterated"), F.col("_p.w").alias("work"))
+
+
+def with_candidates(df: DataFrame, options: Options) -> DataFrame:
+    """Adds candidates, in the engines' order, each text once an engine, empty ones left out; and failures, the engines that failed."""
+    rows = df.withColumn("_clean", X.sanitize(F.col("work")))
+
+    def one(source: str, clean: str) -> tuple[list[tuple], list[str]]:
+        found, failed = [], []
+        for engine in options.engines if clean else ():
+            try:
+                seen = set()
+                for text, method, score in options.engine(clean, engine):
+                    if text and text not in seen:
+                        seen.add(text)
+                        found.append((text, engine, method, score))
+            except Exception as e:  # noqa: BLE001
+                failed.append(f"{engine}: {type(e).__name__}: {e}")
+        if options.quality and found:
+            found = [(*c[:3], float(s)) for c, s in zip(found, options.quality(source, [c[0] for c in found]), strict=True)]
+        return found, failed
+
+    def step(b: pd.DataFrame) -> pd.DataFrame:
+        each = [one(*x) for x in zip(b["work"], b["_clean"], strict=True)]
+        return b.drop(columns="_clean").assign(candidates=[[dict(zip(("text", "engine", "method", "score"), c, strict=True)) for c in x] for x, _ in each], failures=[x for _, x in each])
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
+    return rows.mapInPandas(B.batches(step), f"{schema}, candidates array<{CANDIDATE}>, failures array<string>")
+
+
+def picked(df: DataFrame, options: Options) -> DataFrame:
+    """Adds n and qe_method, and pre, winning_engine, winning_method and qe_score of the best candidate; drops the candidates."""
+    best = X.bind(F.col("candidates"), lambda c: F.get(c, R.best_of_array(c)))
+    method = R.rerank_method(options.quality is not None, F.size("candidates"))
+    out = df.withColumns({"n": F.size("candidates"), "_won": best, "qe_method": method}).drop("candidates")
+    return out.withColumns({"pre": F.col("_won.text"), "winning_engine": F.col("_won.engine"), "winning_method": F.col("_won.method"), "qe_score": F.col("_won.score")}).drop("_won")
+
+
+def edited(df: DataFrame, direction: str, options: Options) -> DataFrame:
+    """Adds pre, post, edit_applied and protected_spans."""
+    rows = df.withColumn("protected_spans", X.protected_spans(F.col("work")))
+    if not options.editor:
+        return rows.withColumns({"post": F.col("pre"), "edit_applied": F.lit(False)})
+    language = F.lit(T.LANGUAGE_NAMES[direction])
+    asked = rows.withColumns({"_system": X.postedit_system(language), "_prompt": X.postedit_prompt(F.col("work"), F.col("pre"), F.col("protected_spans"), language)})
+
+    def ask(system: str, prompt: str | None) -> str | None:
+        if prompt is None:
+            return None
+        try:
+            answer = options.editor(system, prompt)
+        except Exception:  # noqa: BLE001
+            return None
+        return None if answer is None else answer.strip()
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+    step = lambda b: b.drop(columns=["_system", "_prompt"]).assign(_edited=[ask(*x) for x in zip(b["_system"], b["_prompt"], strict=True)])
+    done = asked.mapInPandas(B.batches(step), f"{schema}, _edited string")
+    q = S.postedit(F.col("pre"), F.col("_edited"), F.col("protected_spans"))
+    return done.withColumns({"post": q["post_edit"], "edit_applied": q["edit_applied"]}).drop("_edited")
+
+
+def verified(df: DataFrame, direction: str, options: Options) -> DataFrame:
+    """Adds the round trip's text and similarity and whether it passed, of post, and of pre where post failed and differs from it."""
+    back_direction = T.REVERSE[direction]
+
+    def check(source: str, text: str | None) -> tuple[str | None, float | None, bool]:
+        if text is None:
+            return None, None, False
+        back = options.back(text, options.roundtrip_engine, back_direction)
+        x = float(options.similarity(source, back))
+        return back, x, x >= options.threshold
+
+    def step(b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for source, pre, post in zip(b["work"], b["pre"], b["post"], strict=True):
+            after = check(source, post)
+            out.append((*after, *((None, None, False) if after[2] or pre == post else check(source, pre))))
+        return b.assign(**dict(zip(NAMES, map(list, zip(*out, strict=True)) if out else [[]] * 6, strict=True)))
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
+    return df.mapInPandas(B.batches(step), f"{schema}, " + ", ".join(f"{n} {t}" for n, t in zip(NAMES, ("string", "double", "boolean") * 2, strict=True)))
+
+
+NAMES = ("post_back", "post_similarity", "post_ok", "pre_back", "pre_similarity", "pre_ok")
+
+
+def reassembled(df: DataFrame, direction: str, options: Options) -> DataFrame:
+    """Adds final: the original's protected tokens put back in translation, hashtags rebuilt from their words; null stays null."""
+    target = T.TARGET[direction]
+    rows = df.withColumn("_tokens", X.protected(F.col("text")))
+    if options.word:
+        own = X.bind(F.array_distinct(X.of_kind(F.col("_tokens"), "hashtag")), lambda tags: F.transform(tags, lambda t: F.struct(t.alias("tag"), options.segment(t).alias("words"))))
+        romanised = lambda w: F.when(X.is_romanised(w), X.latin_to_bn(w)).otherwise(w) if direction == "bn2en" else w
+        asked = rows.withColumn("_tags", own).withColumn("_asked", F.transform("_tags", lambda x: F.transform(x["words"], lambda w: romanised(F.lower(w)))))
+        ask = options.word
+
+        def frames(parts: B.Batches) -> B.Batches:
+            one = B.kept_once(lambda w: ask(w, options.roundtrip_engine, direction))
+            for b in parts:
+                # a word that has no translation stays as it was written
+                new = [[{"tag": t["tag"], "words": [x if (x := one(q)) != q else w for w, q in zip(t["words"], qs, strict=True)]} for t, qs in zip(tags, every, strict=True)] for tags, every in zip(b["_tags"], b["_asked"], strict=True)]
+                yield b.drop(columns="_asked").assign(_tags=new)
+
+        kinds = ", ".join(f"`{c}` {t}" for c, t in asked.drop("_asked").dtypes)
+        rows = asked.mapInPandas(frames, kinds)
+        rebuilt = F.map_from_entries(F.transform("_tags", lambda x: F.struct(x["tag"], X.rebuild_hashtag(x["tag"], x["words"], F.lit(target)))))
     else:
-        out = out.withColumn("work", F.col("_slang"))
-    return out.drop("_slang")
-
-
-def candidates(df: DataFrame, options: Options) -> DataFrame:
-    """id, text, engine, method, raw_score, cand_idx: what all engines offer, in a fixed order, each text once an engine."""
-    asked = R.fan_out(df.select("id", X.sanitize(F.col("work")).alias("text")).where("text <> ''"), list(options.engines))
-    found = run(asked, options.backend, CANDIDATE_SCHEMA)
-    place = F.array_position(F.array(*[F.lit(e) for e in options.engines]), F.col("engine")) * 100 + F.col("k")
-    return R.dedupe_candidates(found.withColumn("cand_idx", place.cast("int")), ("id", "engine")).drop("k")
-
-
-def reassembled(df: DataFrame, target: str) -> DataFrame:
-    """Adds final: the original's protected tokens put back in translation; null stays null."""
-    tags = F.array_distinct(X.of_kind(F.col("tokens"), "hashtag"))
-    rebuilt = F.map_from_entries(F.transform(tags, lambda t: F.struct(t, X.rebuild_hashtag(t, X.camel_split(X.without_hash(t)), F.lit(target)))))
-    return df.withColumn("final", F.when(F.col("translation").isNotNull(), X.reassemble(F.col("tokens"), F.col("translation"), rebuilt)))
+        tags = F.array_distinct(X.of_kind(F.col("_tokens"), "hashtag"))
+        rebuilt = F.map_from_entries(F.transform(tags, lambda t: F.struct(t, X.rebuild_hashtag(t, options.segment(t), F.lit(target)))))
+    # a map that is named in a fold is made once
+    final = X.bind(rebuilt, lambda m: X.reassemble(F.col("_tokens"), F.col("translation"), m))
+    return rows.withColumn("final", F.when(F.col("translation").isNotNull(), final)).drop("_tokens", "_tags")
 
 
 def translate(df: DataFrame, direction: str, options: Options | None = None, fast_mode: bool = False) -> DataFrame:
-    """id, translation, low_confidence, winning_engine, winning_method, qe_score, qe_method, final, of rows id and text.
+    """All that is known of the translation of rows id and text; null texts count as empty.
 
-    The fast mode asks one engine for one candidate and verifies nothing.  The
-    best candidate is found by one aggregation on id; columns of the source are
-    joined to it on the same key.
+    The fast mode takes one candidate of the round trip's engine, and neither
+    ranks, edits nor verifies it.
     """
     options = options or Options()
-    work = prepared(df, direction)
     if fast_mode:
-        options = Options(options.engines[:1], options.similarity, options.backend, options.by_model)
-    pool = candidates(work, options)
-    scored = pool.withColumn("score", F.col("raw_score"))
-    top = R.best(scored if not fast_mode else scored.where("method = 'beam'"), "id")
-    counts = pool.groupBy("id").agg(F.count("*").alias("n"))
-    won = top.select("id", F.col("text").alias("pre"), F.col("engine").alias("winning_engine"), F.col("method").alias("winning_method"), F.col("score").alias("qe_score"))
-    rows = work.join(counts, "id", "left").join(won, "id", "left").withColumn("tokens", X.tokenize(F.col("text")))
+        engine = options.engine
+        options = replace(options, engines=(options.roundtrip_engine,), engine=lambda text, name: engine(text, name)[:1], quality=None)
+    rows = prepared(df.select("id", F.coalesce("text", F.lit("")).alias("text")), direction)
+    rows = picked(with_candidates(rows, options), options)
+    null = lambda kind: F.lit(None).cast(kind)
     if fast_mode:
-        decided = rows.select("id", "tokens", F.col("pre").alias("translation"), F.lit(False).alias("low_confidence"), "winning_engine", "winning_method", F.lit(None).cast("double").alias("qe_score"), F.lit("skipped").alias("qe_method"))
+        done = rows.withColumns({
+            "post": F.col("pre"), "translation": F.col("pre"), "edit_applied": F.lit(False), "protected_spans": F.array().cast("array<string>"), "low_confidence": F.lit(False), "note": F.lit("fast mode: not ranked, edited or verified"),
+            "error": null("string"), "qe_score": null("double"), "qe_method": F.lit("skipped_fast_mode"), "winning_engine": F.lit(options.roundtrip_engine), "winning_method": F.lit("beam_fast_mode"), "roundtrip_similarity": null("double"), "roundtrip_text": null("string"),
+        })
     else:
-        # the stand-in editor changes nothing, and the stand-in round trip compares words
-        kept = F.size(F.array_intersect(F.split("work", " "), F.split(F.coalesce("pre", F.lit("")), " "))) / F.size(F.array_distinct(F.split("work", " ")))
-        ok = kept >= options.similarity
-        edit = S.postedit(F.col("pre"), F.col("pre"), X.protected_spans(X.tokenize(F.col("work"))))
-        q = S.quality(F.coalesce("n", F.lit(0)), F.col("pre"), edit["post_edit"], F.col("pre"), edit["edit_applied"], ok, ok)
-        decided = rows.select("id", "tokens", q["translation"].alias("translation"), q["low_confidence"].alias("low_confidence"), "winning_engine", "winning_method", "qe_score", R.rerank_method(options.by_model, F.coalesce("n", F.lit(0))).alias("qe_method"))
-    return reassembled(decided, T.TARGET[direction]).drop("tokens")
-
-
-def panel(df: DataFrame, direction: str, fast_mode: bool = False):
-    """The result's lines as Markdown; lines without a value are left out."""
-    label = {"bn2en": "Bengali → English", "en2bn": "English → Bengali"}.get(direction, "—")
-    low = F.when(F.col("low_confidence"), F.lit("**⚠️ Low confidence** — this translation failed one or more internal quality checks."))
-    engine = F.when(F.col("winning_engine").isNotNull(), F.concat(F.lit("**Engine used:** "), "winning_engine", F.lit(" ("), F.coalesce("winning_method", F.lit("n/a")), F.lit(")")))
-    score = F.lit("**QE score:** skipped (fast mode)") if fast_mode else F.concat(F.lit("**QE score:** "), F.coalesce(F.format_number("qe_score", 3), F.lit("n/a")), F.lit(" ("), "qe_method", F.lit(")"))
-    return df.withColumn("panel", F.concat_ws("\n\n", F.lit(f"**Direction:** {label}"), low, engine, score))
+        checked = verified(edited(rows, direction, options), direction, options)
+        q = S.quality(F.col("n"), F.col("pre"), F.col("post"), F.col("pre"), F.col("edit_applied"), F.col("post_ok"), F.col("pre_ok"))
+        back = ~F.col("post_ok") & F.col("edit_applied") & (F.col("post") != F.col("pre")) & F.col("pre_ok")
+        done = checked.withColumns({
+            **q,
+            "roundtrip_similarity": F.when(back, F.col("pre_similarity")).otherwise(F.col("post_similarity")), "roundtrip_text": F.when(back, F.col("pre_back")).otherwise(F.col("post_back")),
+        })
+    return reassembled(done, direction, options).select(
+        "id", "text", F.lit(direction).alias("direction"), "normalized", "transliterated", F.col("work").alias("processed"), "translation", "final", "winning_engine", "winning_method", "qe_score", "qe_method", "roundtrip_similarity", "roundtrip_text",
+        "low_confidence", "note", F.col("pre").alias("pre_edit"), F.col("post").alias("post_edit"), "edit_applied", "protected_spans", "failures", "error",
+    )
+
+
+#: Lines of the panel: what stands before a value, and the value; a line without a value is left out.
+def panel(df: DataFrame, fast_mode: bool = False) -> DataFrame:
+    """Adds panel: the result's lines as Markdown."""
+    # The labels of the lines.
+    direction = F.when(F.col("direction") == "bn2en", "Bengali → English").when(F.col("direction") == "en2bn", "English → Bengali").otherwise("—")
+    number = lambda c, none: F.coalesce(F.format_number(c, 3), F.lit(none))
+    skipped = F.lit("skipped (fast mode)")
+    lines = [
+        ("**Direction:** ", direction),
+        ("**⚠️ Low confidence** — ", F.when(F.col("low_confidence"), "this translation failed one or more internal quality checks.")),
+        ("**Engine used:** ", F.when(F.col("winning_engine").isNotNull(), F.concat("winning_engine", F.lit(" ("), F.coalesce("winning_method", F.lit("n/a")), F.lit(")")))),
+        ("**QE score:** ", skipped if fast_mode else F.concat(number("qe_score", "n/a"), F.lit(" ("), F.col("qe_method"), F.lit(")"))),
+        ("**Round-trip similarity:** ", skipped if fast_mode else number("roundtrip_similarity", "n/a")),
+        ("**LLM post-edit:** ", F.when(F.col("edit_applied"), "applied")),
+        ("**Note:** ", F.col("note")),
+        ("**Error:** ", F.col("error")),
+    ]
+    return df.withColumn("panel", F.concat_ws("\n\n", *[F.concat(F.lit(label), value) for label, value in lines]))

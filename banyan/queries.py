@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import patterns as P
 from .functions import scores as S
 from .functions import tables as T
 from .functions import text as X
@@ -20,6 +21,8 @@ from .operators import metrics as M
 from .operators import ranking as R
 from .operators import segmentation as G
 from .operators.numbering import by_number
+from .plans.translate import translate
+from .sources.storage import fresh
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -193,7 +196,7 @@ def tokenize_kinds(spark, sf_dir):
 
 @query(f"WITH {_D}, k AS (SELECT doc_id, {tok('t')} AS k FROM d) SELECT doc_id, array_to_string(list_transform(list_filter(k, lambda x: x.kind IN ('hashtag', 'mention', 'url', 'emoji')), lambda x: x.token), '|') AS spans FROM k")
 def protected_spans(spark, sf_dir):
-    return decorated(spark, sf_dir).select("doc_id", F.array_join(X.protected_spans(X.tokenize(F.col("t"))), "|").alias("spans"))
+    return decorated(spark, sf_dir).select("doc_id", F.array_join(X.protected_spans(F.col("t")), "|").alias("spans"))
 
 
 @query(
@@ -229,12 +232,16 @@ def latin_to_bn(spark, sf_dir):
     return decorated(spark, sf_dir).select("doc_id", X.latin_to_bn(F.col("t")).alias("bengali"))
 
 
-_TAGS = "concat('#', CASE doc_id % 5 WHEN 0 THEN 'IWasHappyBefore' WHEN 1 THEN 'mydayout' WHEN 2 THEN 'HTTPServer2day' WHEN 3 THEN 'thequickriver' ELSE 'ভালোবাসা' END)"
+_ONE_TAG = "concat('#', regexp_replace(text, '[ \\t\\n]+', ''{g}))"
+#: Camel words without a look ahead: each capital with a small letter after it starts a word.
+_CAMEL = "regexp_extract_all(regexp_replace({t}, '([A-Z][a-z])', '|\\1', 'g'), '[A-Z][a-z]+|[a-z]+|[A-Z]+|[০-৯0-9]+|[\\x{0980}-\\x{09FF}]+')"
 
 
-@query()
+@query("SELECT doc_id, array_to_string(" + _CAMEL.replace("{t}", f"regexp_replace({_ONE_TAG.replace('{g}', ', ' + repr('g'))}, '^#', '')") + ", '|') AS words FROM documents")
 def camel_split(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(X.camel_split(X.without_hash(F.expr(_TAGS))), "|").alias("words"))
+    """Each whole text as one hashtag."""
+    tag = F.expr(_ONE_TAG.replace("{g}", "").replace("\\", "\\\\"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(X.camel_split(X.without_hash(tag)), "|").alias("words"))
 
 
 _COUNTS = (
@@ -242,9 +249,15 @@ _COUNTS = (
 )
 
 
+_DICTIONARIES: dict[tuple[str, str, int], str] = {}
+
+
 def _dictionary(spark, sf_dir, k=G.TOP):
-    texts = table(spark, sf_dir, "documents").select("text").union(table(spark, sf_dir, "benchmark").select("text"))
-    return G.top_words(G.word_counts(texts, "text"), k)
+    """Made once an application and kept in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, k)
+    if key not in _DICTIONARIES:
+        _DICTIONARIES[key] = fresh(spark, "banyan-dictionary")
+    return G.kept_dictionary(spark, _DICTIONARIES[key], lambda: table(spark, sf_dir, "documents").select("text").union(table(spark, sf_dir, "benchmark").select("text")), k)
 
 
 @query(f"WITH {_COUNTS} SELECT word, cnt FROM c ORDER BY cnt DESC, word LIMIT 500")
@@ -263,8 +276,12 @@ def word_cost(spark, sf_dir):
 
 @query()
 def hashtag_viterbi(spark, sf_dir):
+    """A hashtag of each two neighbouring words of the texts, each tag once."""
+    words = X.find_all(F.lower("text"), P.WORD)
+    pairs = X.bind(words, lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.lit(0), F.size(w) - 1)), F.slice(w, 2, F.size(w)), lambda a, b: F.concat(F.lit("#"), a, b)))
+    tags = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(pairs)).alias("tag")).distinct()
     segment = G.segmenter(_dictionary(spark, sf_dir))
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(segment(F.expr(_TAGS)), "|").alias("words"))
+    return tags.select("tag", F.array_join(segment(F.col("tag")), "|").alias("words"))
 
 
 @query(
@@ -275,14 +292,25 @@ def rebuild_hashtag(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.rebuild_hashtag(F.lit("#kept"), words, F.when(F.col("doc_id") % 3 == 0, "en").otherwise("bn")).alias("tag"))
 
 
-@query()
+def reassemble_sql(translated: str, tokens: str) -> str:
+    """The fold of protected tokens into a translation; the text so far goes along as an element's token."""
+    rtrim = lambda x: f"regexp_replace({x}, '\\s+$', '')"
+    camel = _CAMEL.replace("{t}", "x.token[2:]")
+    rebuilt = f"CASE WHEN len({camel}) = 0 THEN x.token ELSE concat('#', array_to_string(list_transform({camel}, lambda w: concat(upper(w[1]), w[2:])), '')) END"
+    own = f"list_transform(list_filter({tokens}, lambda x: x.kind IN ('hashtag', 'mention', 'url', 'emoji')), lambda x: {{'token': x.token, 'kind': x.kind, 'new': CASE WHEN x.kind = 'hashtag' THEN {rebuilt} ELSE '' END}})"
+    gone = f"CASE WHEN contains(a.token, x.token) THEN {rtrim('replace(a.token, x.token, ' + repr('') + ')')} ELSE a.token END"
+    step = f"CASE WHEN x.kind = 'hashtag' THEN concat({rtrim(gone)}, ' ', x.new) WHEN NOT contains(a.token, x.token) THEN concat({rtrim('a.token')}, ' ', x.token) ELSE a.token END"
+    return f"list_reduce(list_prepend({{'token': {translated}, 'kind': '', 'new': ''}}, {own}), lambda a, x: {{'token': {step}, 'kind': '', 'new': ''}}).token"
+
+
+@query(f"WITH {_D}, k AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN t ELSE lang END AS o, {tok('t')} AS k FROM d) SELECT doc_id, {reassemble_sql('o', 'k')} AS final FROM k")
 def reassemble(spark, sf_dir):
     """Against translations that keep some tokens and lose others; hashtags are rebuilt from their camel words."""
-    rows = decorated(spark, sf_dir).withColumn("tokens", X.tokenize(F.col("t")))
+    rows = decorated(spark, sf_dir).withColumn("tokens", X.protected(F.col("t")))
     tags = F.array_distinct(X.of_kind(F.col("tokens"), "hashtag"))
     rebuilt = F.map_from_entries(F.transform(tags, lambda t: F.struct(t, X.rebuild_hashtag(t, X.camel_split(X.without_hash(t)), F.lit("en")))))
     translated = F.when(F.col("doc_id") % 2 == 0, F.col("t")).otherwise(F.col("lang"))
-    return rows.select("doc_id", X.reassemble(F.col("tokens"), translated, rebuilt).alias("final"))
+    return rows.select("doc_id", X.bind(rebuilt, lambda m: X.reassemble(F.col("tokens"), translated, m)).alias("final"))
 
 
 _SAN = "trim(regexp_replace(replace(replace(replace(replace({c}, '<unk>', ''), '<pad>', ''), '<s>', ''), '</s>', ''), '\\s+', ' ', 'g'))"
@@ -293,12 +321,18 @@ def mt_pair_projection(spark, sf_dir):
     return C.translation_pairs(_unified(spark, sf_dir), "en2bn", order="id")
 
 
-@query("WITH a AS (SELECT text AS bn, row_number() OVER (ORDER BY doc_id) AS line_no FROM documents), b AS (SELECT text AS en, row_number() OVER (ORDER BY item_id) AS line_no FROM benchmark) SELECT line_no, trim(bn) AS bn, trim(en) AS en FROM a JOIN b USING (line_no) WHERE line_no % 2 = 0")
+@query("WITH a AS (SELECT text AS bn, row_number() OVER (ORDER BY doc_id) AS line_no FROM documents), b AS (SELECT text AS en, row_number() OVER (ORDER BY item_id) AS line_no FROM benchmark) SELECT line_no, trim(bn) AS bn, trim(en) AS en FROM a JOIN b USING (line_no)")
 def positional_zip_join(spark, sf_dir):
     a = by_number(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("bn")), "doc_id")
     b = by_number(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("en")), "item_id")
-    keep = b.where("line_no % 2 = 0").select("line_no")
-    return a.join(b, "line_no").join(keep, "line_no", "left_semi").select("line_no", F.trim("bn").alias("bn"), F.trim("en").alias("en"))
+    return a.join(b, "line_no").select("line_no", F.trim("bn").alias("bn"), F.trim("en").alias("en"))
+
+
+@query(f"WITH l AS (SELECT text, row_number() OVER (ORDER BY item_id) AS line_no FROM benchmark), s AS (SELECT line_no FROM l ORDER BY {_MD5.format(c='line_no')}, line_no LIMIT 25) SELECT line_no, text FROM l SEMI JOIN s USING (line_no)")
+def sampled_lines(spark, sf_dir):
+    """Lines whose number is in a sample of line numbers."""
+    lines = by_number(table(spark, sf_dir, "benchmark").select("item_id", "text"), "item_id").select("line_no", "text")
+    return lines.join(C.sample_n(lines.select("line_no"), 25, "line_no"), "line_no", "left_semi")
 
 
 def _candidates(spark, sf_dir):
@@ -376,7 +410,7 @@ _EDIT = "CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN t WHEN 2 THEN '' ELSE repl
     "SELECT doc_id, e IS NOT NULL AND len(lost) = 0 AND e <> '' AS edit_applied, e IS NULL OR len(lost) = 0 AS protected_tokens_preserved, CASE WHEN e IS NULL THEN 'unavailable' WHEN len(lost) > 0 THEN 'tokens_lost' WHEN e = '' THEN 'empty' END AS fallback, CASE WHEN e IS NULL THEN '' ELSE array_to_string(lost, '|') END AS missing FROM m"
 )
 def postedit_guard(spark, sf_dir):
-    x = decorated(spark, sf_dir).select("doc_id", "t", F.expr(_EDIT).alias("e"), X.protected_spans(X.tokenize(F.col("t"))).alias("p"))
+    x = decorated(spark, sf_dir).select("doc_id", "t", F.expr(_EDIT).alias("e"), X.protected_spans(F.col("t")).alias("p"))
     q = S.postedit(F.col("t"), F.col("e"), F.col("p"))
     return x.select("doc_id", q["edit_applied"].alias("edit_applied"), q["protected_tokens_preserved"].alias("protected_tokens_preserved"), q["fallback"].alias("fallback"), F.array_join(q["missing"], "|").alias("missing"))
 
@@ -414,27 +448,51 @@ def _modes(spark, sf_dir):
     return one.union(d.select(F.lit("full"), "doc_id", F.col("text"), F.col("text")))
 
 
-_PLAIN = "list_filter(string_split_regex(regexp_replace({c}, '[^A-Za-z0-9]+', ' ', 'g'), ' +'), lambda w: w <> '')"
+def t13a(c: str) -> str:
+    """The usual BLEU tokens, as a list."""
+    x = f"concat(' ', replace(replace({c}, '<skipped>', ''), chr(10), ' '), ' ')"
+    for a, b in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        x = f"replace({x}, '{a}', '{b}')"
+    for pattern, by in ((r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" \1 "), (r"([^0-9])([\.,])", r"\1 \2 "), (r"([\.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 ")):
+        x = f"regexp_replace({x}, '{pattern}', '{by}', 'g')"
+    return f"list_filter(string_split_regex({x}, '\\s+'), lambda w: w <> '')"
 
 
-def _bleu_sql() -> str:
+def _bleu_sql(end: str) -> str:
     grams = " UNION ALL ".join(f"SELECT doc_id, {n} AS n, unnest(list_transform(range(1, len(x) - {n - 2}), lambda i: array_to_string(x[i:i + {n - 1}], ' '))) AS g FROM {{t}}" for n in range(1, 5))
     return (
-        f"WITH h AS (SELECT doc_id, {_PLAIN.format(c=_HYP)} AS x FROM documents), r AS (SELECT doc_id, {_PLAIN.format(c='text')} AS x FROM documents), "
+        f"WITH h AS (SELECT doc_id, {t13a(_HYP)} AS x FROM documents), r AS (SELECT doc_id, {t13a('text')} AS x FROM documents), "
         f"hg AS (SELECT doc_id, n, g, count(*) AS c FROM ({grams.format(t='h')}) GROUP BY ALL), rg AS (SELECT doc_id, n, g, count(*) AS c FROM ({grams.format(t='r')}) GROUP BY ALL), "
-        "m AS (SELECT hg.n AS n, sum(least(hg.c, coalesce(rg.c, 0))) AS m, sum(hg.c) AS t FROM hg LEFT JOIN rg USING (doc_id, n, g) GROUP BY hg.n), l AS (SELECT (SELECT sum(len(x)) FROM h) AS hl, (SELECT sum(len(x)) FROM r) AS rl) "
-        "SELECT max(m) FILTER (n = 1)::BIGINT AS m1, max(m) FILTER (n = 4)::BIGINT AS m4, max(t) FILTER (n = 4)::BIGINT AS t4, any_value(hl)::BIGINT AS hyp_len, any_value(rl)::BIGINT AS ref_len, round(100 * CASE WHEN any_value(hl) < any_value(rl) THEN exp(1 - any_value(rl) / any_value(hl)) ELSE 1 END * exp(avg(ln(m / t))), 6) AS bleu FROM m, l"
-    )
+        "m AS (SELECT hg.n AS n, sum(least(hg.c, coalesce(rg.c, 0))) AS m, sum(hg.c) AS t FROM hg LEFT JOIN rg USING (doc_id, n, g) GROUP BY hg.n), l AS (SELECT (SELECT sum(len(x)) FROM h) AS hl, (SELECT sum(len(x)) FROM r) AS rl), "
+        "s AS (SELECT max(m) FILTER (n = 1)::BIGINT AS m1, max(m) FILTER (n = 4)::BIGINT AS m4, max(t) FILTER (n = 4)::BIGINT AS t4, any_value(hl)::BIGINT AS hyp_len, any_value(rl)::BIGINT AS ref_len, 100 * CASE WHEN any_value(hl) < any_value(rl) THEN exp(1 - any_value(rl) / any_value(hl)) ELSE 1 END * exp(avg(ln(m / t))) AS bleu FROM m, l) "
+    ) + end
 
 
-@query(_bleu_sql())
+@query(_bleu_sql("SELECT m1, m4, t4, hyp_len, ref_len, round(bleu, 6) AS bleu FROM s"))
 def bleu_corpus(spark, sf_dir):
-    plain = lambda c: F.filter(F.split(F.regexp_replace(c, "[^A-Za-z0-9]+", " "), " +"), lambda w: w != "")
-    counts = M.bleu_counts(_modes(spark, sf_dir).where("mode = 'single'"), "hyp", "ref", tokens=plain)
+    counts = M.bleu_counts(_modes(spark, sf_dir).where("mode = 'single'"), "hyp", "ref")
     return M.bleu(counts).select("m1", "m4", "t4", "hyp_len", "ref_len", F.round("bleu", 6).alias("bleu"))
 
 
-@query()
+def _chrf_sql() -> str:
+    """Of the mode whose texts differ; the other one's are equal, so its score is 100."""
+    letters = lambda c: f"regexp_replace({c}, '\\s+', '', 'g')"
+    mark = r"[!-/:-@\[-`{-~]"
+    words = lambda c: (
+        f"flatten(list_transform(list_filter(string_split_regex({c}, '\\s+'), lambda w: w <> ''), lambda w: CASE WHEN length(w) = 1 THEN [w] WHEN regexp_matches(w, '{mark}$') THEN [w[:-2], w[-1]] WHEN regexp_matches(w, '^{mark}') THEN [w[1], w[2:]] ELSE [w] END))"
+    )
+    gram = lambda k, n: f"SELECT doc_id, unnest(list_transform(range(1, len({k}) - {n - 2}), lambda i: hash({'substr(' + k + ', i, ' + str(n) + ')' if k[0] == 'c' else 'array_to_string(' + k + '[i:i + ' + str(n - 1) + '], chr(1))'}))) AS g FROM x"
+    one = lambda k, n: (
+        f"(SELECT sum(least(h.c, coalesce(r.c, 0))) AS m, sum(h.c) AS h, (SELECT sum(greatest(0, len({k}r) - {n - 1})) FROM x) AS r FROM (SELECT doc_id, g, count(*) AS c FROM ({gram(k + 'h', n)}) GROUP BY ALL) h LEFT JOIN (SELECT doc_id, g, count(*) AS c FROM ({gram(k + 'r', n)}) GROUP BY ALL) r USING (doc_id, g))"
+    )
+    orders = " UNION ALL ".join(f"SELECT * FROM {one(k, n)}" for k, n in [("c", n) for n in range(1, 7)] + [("w", 1), ("w", 2)])
+    return (
+        f"WITH x AS (SELECT doc_id, {letters(_HYP)} AS ch, {letters('text')} AS cr, {words(_HYP)} AS wh, {words('text')} AS wr FROM documents), o AS ({orders}), s AS (SELECT avg(m / h) AS p, avg(m / r) AS q FROM o) "
+        "SELECT 'single' AS mode, round(100 * 5 * p * q / (4 * p + q), 6) AS chrf FROM s UNION ALL SELECT 'full', 100.0"
+    )
+
+
+@query(_chrf_sql())
 def chrf_corpus(spark, sf_dir):
     return M.chrf(M.chrf_counts(_modes(spark, sf_dir), "hyp", "ref", "mode")).select("mode", F.round("chrf", 6).alias("chrf"))
 
@@ -445,42 +503,77 @@ def ter_corpus(spark, sf_dir):
     return M.ter(turns, "text", "parallel_text").select("edits", "ref_words", F.round("ter", 6).alias("ter"))
 
 
-@query()
+@query(_bleu_sql("SELECT 'bleu' AS metric, round(100 - bleu, 6) AS delta FROM s"))
 def mode_delta(spark, sf_dir):
     modes = _modes(spark, sf_dir)
     b = M.bleu(M.bleu_counts(modes, "hyp", "ref", "mode")).select("mode", F.lit("bleu").alias("metric"), F.col("bleu").alias("value"))
     return R.mode_delta(b, "full", "single").select("metric", F.round("delta", 6).alias("delta"))
 
 
-_CM = "concat('আমি ভালো আছি ', lang, ' ', source)"
-
-
-def _codemix_sql() -> str:
-    words = "string_split(w, ' ')"
+def codemix_sql(source: str, columns: str) -> str:
+    """source: SQL of rows with i, an id as text, and w, a text; new: w with some of its words in Latin letters, null if that changes nothing."""
+    bn = _BN_SQL[1].format(t="p").replace("lambda p:", "lambda q:").replace("c[p[1]]", "c[q[1]]").replace("length(p) = 2", "length(q) = 2").replace("s[p[2]]", "s[q[2]]").replace("o[p], p)", "o[q], q)")
     return (
-        f"WITH x AS (SELECT doc_id, {_CM} AS w FROM documents), {_BN_SQL[0]}, k AS (SELECT doc_id, w, list_transform(list_sort(list_transform(range(0, len({words})), lambda i: {{'d': md5(concat('42|', CAST(doc_id AS VARCHAR), '|', CAST(i AS VARCHAR))), 'i': i}}))[1:greatest(1, floor(len({words}) * 0.3)::INT)], lambda r: r.i) AS pick FROM x), "
-        f"n AS (SELECT doc_id, w, array_to_string(list_transform({words}, lambda p, i: CASE WHEN list_contains(pick, i - 1) THEN {_BN_SQL[1].format(t='p').replace('lambda p:', 'lambda q:').replace('c[p[1]]', 'c[q[1]]').replace('length(p) = 2', 'length(q) = 2').replace('s[p[2]]', 's[q[2]]').replace('o[p], p)', 'o[q], q)')} ELSE p END), ' ') AS new FROM k, c) SELECT doc_id, new AS mixed FROM n WHERE new <> w"
+        f"{_BN_SQL[0]}, cm1 AS (SELECT *, string_split_regex({_TRIM.replace('text', 'w')}, '\\s+') AS ws FROM ({source})), "
+        "cm2 AS (SELECT *, list_transform(range(0, len(ws)), lambda k: {'d': md5(concat('42|', i, '|', CAST(k AS VARCHAR))), 'k': k}) AS ds FROM cm1), cm3 AS (SELECT *, list_sort(ds)[greatest(1, floor(len(ws) * 0.3)::INT)] AS kth FROM cm2), "
+        f"cm4 AS (SELECT *, list_transform(range(1, len(ws) + 1), lambda k: {{'p': ws[k], 'y': ds[k] <= kth}}) AS marked FROM cm3), cm AS (SELECT {columns}, w, CASE WHEN len(ws) >= 3 THEN array_to_string(list_transform(marked, lambda z: CASE WHEN z.y AND regexp_matches(z.p, '[\\x{{0980}}-\\x{{09FF}}]') THEN {bn.replace('regexp_extract_all(p,', 'regexp_extract_all(z.p,')} ELSE z.p END), ' ') END AS new FROM cm4, c)"
     )
 
 
-@query(_codemix_sql())
+_CM = "concat('আমি ভালো আছি ', text)"
+
+
+@query("WITH " + codemix_sql(f"SELECT doc_id, CAST(doc_id AS VARCHAR) AS i, {_CM} AS w FROM documents", "doc_id") + " SELECT doc_id, new AS mixed FROM cm WHERE new <> w")
 def synthetic_codemix(spark, sf_dir):
     x = table(spark, sf_dir, "documents").select("doc_id", F.expr(_CM).alias("w"))
     return x.select("doc_id", C.code_mix(F.col("w"), F.col("doc_id")).alias("mixed")).where("mixed IS NOT NULL")
 
 
-@query()
+_AUGMENTED = (
+    f"SELECT i, w, rn FROM (SELECT i, w, row_number() OVER (ORDER BY md5(concat('42|', i)), i) AS rn, count(*) OVER () AS n FROM (SELECT concat('conversations_', conv_id, '-', turn) AS i, {_CM} AS w FROM pairs)) WHERE rn <= floor(n * CAST(0.08 AS DOUBLE))"
+)
+
+
+@query(f"WITH {_PAIRS}, " + codemix_sql(_AUGMENTED, "i, rn") + " SELECT concat(i, '_synthcm_', CAST(rn - 1 AS VARCHAR)) AS id, 'conversations+synthetic_codemix' AS source_dataset, new AS text, 'bn_en_mixed' AS text_lang, true AS is_synthetic FROM cm WHERE new <> w")
 def augmented_rows(spark, sf_dir):
     rows = _turn_pairs(spark, sf_dir).withColumn("text", F.concat(F.lit("আমি ভালো আছি "), "text"))
     unified = C.unify(rows, "conversations", F.concat_ws("-", "conv_id", "turn"), C.TRANSLATION, F.col("text"), "bn", F.col("parallel_text"), "en")
     return C.augment(unified).select("id", "source_dataset", "text", "text_lang", "is_synthetic")
 
 
-@query()
+#: Each document's language stands for one of the sets that the samples come from, the benchmark for the last.
+_SETS = {name: f"SELECT doc_id AS row_id, text FROM documents WHERE lang = '{x}'" for (name, *_), x in zip(C.PROXY_SAMPLES, ("en", "de", "fr", "es"), strict=False)} | {C.PROXY_SAMPLES[4][0]: "SELECT item_id AS row_id, text FROM benchmark"}
+_SAMPLES = " UNION ALL ".join(
+    f"SELECT * FROM (SELECT {k} AS k, row_id, text, '{name}' AS source_dataset, '{domain}' AS domain, '{language}' AS language_hint FROM ({_SETS[name]}) ORDER BY {_MD5.format(c='row_id')}, row_id LIMIT {n})" for k, (name, n, domain, language) in enumerate(C.PROXY_SAMPLES)
+)
+
+
+@query(f"WITH u AS ({_SAMPLES}) SELECT row_id, text, source_dataset, domain, language_hint FROM u WHERE {_VALID} QUALIFY row_number() OVER (PARTITION BY {_TRIM} ORDER BY k, row_id) = 1")
+def proxy_samples(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    sets = {name: (docs.where(F.col("lang") == x), "text", "doc_id") for (name, *_), x in zip(C.PROXY_SAMPLES, ("en", "de", "fr", "es"), strict=False)}
+    return C.proxy_set(sets | {C.PROXY_SAMPLES[4][0]: (table(spark, sf_dir, "benchmark"), "text", "item_id")})
+
+
+_OCR = "concat('আমি ভালো আছি | সে ভালো l ', {c7}, ' é  ', {c9}, ' x', {nl}, text)"
+_B = r"[\x{0980}-\x{09FF}]"
+#: The danda rule without look-arounds: the letter after a mark is taken along, so every other mark waits for a second pass.
+_DANDA = rf"regexp_replace({{t}}, '({_B})\s*[|Il1](?:\s*({_B}|$)|\s*(\s))', '\1।\2\3', 'g')".replace("{{t}}", "{t}")
+
+
+def _ocr_sql() -> str:
+    x = f"nfc_normalize({_OCR.format(c7='chr(7)', c9='chr(9)', nl='repeat(chr(10), 4)')})"
+    x = f"regexp_replace({x}, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g')"
+    for _ in range(2):
+        x = _DANDA.replace("{t}", x)
+    return f"SELECT doc_id, {_TRIM.replace('text', f'regexp_replace(regexp_replace({x}, {chr(39)}[ \\t]+{chr(39)}, {chr(39)} {chr(39)}, {chr(39)}g{chr(39)}), {chr(39)}\\n{{{{3,}}}}{chr(39)}, chr(10) || chr(10), {chr(39)}g{chr(39)})'.replace('{{', '{').replace('}}', '}'), 1)} AS clean FROM documents"
+
+
+@query(_ocr_sql())
 def ocr_cleanup_rules(spark, sf_dir):
     from .operators.ocr import clean_text
 
-    x = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("আমি ভালো আছি | সে ভালো l \x07 é  \t x\n\n\n\n"), "text").alias("t"))
+    x = table(spark, sf_dir, "documents").select("doc_id", F.expr(_OCR.format(c7="char(7)", c9="char(9)", nl="repeat(char(10), 4)")).alias("t"))
     return x.select("doc_id", clean_text(F.col("t")).alias("clean"))
 
 
@@ -516,10 +609,15 @@ def stream_dedupe_quota(spark, sf_dir):
 
 @query(f"SELECT doc_id, substr(sha256(text), 1, 16) AS image_hash, CASE WHEN {_GATE_L} IN ('bn', 'en') AND {_CONF} >= 0.5 THEN 'accepted' ELSE 'rejected' END AS routing_decision FROM documents")
 def gate_log_append(spark, sf_dir):
-    from .sources.sinks import decision_log
+    from .sources.sinks import append_log, decision_log
 
     x = table(spark, sf_dir, "documents").withColumns({"language": F.expr(f"CASE WHEN {_GATE_L} IN ('bn', 'en') AND {_CONF} >= 0.5 THEN {_GATE_L} ELSE 'unsupported' END")})
-    return decision_log(x.select("doc_id", F.col("text").cast("binary").alias("content"), "language"), "doc_id")
+    rows = decision_log(x.select("doc_id", F.col("text").cast("binary").alias("content"), "language"), "doc_id")
+    # two appends, as two runs would make
+    path = fresh(spark, "banyan-log")
+    for part in ("accepted", "rejected"):
+        append_log(rows.where(F.col("routing_decision") == part), path)
+    return spark.read.schema("doc_id long, image_hash string, routing_decision string, timestamp string").json(path).drop("timestamp")
 
 
 @query("SELECT c_custkey % 3 AS k, 'engine' || CAST(e AS VARCHAR) AS engine, count(*) AS cnt FROM customer, range(0, 3) AS r(e) GROUP BY ALL")
@@ -527,15 +625,34 @@ def engine_fan_out(spark, sf_dir):
     return R.fan_out(table(spark, sf_dir, "customer"), [f"engine{i}" for i in range(3)]).groupBy((F.col("c_custkey") % 3).alias("k"), "engine").agg(F.count("*").alias("cnt"))
 
 
-@query()
-def translate_quality(spark, sf_dir):
-    from .plans.translate import translate
+def _translate_sql(fast: bool) -> str:
+    """Engines that return their input: the one with the shortest name wins, and a round trip returns its text."""
+    slang = (
+        f"array_to_string(list_transform(regexp_extract_all(t, '{_W}+|[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]+'), lambda w: CASE WHEN m[lower(w)] IS NULL THEN w WHEN upper(w) = w AND lower(w) <> w THEN upper(m[lower(w)]) "
+        "WHEN upper(w[1]) = w[1] AND lower(w[1]) <> w[1] THEN concat(upper(m[lower(w)][1]), m[lower(w)][2:]) ELSE m[lower(w)] END), '')"
+    )
+    latin = f"array_to_string(list_transform(regexp_extract_all(n, '[A-Za-z]+|[^A-Za-z]+'), lambda p: CASE WHEN regexp_matches(p, '^[A-Za-z]') THEN array_to_string(list_transform(regexp_extract_all(p, '(?i){'|'.join(T.LATIN)}|.'), lambda x, i: coalesce(CASE WHEN i = 1 THEN f[lower(x)] END, r[lower(x)], x)), '') ELSE p END), '')"
+    words = lambda c: f"list_distinct(list_filter(string_split_regex({c}, '\\s+'), lambda w: w <> ''))"
+    share = f"CASE WHEN len({words('work')}) = 0 THEN 1.0 ELSE len(list_intersect({words('work')}, {words('pre')})) / len({words('work')})::DOUBLE END"
+    end = (
+        "SELECT doc_id AS id, pre AS translation, final, false AS low_confidence, 'nllb' AS winning_engine, 'skipped_fast_mode' AS qe_method, NULL::DOUBLE AS qe_score FROM z"
+        if fast
+        else "SELECT doc_id AS id, pre AS translation, final, pre IS NULL OR sim < 0.85 AS low_confidence, CASE WHEN pre IS NOT NULL THEN 'nllb' END AS winning_engine, CASE WHEN pre IS NULL THEN 'none' ELSE 'logprob_fallback' END AS qe_method, CASE WHEN pre IS NOT NULL THEN -4.0::DOUBLE END AS qe_score FROM z"
+    )
+    return (
+        f"WITH {_D}, m AS (SELECT {sql_map(T.SLANG)} AS m, {sql_map(T.LATIN)} AS r, {sql_map(T.FIRST_VOWELS)} AS f), n AS (SELECT doc_id, t, {slang} AS n FROM d, m), w AS (SELECT doc_id, t, CASE WHEN regexp_matches(n, '[A-Za-z]') AND NOT regexp_matches(n, '{_BN}') THEN {latin} ELSE n END AS work FROM n, m), "
+        f"p AS (SELECT *, nullif({_SAN.format(c='work')}, '') AS pre FROM w), y AS (SELECT *, {tok('t')} AS k, {share} AS sim FROM p), z AS (SELECT doc_id, pre, sim, CASE WHEN pre IS NOT NULL THEN {reassemble_sql('pre', 'k')} END AS final FROM y) "
+    ) + end
 
-    return translate(decorated(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("t").alias("text")), "bn2en")
 
+_SHOWN = ("id", "translation", "final", "low_confidence", "winning_engine", "qe_method", "qe_score")
 
-@query()
-def translate_fast(spark, sf_dir):
-    from .plans.translate import translate
 
-    return translate(decorated(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("t").alias("text")), "bn2en", fast_mode=True)
+@query(_translate_sql(False))
+def translate_quality(spark, sf_dir):
+    return translate(decorated(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("t").alias("text")), "bn2en").select(*_SHOWN)
+
+
+@query(_translate_sql(True))
+def translate_fast(spark, sf_dir):
+    return translate(decorated(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("t").alias("text")), "bn2en", fast_mode=True).select(*_SHOWN)

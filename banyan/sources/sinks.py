@@ -21,11 +21,13 @@ def splits(df: DataFrame, path: str) -> None:
 
 
 def decision_log(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows of the gate's log: keys, hash of the content, and whether the language was accepted."""
-    return df.select(*keys, X.image_hash(F.col("content")).alias("image_hash"), F.when(F.col("language").isin("bn", "en"), "accepted").otherwise("rejected").alias("routing_decision"))
+    """Rows of the gate's log: keys, hash of the content, whether the language was accepted, and the gate's columns that are there."""
+    more = [c for c in ("cleaned_text", "detected_language", "confidence", "fasttext_language", "bengali_unicode_ratio") if c in df.columns]
+    return df.select(*keys, X.image_hash(F.col("content")).alias("image_hash"), *more, F.when(F.col("language").isin("bn", "en"), "accepted").otherwise("rejected").alias("routing_decision"))
 
 
 def append_log(df: DataFrame, path: str) -> None:
+    """Rows with the time, after those that are there."""
     json_lines(df.withColumn("timestamp", X.utc_now()), path, "append")
 
 
@@ -38,6 +40,14 @@ def export_table(df: DataFrame, path: str) -> None:
 
 
 def snapshot(df: DataFrame, path: str) -> None:
-    """The whole as CSV and as JSON lines."""
-    df.write.mode("overwrite").options(header=True, quoteAll=False, escape='"').csv(f"{path}/csv")
+    """The whole as CSV, with a byte order mark before the header, and as JSON lines."""
+    marked = df.toDF("\ufeff" + df.columns[0], *df.columns[1:])
+    marked.write.mode("overwrite").options(header=True, quoteAll=False, escape='"').csv(f"{path}/csv")
     json_lines(df, f"{path}/json")
+
+
+def results_json(report: DataFrame, path: str) -> None:
+    """mode, metric and value of an evaluation as one JSON line a mode; a metric with an error has that instead."""
+    value = F.when(F.col("error").isNull(), F.to_json(F.struct("value"))).otherwise(F.to_json(F.struct("error"))) if "error" in report.columns else F.to_json(F.struct("value"))
+    by_mode = report.groupBy("mode").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", value.alias("result"))))).alias("metrics"))
+    json_lines(by_mode, path)

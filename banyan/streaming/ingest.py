@@ -2,27 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-
-
-def _shared(spark: SparkSession) -> str:
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="banyan-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/banyan-stream/{uuid.uuid4().hex}"
+from ..sources.sinks import snapshot
+from ..sources.storage import fresh, is_folder
 
 
 def file_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
-    """path: a file or a folder of files; as a pattern, since a stream takes a plain path for a folder."""
+    """path: a folder of files, or a file, which its folder's stream picks by name."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path[:-1]}[{path[-1]}]")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    path = path.rstrip("/")
+    if is_folder(spark, path):
+        return stream.parquet(path)
+    folder, _, name = path.rpartition("/")
+    return stream.option("pathGlobFilter", re.sub(r"([\\*?\[\]{}])", r"\\\1", name)).parquet(folder)
 
 
 def deduped(stream: DataFrame, key: str, event_time: str | None = None, horizon: str = "1 day") -> DataFrame:
@@ -37,39 +35,63 @@ def drain(stream: DataFrame, write_batch, checkpoint: str) -> None:
     stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def quota_batch(batch: DataFrame, kept: DataFrame | None, key: str, order: list, n: int) -> DataFrame:
-    """Rows of a batch that fit in what earlier batches left of each key's quota."""
+def quota_batch(batch: DataFrame, used: DataFrame | None, key: str, order: list, n: int) -> DataFrame:
+    """Rows of a batch that fit in what is left of each key's quota. used: rows that earlier batches took of each key."""
     from pyspark.sql.window import Window
 
     ranked = batch.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_rn") <= n)
-    if kept is None:
+    if used is None:
         return ranked.drop("_rn")
-    used = kept.groupBy(key).agg(F.count("*").alias("_used"))
-    return ranked.join(used, key, "left").where(F.col("_rn") + F.coalesce("_used", F.lit(0)) <= n).drop("_rn", "_used")
+    return ranked.join(used, key, "left").where(F.col("_rn") + F.coalesce("used", F.lit(0)) <= n).drop("_rn", "used")
 
 
 def ingest(spark: SparkSession, path: str, out: str, checkpoint: str, key: str, topic: str, n: int) -> None:
     """Files of path to a Parquet table: each key once over all batches and restarts, at most n rows a topic.
 
-    A batch writes to a folder of its own number, so one that runs again after a
-    failure replaces what it wrote.
+    A batch writes its rows, and the topics' counts so far, to folders of its own
+    number, so one that runs again after a failure replaces what it wrote; it
+    reads the last batch's counts and no rows.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         s = batch.sparkSession
-        earlier = [f"{out}/batch={k}" for k in range(number)]
-        kept = s.read.option("basePath", out).parquet(*earlier).select(key, topic) if earlier else None
-        quota_batch(batch, kept, topic, [F.col(key)], n).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        used = s.read.parquet(f"{out}_counts/batch={number - 1}") if number else None
+        rows = f"{out}/batch={number}"
+        quota_batch(batch, used, topic, [F.col(key)], n).write.mode("overwrite").parquet(rows)
+        taken = s.read.schema(batch.schema).parquet(rows).groupBy(topic).agg(F.count("*").alias("used"))
+        if used is not None:
+            taken = taken.unionByName(used).groupBy(topic).agg(F.sum("used").alias("used"))
+        taken.write.mode("overwrite").parquet(f"{out}_counts/batch={number}")
 
     drain(deduped(file_stream(spark, path), key), write, checkpoint)
 
 
 def stream_quota_counts(spark: SparkSession, path: str, key: str, topic: str, n: int) -> DataFrame:
-    base = _shared(spark)
+    base = fresh(spark, "banyan-stream")
     ingest(spark, path, f"{base}/out", f"{base}/checkpoint", key, topic, n)
     return spark.read.parquet(f"{base}/out").groupBy(topic).agg(F.count("*").alias("kept"))
 
 
+def snapshots(stream: DataFrame, out: str, checkpoint: str, rows: int = 40) -> None:
+    """All rows so far as CSV and JSON lines, written anew once so many are new, and at the end."""
+    spark = stream.sparkSession
+    state = {"new": 0}
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+        state["new"] += batch.sparkSession.read.parquet(f"{out}/rows/batch={number}").count()
+        if state["new"] >= rows:
+            flush(batch.sparkSession)
+
+    def flush(s: SparkSession) -> None:
+        snapshot(s.read.parquet(f"{out}/rows").drop("batch"), f"{out}/snapshot")
+        state["new"] = 0
+
+    drain(stream, write, checkpoint)
+    if state["new"]:
+        flush(spark)
+
+
 def log_stream(stream: DataFrame, out: str, checkpoint: str) -> None:
     """Appends decisions, with the time, to JSON lines."""
     stamped = stream.withColumn("timestamp", X.utc_now())
