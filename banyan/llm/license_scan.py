@@ -3,10 +3,12 @@
 Each notice of the list is split into ``errors + 1`` pieces; by the pigeonhole
 principle a text with a copy of at most ``errors`` edits holds one piece
 exactly.  Pieces are sought as exact substrings of the text's words joined by
-single spaces; around each find, the regex library matches the notice with
-bounded errors and gives span and edits.  A notice found adds its label; the
-score is 1.0 with a base phrase, else the best 1 - edits / length of a match,
-else 0.0.
+single spaces; a copy starts within ``errors`` bytes of the place that a find
+points to.  At each start of a word there, the regex library matches the notice
+with bounded errors up to an end of a word, and gives span and edits.  Of
+overlapping copies of a notice the one of fewest edits stays, then the first.  A
+notice found adds its label; the score is 1.0 with a base phrase, else the best
+1 - edits / length of a match, else 0.0.
 
 Null texts count as empty: no words, no labels, score 0.0.  Each row is scanned
 whole and by itself; repeated rows and further columns change nothing; an empty
@@ -15,6 +17,7 @@ table gives no rows.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -58,34 +61,48 @@ def pieces(n: Notice) -> list[tuple[int, str]]:
 
 class Searcher:
     def __init__(self, notices: tuple[Notice, ...] = NOTICES):
-        self.notices = [
-            (n, [(a, p.encode()) for a, p in pieces(n)], regex.compile(rb"(?<![^ ])(?:" + regex.escape(n.text.encode(), literal_spaces=True) + rb"){e<=" + str(n.errors).encode() + rb"}(?![^ ])", regex.BESTMATCH)) for n in notices
-        ]
+        pattern = lambda n: regex.compile(rb"(?:" + regex.escape(n.text.encode(), literal_spaces=True) + rb"){e<=" + str(n.errors).encode() + rb"}(?![^ ])", regex.BESTMATCH)
+        self.notices = [(n, n.text.encode(), [(a, p.encode()) for a, p in pieces(n)], pattern(n)) for n in notices]
+
+    def starts(self, line: bytes, parts: list[tuple[int, bytes]], errors: int) -> set[int]:
+        """Starts of words within errors of where a copy would start by one of its pieces."""
+        out: set[int] = set()
+        for a, p in parts:
+            at = line.find(p)
+            while at >= 0:
+                low, high = max(0, at - a - errors), at - a + errors
+                if not low:
+                    out.add(0)
+                s = line.find(b" ", max(0, low - 1), max(0, high)) + 1
+                while s:
+                    out.add(s)
+                    s = line.find(b" ", s, high) + 1
+                at = line.find(p, at + 1)
+        return out
+
+    def copies(self, line: bytes, n: Notice, text: bytes, parts: list[tuple[int, bytes]], pattern: regex.Pattern) -> list[tuple[int, int, int]]:
+        """(start, end, edits) of n's copies."""
+        found = []
+        for s in self.starts(line, parts, n.errors):
+            e = s + len(text)
+            if line.startswith(text, s) and (e == len(line) or line[e] == 32):
+                found.append((0, s, e))
+                continue
+            # up to an end of a word, so that the pattern's edge means the same as in the whole line
+            end = line.find(b" ", e + n.errors)
+            m = pattern.match(line, s, len(line) if end < 0 else end)
+            if m:
+                found.append((sum(m.fuzzy_counts), s, m.end()))
+        kept: list[tuple[int, int, int]] = []
+        for edits, a, b in sorted(found):
+            k = bisect.bisect_left(kept, (a,))
+            if (k == len(kept) or kept[k][0] >= b) and (not k or kept[k - 1][1] <= a):
+                kept.insert(k, (a, b, edits))
+        return kept
 
     def __call__(self, line: bytes) -> list[tuple[int, int, int, Notice]]:
-        """(start, end, edits, notice) of each place in line, the words joined by spaces; bytes, end exclusive."""
-        out = []
-        for n, parts, pattern in self.notices:
-            size, around = len(n.text), n.errors + 1
-            spans: list[list[int]] = []
-            for a, p in parts:
-                at = line.find(p)
-                while at >= 0:
-                    spans.append([max(0, at - a - around), at - a + size + around])
-                    at = line.find(p, at + 1)
-            merged: list[list[int]] = []
-            for a, b in sorted(spans):
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(b, merged[-1][1])
-                else:
-                    merged.append([a, b])
-            for a, b in merged:
-                # slices end between words, so that the pattern's edges mean the same as in the whole line
-                a = line.rfind(b" ", 0, a) + 1
-                b = line.find(b" ", b)
-                part = line[a : len(line) if b < 0 else b]
-                for m in pattern.finditer(part):
-                    out.append((a + m.start(), a + m.end(), sum(m.fuzzy_counts), n))
+        """(start, end, edits, notice) of each copy in line, the words joined by spaces; bytes, end exclusive."""
+        out = [(*x, n) for n, *rest in self.notices for x in self.copies(line, n, *rest)]
         return sorted(out, key=lambda x: (x[0], x[1], x[3].label))
 
 

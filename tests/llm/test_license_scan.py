@@ -1,4 +1,6 @@
+import random
 import re
+import time
 from collections import Counter
 
 from cases import frame, rows
@@ -38,8 +40,6 @@ def distance(a, b):
 
 
 def test_seeds_lose_no_match():
-    import random
-
     r, search = random.Random(7), s.Searcher()
     for n in s.NOTICES:
         for _ in range(20):
@@ -51,3 +51,58 @@ def test_seeds_lose_no_match():
             if distance(near, n.text) <= n.errors and near == " ".join(near.split()):
                 found = search(f"word {near} word".encode())
                 assert any(x[3] is n for x in found), (n, near)
+
+
+def spans_of(line, n):
+    """All (start, end, edits) of word-bounded parts of line within n's errors, by whole edit distances."""
+    starts = [0] + [i + 1 for i, c in enumerate(line) if c == " "]
+    ends = [i for i, c in enumerate(line) if c == " "] + [len(line)]
+    for a in starts:
+        for b in ends:
+            if abs(b - a - len(n.text)) <= n.errors and (d := distance(line[a:b], n.text)) <= n.errors:
+                yield a, b, d
+
+
+def test_spans_edits_and_score_against_brute_force(spark):
+    r, lines = random.Random(21), []
+    letters = "abcdefghilmnoprstu"
+    for _ in range(150):
+        parts = []
+        for _ in range(r.randint(1, 5)):
+            t = list(r.choice(s.NOTICES).text)
+            for _ in range(r.randint(0, 5)):
+                i = r.randrange(len(t))
+                t[i] = r.choice(["", r.choice(letters), t[i] + r.choice(letters), t[i] + " ", " "])
+            parts.append("".join(t))
+            parts += ["".join(r.choice(letters) for _ in range(r.randint(1, 5))) for _ in range(r.choice([0, 0, 1, 3]))]
+        lines.append(" ".join(" ".join(parts).split()))
+    search, n_found = s.Searcher(), 0
+    best = {}
+    for k, line in enumerate(lines):
+        found = search(line.encode())
+        near = []
+        for n in s.NOTICES:
+            got = sorted((a, b, e) for a, b, e, m in found if m is n)
+            every = set(spans_of(line, n))
+            # each is a span with its true distance, none overlap, and whatever is left out overlaps one that is as good
+            assert set(got) <= every, (line, n)
+            assert all(x[1] <= y[0] for x, y in zip(got, got[1:], strict=False))
+            for a, b, e in every:
+                assert any(x < b and a < y and d <= e for x, y, d in got), (line, n, (a, b, e), got)
+            near += [1 - e / len(n.text) for *_, e in got]
+            n_found += len(got)
+        best[k] = 1.0 if base(line)[1] else max(near, default=0.0)
+    assert n_found > 200
+    got = s.find_licenses(frame(spark, [(k, line, "en", "s", 1) for k, line in enumerate(lines)])).collect()
+    assert {x.doc_id: x.score for x in got} == best
+
+
+def test_dense_and_unbroken_texts_take_linear_time():
+    search = s.Searcher()
+    began = time.time()
+    dense = " ".join(n.text for n in s.NOTICES)
+    assert len(search(" ".join([dense] * 200).encode())) >= 200 * len(s.NOTICES)
+    search(("gnugeneralpubliclicense" * 20_000).encode())
+    search(("mit " * 100_000).encode())
+    search("permission is hereby granted frea of chargx ".encode() * 2000)
+    assert time.time() - began < 60
