@@ -9,9 +9,9 @@ without one rule), needs only bitwise work on the stored bits.
 Null texts count as empty: no words, no lines, every count zero, and ratios
 null, which fail no rule by themselves (``few_words`` fails).  Every row is
 judged by itself: repeated rows and ties get equal bits, an empty table gives
-no rows, and the input's other columns are never read.  A repeated window of
-eight words is found by a 64-bit hash of the words' 64-bit hashes within one
-text.
+no rows, and the input's other columns are never read.  Repeated windows of
+eight words are sought by hash within one text, and those whose hashes agree are
+compared by their words.
 """
 
 from __future__ import annotations
@@ -63,17 +63,20 @@ def _bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def _repeat_words(hashes: Column) -> Column:
-    """Words covered by windows that occur twice or more, from the windows' hashes in order."""
-    pairs = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+def _beside(s: Column, key: str) -> Column:
+    """Of sorted structs those whose key stands beside an equal one."""
+    return F.filter(s, lambda x, j: ((j > 0) & (x[key] == F.get(s, j - 1)[key])) | (x[key] == F.get(s, j + 1)[key]))
 
-    def places(s: Column) -> Column:
-        """Sorted places of the windows whose hash stands beside an equal one in the sorted pairs s."""
-        twice = F.filter(s, lambda x, j: ((j > 0) & (x["h"] == F.get(s, j - 1)["h"])) | (x["h"] == F.get(s, j + 1)["h"]))
-        return F.array_sort(F.transform(twice, lambda x: x["i"]))
 
+def _repeat_words(hashes: Column, words: Column) -> Column:
+    """Words covered by windows that occur twice or more, from the windows' hashes in order. Windows whose hashes agree are compared by their words."""
+    pairs = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    likely = _bind(F.array_sort(pairs), lambda s: _beside(s, "h"))
+    # words have no spaces, so joined windows are equal only if all words are
+    spelled = F.transform(likely, lambda x: F.struct(F.array_join(F.slice(words, x["i"] + 1, F.lit(WINDOW)), " ").alias("w"), x["i"].alias("i")))
+    places = _bind(F.array_sort(spelled), lambda s: F.array_sort(F.transform(_beside(s, "w"), lambda x: x["i"])))
     return F.aggregate(
-        _bind(F.array_sort(pairs), places),
+        places,
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(-WINDOW).alias("at")),
         lambda acc, i: F.struct((acc["n"] + F.least(F.lit(WINDOW), i - acc["at"])).alias("n"), i.alias("at")),
         lambda acc: acc["n"],
@@ -102,7 +105,7 @@ def measure(docs: DataFrame, *keep: Column) -> DataFrame:
     each = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)]))
     windows = F.when(F.col("n_words") >= WINDOW, _bind(F.col("_hashes"), each)).otherwise(F.array().cast("array<bigint>"))
     counted = hashed.withColumn("_windows", windows)
-    repeats = F.when(F.size(F.array_distinct("_windows")) == F.size("_windows"), F.lit(0).cast("long")).otherwise(_repeat_words(F.col("_windows")))
+    repeats = F.when(F.size(F.array_distinct("_windows")) == F.size("_windows"), F.lit(0).cast("long")).otherwise(_repeat_words(F.col("_windows"), F.col("_words")))
     return counted.select(*own, "doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", repeats.alias("n_repeat_words"))
 
 
