@@ -42,5 +42,7 @@ def mean_confidence(lines: Column) -> Column:
     return F.when(F.size(lines) > 0, F.aggregate(lines, F.lit(0.0), lambda a, x: a + x["confidence"]) / F.size(lines)).otherwise(0.0)
 
 
-def joined_text(lines: Column, engine: str) -> Column:
-    return F.array_join(F.transform(lines, lambda x: x["text"]), "\n" if engine == "paddleocr" else " ")
+def joined_text(lines: Column, engine: Column) -> Column:
+    """One line a line, but for engines whose lines are words."""
+    texts = F.transform(lines, lambda x: x["text"])
+    return F.when(engine == "paddleocr", F.array_join(texts, "\n")).otherwise(F.array_join(texts, " "))
