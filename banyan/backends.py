@@ -14,6 +14,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .functions import tables as T
+
 #: Frames in, frames out.
 Batches = Iterator[pd.DataFrame]
 Backend = Callable[[Batches], Batches]
@@ -106,6 +108,22 @@ def identity_engine(text: str, engine: str, beams: int = 2, samples: int = 2) ->
     return out
 
 
+def with_tags(engine: Callable[..., list[tuple[str, str, float | None]]], direction: str) -> Callable[..., list[tuple[str, str, float | None]]]:
+    """An engine that is given its codes of both languages before the text, and whose texts lose what models leave behind."""
+    languages = {"bn2en": ("bn", "en"), "en2bn": ("en", "bn")}[direction]
+
+    def f(text: str, name: str) -> list[tuple[str, str, float | None]]:
+        codes = T.ENGINE_CODES[name]
+        out = []
+        for found, method, score in engine(" ".join([*(codes[x] for x in languages), text]), name):
+            for mark in T.ARTIFACTS:
+                found = found.replace(mark, "")
+            out.append((" ".join(found.split()), method, score))
+        return out
+
+    return f
+
+
 def same_text(text: str, engine: str, direction: str) -> str:  # noqa: ARG001
     """A round trip that returns its input."""
     return text

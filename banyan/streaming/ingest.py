@@ -45,9 +45,12 @@ def quota_batch(batch: DataFrame, used: DataFrame | None, key: str, order: list,
     return ranked.join(used, key, "left").where(F.col("_rn") + F.coalesce("used", F.lit(0)) <= n).drop("_rn", "used")
 
 
-def ingest(spark: SparkSession, path: str, out: str, checkpoint: str, key: str, topic: str, n: int) -> None:
+def ingest(spark: SparkSession, path: str, out: str, checkpoint: str, key: str, topic: str, n: int, event_time: str | None = None, horizon: str = "1 day") -> None:
     """Files of path to a Parquet table: each key once over all batches and restarts, at most n rows a topic.
 
+    Without event_time the state holds every key that was ever seen; with it,
+    keys are forgotten once they are older than the horizon.
+
     A batch writes its rows, and the topics' counts so far, to folders of its own
     number, so one that runs again after a failure replaces what it wrote; it
     reads the last batch's counts and no rows.
@@ -63,7 +66,7 @@ def ingest(spark: SparkSession, path: str, out: str, checkpoint: str, key: str,
             taken = taken.unionByName(used).groupBy(topic).agg(F.sum("used").alias("used"))
         taken.write.mode("overwrite").parquet(f"{out}_counts/batch={number}")
 
-    drain(deduped(file_stream(spark, path), key), write, checkpoint)
+    drain(deduped(file_stream(spark, path), key, event_time, horizon), write, checkpoint)
 
 
 def stream_quota_counts(spark: SparkSession, path: str, key: str, topic: str, n: int) -> DataFrame:

@@ -29,14 +29,16 @@ def patient(fetch: Fetch, retries: int = 2, pause: float = 15.0) -> Fetch:
 
 
 class PagedReader(SimpleDataSourceStreamReader):
-    def __init__(self, fetch: Fetch, query: str, pages: int):
-        self.fetch, self.query, self.pages = fetch, query, pages
+    """pages: fetched a batch at most; rounds: the source ends after so many batches in a row without rows."""
+
+    def __init__(self, fetch: Fetch, query: str, pages: int, rounds: int = 6):
+        self.fetch, self.query, self.pages, self.rounds = fetch, query, pages, rounds
 
     def initialOffset(self) -> dict:
-        return {"cursor": "", "done": False}
+        return {"cursor": "", "done": False, "empty": 0}
 
     def read(self, start: dict):
-        rows, at, done = [], start["cursor"], start["done"]
+        rows, at, done, empty = [], start["cursor"], start["done"], start.get("empty", 0)
         for _ in range(self.pages):
             if done:
                 break
@@ -47,7 +49,8 @@ class PagedReader(SimpleDataSourceStreamReader):
             done = status in ("exhausted", "out_of_credits") or not following
             if status != "ok":
                 break
-        return iter(rows), {"cursor": at, "done": done}
+        empty = 0 if rows else empty + 1
+        return iter(rows), {"cursor": at, "done": done or empty >= self.rounds, "empty": empty}
 
     def readBetweenOffsets(self, start: dict, end: dict):
         """The same pages again after a failure."""

@@ -222,10 +222,15 @@ def test_paged_source(spark):
     pages = {"": ("ok", [("1",), ("2",)], "c1"), "c1": ("ok", [("3",)], "c2"), "c2": ("exhausted", [], "")}
     reader = paged.PagedReader(lambda q, c: pages[c], "q", 2)
     rows, at = reader.read(reader.initialOffset())
-    assert [*rows] == [("1",), ("2",), ("3",)] and at == {"cursor": "c2", "done": False}
+    assert [*rows] == [("1",), ("2",), ("3",)] and at == {"cursor": "c2", "done": False, "empty": 0}
     assert [*reader.readBetweenOffsets(reader.initialOffset(), at)] == [("1",), ("2",), ("3",)]
     rows, at = reader.read(at)
     assert [*rows] == [] and at["done"]
+    silent = paged.PagedReader(lambda q, c: ("ok", [], c + "x"), "q", 1, 2)
+    at = silent.initialOffset()
+    for done in (False, True):
+        _, at = silent.read(at)
+        assert at["done"] is done
     calls = []
     status, *_ = paged.patient(lambda q, c: calls.append(1) or ("rate_limited", [], c), 2, 0)("q", "")
     assert status == "rate_limited" and len(calls) == 3
