@@ -64,8 +64,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_harmonic_packing, op2_quality_ledger, quality_ablations, op3_context_tree_weighting, op4_canonical_digest, op5_secret_scan, op6_license_scan, op7_sentencepiece, op8_ftrl_toxicity, op9_simhash_vp_trees, op10_suffix_dedup)
 }
 
-ORACLES: dict[str, str] = {
-    "op2_quality_ledger": r"""
+#: The ledger of all documents, b.
+_LEDGER = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
@@ -80,6 +80,12 @@ m AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words
 b AS (SELECT *, CAST((CASE WHEN n_words < 20 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END)
         + (CASE WHEN word_chars < 2 * n_words OR word_chars > 20 * n_words THEN 4 ELSE 0 END)
         + (CASE WHEN 10 * n_symbols > n_words THEN 8 ELSE 0 END) + (CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 16 ELSE 0 END) AS BIGINT) AS fail_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 15) = 0 AS kept, fail_bits FROM b
-""",
+"""
+_RULES = ", ".join(f"({r.bit}, '{r.name}')" for r in quality.RULES)
+_POLICIES = ", ".join(f"('{p}', {quality.mask(p)})" for p in quality.POLICIES)
+
+ORACLES: dict[str, str] = {
+    "op2_quality_ledger": _LEDGER + "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 15) = 0 AS kept, fail_bits FROM b",
+    "quality_ablations": _LEDGER
+    + f", r(bit, rule) AS (VALUES {_RULES}), p(policy, m) AS (VALUES {_POLICIES}) SELECT policy, rule, count(*) FILTER (fail_bits >> bit & 1 = 1) AS failed, count(*) FILTER (fail_bits & m = 1 << bit) AS only, count(*) FILTER (fail_bits & m & ~(1 << bit) = 0) AS kept_without FROM b, r, p WHERE m >> bit & 1 = 1 GROUP BY policy, rule",
 }
