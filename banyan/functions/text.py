@@ -24,7 +24,7 @@ def find_all(text: Column, pattern: str, group: int = 0) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, rf"(?U)^\s++|{P.AT_END}", "")
 
 
 def is_valid(text: Column) -> Column:
@@ -211,7 +211,7 @@ def reassemble(tokens: Column, translated: Column, rebuilt: Column) -> Column:
     A hashtag's every occurrence goes and the rebuilt one comes last; mentions,
     URLs and emoji are appended where the text so far doesn't contain them.
     """
-    rstrip = lambda x: F.regexp_replace(x, r"(?U)\s+$", "")
+    rstrip = lambda x: F.regexp_replace(x, f"(?U){P.AT_END}", "")
 
     def step(acc: Column, t: Column) -> Column:
         token = t["token"]

@@ -155,3 +155,18 @@ def test_postedit(spark):
 def test_quality_table(spark, n, winner, applied, post_ok, pre_ok, want):
     q = S.quality(F.lit(n), F.lit(winner).cast("string"), F.lit("post"), F.lit("pre"), F.lit(applied), F.lit(post_ok), F.lit(pre_ok))
     assert tuple(spark.range(1).select(q["translation"].alias("t"), q["low_confidence"].alias("c")).first()) == want
+
+
+def test_very_long_texts(spark):
+    """Runs that would end the JVM's stack, or take quadratic time, with patterns that repeat a group or try each place of a run."""
+    import time
+
+    texts = ["hw" * 100_000, "1" * 200_000, "👩" + "‍💻" * 30_000, "👍" + "🏽" * 50_000, "x" + " " * 200_000 + "y", "#" * 100_000, "ক | " * 20_000, "A" * 100_000, "https://" * 20_000]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4)
+    c = F.col("t")
+    began = time.time()
+    every = [F.size(X.tokenize(c)), F.size(X.protected_spans(c)), F.length(X.normalize_slang(c)), F.length(X.latin_to_bn(c)), F.length(X.bn_to_latin(c)), F.size(X.camel_split(c)), F.length(X.sanitize(c)), F.length(X.ocr_rules(c)), F.length(X.strip(c))]
+    got = df.select("t", *every).collect()
+    assert len(got) == len(texts) and time.time() - began < 120
+    assert {len(r.t): r[1] for r in got}[200_000] == 1
+    assert on(spark, X.strip, " \n a  b 　") == "a  b" and on(spark, X.strip, "  ") == ""
