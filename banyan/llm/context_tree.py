@@ -10,14 +10,17 @@ bit's prediction trusts the node, else longer contexts.  Where training has not
 seen a longer context, the weights of the shorter ones are scaled to one.
 
 Counting: each task cuts its texts into chunks and sends each chunk's distinct
-(context, byte) grams, with their counts in training texts, in ``BUCKETS``
-parts: grams that agree in the two nearest context bytes share a bucket, and so
-do all longer contexts of a node.  So a bucket adds up its grams and holds the
-exact tree of its contexts of two bytes and more, one bit's nodes at a time;
-depths 0 and 1 (65,792 nodes at most) are put together on the driver.  Scoring
-goes the same way: each bucket gives every chunk the log probabilities of the
-chunk's own grams by the exact tree, and each chunk adds them up along its
-texts.  What is broadcast never grows, and no node is left out.
+(context, byte) grams, with their counts in training texts, in parts: grams that
+agree in the ``NEAR`` nearest context bytes share a bucket, and so do all longer
+contexts of a node.  Buckets grow with the number of chunks.  Each bucket adds up
+its grams as they come, so a task holds distinct grams only, and keeps them as
+the exact tree of its contexts of ``NEAR`` bytes and more.  Shallower nodes, at
+most 16.7 million (60,000 of them in half a gigabyte of text), are put together
+on the driver and sent to all tasks.  Scoring goes the same way: the chunks' own
+grams pass by their bucket's tree, in runs of bounded size, and get their log
+probabilities by it; each chunk adds them up along its texts.  The rows of one
+bucket are dealt to several tasks where there are many chunks, so a frequent
+context fills none.  No node is left out.
 
 Base: log10 of (c + 0.5) / (N + 0.5 (V + 1)) per token.  Tokens of a count over
 N / ``HEAVY``, fewer than ``HEAVY``, are broadcast; all others are joined by a
@@ -31,9 +34,9 @@ table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -46,12 +49,17 @@ from pyspark.sql import functions as F
 from . import common
 
 DEPTH = 5
-BUCKETS = 1024
+#: Nearest context bytes that a bucket's grams share, and the number of buckets at least and at most.
+NEAR, BUCKETS, MOST = 3, 1024, 65_536
+#: Chunks whose grams of a bucket go to one task at most.
+TOGETHER = 2048
 HEAVY = 1 << 18
 #: Bytes of text of a chunk, unless one text has more, and of a row that holds texts of it.
-CHUNK, PART = 16_000_000, 1_000_000
+CHUNK, PART = 8_000_000, 1_000_000
 #: Bytes of text that a task turns into grams at once, and entries that it holds before it sends them on.
-SLICE, HELD = 2_000_000, 2_000_000
+SLICE, HELD = 1_000_000, 1_000_000
+#: Words whose hashes a worker keeps.
+WORDS = 200_000
 END = b"\n"
 LOWEST = -(1 << 63)
 MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -76,6 +84,22 @@ def token_hash(word: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+class Hashes(dict):
+    """token_hash of words, kept for short ones up to a number."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = token_hash(word)
+        if len(word) <= 32 and len(self) < WORDS:
+            self[word] = h
+        return h
+
+
+def hashed(words: list[list[bytes]], hashes: Hashes) -> np.ndarray:
+    """Hashes of the words of texts, each text's end after its own."""
+    n = sum(map(len, words)) + len(words)
+    return np.fromiter(map(hashes.__getitem__, itertools.chain.from_iterable((*w, b"") for w in words)), np.int64, n)
+
+
 def grams(sequences: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(gram, number of its sequence) of all bytes of the sequences in order, in slices; a gram's lowest byte is the coded one, context above."""
     pad = END * depth
@@ -88,11 +112,13 @@ def grams(sequences: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.n
         owner = np.repeat(np.arange(len(parts)), sizes)
         at = np.arange(len(owner)) + (starts - (np.cumsum(sizes) - sizes))[owner]
         for a in range(0, len(at), SLICE):
-            where = at[a : a + SLICE]
-            g = np.zeros(len(where), np.uint64)
-            for j in range(depth, -1, -1):
-                g = (g << np.uint64(8)) | x[where - j]
-            yield g, owner[a : a + SLICE] + first
+            # grams at all places of the stretch first, without a look-up a byte
+            where = at[a : a + SLICE] - depth
+            low, n = int(where[0]), int(where[-1] - where[0]) + 1
+            g = np.zeros(n, np.uint64)
+            for j in range(depth + 1):
+                g = (g << np.uint64(8)) | x[low + j : low + j + n]
+            yield g[where - low], owner[a : a + SLICE] + first
 
     size = first = 0
     for k, s in enumerate(sequences):
@@ -123,10 +149,12 @@ def expand(x: bytes, size: int) -> bytes:
 
 def planes(x: np.ndarray) -> bytes:
     """Integers squeezed byte place by byte place."""
-    return squeeze(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
+    return squeeze(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
 
 
 def unplanes(x: bytes, m: int, dtype: type) -> np.ndarray:
+    if not m:
+        return np.zeros(0, dtype)
     width = np.dtype(dtype).itemsize
     return np.ascontiguousarray(np.frombuffer(expand(x, m * width), np.uint8).reshape(width, m).T).view(dtype).reshape(m)
 
@@ -141,20 +169,31 @@ def added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nda
     return keys, np.bincount(of, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
 
 
-def count(docs: DataFrame, depth: int) -> DataFrame:
+def near(depth: int) -> int:
+    return min(NEAR, depth)
+
+
+def buckets_for(docs: DataFrame) -> int:
+    """More buckets for more text, by the square root: their number times that of chunks is the rows' number."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    return int(min(MOST, max(BUCKETS, 32 * math.sqrt(size / CHUNK))))
+
+
+def count(docs: DataFrame, depth: int, buckets: int = BUCKETS) -> DataFrame:
     """Rows of three kinds: 't' a token's key and its count n in training rows, to be added up; 'g' a chunk's m distinct grams of a bucket and
     their counts in training rows; 'd' n documents of a chunk, their sequences (m bytes) and their keys."""
     schema = pa.schema([("kind", pa.string()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("m", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens: Counter[bytes] = Counter()
+        hashes, tokens = Hashes(), []
         chunk = (TaskContext.get().partitionId() << 32) - 1
         held: list[tuple[bytes, int, int, bool, bool]] = []
-        size = 0
+        size = n_tokens = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            none = pa.nulls(len(tokens))
-            yield common.batch(schema, ["t"] * len(tokens), *(none.cast(schema.field(k).type) for k in (1, 2, 3)), [token_hash(w) for w in tokens], list(tokens.values()), none.cast(pa.binary()), none.cast(pa.binary()))
+            keys, n = np.unique(np.concatenate([np.zeros(0, np.int64), *tokens]), return_counts=True)
+            none = pa.nulls(len(keys))
+            yield common.batch(schema, ["t"] * len(keys), *(none.cast(schema.field(k).type) for k in (1, 2, 3)), keys, n, none.cast(pa.binary()), none.cast(pa.binary()))
             tokens.clear()
 
         def documents() -> Iterator[pa.RecordBatch]:
@@ -177,23 +216,23 @@ def count(docs: DataFrame, depth: int) -> DataFrame:
             if not found:
                 return
             keys, n = added(found)
-            pair = keys >> np.uint64(8 * (depth - 1))
-            bucket = ((pair * MULT) >> np.uint64(32)) % np.uint64(BUCKETS)
+            nearest = keys >> np.uint64(8 * (depth + 1 - near(depth)))
+            bucket = ((nearest * MULT) >> np.uint64(32)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
             keys, n, bucket = keys[order], n[order], bucket[order].astype(np.int32)
             starts = np.flatnonzero(np.diff(bucket, prepend=-1))
             rows = []
             for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
                 rows.append((int(bucket[a]), b - a, planes(np.diff(keys[a:b], prepend=np.uint64(0))), planes(n[a:b])))
-            buckets, ms, ks, ns = zip(*rows, strict=True)
-            yield common.batch(schema, ["g"] * len(rows), [chunk] * len(rows), buckets, ms, [None] * len(rows), [None] * len(rows), ks, ns)
+            own, ms, ks, ns = zip(*rows, strict=True)
+            yield common.batch(schema, ["g"] * len(rows), [chunk] * len(rows), own, ms, [None] * len(rows), [None] * len(rows), ks, ns)
 
         for b in batches:
             for text, i, k, t in zip(common.texts(b), *(b.column(c).to_pylist() for c in ("doc_id", "k", "t")), strict=True):
                 words, trains = words_of(text), is_training(i)
                 if trains:
-                    tokens.update(words)
-                    tokens[b""] += 1
+                    tokens.append(hashed([words], hashes))
+                    n_tokens += len(words)
                 s = sequence(words)
                 if not held or size + len(s) > CHUNK:
                     if held:
@@ -203,8 +242,9 @@ def count(docs: DataFrame, depth: int) -> DataFrame:
                     chunk += 1
                 held.append((s, k, t, i is None, trains))
                 size += len(s)
-            if len(tokens) > 400_000:
+            if n_tokens > HELD:
                 yield from flush()
+                n_tokens = 0
         yield from distinct()
         yield from documents()
         yield from flush()
@@ -280,49 +320,55 @@ def levels(nodes: np.ndarray, n0: np.ndarray, n1: np.ndarray, deepest: int, leas
 
 
 class Top:
-    """Depths 0 and 1, dense: weighted estimates of bit 1 so far, their weights' sum (tiny, but not 0, where longer contexts are far better), and what is left."""
+    """The nodes of less than near bytes, sorted: weighted estimates of bit 1 so far, their weights' sum (tiny, but not 0, where longer contexts are far better), and what is left."""
 
-    def __init__(self, nodes: np.ndarray, n0: np.ndarray, n1: np.ndarray, longer: np.ndarray | None):
-        self.mix, self.used, self.left = (np.zeros((2, 1 << 16)) for _ in range(3))
+    def __init__(self, nodes: np.ndarray, n0: np.ndarray, n1: np.ndarray, longer: np.ndarray | None, near: int):
+        self.depths: list[tuple[np.ndarray, ...]] = []
+        self.near = near
         if not len(nodes):
             return
-        found = levels(nodes.astype(np.uint64), n0, n1, 1, 0, longer)
-        at0, a, b, trust, _, _ = found[0]
-        i = at0.astype(np.int64)
-        self.mix[0, i], self.used[0, i], self.left[0, i] = trust * (b + 0.5) / (a + b + 1), trust, 1 - trust
-        at1, a, b, trust, _, _ = found[1]
-        i, up = at1.astype(np.int64), at1.astype(np.int64) & 255
-        self.mix[1, i] = self.mix[0, up] + self.left[0, up] * trust * (b + 0.5) / (a + b + 1)
-        self.used[1, i], self.left[1, i] = self.used[0, up] + self.left[0, up] * trust, self.left[0, up] * (1 - trust)
-
-    def predict(self, node: np.ndarray) -> np.ndarray:
-        """Of bit 1, at nodes of depth 1, by the deepest that was seen."""
-        d1, d0 = (1, node.astype(np.int64)), (0, node.astype(np.int64) & 255)
-        with np.errstate(invalid="ignore"):
-            one, none = self.mix[d1] / self.used[d1], self.mix[d0] / self.used[d0]
-        return np.where(self.used[d1] > 0, one, np.where(self.used[d0] > 0, none, 0.5))
+        found = levels(nodes.astype(np.uint64), n0, n1, near - 1, 0, longer)
+        for d in range(near):
+            at, a, b, trust, _, up = found[d]
+            mix, used, left = (x[up] for x in self.depths[-1][1:]) if d else (0.0, 0.0, 1.0)
+            self.depths.append((at, mix + left * trust * (b + 0.5) / (a + b + 1), used + left * trust, left * (1 - trust)))
+
+    def state(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the deepest nodes, which must be there."""
+        at, *values = self.depths[-1]
+        i = np.searchsorted(at, nodes)
+        return tuple(x[i] for x in values)
+
+    def predict(self, nodes: np.ndarray) -> np.ndarray:
+        """Of bit 1, at nodes of the deepest contexts here, by the longest that was seen."""
+        out = np.full(len(nodes), 0.5)
+        todo = np.arange(len(nodes))
+        for d in range(len(self.depths) - 1, -1, -1):
+            at, mix, used, _ = self.depths[d]
+            x = shorter(nodes[todo], d)
+            i = np.minimum(np.searchsorted(at, x), len(at) - 1)
+            hit = at[i] == x
+            out[todo[hit]] = mix[i[hit]] / used[i[hit]]
+            todo = todo[~hit]
+        return out
 
 
 def predictions(keys: np.ndarray, n: np.ndarray, top: Top, depth: int, j: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By depth from 2: all nodes of bit j of the grams, sorted, and their predictions of bit 1."""
+    """By depth from near: all nodes of bit j of the grams, sorted, and their predictions of bit 1."""
     out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     if not len(keys):
         return out
-    found = levels(*bit_nodes(keys, n, j), depth, 2)
-    for d in range(2, depth + 1):
+    found = levels(*bit_nodes(keys, n, j), depth, top.near)
+    for d in range(top.near, depth + 1):
         nodes, n0, n1, trust, _, of = found[d]
-        if d == 2:
-            i = shorter(nodes, 1).astype(np.int64)
-            before, above, rest = top.mix[1, i], top.used[1, i], top.left[1, i]
-        else:
-            before, above, rest = mix[of], used[of], left[of]
+        before, above, rest = top.state(shorter(nodes, d - 1)) if d == top.near else (mix[of], used[of], left[of])
         mix, used, left = before + rest * trust * (n1 + 0.5) / (n0 + n1 + 1), above + rest * trust, rest * (1 - trust)
         out[d] = (nodes, mix / used)
     return out
 
 
 class Model:
-    """What scoring needs: the dense top and each bit's predictions, of which one is used at a time. Probabilities of a byte depend on its context alone and sum to one."""
+    """What scoring needs: the shallow nodes and each bit's predictions, of which one is used at a time. Probabilities of a byte depend on its context alone and sum to one."""
 
     def __init__(self, top: Top, bits: Iterable[dict[int, tuple[np.ndarray, np.ndarray]]], depth: int):
         self.top, self.bits, self.depth = top, bits, depth
@@ -334,7 +380,7 @@ class Model:
             wanted = node_of(keys, j)
             p = np.empty(len(keys))
             todo = np.arange(len(keys))
-            for d in range(self.depth, 1, -1):
+            for d in range(self.depth, self.top.near - 1, -1):
                 if d not in found:
                     continue
                 nodes, ps = found[d]
@@ -343,7 +389,7 @@ class Model:
                 hit = nodes[at] == x
                 p[todo[hit]] = ps[at[hit]]
                 todo = todo[~hit]
-            p[todo] = self.top.predict(shorter(wanted[todo], 1))
+            p[todo] = self.top.predict(shorter(wanted[todo], self.top.near - 1))
             p = np.clip(p, 1e-6, 1 - 1e-6)
             total += np.log10(np.where(bit_of(keys, j), p, 1 - p))
         return total
@@ -374,58 +420,119 @@ class Lookup:
         return self.values[at]
 
 
-def bucket_grams(t: pa.Table, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct grams of a bucket's rows, and their counts; 0 for those that no training text has."""
+def summed(batches: Iterable[pa.RecordBatch], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of rows of kind g that training texts have, and their counts; batches come one by one."""
     held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
     size = 0
-    for m, a, b in zip(*(t.column(c).to_pylist() for c in ("m", "a", "b")), strict=True):
-        held.append((grams_in(a, m, depth), unplanes(b, m, np.int64)))
-        size += m
-        if size > HELD + 2 * len(held[0][0]):
-            held, size = [added(held)], 0
-    return added(held)
+    for t in batches:
+        for m, a, b in zip(*(t.column(c).to_pylist() for c in ("m", "a", "b")), strict=True):
+            keys, n = np.cumsum(unplanes(a, m, np.uint64), dtype=np.uint64), unplanes(b, m, np.int64)
+            held.append((keys[n > 0], n[n > 0]))
+            size += m
+            if size > HELD + 2 * len(held[0][0]):
+                held, size = [added(held)], 0
+    keys, n = added(held)
+    return nearest_first(keys, depth), n
+
+
+def in_order(keys: np.ndarray, n: np.ndarray, depth: int) -> tuple[bytes, bytes]:
+    """Columns a and b of grams and counts."""
+    keys = nearest_first(keys, depth)
+    order = np.argsort(keys)
+    return planes(np.diff(keys[order], prepend=np.uint64(0))), planes(n[order])
+
+
+def merged(rows: DataFrame, depth: int) -> DataFrame:
+    """bucket, m, a and b: the grams of all rows of a bucket added up. Rows of many chunks are added up by parts first."""
+    schema = pa.schema([("bucket", pa.int32()), ("m", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
+
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, n = summed(batches, depth)
+        yield common.batch(schema, [key[0].as_py()], [len(keys)], *([x] for x in in_order(keys, n, depth)))
 
+    return rows.select("bucket", "part", "m", "a", "b").groupBy("bucket", "part").applyInArrow(add, "bucket int, m int, a binary, b binary")
 
-def top_of(counts: DataFrame, depth: int) -> Top:
-    top_schema = pa.schema([("node", pa.int32()), ("n0", pa.float64()), ("n1", pa.float64()), ("w", pa.float64())])
 
-    def two(t: pa.Table) -> pa.Table:
-        keys, n = bucket_grams(t, depth)
-        keys, n = keys[n > 0], n[n > 0]
-        parts: list[tuple] = [((),) * 4]
+def trees(grams_of: DataFrame, parts: int, depth: int) -> DataFrame:
+    """bucket, m, a and b, the grams of training texts; and their sums at the nodes above: node, n0, n1, w (arrays)."""
+    schema = pa.schema([("bucket", pa.int32()), ("m", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("node", pa.list_(pa.int32())), *((c, pa.list_(pa.float64())) for c in ("n0", "n1", "w"))])
+    least = near(depth)
+
+    def build(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, n = summed(batches, depth)
+        above: list[tuple] = [((),) * 4]
         for j in range(8) if len(keys) else ():
-            nodes, n0, n1, _, weighted, _ = levels(*bit_nodes(keys, n, j), depth, 2)[2]
-            up, of = np.unique(shorter(nodes, 1), return_inverse=True)
-            parts.append((up.astype(np.int32), *(np.bincount(of, x, len(up)) for x in (n0, n1, weighted))))
-        return pa.Table.from_arrays([pa.array(np.concatenate(c), f.type, safe=False) for c, f in zip(zip(*parts, strict=True), top_schema, strict=True)], schema=top_schema)
+            nodes, n0, n1, _, weighted, _ = levels(*bit_nodes(keys, n, j), depth, least)[least]
+            up, of = np.unique(shorter(nodes, least - 1), return_inverse=True)
+            above.append((up.astype(np.int32), *(np.bincount(of, x, len(up)) for x in (n0, n1, weighted))))
+        sums = [np.concatenate(c) for c in zip(*above, strict=True)]
+        yield common.batch(schema, [key[0].as_py()], [len(keys)], *([x] for x in in_order(keys, n, depth)), [sums[0].astype(np.int32)], *([x] for x in sums[1:]))
+
+    rows = grams_of.withColumn("part", F.pmod("chunk", F.lit(parts)))
+    if parts > 1:
+        rows = merged(rows, depth)
+    return rows.select("bucket", "m", "a", "b").groupBy("bucket").applyInArrow(build, "bucket int, m int, a binary, b binary, node array<int>, n0 array<double>, n1 array<double>, w array<double>")
 
-    summed = counts.where("kind = 'g'").select("bucket", "m", "a", "b").groupBy("bucket").applyInArrow(two, "node int, n0 double, n1 double, w double").groupBy("node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "w")])
-    found = summed.orderBy("node").toArrow()
-    return Top(*(found.column(c).to_numpy() for c in ("node", "n0", "n1", "w")))
+
+def top_of(built: DataFrame, depth: int) -> Top:
+    each = built.select(F.inline(F.arrays_zip("node", "n0", "n1", "w")))
+    found = each.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "w")]).orderBy("node").toArrow()
+    return Top(*(found.column(c).to_numpy() for c in ("node", "n0", "n1", "w")), near(depth))
 
 
 def build(counts: DataFrame, depth: int = DEPTH) -> tuple[Top, list[dict[int, tuple[np.ndarray, np.ndarray]]]]:
     """The whole model of count()'s rows on one machine, for tables that are small enough; score() never holds it."""
     if not 2 <= depth <= 6:
         raise ValueError("depth must be from 2 to 6")
-    top = top_of(counts, depth)
-    keys, n = bucket_grams(counts.where("kind = 'g'").select("m", "a", "b").toArrow(), depth)
-    return top, [predictions(keys[n > 0], n[n > 0], top, depth, j) for j in range(8)]
+    built = trees(counts.where("kind = 'g'"), 1, depth)
+    top = top_of(built, depth)
+    keys, n = summed(built.select("m", "a", "b").toArrow().to_batches(), depth)
+    return top, [predictions(keys, n, top, depth, j) for j in range(8)]
+
 
+def gram_logs(grams_of: DataFrame, built: DataFrame, top: Top, parts: int, depth: int) -> DataFrame:
+    """kind 'g', chunk, m, n, a and b: each chunk's grams of a bucket, and in b their log10 by the exact tree, single precision.
 
-def gram_logs(counts: DataFrame, top: Top, depth: int) -> DataFrame:
-    """kind 'g', chunk, m, n, a and b: each chunk's grams of a bucket, and in b their log10 by the exact tree, single precision."""
+    A task reads a bucket's tree first and then the chunks' rows, some at a time.
+    """
     schema = pa.schema([("kind", pa.string()), ("chunk", pa.int64()), ("m", pa.int32()), ("n", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
-    shared = counts.sparkSession.sparkContext.broadcast(top)
+    shared = grams_of.sparkSession.sparkContext.broadcast(top)
 
-    def f(t: pa.Table) -> pa.Table:
-        keys, n = bucket_grams(t, depth)
-        seen = n > 0
-        logs = Model(shared.value, (predictions(keys[seen], n[seen], shared.value, depth, j) for j in range(8)), depth).compute(keys).astype(np.float32)
-        of = [logs[np.searchsorted(keys, grams_in(a, m, depth))].tobytes() for m, a in zip(t.column("m").to_pylist(), t.column("a").to_pylist(), strict=True)]
-        return pa.Table.from_arrays([pa.array(["g"] * len(t)), t.column("chunk"), t.column("m"), pa.nulls(len(t), pa.int64()), t.column("a"), pa.array(of, pa.binary())], schema=schema)
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        tree, at, held, size = none, None, [], 0
 
-    return counts.where("kind = 'g'").select("bucket", "chunk", "m", "a", "b").groupBy("bucket").applyInArrow(f, "kind string, chunk long, m int, n long, a binary, b binary")
+        def answer() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            every = [grams_in(a, m, depth) for _, m, a in held]
+            keys, of = np.unique(np.concatenate(every), return_inverse=True)
+            logs = Model(shared.value, (predictions(*tree, shared.value, depth, j) for j in range(8)), depth).compute(keys).astype(np.float32)[of]
+            ends = np.cumsum([m for _, m, _ in held]).tolist()
+            values = [logs[x:y].tobytes() for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+            yield common.batch(schema, ["g"] * len(held), *([r[c] for r in held] for c in (0, 1)), pa.nulls(len(held), pa.int64()), [a for _, _, a in held], values)
+
+        for t in batches:
+            for bucket, part, chunk, m, a, b in zip(*(t.column(c).to_pylist() for c in ("bucket", "part", "chunk", "m", "a", "b")), strict=True):
+                if (bucket, part) != at:
+                    yield from answer()
+                    tree, at, held, size = none, (bucket, part), [], 0
+                if chunk is None:
+                    keys, n = np.cumsum(unplanes(a, m, np.uint64), dtype=np.uint64), unplanes(b, m, np.int64)
+                    tree = (nearest_first(keys, depth), n)
+                    continue
+                held.append((chunk, m, a))
+                size += m
+                if size > max(HELD, 2 * len(tree[0])):
+                    yield from answer()
+                    held, size = [], 0
+        yield from answer()
+
+    none = F.lit(None)
+    own = built.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), none.cast("long").alias("chunk"), "m", "a", "b")
+    rows = grams_of.select("bucket", F.pmod("chunk", F.lit(parts)).alias("part"), "chunk", "m", "a", none.cast("binary").alias("b"))
+    # null comes first: the tree before the chunks
+    return own.union(rows).repartition("bucket", "part").sortWithinPartitions("bucket", "part", "chunk").mapInArrow(f, "kind string, chunk long, m int, n long, a binary, b binary")
 
 
 def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -433,25 +540,17 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     if not 2 <= depth <= 6:
         raise ValueError("depth must be from 2 to 6")
     spark = docs.sparkSession
-    counts = common.cut(count(docs, depth))
+    counts = common.cut(count(docs, depth, buckets_for(docs)))
     of_tokens = common.cut(counts.where("kind = 't' and n > 0").groupBy(F.col("key").alias("h")).agg(F.sum("n").alias("c")))
     total, kinds = of_tokens.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     spread = math.log10(total + 0.5 * (kinds + 1))
-    heavy = {r.h: r.c for r in of_tokens.where(F.col("c") > F.lit(total / HEAVY)).collect()}
-    shared = spark.sparkContext.broadcast(heavy)
+    heavy = of_tokens.where(F.col("c") > F.lit(total / HEAVY)).orderBy("h").toArrow()
+    shared = spark.sparkContext.broadcast(tuple(heavy.column(c).to_numpy() for c in ("h", "c")))
     row_schema = pa.schema([("k", pa.int64()), ("t", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("size", pa.int64()), ("hs", pa.list_(pa.int64())), ("ns", pa.list_(pa.int32()))])
 
     def f(t: pa.Table) -> pa.Table:
-        heavy = shared.value
-
-        class Hash(dict):
-            def __missing__(self, word: bytes) -> int:
-                h = token_hash(word)
-                if len(self) < 200_000:
-                    self[word] = h
-                return h
-
-        hashes = Hash()
+        frequent, their = shared.value
+        hashes = Hashes()
         held, parts = [], []
         for kind, m, n, a, b in zip(*(t.column(c).to_pylist() for c in ("kind", "m", "n", "a", "b")), strict=True):
             if kind == "g":
@@ -465,37 +564,35 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
             text, keys = expand(a, m), np.frombuffer(expand(b, n * 32), np.int64).reshape(n, 4)
             ends = np.cumsum(keys[:, 3])
             sequences = [text[x:y] for x, y in zip((ends - keys[:, 3]).tolist(), ends.tolist(), strict=True)]
-            rows = []
-            for s in sequences:
-                words = s.split()
-                known, base, hs, ns = 0, 0.0, [], []
-                for w, c in Counter(words).items():
-                    h = hashes[w]
-                    seen = heavy.get(h)
-                    if seen is None:
-                        hs.append(h), ns.append(c)
-                    else:
-                        known += c
-                        base += c * math.log10(seen + 0.5)
-                h = hashes[b""]
-                if h in heavy:
-                    known += 1
-                    base += math.log10(heavy[h] + 0.5)
-                else:
-                    hs.append(h), ns.append(1)
-                rows.append((len(words) + 1, known, base, hs, ns))
+            words = [s.split() for s in sequences]
+            n_tokens = np.fromiter(map(len, words), np.int64, n) + 1
+            # each document's distinct tokens, in order, and how often it has them
+            kinds, of = np.unique(hashed(words, hashes), return_inverse=True)
+            pairs, times = np.unique(np.repeat(np.arange(n), n_tokens) * len(kinds) + of, return_counts=True)
+            owner, of = np.divmod(pairs, len(kinds))
+            at = np.minimum(np.searchsorted(frequent, kinds), max(0, len(frequent) - 1))
+            seen = frequent[at] == kinds if len(frequent) else np.zeros(len(kinds), bool)
+            log = np.log10(np.where(seen, their[at] if len(frequent) else 0, 0) + 0.5)
+            here = seen[of]
+            known = np.bincount(owner[here], times[here], n).astype(np.int64)
+            base = np.bincount(owner[here], times[here] * log[of[here]], n)
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(owner[~here], minlength=n))]).astype(np.int32)
+            lists = (pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in (kinds[of[~here]], times[~here].astype(np.int32)))
             totals = np.zeros(n)
-            for g, owner in grams(sequences, depth):
-                totals += np.bincount(owner, logs(g), n)
-            n_tokens, known, base, hs, ns = zip(*rows, strict=True)
+            for g, whose in grams(sequences, depth):
+                totals += np.bincount(whose, logs(g), n)
             ids = pa.array(keys[:, 0], pa.int64(), mask=keys[:, 2].astype(bool))
-            out.append(common.batch(row_schema, pa.array(keys[:, 0]), pa.array(keys[:, 1]), ids, n_tokens, known, base, totals, pa.array(keys[:, 3]), hs, ns))
+            out.append(common.batch(row_schema, pa.array(keys[:, 0]), pa.array(keys[:, 1]), ids, n_tokens, known, base, totals, pa.array(keys[:, 3]), *lists))
         return pa.Table.from_batches(out, row_schema)
 
     texts = counts.where("kind = 'd'").select("kind", "chunk", "m", "n", "a", "b")
-    parts = texts.unionByName(gram_logs(counts, top_of(counts, depth), depth))
-    rows = common.cut(parts.groupBy("chunk").applyInArrow(f, "k long, t long, doc_id long, n_tokens long, known long, base double, score double, size long, hs array<long>, ns array<int>"))
+    grams_of = counts.where("kind = 'g'").select("bucket", "chunk", "m", "a", "b")
+    parts = 1 + texts.agg(F.count_distinct("chunk")).first()[0] // TOGETHER
+    built = common.cut(trees(grams_of, parts, depth))
+    logs = gram_logs(grams_of, built, top_of(built, depth), parts, depth)
+    rows = common.cut(texts.unionByName(logs).groupBy("chunk").applyInArrow(f, "k long, t long, doc_id long, n_tokens long, known long, base double, score double, size long, hs array<long>, ns array<int>"))
     common.drop(counts)
+    common.drop(built)
     # one row of those that are wholly equal stands for all
     light = rows.select("k", "t", F.explode(F.arrays_zip("hs", "ns")).alias("x")).select("k", "t", F.col("x.hs").alias("h"), F.col("x.ns").alias("n"))
     rest = light.join(of_tokens, "h", "left").groupBy("k", "t").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rest"))

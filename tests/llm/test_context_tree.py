@@ -97,14 +97,18 @@ def test_scores(spark, monkeypatch, heavy):
         assert g.score == pytest.approx(tree, rel=3e-3, abs=0.05)
 
 
-def test_every_node_scores(spark, monkeypatch):
+@pytest.mark.parametrize("depth", [2, 4, 5])
+def test_every_node_scores(spark, monkeypatch, depth):
     monkeypatch.setattr(ct, "CHUNK", 3000, raising=False)
     monkeypatch.setattr(ct, "PART", 1000, raising=False)
+    # runs of few grams, and buckets dealt to several tasks
+    monkeypatch.setattr(ct, "HELD", 500)
+    monkeypatch.setattr(ct, "TOGETHER", 2)
     r = random.Random(3)
     data = [(i, " ".join(f"{r.getrandbits(64):x}" for _ in range(12)) + " the same words", "en", "s", 1) for i in range(60)] + rows()[40:52]
-    brute = Brute(data, 4)
+    brute = Brute(data, depth)
     by = lambda x: (x[0] is None, x[0] or 0, x[1], x[2])
-    got = sorted(((x.doc_id, x.n_tokens, x.score) for x in ct.score(frame(spark, data), 4).collect()), key=by)
+    got = sorted(((x.doc_id, x.n_tokens, x.score) for x in ct.score(frame(spark, data), depth).collect()), key=by)
     want = sorted(((i, len(w) + 1, brute.log10(w)) for i, w in sequences(data)), key=by)
     assert len(got) == len(want)
     for g, w in zip(got, want, strict=True):
