@@ -36,6 +36,9 @@ ARROW = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
 #: Scripts whose letters, numbers and spaces are the same in every Unicode version since 3.2; a text with others is
 #: left to the tokenizers library as a whole.
 STABLE = "\x00-ȠΑ-ΡΣ-ώА-яঅ-ঌা-ৄ‐-‧ぁ-ゔ一-龥가-힣"
+#: UTF-8 bytes of white space in those scripts; the BPE library's pattern overflows its stack on very long runs of it.
+SPACES = bytes(32 if c in b"\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\xc2" else 120 for c in range(256))
+LONG_RUN = b" " * 1000
 #: A worker keeps the ids of so many words, of so many characters at most.
 CACHE, KEEP = 400_000, 48
 
@@ -81,7 +84,8 @@ class Encoder:
         self.special = [x.content for x in self.whole.get_added_tokens_decoder().values()]
 
     def __call__(self, text: str) -> bytes:
-        if (not text.isascii() and self.other(text)) or any(x in text for x in self.special):
+        odd = (not text.isascii() and self.other(text)) or any(x in text for x in self.special)
+        if odd or (len(text) >= len(LONG_RUN) and LONG_RUN in text.encode().translate(SPACES)):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if self.runs(text):
             return np.array(self.ordinary(text), "<u4").tobytes()

@@ -93,6 +93,15 @@ def test_classes():
     assert rows(p.finish()) == [(4, 6, 24, 3, 0, 0), (5, 128, 8, 3, 24, 0), (5, 136, 16, 4, 0, 0), (5, 152, 8, 5, 0, 0), (6, 0, 4, 6, 0, 0), (6, 4, 1, 7, 0, 0)]
 
 
+def test_very_long_texts_without_spaces_or_words():
+    import random
+
+    e, r = packing.encoder(), random.Random(6)
+    for t in ["a" * 300_000, "".join(r.choice("abcdé") for _ in range(200_000)), " " * 300_000, "x" + "\n" * 300_000 + "y", " \n\t" * 100_000, "\xa0" * 100_000, "\x85 " * 50_000 + "z", "!" * 200_000, "漢" * 100_000, "ab " * 100_000]:
+        assert np.frombuffer(e(t), "<u4").tolist() == e.whole.encode(t, add_special_tokens=False).ids
+    assert max(map(len, e.words), default=0) <= packing.KEEP
+
+
 def test_ids_equal_the_librarys():
     import random
 
