@@ -88,4 +88,18 @@ ORACLES: dict[str, str] = {
     "op2_quality_ledger": _LEDGER + "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 15) = 0 AS kept, fail_bits FROM b",
     "quality_ablations": _LEDGER
     + f", r(bit, rule) AS (VALUES {_RULES}), p(policy, m) AS (VALUES {_POLICIES}) SELECT policy, rule, count(*) FILTER (fail_bits >> bit & 1 = 1) AS failed, count(*) FILTER (fail_bits & m = 1 << bit) AS only, count(*) FILTER (fail_bits & m & ~(1 << bit) = 0) AS kept_without FROM b, r, p WHERE m >> bit & 1 = 1 GROUP BY policy, rule",
+    # windows as hexadecimal text, told by their MD5
+    "op10_suffix_dedup": """
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT *, length(h) // 2 AS n_bytes FROM d),
+w AS (SELECT r, i, md5(substr(h, 2 * i + 1, 400)) AS g FROM n, unnest(range(0, n_bytes - 199)) AS t(i)),
+twice AS (SELECT g FROM w GROUP BY g HAVING count(*) > 1),
+hit AS (SELECT r, i FROM w SEMI JOIN twice USING (g)),
+fresh AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM hit),
+runs AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS k FROM fresh) GROUP BY r, k),
+of AS (SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends FROM runs GROUP BY r)
+SELECT doc_id, n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(starts) + 1), lambda k: substr(h, 2 * coalesce(ends[k], 0) + 1, 2 * (coalesce(starts[k + 1], n_bytes) - coalesce(ends[k], 0)))), '') END)) AS kept_sha256
+FROM n LEFT JOIN of USING (r)
+""",
 }
