@@ -55,9 +55,9 @@ from . import common
 LENGTH = 200
 GRAM = 32
 #: Bytes of distinct segments that a shard should have.
-SHARD_BYTES = 4_000_000
+SHARD_BYTES = 1_000_000
 #: Bytes of distinct segments of an anchor that is split, or one in so many of all bytes.
-HOT_BYTES, HOT_SHARE = 16_000_000, 1 << 20
+HOT_BYTES, HOT_SHARE = 2_000_000, 1 << 20
 LOWEST = -(1 << 63)
 #: Odd multipliers of the rolling hash: fixed, as equal texts must get equal anchors in all tasks.
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
