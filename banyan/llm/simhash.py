@@ -129,14 +129,15 @@ class Tree:
         return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
-def links(homes: np.ndarray, visitors: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each visitor with homes within radius: its index, and the indexes of those."""
+def links(homes: np.ndarray, visitors: np.ndarray, radius: int, at_home: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """For each visitor with homes within radius: its index, and the indexes of those. at_home: visitors that are homes; they need a further one."""
+    least = np.zeros(len(visitors), np.int64) if at_home is None else at_home.astype(np.int64)
 
     def brute(h: np.ndarray, v: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         for a in range(0, len(v), 256):
             part = v[a : a + 256]
             near = np.bitwise_count(visitors[part][:, None] ^ homes[h][None, :]) <= radius
-            for r in np.flatnonzero(near.sum(1)):
+            for r in np.flatnonzero(near.sum(1) > least[part]):
                 yield int(part[r]), h[near[r]]
 
     def search(h: np.ndarray, v: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -156,28 +157,31 @@ def links(homes: np.ndarray, visitors: np.ndarray, radius: int) -> Iterator[tupl
     return search(np.arange(len(homes)), np.arange(len(visitors)))
 
 
-def forest(homes: np.ndarray, visitors: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(child, root) of a spanning forest over the links; visitors hold the homes too and have no repeats."""
-    order = np.argsort(visitors)
-    place = order[np.searchsorted(visitors, homes, sorter=order)]
-    parent = list(range(len(visitors)))
+def forest(visitors: np.ndarray, at_home: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(child, root) of a spanning forest over the links of visitors, which have no repeats, with those of them that are homes. Only what has links takes more than a few bytes."""
+    place = np.flatnonzero(at_home)
+    parent: dict[int, int] = {}
 
     def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
-
-    label = np.arange(len(visitors))
-    for v, near in links(homes, visitors, radius):
+        root = i
+        while (up := parent.get(root, root)) != root:
+            root = up
+        while i != root:
+            parent[i], i = root, parent.get(i, i)
+        return root
+
+    label = np.arange(len(visitors), dtype=np.int32)
+    for v, near in links(visitors[place], visitors, radius, at_home):
         # label is a root of some time before: a few different ones stand for many neighbours
         for i in np.unique(label[place[near]]).tolist():
             a, b = find(v), find(i)
             if a != b:
                 parent[max(a, b)] = min(a, b)
         label[place[near]] = label[v] = find(v)
-    roots = np.fromiter((find(i) for i in range(len(parent))), np.int64, len(parent))
-    child = np.flatnonzero(roots != np.arange(len(roots)))
-    return visitors[child], visitors[roots[child]]
+    child = np.array(list(parent), np.int64)
+    roots = np.array([find(i) for i in child.tolist()], np.int64)
+    own = roots != child
+    return visitors[child[own]], visitors[roots[own]]
 
 
 def _sample(fps: DataFrame, share: float) -> DataFrame:
@@ -272,7 +276,7 @@ def hamming_links(fps: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> Dat
 
     def shard(t: pa.Table) -> pa.Table:
         x = t.column("fp").to_numpy().view(np.uint64)
-        child, root = forest(x[t.column("home").to_numpy(zero_copy_only=False)], x, radius)
+        child, root = forest(x, t.column("home").to_numpy(zero_copy_only=False), radius)
         return pa.Table.from_arrays([pa.array(a.view(np.int64)) for a in (child, root)], schema=link_schema)
 
     return fps.mapInArrow(route, "leaf int, fp long, home boolean").groupBy("leaf").applyInArrow(shard, "u long, v long")
