@@ -107,14 +107,19 @@ def code_mix(text: Column, id_col: Column, share: float = 0.3, seed: int = 42) -
     mixed = lambda w: X.bind(F.transform(w, lambda x, i: digest(i)), lambda ds: X.bind(last(ds), lambda k: chosen(w, ds, k)))
 
     new = X.bind(words, lambda w: F.when(F.size(w) >= 3, mixed(w)))
-    return F.when(new != text, new)
+    return X.bind(new, lambda n: F.when(n != text, n))
+
+
+def where_known(column: Column) -> Column:
+    """A generator of the column's value where it isn't null: unlike a filter on it, which would be moved below and compute it twice."""
+    return F.explode(F.array_compact(F.array(column)))
 
 
 def augment(df: DataFrame, fraction: float = 0.08, seed: int = 42) -> DataFrame:
     """Synthetic code-mixed rows from a fraction of Bengali translation rows in the unified schema; ids count sampled rows, skipped ones included."""
     eligible = df.where((F.col("pair_type") == TRANSLATION) & (F.col("text_lang") == "bn"))
     sampled = by_digest(eligible, [], seed, "id", "_rn", "_n").where(F.col("_rn") <= F.floor(F.col("_n") * F.lit(fraction)))
-    new = sampled.withColumn("_new", code_mix(F.col("text"), F.col("id"), seed=seed)).where("_new is not null")
+    new = sampled.select("*", where_known(code_mix(F.col("text"), F.col("id"), seed=seed)).alias("_new"))
     return new.withColumns({
         "id": F.concat(F.col("id"), F.lit("_synthcm_"), (F.col("_rn") - 1).cast("string")), "source_dataset": F.concat(F.col("source_dataset"), F.lit("+synthetic_codemix")),
         "text": F.col("_new"), "text_lang": F.lit("bn_en_mixed"), "is_code_mixed": F.lit(True), "is_synthetic": F.lit(True),

@@ -52,16 +52,15 @@ def clipped(ids: np.ndarray, owner: np.ndarray, is_ref: np.ndarray, rows: int, o
             inside = last < len(ids)
             inside[inside] = text[at[inside]] == text[last[inside]]
             at, gram = at[inside], gram[inside]
-            if bits + width + rows.bit_length() > 62:
-                # numbered anew, so that a gram and a row fit in 64 bits
+            if bits + width + rows.bit_length() > 61:
+                # numbered anew, so that a gram, a row and a side fit in 64 bits
                 gram = np.unique(gram, return_inverse=True)[1]
                 bits = max(1, int(gram.max(initial=0)).bit_length())
             gram, bits = gram << width | ids[at + n - 1], bits + width
-        key = owner[at] << bits | gram
-        ref = is_ref[at]
-        (h, nh), (r, nr) = (np.unique(key[x], return_counts=True) for x in (~ref, ref))
-        both, i, j = np.intersect1d(h, r, assume_unique=True, return_indices=True)
-        out.append(np.bincount(both >> bits, np.minimum(nh[i], nr[j]), rows).astype(np.int64))
+        # equal n-grams of a row stand together, the hypothesis' before the reference's
+        key, times = np.unique((owner[at] << bits | gram) << 1 | is_ref[at], return_counts=True)
+        both = np.flatnonzero(key[1:] >> 1 == key[:-1] >> 1)
+        out.append(np.bincount(key[both] >> (bits + 1), np.minimum(times[both], times[both + 1]), rows).astype(np.int64))
     return out
 
 

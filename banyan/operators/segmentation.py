@@ -40,36 +40,44 @@ def word_costs(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     return joined.select("word", cost.alias("cost"))
 
 
-def viterbi(word: str, counts: dict[str, int], total: int, longest: int = LONGEST) -> list[str]:
+def costs_of(counts: dict[str, int]) -> tuple[dict[str, float], float]:
+    """Each word's cost, and what an unseen word costs besides 2 a code point."""
+    total = sum(counts.values()) or 1
+    return {w: math.log(total / n) for w, n in counts.items() if n}, math.log(total)
+
+
+def viterbi(word: str, costs: dict[str, float], unseen: float, longest: int = LONGEST) -> list[str]:
     """The cheapest split of word; of equal ones, that with the longest last word."""
-    unit = math.log(total)
-    costs, cuts = [0.0], [0]
+    low = word.lower()
+    whole = len(low) == len(word)
+    best, cuts = [0.0], [0]
     for end in range(1, len(word) + 1):
-        options = []
+        least, cut = math.inf, 0
         for start in range(max(0, end - longest), end):
-            part = word[start:end]
-            n = counts.get(part.lower())
-            options.append((costs[start] + (math.log(total / n) if n else unit + 2 * len(part)), start))
-        cost, start = min(options)
-        costs.append(cost)
-        cuts.append(start)
+            part = low[start:end] if whole else word[start:end].lower()
+            cost = costs.get(part)
+            cost = best[start] + (unseen + 2 * (end - start) if cost is None else cost)
+            if cost < least:
+                least, cut = cost, start
+        best.append(least)
+        cuts.append(cut)
     parts, end = [], len(word)
     while end:
-        parts.insert(0, word[cuts[end] : end])
+        parts.append(word[cuts[end] : end])
         end = cuts[end]
-    return parts
+    return parts[::-1]
 
 
 def segmenter(dictionary: DataFrame):
     """Column function from hashtags to words; the dictionary, TOP words at most, goes to all workers once."""
     rows = top_words(dictionary).collect()
     counts = {r.word: r.cnt for r in rows}
-    shared = dictionary.sparkSession.sparkContext.broadcast((counts, sum(counts.values()) or 1))
+    shared = dictionary.sparkSession.sparkContext.broadcast(costs_of(counts))
 
     @F.pandas_udf("array<string>")
     def by_cost(tags: pd.Series) -> pd.Series:
-        counts, total = shared.value
-        return tags.map(lambda t: None if t is None else viterbi(t, counts, total))
+        costs, unseen = shared.value
+        return tags.map(lambda t: None if t is None else viterbi(t, costs, unseen))
 
     def segment(tag: Column) -> Column:
         raw = X.without_hash(tag)

@@ -526,7 +526,7 @@ _CM = "concat('আমি ভালো আছি ', text)"
 @query("WITH " + codemix_sql(f"SELECT doc_id, CAST(doc_id AS VARCHAR) AS i, {_CM} AS w FROM documents", "doc_id") + " SELECT doc_id, new AS mixed FROM cm WHERE new <> w")
 def synthetic_codemix(spark, sf_dir):
     x = table(spark, sf_dir, "documents").select("doc_id", F.expr(_CM).alias("w"))
-    return x.select("doc_id", C.code_mix(F.col("w"), F.col("doc_id")).alias("mixed")).where("mixed IS NOT NULL")
+    return x.select("doc_id", C.where_known(C.code_mix(F.col("w"), F.col("doc_id"))).alias("mixed"))
 
 
 _AUGMENTED = (

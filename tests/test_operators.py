@@ -85,7 +85,7 @@ def test_segmentation(spark):
     tags = ["#IWasHappyBefore", "#", "#mydayout", "loveday", None, "#zz"]
     got = {r.t: r.w for r in spark.createDataFrame([(t,) for t in tags], "t string").select("t", segment(F.col("t")).alias("w")).collect()}
     assert got["#IWasHappyBefore"] == ["I", "Was", "Happy", "Before"] and got["#"] == [] and got["#mydayout"] == ["my", "day", "out"] and got["loveday"] == ["love", "day"]
-    assert G.viterbi("ab", {}, 1) == ["ab"] and "".join(G.viterbi("q" * 45, {}, 1)) == "q" * 45
+    assert G.viterbi("ab", *G.costs_of({})) == ["ab"] and "".join(G.viterbi("q" * 45, *G.costs_of({}))) == "q" * 45 and G.viterbi("İab", *G.costs_of({"ab": 1})) == ["İ", "ab"]
 
 
 def test_fidelity(spark):
