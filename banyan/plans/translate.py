@@ -200,9 +200,8 @@ def translate(df: DataFrame, direction: str, options: Options | None = None, fas
     )
 
 
-#: Lines of the panel: what stands before a value, and the value; a line without a value is left out.
 def panel(df: DataFrame, fast_mode: bool = False) -> DataFrame:
-    """Adds panel: the result's lines as Markdown."""
+    """Adds panel: the result's lines as Markdown, each a label and a value; a line without a value is left out."""
     # The labels of the lines.
     direction = F.when(F.col("direction") == "bn2en", "Bengali → English").when(F.col("direction") == "en2bn", "English → Bengali").otherwise("—")
     number = lambda c, none: F.coalesce(F.format_number(c, 3), F.lit(none))
