@@ -34,9 +34,9 @@ def kept_dictionary(spark: SparkSession, path: str, texts, k: int = TOP) -> Data
 
 def word_costs(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     """word and cost of words: log(total / count), or log(total) + 2 a code point if unseen."""
-    total = dictionary.agg(F.coalesce(F.nullif(F.sum("cnt"), F.lit(0)), F.lit(1)).alias("total"))
-    joined = words.withColumn("_low", F.lower("word")).join(dictionary.withColumnRenamed("word", "_low"), "_low", "left").crossJoin(F.broadcast(total))
-    cost = F.when(F.col("cnt").isNull(), F.log("total") + 2 * F.length("word")).otherwise(F.log(F.col("total") / F.col("cnt")))
+    total = dictionary.agg(F.sum("cnt")).first()[0] or 1
+    joined = words.withColumn("_low", F.lower("word")).join(dictionary.withColumnRenamed("word", "_low"), "_low", "left")
+    cost = F.when(F.col("cnt").isNull(), F.lit(math.log(total)) + 2 * F.length("word")).otherwise(F.log(F.lit(total) / F.col("cnt")))
     return joined.select("word", cost.alias("cost"))
 
 
