@@ -129,15 +129,16 @@ class Tree:
         return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
-def links(homes: np.ndarray, visitors: np.ndarray, radius: int, at_home: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
-    """For each visitor with homes within radius: its index, and the indexes of those. at_home: visitors that are homes; they need a further one."""
-    least = np.zeros(len(visitors), np.int64) if at_home is None else at_home.astype(np.int64)
+def links(homes: np.ndarray, visitors: np.ndarray, radius: int, others: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+    """For each visitor with homes within radius: its index, and the indexes of those. others: leaves out visitors that meet none but themselves."""
 
     def brute(h: np.ndarray, v: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        # a visitor may be a home in another part of the search
+        own = np.isin(visitors[v], homes[h]) if others else np.zeros(len(v), bool)
         for a in range(0, len(v), 256):
             part = v[a : a + 256]
             near = np.bitwise_count(visitors[part][:, None] ^ homes[h][None, :]) <= radius
-            for r in np.flatnonzero(near.sum(1) > least[part]):
+            for r in np.flatnonzero(near.sum(1) > own[a : a + 256]):
                 yield int(part[r]), h[near[r]]
 
     def search(h: np.ndarray, v: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -171,7 +172,7 @@ def forest(visitors: np.ndarray, at_home: np.ndarray, radius: int) -> tuple[np.n
         return root
 
     label = np.arange(len(visitors), dtype=np.int32)
-    for v, near in links(visitors[place], visitors, radius, at_home):
+    for v, near in links(visitors[place], visitors, radius, others=True):
         # label is a root of some time before: a few different ones stand for many neighbours
         for i in np.unique(label[place[near]]).tolist():
             a, b = find(v), find(i)

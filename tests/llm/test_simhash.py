@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 from cases import frame, rows
 
@@ -104,6 +105,33 @@ def test_local_search_is_exact():
     assert found == set(zip(*map(np.ndarray.tolist, np.nonzero(near)), strict=True))
 
 
+@pytest.mark.parametrize("brute", [1, 8, 10_000])
+def test_a_shards_forest_loses_no_link(monkeypatch, brute):
+    """Within one shard, so that no other tree makes up for a lost link: also where the search parts a home from its neighbours."""
+    monkeypatch.setattr(simhash, "BRUTE", brute)
+    for seed in range(6):
+        values = near_values(20 + seed, 400)
+        for homes in (np.ones(len(values), bool), np.arange(len(values)) % 3 == 0):
+            child, root = simhash.forest(np.array(values, np.uint64), homes, 3)
+            got = {int(c): int(r) for c, r in zip(child, root, strict=True)}
+            parent = {v: v for v in values}
+
+            def find(x):
+                while parent[x] != x:
+                    x = parent[x]
+                return x
+
+            for h in np.array(values, np.uint64)[homes].tolist():
+                for v in values:
+                    if (h ^ v).bit_count() <= 3:
+                        parent[find(v)] = find(h)
+            groups, found = {}, {}
+            for v in values:
+                groups.setdefault(find(v), set()).add(v)
+                found.setdefault(got.get(v, v), set()).add(v)
+            assert sorted(map(sorted, groups.values())) == sorted(map(sorted, found.values()))
+
+
 def test_near_duplicates(spark):
     got = simhash.near_duplicates(frame(spark)).collect()
     data = rows()
