@@ -245,7 +245,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     first_of_run = F.sequence(F.lit(0), F.size("runs") - 2, F.lit(2))
     span = lambda p: F.transform(first_of_run, lambda i: F.struct((p + F.get("runs", i)).alias("a"), (p + F.get("runs", i + 1) + length).alias("b")))
     spans = places.select("k", "t", F.flatten(F.transform("at", span)).alias("s"))
-    return spans.groupBy("k", "t").agg(F.flatten(F.collect_list("s")).alias("spans"))
+    # wholly equal rows have equal spans: each task passes one of them on
+    return spans.groupBy("k", "t").agg(F.flatten(F.collect_set("s")).alias("spans"))
 
 
 def _name(seg: bytes, group: int, off: int) -> tuple[int, int]:
