@@ -73,7 +73,8 @@ def _remove(spark: SparkSession, path: str) -> None:
     system, folder = _place(spark, path)
     system.delete(folder, True)
     system.cancelDeleteOnExit(folder)
-    _CUTS.remove(path)
+    if path in _CUTS:
+        _CUTS.remove(path)
 
 
 def cut_after(make: Callable[[], DataFrame]) -> DataFrame:
