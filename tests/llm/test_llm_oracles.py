@@ -11,7 +11,8 @@ from banyan.llm.queries import ORACLES, QUERIES
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracle(spark, sf, name):
     db = duckdb.connect()
-    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for t in ("documents", "labels", "embeddings"):
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     df = QUERIES[name](spark, sf)
     rel = db.sql(ORACLES[name])
     assert sorted(rel.columns) == sorted(df.columns)
