@@ -7,8 +7,6 @@ The ones here need no model: they make plans runnable and tests repeatable.
 
 from __future__ import annotations
 
-import hashlib
-import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -145,16 +143,8 @@ def script_language(text: str) -> tuple[str | None, float]:
     return ("bn", bengali / len(letters)) if bengali >= latin else ("en", latin / len(letters))
 
 
-def hash_embedding(text: str, size: int = 16) -> list[float]:
-    """Counts of a text's character pairs by hash: equal texts agree, alike texts are near."""
-    out = [0.0] * size
-    for a, b in zip(f" {text}", f"{text} ", strict=True):
-        out[hashlib.md5((a + b).encode()).digest()[0] % size] += 1.0
-    return out
-
-
 def embedding_similarity(a: str, b: str) -> float:
-    """Cosine of hash embeddings."""
-    x, y = hash_embedding(a), hash_embedding(b)
-    size = math.sqrt(sum(p * p for p in x) * sum(p * p for p in y))
-    return sum(p * q for p, q in zip(x, y, strict=True)) / size if size else 0.0
+    """Cosine of two texts' embeddings, all words alike; with weights from a table: operators.embedding.embedder."""
+    from .operators.embedding import Embedder
+
+    return loaded(("embedder",), Embedder).similarity(a, b)

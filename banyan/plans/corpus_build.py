@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import corpus as C
+from ..operators import shards
 
 
 def build_splits(unified: DataFrame, seed: int = 42, fraction: float = 0.08) -> DataFrame:
@@ -15,6 +16,12 @@ def build_splits(unified: DataFrame, seed: int = 42, fraction: float = 0.08) ->
     return C.union_all(base, new)
 
 
+def write_splits(splits: DataFrame, path: str, seed: int = 42, rows: int = shards.ROWS) -> DataFrame:
+    """Each split shuffled as a whole into ordered shards of path/split; returns split, shard, rows and checksum of all."""
+    parts = [shards.write_shards(splits.where(F.col("split") == name), f"{path}/{name}", "id", seed, rows).withColumn("split", F.lit(name)) for name in ("train", "val", "test")]
+    return C.union_all(*parts)
+
+
 def live_rows(df: DataFrame) -> DataFrame:
     """Rows of a live CSV in the unified schema with three more flags; counters stay text in the labels."""
     labels = F.to_json(F.struct("topic", "like_count", "retweet_count", "view_count"))

@@ -16,10 +16,14 @@ from .functions import patterns as P
 from .functions import scores as S
 from .functions import tables as T
 from .functions import text as X
+from .operators import batches as B
 from .operators import corpus as C
+from .operators import embedding as E
+from .operators import language as L
 from .operators import metrics as M
 from .operators import ranking as R
 from .operators import segmentation as G
+from .operators import shards as H
 from .operators.numbering import by_number
 from .plans.translate import translate
 from .sources.storage import fresh
@@ -321,6 +325,49 @@ def mt_pair_projection(spark, sf_dir):
     return C.translation_pairs(_unified(spark, sf_dir), "en2bn", order="id")
 
 
+_SHARD = "SELECT *, (rn - 1) // 100 AS shard, (rn - 1) % 100 AS place FROM (SELECT *, row_number() OVER (ORDER BY md5(concat('42|', doc_id)), doc_id) AS rn FROM documents)"
+
+
+@query(f"SELECT doc_id, shard, place FROM ({_SHARD})")
+def shuffled_shards(spark, sf_dir):
+    """The table shuffled as a whole, in shards of 100 rows."""
+    return H.placed(table(spark, sf_dir, "documents"), "doc_id", rows=100).select("doc_id", "shard", "place")
+
+
+@query(f"""SELECT shard, count(*) AS "rows", sum(('0x' || substr(md5(concat_ws('|', place, doc_id, coalesce(text, '\\N'), coalesce(lang, '\\N'), coalesce(source, '\\N'), n_chars)), 1, 12))::BIGINT)::VARCHAR AS checksum FROM ({_SHARD}) GROUP BY shard""")
+def shard_manifest(spark, sf_dir):
+    """Rows and checksums of the shards as they were written."""
+    return H.write_shards(table(spark, sf_dir, "documents"), fresh(spark, "banyan-shards"), "doc_id", rows=100)
+
+
+_BATCHED = (
+    f"WITH {_PAIRS}, y AS (SELECT concat('conversations_', conv_id, '-', turn) AS id, {_SAN.format(c='parallel_text')} AS source, {_SAN.format(c='text')} AS target FROM pairs WHERE {_VALID} AND text <> '' AND lower(parallel_text) <> 'nan' AND {_SAN.format(c='parallel_text')} <> '' AND {_SAN.format(c='text')} <> ''), "
+    "z AS (SELECT id, (rn - 1) // 256 AS shard, (rn - 1) % 256 AS place, least(128, strlen(concat('eng_Latn ben_Beng ', source)) + 1)::BIGINT AS source_length, least(128, strlen(target) + 1)::BIGINT AS target_length FROM (SELECT *, row_number() OVER (ORDER BY md5(concat('42|', id)), id) AS rn FROM y)), "
+    "c AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY {order} place) - 1 AS pos FROM z), b AS (SELECT *, pos // 32 AS cut, pos % 32 AS row FROM c), "
+    "m AS (SELECT *, dense_rank() OVER (PARTITION BY shard ORDER BY md5(concat('42|', shard, '|', cut)), cut) - 1 AS batch, max(source_length) OVER (PARTITION BY shard, cut) - source_length AS source_pad, max(target_length) OVER (PARTITION BY shard, cut) - target_length AS target_pad FROM b) "
+)
+
+
+def _training_rows(spark, sf_dir, by_length: bool = True):
+    pairs = C.translation_pairs(_unified(spark, sf_dir), "en2bn", order="id")
+    return B.training_rows(pairs, "id", "en2bn", longest=128, size=32, rows=256, codes=("eng_Latn", "ben_Beng"), by_length=by_length)
+
+
+@query(_BATCHED.replace("{order}", "source_length, target_length,") + "SELECT id, shard, batch, row, source_length, target_length, source_pad, target_pad FROM m")
+def training_batches(spark, sf_dir):
+    """Pairs in batches of like lengths, with what each row lacks to its batch's longest."""
+    return _training_rows(spark, sf_dir).select("id", "shard", "batch", "row", "source_length", "target_length", "source_pad", "target_pad")
+
+
+_SHARE = 'SELECT \'{name}\' AS batches_by, count(*) AS "rows", count(DISTINCT (shard, batch)) AS batches, sum(source_length + target_length)::BIGINT AS ids, sum(source_length + target_length + source_pad + target_pad)::BIGINT AS cells, round(sum(source_pad + target_pad) / sum(source_length + target_length + source_pad + target_pad)::DOUBLE, 6) AS share FROM m'
+
+
+@query(f"SELECT * FROM ({_BATCHED.replace('{order}', 'source_length, target_length,') + _SHARE.format(name='length')}) UNION ALL SELECT * FROM ({_BATCHED.replace('{order}', '') + _SHARE.format(name='place')})")
+def padding_share(spark, sf_dir):
+    """How much of all batches is padding, by length and as rows come."""
+    return C.union_all(*[B.padding_share(_training_rows(spark, sf_dir, by)).withColumn("batches_by", F.lit(name)) for name, by in (("length", True), ("place", False))])
+
+
 @query("WITH a AS (SELECT text AS bn, row_number() OVER (ORDER BY doc_id) AS line_no FROM documents), b AS (SELECT text AS en, row_number() OVER (ORDER BY item_id) AS line_no FROM benchmark) SELECT line_no, trim(bn) AS bn, trim(en) AS en FROM a JOIN b USING (line_no)")
 def positional_zip_join(spark, sf_dir):
     a = by_number(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("bn")), "doc_id")
@@ -359,22 +406,52 @@ def null_score_last(spark, sf_dir):
 
 
 _CONF = "(doc_id % 100) / CAST(100 AS DOUBLE)"
-_GATE_T = "CASE WHEN doc_id % 11 = 0 THEN ' ' WHEN doc_id % 6 = 0 THEN 'আমি ভালো আছি' ELSE text END"
 _GATE_L = "CASE WHEN doc_id % 5 = 0 THEN 'bn' ELSE lang END"
+_TRAINED = "substr(md5(concat('42|', CAST({c} AS {s}))), 1, 1) < 'c'"
+#: Label m.label and confidence of each document, by a model of those that are trained on.
+_LANGUAGE = rf"""
+lt AS (SELECT doc_id, lang, concat(' ', trim(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{M}}]+', ' ', 'g')), ' ') AS s FROM documents),
+lp AS (SELECT doc_id, lang, list_transform(string_split(s, ''), lambda c: unicode(c)::BIGINT) AS c FROM lt WHERE length(s) > 2),
+lg AS MATERIALIZED (SELECT doc_id, lang, b, count(*) AS k FROM (SELECT doc_id, lang, unnest(list_concat(list_transform(list_filter(c, lambda x: x <> 32), lambda x: x % {L.PRIME}),
+  list_transform(range(1, len(c)), lambda i: {L.PRIME} + ((c[i] << 20) + c[i + 1]) % {L.PRIME}), list_transform(range(1, len(c) - 1), lambda i: {2 * L.PRIME} + ((c[i] << 40) + (c[i + 1] << 20) + c[i + 2]) % {L.PRIME}))) AS b FROM lp) GROUP BY ALL),
+ln AS MATERIALIZED (SELECT lang AS label, b, sum(k) AS n FROM lg WHERE {_TRAINED.format(c='doc_id', s='VARCHAR')} AND lang IS NOT NULL GROUP BY ALL), lw AS (SELECT label, sum(n) AS total FROM ln GROUP BY label),
+ls AS (SELECT doc_id, w.label, sum(k * ln((coalesce(n, 0) + {L.SMOOTH}::DOUBLE) / (total + {L.SMOOTH}::DOUBLE * {L.BUCKETS}))) / sum(k) AS m, sum(k) AS k FROM lg CROSS JOIN lw w LEFT JOIN ln ON ln.label = w.label AND ln.b = lg.b GROUP BY ALL),
+lm AS (SELECT doc_id, min({{'x': -m, 'label': label}}).label AS label, 1 / sum(exp(least(k, {L.SHARP}) * (m - top))) AS confidence FROM (SELECT *, max(m) OVER (PARTITION BY doc_id) AS top FROM ls) GROUP BY doc_id)
+"""
+
+
+def _language_model(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return docs, L.fit(docs.where(F.expr(_TRAINED.format(c="doc_id", s="STRING"))), "text", "lang")
+
+
+@query(f"WITH {_LANGUAGE} SELECT doc_id, NOT {_TRAINED.format(c='doc_id', s='VARCHAR')} AS held_out, label, round(coalesce(confidence, 0.0), 6) AS confidence FROM documents LEFT JOIN lm USING (doc_id)")
+def language_identify(spark, sf_dir):
+    """Each document's language by a model that a quarter of them is held out from."""
+    docs, model = _language_model(spark, sf_dir)
+    found = L.identified(docs, model, "text", "label")
+    return found.select("doc_id", (~F.expr(_TRAINED.format(c="doc_id", s="STRING"))).alias("held_out"), "label", F.round("confidence", 6).alias("confidence"))
+
+
+_BENGALI = "concat('আমি ভালো আছি ', lang)"
 
 
 @query(
-    f"WITH x AS (SELECT doc_id, {_GATE_T} AS t, {_GATE_L} AS p, {_CONF} AS c FROM documents), r AS (SELECT *, trim(t) = '' AS e, {ratio('t')} AS r FROM x) "
-    "SELECT doc_id, CASE WHEN e THEN 'unsupported' WHEN r >= 0.5 THEN 'bn' WHEN p IN ('bn', 'en') AND c >= 0.5 THEN p ELSE 'unsupported' END AS language, "
-    "CASE WHEN e THEN 0.0 WHEN r >= 0.5 THEN greatest(r, CASE WHEN p = 'bn' THEN c ELSE 0.0 END) ELSE c END::DOUBLE AS confidence, "
+    f"WITH {_LANGUAGE}, x AS (SELECT doc_id, 'text' AS kind, text AS t, label AS p, coalesce(confidence, 0.0) AS c FROM documents LEFT JOIN lm USING (doc_id) UNION ALL SELECT doc_id, 'bengali', {_BENGALI}, 'bn', length(regexp_replace({_BENGALI}, '[^\\p{{Bengali}}]|\\P{{L}}', '', 'g')) / length(regexp_replace({_BENGALI}, '\\P{{L}}', '', 'g'))::DOUBLE FROM documents "
+    f"UNION ALL SELECT doc_id, 'blank', ' ', NULL, 0.0 FROM documents), r AS (SELECT *, trim(t) = '' AS e, {ratio('t')} AS r FROM x) "
+    "SELECT doc_id, kind, CASE WHEN e THEN 'unsupported' WHEN r >= 0.5 THEN 'bn' WHEN p IN ('bn', 'en') AND c >= 0.5 THEN p ELSE 'unsupported' END AS language, "
+    "round(CASE WHEN e THEN 0.0 WHEN r >= 0.5 THEN greatest(r, CASE WHEN p = 'bn' THEN c ELSE 0.0 END) ELSE c END::DOUBLE, 6) AS confidence, "
     "CASE WHEN e THEN 'empty input' WHEN r >= 0.5 THEN 'bengali_unicode_ratio' WHEN p IN ('bn', 'en') AND c >= 0.5 THEN 'fasttext' ELSE 'unsupported_language_or_low_confidence' END AS reason, "
     "CASE WHEN e THEN NULL WHEN r >= 0.5 THEN 'bn2en' WHEN p = 'bn' AND c >= 0.5 THEN 'bn2en' WHEN p = 'en' AND c >= 0.5 THEN 'en2bn' END AS direction FROM r"
 )
 def language_gate_route(spark, sf_dir):
-    x = table(spark, sf_dir, "documents").select("doc_id", F.expr(_GATE_T).alias("t"), F.expr(_GATE_L).alias("p"), F.expr(_CONF).alias("c")).withColumn("r", X.bengali_ratio(F.col("t")))
+    """Whole texts, and a Bengali and a blank one of each document, by the fitted language model."""
+    docs, model = _language_model(spark, sf_dir)
+    rows = docs.select("doc_id", F.lit("text").alias("kind"), F.col("text").alias("t")).union(docs.select("doc_id", F.lit("bengali"), F.expr(_BENGALI))).union(docs.select("doc_id", F.lit("blank"), F.lit(" ")))
+    x = L.identified(rows, model, "t", "p", "c").withColumn("r", X.bengali_ratio(F.col("t")))
     g = S.gate(F.col("t"), F.col("p"), F.col("c"), ratio=F.col("r"))
-    out = x.select("doc_id", *[g[k].alias(k) for k in ("language", "confidence", "reason")])
-    return out.withColumn("direction", S.direction_of(F.col("language")))
+    out = x.select("doc_id", "kind", *[g[k].alias(k) for k in ("language", "confidence", "reason")])
+    return out.withColumns({"direction": S.direction_of(F.col("language")), "confidence": F.round("confidence", 6)})
 
 
 @query("SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) + 0.0 AS similarity, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) >= 0.85 AS passed FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -385,6 +462,28 @@ def cosine_verify_threshold(spark, sf_dir):
     return scored.withColumn("passed", F.col("similarity") >= 0.85)
 
 
+_WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+')"
+_VECTORS = f"""
+ew AS MATERIALIZED (SELECT doc_id, {_WORDS} AS ws FROM documents), en AS (SELECT count(*) AS n FROM documents),
+ed AS (SELECT word, count(*) AS df FROM (SELECT unnest(list_distinct(ws)) AS word FROM ew) GROUP BY word ORDER BY df DESC, word LIMIT {E.WORDS}),
+eo AS (SELECT doc_id, word, count(*) AS k FROM (SELECT doc_id, unnest(ws) AS word FROM ew) GROUP BY ALL),
+ex AS (SELECT doc_id, k * (ln((n + 1) / (coalesce(df, 0) + 1)::DOUBLE) + 1) AS x, md5(concat('{E.SEED}|', word)) AS h FROM eo LEFT JOIN ed USING (word), en),
+ev AS MATERIALIZED (SELECT doc_id, ('0x' || substr(h, 3 * j + 1, 2))::INT % {E.SIZE} AS i, sum(CASE WHEN ('0x' || substr(h, 3 * j + 3, 1))::INT % 2 = 0 THEN x ELSE -x END) AS x FROM ex, range({E.NONZERO}) AS r(j) GROUP BY ALL)
+"""
+
+
+@query(
+    f"WITH {_VECTORS}, p AS (SELECT doc_id AS a_id, doc_id + 1 AS b_id FROM documents WHERE doc_id + 1 IN (SELECT doc_id FROM documents)), q AS (SELECT doc_id, sum(x * x) AS q FROM ev GROUP BY doc_id), d AS (SELECT a.doc_id AS a_id, sum(a.x * b.x) AS d FROM ev a JOIN ev b ON b.doc_id = a.doc_id + 1 AND a.i = b.i GROUP BY a.doc_id) "
+    "SELECT a_id, b_id, round(CASE WHEN coalesce(qa.q, 0) = 0 OR coalesce(qb.q, 0) = 0 THEN CASE WHEN coalesce(qa.q, 0) = coalesce(qb.q, 0) THEN 1.0 ELSE 0.0 END ELSE coalesce(d, 0) / sqrt(qa.q * qb.q) END, 6) AS similarity FROM p LEFT JOIN d USING (a_id) LEFT JOIN q qa ON qa.doc_id = a_id LEFT JOIN q qb ON qb.doc_id = b_id"
+)
+def embedding_neighbours(spark, sf_dir):
+    """Similarity of each document to the one of the next id."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    v = E.vectors(docs, "doc_id", "text", E.frequencies(docs, "text")).drop("_text")
+    pairs = v.select(F.col("doc_id").alias("a_id"), F.col("vector").alias("a"), (F.col("doc_id") + 1).alias("b_id")).join(v.select(F.col("doc_id").alias("b_id"), F.col("vector").alias("b")), "b_id")
+    return pairs.select("a_id", "b_id", F.round(E.similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
+
+
 _CASES = {
     "n": "CASE WHEN doc_id % 6 = 0 THEN 0 ELSE 4 END", "w": "CASE WHEN doc_id % 6 = 1 THEN NULL ELSE 'w' END", "post": "concat('post', doc_id % 2)", "pre": "'post0'",
     "applied": "doc_id % 5 <> 0", "post_ok": "doc_id % 7 < 3", "pre_ok": "doc_id % 3 = 0",
