@@ -703,7 +703,7 @@ def id_dedupe(spark, sf_dir):
 def stream_dedupe_quota(spark, sf_dir):
     from .streaming.ingest import stream_quota_counts
 
-    return stream_quota_counts(spark, f"{sf_dir}/events.parquet", "event_id", "event_type", 500)
+    return stream_quota_counts(spark, f"{sf_dir}/events.parquet", "event_id", "event_type", 500, "ts", "30 days")
 
 
 @query(f"SELECT doc_id, substr(sha256(text), 1, 16) AS image_hash, CASE WHEN {_GATE_L} IN ('bn', 'en') AND {_CONF} >= 0.5 THEN 'accepted' ELSE 'rejected' END AS routing_decision FROM documents")

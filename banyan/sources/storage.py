@@ -44,6 +44,34 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return system.exists(p) and system.getFileStatus(p).isDirectory()
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder has, in order; none if there is no folder."""
+    system, p = place(spark, path)
+    return sorted(x.getPath().getName() for x in system.listStatus(p)) if system.exists(p) else []
+
+
+def folders(spark: SparkSession, path: str, before: str) -> list[int]:
+    """The numbers after a name's beginning, in order."""
+    return sorted(int(x[len(before) :]) for x in names(spark, path) if x.startswith(before) and x[len(before) :].isdigit())
+
+
+def move(spark: SparkSession, a: str, b: str) -> None:
+    system, p = place(spark, a)
+    if not system.rename(p, place(spark, b)[1]):
+        raise OSError(f"{a} could not be moved to {b}")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    system, p = place(spark, path)
+    system.delete(p, True)
+
+
+def put(spark: SparkSession, path: str) -> None:
+    """An empty file."""
+    system, p = place(spark, path)
+    system.create(p, True).close()
+
+
 def kept_table(spark: SparkSession, path: str, make) -> DataFrame:
     """The Parquet table at path, made and written once where it isn't there."""
     if not exists(spark, f"{path}/_SUCCESS"):

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions import text as X
-from ..sources.sinks import snapshot
-from ..sources.storage import fresh, is_folder
+from ..sources.sinks import add_snapshot, committed, compact_snapshot
+from ..sources.storage import exists, folders, fresh, is_folder
+
+Batches = Iterator[pd.DataFrame]
 
 
 def file_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -27,7 +32,7 @@ def deduped(stream: DataFrame, key: str, event_time: str | None = None, horizon:
     """The first row of each key; with event_time, keys are forgotten after the horizon."""
     if event_time is None:
         return stream.dropDuplicates([key])
-    return stream.withWatermark(event_time, horizon).dropDuplicatesWithinWatermark([key])
+    return stream.withColumn(event_time, F.col(event_time).cast("timestamp")).withWatermark(event_time, horizon).dropDuplicatesWithinWatermark([key])
 
 
 def drain(stream: DataFrame, write_batch, checkpoint: str) -> None:
@@ -35,64 +40,117 @@ def drain(stream: DataFrame, write_batch, checkpoint: str) -> None:
     stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def quota_batch(batch: DataFrame, used: DataFrame | None, key: str, order: list, n: int) -> DataFrame:
-    """Rows of a batch that fit in what is left of each key's quota. used: rows that earlier batches took of each key."""
-    from pyspark.sql.window import Window
+#: The state store that keyed state needs.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    ranked = batch.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_rn") <= n)
-    if used is None:
-        return ranked.drop("_rn")
-    return ranked.join(used, key, "left").where(F.col("_rn") + F.coalesce("used", F.lit(0)) <= n).drop("_rn", "used")
 
+class Quota(StatefulProcessor):
+    """Of each key the first n rows that ever come, in the order of columns within a batch. Its state is one number a key, which lives for ttl_ms after its last change, or for ever."""
 
-def ingest(spark: SparkSession, path: str, out: str, checkpoint: str, key: str, topic: str, n: int, event_time: str | None = None, horizon: str = "1 day") -> None:
-    """Files of path to a Parquet table: each key once over all batches and restarts, at most n rows a topic.
+    def __init__(self, n: int, order: list[str], ttl_ms: int | None = None):
+        self.n, self.order, self.ttl_ms = n, order, ttl_ms
+
+    def init(self, handle) -> None:
+        self.used = handle.getValueState("used", "n long", self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Batches:  # noqa: ARG002, N803
+        used = self.used.get()[0] if self.used.exists() else 0
+        room = self.n - used
+        best = None
+        for frame in rows:
+            # no more than the quota and a frame are held, however many rows a key has
+            best = first_rows(frame if best is None else pd.concat([best, frame]), self.order, room) if room > 0 else None
+        if best is not None and len(best):
+            self.used.update((used + len(best),))
+            yield best
+
+    def close(self) -> None:
+        pass
 
-    Without event_time the state holds every key that was ever seen; with it,
-    keys are forgotten once they are older than the horizon.
 
-    A batch writes its rows, and the topics' counts so far, to folders of its own
-    number, so one that runs again after a failure replaces what it wrote; it
-    reads the last batch's counts and no rows.
+def first_rows(frame: pd.DataFrame, order: list[str], n: int) -> pd.DataFrame:
+    return frame.sort_values(order, kind="stable").head(n)
+
+
+def within_quota(stream: DataFrame, key: str, order: list[str], n: int, ttl_ms: int | None = None) -> DataFrame:
+    """Rows of a stream that fit in the quota of their key.
+
+    A task passes on n rows of a key at most, the first in order, before keys
+    meet: a key with a third of all rows brings few to its own task.
     """
 
-    def write(batch: DataFrame, number: int) -> None:
-        s = batch.sparkSession
-        used = s.read.parquet(f"{out}_counts/batch={number - 1}") if number else None
-        rows = f"{out}/batch={number}"
-        quota_batch(batch, used, topic, [F.col(key)], n).write.mode("overwrite").parquet(rows)
-        taken = s.read.schema(batch.schema).parquet(rows).groupBy(topic).agg(F.count("*").alias("used"))
-        if used is not None:
-            taken = taken.unionByName(used).groupBy(topic).agg(F.sum("used").alias("used"))
-        taken.write.mode("overwrite").parquet(f"{out}_counts/batch={number}")
+    def limit(frames: Batches) -> Batches:
+        best = None
+        for frame in frames:
+            both = (frame if best is None else pd.concat([best, frame])).sort_values(order, kind="stable")
+            best = both.groupby(key, dropna=False, sort=False).head(n)
+        if best is not None:
+            yield best
+
+    few = stream.mapInPandas(limit, stream.schema)
+    return few.groupBy(key).transformWithStateInPandas(Quota(n, order, ttl_ms), stream.schema, "Append", "ProcessingTime" if ttl_ms else "None")
 
-    drain(deduped(file_stream(spark, path), key, event_time, horizon), write, checkpoint)
 
+def ingest(spark: SparkSession, path: str, out: str, checkpoint: str, key: str, topic: str, n: int, event_time: str | None = None, horizon: str = "1 day", files: int = 1000, ttl_ms: int | None = None) -> dict:
+    """Files of path to a Parquet table: each key once over all batches and restarts, at most n rows a topic; returns how many numbers each state has.
 
-def stream_quota_counts(spark: SparkSession, path: str, key: str, topic: str, n: int) -> DataFrame:
+    Without event_time the state holds every key that was ever seen; with it,
+    keys are forgotten once they are older than the horizon.  A topic's state is
+    the number of rows that it has had; it lives for ttl_ms after the last of
+    them, or for ever.  The table's files belong to batches as its log names
+    them, so a batch that runs again after a failure adds nothing twice.
+    """
+    kept = within_quota(deduped(file_stream(spark, path, files), key, event_time, horizon), topic, [key], n, ttl_ms)
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKS)
+    try:
+        run = kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(name, before)
+    run.awaitTermination()
+    last = next((p for p in reversed(run.recentProgress) if p.stateOperators), None)
+    return {o.operatorName: o.numRowsTotal for o in last.stateOperators} if last else {}
+
+
+def stream_quota_counts(spark: SparkSession, path: str, key: str, topic: str, n: int, event_time: str | None = None, horizon: str = "1 day") -> DataFrame:
     base = fresh(spark, "banyan-stream")
-    ingest(spark, path, f"{base}/out", f"{base}/checkpoint", key, topic, n)
+    ingest(spark, path, f"{base}/out", f"{base}/checkpoint", key, topic, n, event_time, horizon)
     return spark.read.parquet(f"{base}/out").groupBy(topic).agg(F.count("*").alias("kept"))
 
 
-def snapshots(stream: DataFrame, out: str, checkpoint: str, rows: int = 40) -> None:
-    """All rows so far as CSV and JSON lines, written anew once so many are new, and at the end."""
+def snapshots(stream: DataFrame, out: str, checkpoint: str, rows: int = 40, most: int = 64) -> None:
+    """All rows so far as CSV and JSON lines in out/snapshot, which grow by files of the new ones once so many are new, and at the end.
+
+    Each row is written once, and once more when files, more than most, are put
+    together at the end.  A batch that runs again replaces what it wrote, and
+    files of a flush are added once.
+    """
     spark = stream.sparkSession
-    state = {"new": 0}
+    state = {"new": 0, "batches": []}
 
     def write(batch: DataFrame, number: int) -> None:
+        s = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
-        state["new"] += batch.sparkSession.read.parquet(f"{out}/rows/batch={number}").count()
+        state["batches"].append(number)
+        state["new"] += s.read.schema(batch.schema).parquet(f"{out}/rows/batch={number}").count()
         if state["new"] >= rows:
-            flush(batch.sparkSession)
-
-    def flush(s: SparkSession) -> None:
-        snapshot(s.read.parquet(f"{out}/rows").drop("batch"), f"{out}/snapshot")
-        state["new"] = 0
-
+            flush(s, batch.schema)
+
+    def flush(s: SparkSession, schema) -> None:
+        new = s.read.schema(schema).parquet(*[f"{out}/rows/batch={k}" for k in state["batches"]])
+        add_snapshot(new, f"{out}/snapshot", max(state["batches"]))
+        state.update(new=0, batches=[])
+
+    # batches that a run before wrote and didn't flush
+    if exists(spark, f"{out}/rows"):
+        done = committed(spark, f"{out}/snapshot/json")
+        state["batches"] = [k for k in folders(spark, f"{out}/rows", "batch=") if k > max(done, default=-1)]
+        state["new"] = rows if state["batches"] else 0
     drain(stream, write, checkpoint)
-    if state["new"]:
-        flush(spark)
+    if state["batches"]:
+        flush(spark, stream.schema)
+    compact_snapshot(spark, f"{out}/snapshot", stream.schema, most)
 
 
 def log_stream(stream: DataFrame, out: str, checkpoint: str) -> None:
