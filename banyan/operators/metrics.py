@@ -8,6 +8,7 @@ last item, and equal numbers mean equal n-grams.
 
 from __future__ import annotations
 
+import bisect
 import itertools
 import re
 from collections.abc import Iterator
@@ -154,74 +155,156 @@ def chrf(counts: DataFrame, chars: int = 6, words: int = 2, beta: float = 2.0) -
     return counts.withColumn("chrf", F.coalesce(F.when(p + r > 0, 100 * (1 + beta**2) * p * r / (beta**2 * p + r)), F.lit(0.0)))
 
 
-#: A run that moves has so many words at most, and moves so far; a round weighs so many moves.
-LONGEST, FARTHEST, MOVES = 10, 50, 1000
-#: Cells of an alignment beyond which no moves are sought.
-CELLS = 25_000_000
+#: A run that moves has so many words at most, and moves so far.
+LONGEST, FARTHEST = 10, 50
+#: Cells that a block of rows or of moves has at once.
+CELLS = 4_000_000
+FAR = 1 << 29
 
 
-def _table(h: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """Edit distances of all heads of h (rows) and r (columns)."""
-    place = np.arange(len(r) + 1, dtype=np.int32)
-    out = np.empty((len(h) + 1, len(r) + 1), np.int32)
-    out[0] = place
-    for i, w in enumerate(h.tolist(), 1):
-        out[i, 0] = i
-        out[i, 1:] = np.minimum(out[i - 1, :-1] + (r != w), out[i - 1, 1:] + 1)
-        out[i] = np.minimum.accumulate(out[i] - place) + place
-    return out
-
-
-def _distances(every: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """Edit distance to r of each row, all at once."""
-    place = np.arange(len(r) + 1, dtype=np.int32)
-    d = np.tile(place, (len(every), 1))
-    for i in range(every.shape[1]):
-        new = np.empty_like(d)
-        new[:, 0] = i + 1
-        new[:, 1:] = np.minimum(d[:, :-1] + (every[:, i, None] != r), d[:, 1:] + 1)
-        d = np.minimum.accumulate(new - place, axis=1) + place
-    return d[:, -1]
+class Band:
+    """Edit distances of heads and tails of h and r in a band: by row i the columns i - width to i + width.
 
+    A path of cost c leaves the diagonal by c at most, so a distance up to width
+    is exact, and a greater one isn't told as smaller than it is.
+    """
 
-def _aligned(h: np.ndarray, r: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def __init__(self, h: np.ndarray, r: np.ndarray, width: int):
+        self.h, self.r, self.width = h, r, width
+        size = 2 * width + 1
+        self.place = np.arange(size, dtype=np.int32)
+        edge = np.full(len(h) + width + 1, -1)
+        #: By row the words of r before its columns; those after them are a row further. A view, no copy.
+        self.ends = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(width + 1, -1), r, edge]), size)
+
+    def _bounded(self, row: np.ndarray, i: int) -> np.ndarray:
+        low, high = self.width - i, len(self.r) - i + self.width
+        if low > 0:
+            row[:low] = FAR
+        row[max(0, high + 1) :] = FAR
+        return row
+
+    def down(self, row: np.ndarray, i: int, word: int) -> np.ndarray:
+        """Row i + 1 of heads, but for what is put in, from row i and the word that follows; of many rows at once if all three are arrays."""
+        new = row + (self.ends[i + 1] != word)
+        np.minimum(new[..., :-1], row[..., 1:] + 1, out=new[..., :-1])
+        return new
+
+    def across(self, row: np.ndarray) -> np.ndarray:
+        return np.minimum.accumulate(row - self.place, axis=-1) + self.place
+
+    def head(self) -> np.ndarray:
+        return self._bounded(self.place - self.width, 0)
+
+    def heads(self, row: np.ndarray, first: int, last: int) -> np.ndarray:
+        """Rows first to last, given the first."""
+        out = np.empty((last - first + 1, len(row)), np.int32)
+        out[0] = row
+        for i in range(first, last):
+            out[i - first + 1] = self.across(self._bounded(self.down(out[i - first], i, self.h[i]), i + 1))
+        return out
+
+    def tails(self, row: np.ndarray, last: int, first: int) -> np.ndarray:
+        """Rows first to last of tails, given the last."""
+        out = np.empty((last - first + 1, len(row)), np.int32)
+        out[-1] = row
+        for i in range(last - 1, first - 1, -1):
+            below = out[i - first + 1]
+            new = below + (self.ends[i + 1] != self.h[i])
+            np.minimum(new[1:], below[:-1] + 1, out=new[1:])
+            new = self._bounded(new, i)
+            out[i - first] = (np.minimum.accumulate((new + self.place)[::-1]))[::-1] - self.place
+        return out
+
+    def tail(self) -> np.ndarray:
+        n, m = len(self.h), len(self.r)
+        return self._bounded((m - n + self.width - self.place).astype(np.int32), n)
+
+    def stops(self) -> tuple[list[int], list[np.ndarray], list[np.ndarray]]:
+        """Some rows, from the first to the last, with their heads and tails: what lies between two is made anew when it is needed."""
+        n = len(self.h)
+        step = max(1, min(CELLS // len(self.place), n))
+        at = sorted({*range(0, n, step), n})
+        heads, tails = [self.head()], [self.tail()]
+        for a, b in itertools.pairwise(at):
+            heads.append(self.heads(heads[-1], a, b)[-1])
+        for a, b in reversed([*itertools.pairwise(at)]):
+            tails.append(self.tails(tails[-1], b, a)[0])
+        return at, heads, tails[::-1]
+
+
+def distance(h: np.ndarray, r: np.ndarray) -> int:
+    """Edit distance: in a band that doubles until it holds the whole path, so in time that grows with words times edits."""
+    if not len(h) or not len(r):
+        return max(len(h), len(r))
+    width = max(8, abs(len(h) - len(r)))
+    while True:
+        width = min(width, max(len(h), len(r)))
+        band = Band(h, r, width)
+        row, step = band.head(), max(1, CELLS // len(band.place))
+        for a in range(0, len(h), step):
+            row = band.heads(row, a, min(len(h), a + step))[-1]
+        found = int(row[len(r) - len(h) + width])
+        if found <= width:
+            return found
+        width *= 2
+
+
+def _aligned(band: Band, at: list[int], heads: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words of h and of r that an edit touches, and for each word of r the last word of h up to it on the path."""
+    h, r, width = band.h, band.r, band.width
     wrong_h, wrong_r, until = np.zeros(len(h), bool), np.zeros(len(r), bool), np.zeros(len(r), np.int64)
     i, j = len(h), len(r)
-    while i or j:
-        if i and j and d[i, j] == d[i - 1, j - 1] + (h[i - 1] != r[j - 1]):
-            i, j = i - 1, j - 1
-            wrong_h[i] = wrong_r[j] = h[i] != r[j]
-            until[j] = i
-        elif i and d[i, j] == d[i - 1, j] + 1:
-            i -= 1
-            wrong_h[i] = True
-        else:
-            j -= 1
-            wrong_r[j], until[j] = True, i - 1
+    for k in range(len(at) - 2, -1, -1):
+        first = at[k]
+        d = band.heads(heads[k], first, at[k + 1])
+        cell = lambda i, j: d[i - first, j - i + width] if abs(j - i) <= width else FAR  # noqa: B023, E731
+        while (i > first or first == 0) and (i or j):
+            here = cell(i, j)
+            if i and j and here == cell(i - 1, j - 1) + (h[i - 1] != r[j - 1]):
+                i, j = i - 1, j - 1
+                wrong_h[i] = wrong_r[j] = h[i] != r[j]
+                until[j] = i
+            elif i and here == cell(i - 1, j) + 1:
+                i -= 1
+                wrong_h[i] = True
+            else:
+                j -= 1
+                wrong_r[j], until[j] = True, i - 1
     return wrong_h, wrong_r, until
 
 
-def _moved(h: np.ndarray, start: int, n: int, to: int) -> np.ndarray:
-    """h with n words from start on put behind the first `to` words that stay."""
-    run, rest = h[start : start + n], np.concatenate([h[:start], h[start + n :]])
-    return np.concatenate([rest[:to], run, rest[to:]])
+def _moved(h: np.ndarray, start: int, n: int, to: int) -> tuple[int, int, np.ndarray]:
+    """Where h changes if n words from start on are put behind the first `to` words that stay: from, until, and the words there."""
+    to = min(to, len(h) - n)
+    a, b = min(start, to), max(start, to) + n
+    run, rest = h[start : start + n], np.concatenate([h[a:start], h[start + n : b]])
+    return a, b, np.concatenate([rest[: to - a], run, rest[to - a :]])
 
 
-def _moves(h: np.ndarray, r: np.ndarray, d: np.ndarray) -> Iterator[tuple[int, int, int]]:
+def _moves(h: np.ndarray, r: np.ndarray, aligned: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[tuple[int, int, int]]:
     """(start, n, to): runs of h that stand elsewhere in r, where both places have an error, to behind the words aligned before or within that place."""
-    wrong_h, wrong_r, until = _aligned(h, r, d)
-    for start in range(len(h)):
-        low = max(0, start - FARTHEST)
-        for at in (np.flatnonzero(r[low : start + FARTHEST + 1] == h[start]) + low).tolist():
+    wrong_h, wrong_r, until = aligned
+    places: dict[int, list[int]] = {}
+    for j, w in enumerate(r.tolist()):
+        places.setdefault(w, []).append(j)
+    words, others = h.tolist(), r.tolist()
+    errors_h, errors_r = (np.concatenate([[0], np.cumsum(x)]).tolist() for x in (wrong_h, wrong_r))
+    until = until.tolist()
+    for start, w in enumerate(words):
+        # no error within the longest run from here: no move
+        if errors_h[min(len(words), start + LONGEST)] == errors_h[start]:
+            continue
+        own = places.get(w, ())
+        for at in own[bisect.bisect_left(own, start - FARTHEST) : bisect.bisect_right(own, start + FARTHEST)]:
             n = 0
-            while n < LONGEST and start + n < len(h) and at + n < len(r) and h[start + n] == r[at + n]:
+            while n < LONGEST and start + n < len(words) and at + n < len(others) and words[start + n] == others[at + n]:
                 n += 1
-                if not wrong_h[start : start + n].any() or not wrong_r[at : at + n].any() or start <= until[at] < start + n:
+                if errors_h[start + n] == errors_h[start] or errors_r[at + n] == errors_r[at] or start <= until[at] < start + n:
                     continue
                 seen = set()
                 for j in range(at - 1, at + n):
-                    behind = int(until[j]) + 1 if j >= 0 else 0
+                    behind = until[j] + 1 if j >= 0 else 0
                     # within the run itself, it goes as many words to the right
                     to = behind if behind <= start + n else behind - n
                     if to != start and to not in seen:
@@ -229,29 +312,78 @@ def _moves(h: np.ndarray, r: np.ndarray, d: np.ndarray) -> Iterator[tuple[int, i
                         yield start, n, to
 
 
+def _costs(band: Band, at: list[int], heads: list[np.ndarray], tails: list[np.ndarray], moves: list[tuple[int, int, int]]) -> list[int]:
+    """The distance after each move that changes something, exact where it is at most the band's width: rows that the move changes between rows of heads and of tails that it doesn't."""
+    out = [FAR] * len(moves)
+    size = len(band.place)
+    changed = [(a, b, words, k) for k, m in enumerate(moves) for a, b, words in [_moved(band.h, *m)] if not np.array_equal(band.h[a:b], words)]
+    changed.sort(key=lambda x: (x[0], x[1], x[3]))
+    block = max(1, CELLS // size)
+    for c in range(0, len(changed), block):
+        part = changed[c : c + block]
+        firsts, lasts = [x[0] for x in part], [x[1] for x in part]
+        rows = np.stack(_picked(band.heads, at, heads, firsts, True))
+        ends = _picked(band.tails, at, tails, lasts, False)
+        length = max(b - a for a, b, *_ in part)
+        for t in range(length):
+            on = [k for k, (a, b, *_) in enumerate(part) if a + t < b]
+            i = np.array([part[k][0] + t for k in on])
+            new = band.down(rows[on], i, np.array([part[k][2][t] for k in on])[:, None])
+            column = band.place[None, :] + (i + 1 - band.width)[:, None]
+            new[(column < 0) | (column > len(band.r))] = FAR
+            rows[on] = band.across(new)
+        for k, (*_, move) in enumerate(part):
+            out[move] = int((rows[k] + ends[k]).min())
+    return out
+
+
+def _picked(make, at: list[int], stops: list[np.ndarray], wanted: list[int], down: bool) -> list[np.ndarray]:
+    """Rows of numbers, made between the stops around them."""
+    found: dict[int, np.ndarray] = {}
+    for i in sorted(set(wanted)):
+        if i not in found:
+            k = min(bisect.bisect_right(at, i) - 1, len(at) - 2)
+            near = [x for x in set(wanted) if at[k] <= x <= at[k + 1]]
+            if len(at) == 1:
+                found[i] = stops[0]
+                continue
+            made = make(stops[k], at[k], at[k + 1]) if down else make(stops[k + 1], at[k + 1], at[k])
+            found.update({x: made[x - at[k]].copy() for x in near})
+    return [found[i] for i in wanted]
+
+
 def ter_edits(hyp: list[str], ref: list[str]) -> int:
     """Edits from hyp to ref: words put in, taken out or changed, and runs of words moved (one edit each), the most helpful first, while one saves an edit.
 
-    Of equal moves the longest, then the leftmost, goes first.  Distances are exact.
+    Of equal moves the longest, then the leftmost, goes first.  Distances are
+    exact and every move is weighed, whatever the lengths; memory is bounded.
     """
     number = {w: i for i, w in enumerate(dict.fromkeys([*hyp, *ref]))}
     h, r = (np.fromiter((number[w] for w in x), np.int64, len(x)) for x in (hyp, ref))
-    if (len(h) + 1) * (len(r) + 1) > CELLS:
-        return int(_distances(h[None, :], r)[0])
     moves = 0
-    while True:
-        d = _table(h, r)
-        best = int(d[-1, -1])
-        found = list(itertools.islice(_moves(h, r, d), MOVES)) if best else []
-        if not found:
-            return moves + best
-        every = np.stack([_moved(h, *m) for m in found])
-        block = max(1, 4_000_000 // (len(r) + 1))
-        costs = np.concatenate([_distances(every[a : a + block], r) for a in range(0, len(every), block)]).tolist()
-        k = min(range(len(found)), key=lambda i: (costs[i], -found[i][1], found[i][0], found[i][2]))
-        if costs[k] >= best:
-            return moves + best
-        moves, h = moves + 1, every[k]
+    best = distance(h, r)
+    # words that the other side lacks are wrong in any order: no move gets below that
+    own, other = np.bincount(h, minlength=len(number)), np.bincount(r, minlength=len(number))
+    floor = max(len(h), len(r)) - int(np.minimum(own, other).sum())
+    while best > floor and len(h) and len(r):
+        band = Band(h, r, max(best, 1))
+        at, heads, tails = band.stops()
+        found = sorted(set(_moves(h, r, _aligned(band, at, heads))), key=lambda m: -m[1])
+        least, chosen = best, None
+        for a in range(0, len(found), 256):
+            part = found[a : a + 256]
+            # a run of n words that moves saves 2 n edits at most
+            if best - 2 * part[0][1] > least or best - 2 * part[0][1] >= best:
+                break
+            for cost, m in zip(_costs(band, at, heads, tails, part), part, strict=True):
+                if cost < best and (chosen is None or (cost, -m[1], m[0], m[2]) < (least, -chosen[1], chosen[0], chosen[2])):
+                    least, chosen = cost, m
+        if chosen is None:
+            break
+        a, b, words = _moved(h, *chosen)
+        h = np.concatenate([h[:a], words, h[b:]])
+        moves, best = moves + 1, least
+    return moves + best
 
 
 def ter(df: DataFrame, hypothesis: str, reference: str, *keys: str) -> DataFrame:

@@ -167,17 +167,115 @@ def test_translation_edit_rate():
         assert M.ter_edits(h.split(), r.split()) == n, (h, r)
 
 
+def searched(hyp, ref):
+    """Edits by whole tables and every move within reach: the definition, without bands, bounds or blocks."""
+
+    def table(h):
+        d = [list(range(len(ref) + 1))]
+        for i, x in enumerate(h, 1):
+            d.append([i])
+            for j, y in enumerate(ref, 1):
+                d[i].append(min(d[i - 1][j - 1] + (x != y), d[i - 1][j] + 1, d[i][j - 1] + 1))
+        return d
+
+    h, moves = list(hyp), 0
+    while True:
+        d = table(h)
+        i, j, wrong_h, wrong_r, until = len(h), len(ref), [False] * len(h), [False] * len(ref), [0] * len(ref)
+        while i or j:
+            if i and j and d[i][j] == d[i - 1][j - 1] + (h[i - 1] != ref[j - 1]):
+                i, j = i - 1, j - 1
+                wrong_h[i] = wrong_r[j] = h[i] != ref[j]
+                until[j] = i
+            elif i and d[i][j] == d[i - 1][j] + 1:
+                i -= 1
+                wrong_h[i] = True
+            else:
+                j -= 1
+                wrong_r[j], until[j] = True, i - 1
+        best, found = d[-1][-1] if h else len(ref), []
+        for start in range(len(h)):
+            for at in range(max(0, start - 50), min(len(ref), start + 51)):
+                for n in range(1, 11):
+                    run = h[start : start + n]
+                    if len(run) < n or run != ref[at : at + n]:
+                        break
+                    if any(wrong_h[start : start + n]) and any(wrong_r[at : at + n]) and not start <= until[at] < start + n:
+                        rest = h[:start] + h[start + n :]
+                        for k in range(at - 1, at + n):
+                            behind = until[k] + 1 if k >= 0 else 0
+                            to = behind if behind <= start + n else behind - n
+                            new = rest[:to] + run + rest[to:]
+                            found.append((table(new)[-1][-1], -n, start, to, new))
+        if not found or min(found)[0] >= best:
+            return moves + best
+        moves, h = moves + 1, min(found)[4]
+
+
+def shaken(r, n, values, times):
+    """Words, and the same with some gone, put in, or moved as a run."""
+    a = [str(r.randrange(values)) for _ in range(n)]
+    b = list(a)
+    for _ in range(times):
+        kind, i, size = r.random(), r.randrange(len(b) + 1), r.randint(1, 8)
+        if kind < 0.25:
+            del b[i : i + 1]
+        elif kind < 0.5:
+            b.insert(i, str(r.randrange(values)))
+        else:
+            run = b[i : i + size]
+            del b[i : i + size]
+            j = min(len(b), max(0, i + r.randint(-40, 40)))
+            b[j:j] = run
+    return a, b
+
+
+@pytest.mark.parametrize("cells", [200, 4_000_000])
+def test_translation_edit_rate_against_the_whole_search(monkeypatch, cells):
+    import random
+
+    monkeypatch.setattr(M, "CELLS", cells)
+    r = random.Random(cells)
+    for _ in range(120):
+        a, b = shaken(r, r.randint(1, 14), r.choice([2, 4, 30]), r.randint(0, 4))
+        assert M.ter_edits(a, b) == searched(a, b), (a, b)
+
+
+def test_translation_edit_rate_of_twenty_thousand_words():
+    import random
+
+    r = random.Random(9)
+    a, b = shaken(r, 20_000, 3000, 0)
+    for k in range(5):
+        i = 3000 * (k + 1)
+        run = b[i : i + 7]
+        del b[i : i + 7]
+        b[i + 20 : i + 20] = run
+    b[100] = b[19_000] = "new"
+    # each move is one edit; without moves they would be fourteen each
+    assert M.ter_edits(a, b) == 7
+    assert M.ter_edits(["x"] * 20_000, ["y"] * 19_990) == 20_000
+
+
 def test_translation_edit_rate_bounds():
     import random
     import time
 
     r = random.Random(3)
-    plain = lambda a, b: int(M._table(np.array(a), np.array(b))[-1, -1])
+
+    def plain(a, b):
+        d = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, d[0] = d[0], i
+            for j, y in enumerate(b, 1):
+                last, d[j] = d[j], min(last + (x != y), d[j] + 1, d[j - 1] + 1)
+        return d[-1]
+
     for _ in range(200):
         a, b = ([r.randrange(5) for _ in range(r.randint(1, 12))] for _ in range(2))
         n = M.ter_edits([str(x) for x in a], [str(x) for x in b])
         assert abs(len(a) - len(b)) <= n <= plain(a, b)
-        assert M._distances(np.array([a]), np.array(b)).tolist() == [plain(a, b)]
+        assert M.distance(np.array(a), np.array(b)) == plain(a, b)
     began = time.time()
     words = [str(r.randrange(60)) for _ in range(160)]
     assert M.ter_edits(words[80:] + words[:80], words) > 0
