@@ -50,7 +50,7 @@ def guarded(each: Callable[[pd.Series], object], column: str, default=None) -> B
 
     def step(b: pd.DataFrame) -> pd.DataFrame:
         values, errors = [], []
-        for _, row in b.iterrows():
+        for row in b.to_dict("records"):
             try:
                 values.append(each(row))
                 errors.append(None)
@@ -62,6 +62,45 @@ def guarded(each: Callable[[pd.Series], object], column: str, default=None) -> B
     return batches(step)
 
 
+class Asked:
+    """Answers of a model to many inputs: each different input is asked once a task, in batches of about equally long ones.
+
+    ask takes a list of inputs and returns as many answers.  A batch that fails
+    is asked again by halves, so one input's failure is told with that input
+    alone.  most: answers that are kept.
+    """
+
+    def __init__(self, ask: Callable[[list], list], size: int = 8, most: int = 100_000):
+        self.ask, self.size, self.most = ask, size, most
+        self.kept: dict = {}
+
+    def _solve(self, part: list, out: dict) -> None:
+        try:
+            answers = list(self.ask(part))
+            if len(answers) != len(part):
+                raise ValueError(f"{len(answers)} answers to {len(part)} inputs")
+            out.update((x, (y, None)) for x, y in zip(part, answers, strict=True))
+        except Exception as e:  # noqa: BLE001
+            if len(part) == 1:
+                out[part[0]] = (None, f"{type(e).__name__}: {e}")
+                return
+            self._solve(part[: len(part) // 2], out)
+            self._solve(part[len(part) // 2 :], out)
+
+    def __call__(self, inputs: list) -> list[tuple[object, str | None]]:
+        """(answer, error) of each input; inputs are texts or tuples of texts, null ones get (None, None)."""
+        new = [x for x in dict.fromkeys(inputs) if x is not None and x not in self.kept]
+        new.sort(key=lambda x: len(x) if isinstance(x, str) else sum(len(y or "") for y in x))
+        out: dict = {}
+        for a in range(0, len(new), self.size):
+            self._solve(new[a : a + self.size], out)
+        found = [(None, None) if x is None else self.kept.get(x) or out[x] for x in inputs]
+        for x, answer in out.items():
+            if len(self.kept) < self.most and answer[1] is None:
+                self.kept[x] = answer
+        return found
+
+
 def first_that_works(named: dict[str, Step]) -> Step:
     """The first step that raises nothing, with its name in column engine; the last one's error passes on."""
 

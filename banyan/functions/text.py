@@ -235,7 +235,7 @@ def tag_languages(text: Column, source: Column, target: Column) -> Column:
 
 def postedit_system(language: Column) -> Column:
     """The rules of post-editing, for the model's system part."""
-    return F.concat(F.lit("You correct machine translations of social posts into "), language, F.lit(". You change wording for fluency alone, keep every protected token as it is, and answer with the sentence and nothing else."))
+    return F.concat(F.lit("You correct machine translations of social posts into "), language, F.lit(". You change wording for fluency alone: the meaning stays the same, no information is added and none is left out, and every protected token stays exactly as it is. Answer with the sentence and nothing else: no explanation, no quotation marks, no comment."))
 
 
 def postedit_prompt(source: Column, candidate: Column, protected: Column, language: Column) -> Column:

@@ -37,16 +37,13 @@ def mean_score(scored: DataFrame, score: str = "score", error: str = "error") ->
     return scored.groupBy("mode").agg(F.when(failed.isNull(), F.avg(score)).alias("value"), failed.alias("error"))
 
 
+METRICS = ("bleu", "chrf", "ter", "pfs")
+
+
 def report(hypotheses: DataFrame) -> DataFrame:
-    """mode, metric and value: bleu, chrf, ter and mean fidelity, each from counts pooled over a mode."""
-    of = lambda df, c: df.select("mode", F.lit(c).alias("metric"), F.col(c).alias("value"))
-    pfs = M.fidelity_summary(M.fidelity_rows(hypotheses, "source", "hypothesis"), "mode").where("dimension = 'overall'").select("mode", F.lit("pfs").alias("metric"), F.col("mean").alias("value"))
-    return union_all(
-        of(M.bleu(M.bleu_counts(hypotheses, "hypothesis", "reference", "mode")), "bleu"),
-        of(M.chrf(M.chrf_counts(hypotheses, "hypothesis", "reference", "mode")), "chrf"),
-        of(M.ter(hypotheses, "hypothesis", "reference", "mode"), "ter"),
-        pfs,
-    )
+    """mode, metric and value: bleu, chrf, ter and mean fidelity (pfs), each from counts pooled over a mode, in one pass."""
+    wide = M.report(hypotheses, "source", "hypothesis", "reference", "mode")
+    return wide.select("mode", F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in METRICS])))
 
 
 def translate_words(df: DataFrame, words: Column, key: str, backend: Backend, romanised_first: bool = True) -> DataFrame:

@@ -108,12 +108,15 @@ def tokens_13a(text: Column) -> Column:
     return F.filter(F.split(X.strip(x), r"(?U)\s+"), lambda w: w != "")
 
 
+def _bleu_sums() -> list[Column]:
+    sums = {"hyp_len": F.col("h_"), "ref_len": F.col("r_")} | {f"m{n}": F.col(f"m_{n}") for n in range(1, 5)} | {f"t{n}": F.greatest(F.lit(0), F.col("h_") - n + 1) for n in range(1, 5)}
+    return [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(k) for k, c in sums.items()]
+
+
 def bleu_counts(df: DataFrame, hypothesis: str, reference: str, *keys: str, tokens=tokens_13a) -> DataFrame:
     """Pooled matches m1-m4, totals t1-t4 and lengths, by keys."""
     rows = df.select(*keys, tokens(F.col(hypothesis)).alias("_h"), tokens(F.col(reference)).alias("_r"))
-    each = _counted(rows, keys, {"_": ("words", 4)})
-    sums = {"hyp_len": F.col("h_"), "ref_len": F.col("r_")} | {f"m{n}": F.col(f"m_{n}") for n in range(1, 5)} | {f"t{n}": F.greatest(F.lit(0), F.col("h_") - n + 1) for n in range(1, 5)}
-    return each.groupBy(*keys).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(k) for k, c in sums.items()])
+    return _counted(rows, keys, {"_": ("words", 4)}).groupBy(*keys).agg(*_bleu_sums())
 
 
 def bleu(counts: DataFrame) -> DataFrame:
@@ -136,12 +139,19 @@ def _chrf_words(text: Column) -> Column:
 
 def chrf_counts(df: DataFrame, hypothesis: str, reference: str, *keys: str, chars: int = 6, words: int = 2) -> DataFrame:
     """Pooled matches (m), hypothesis (h) and reference (r) n-grams of characters (c1..) and words (w1..)."""
+    each = _counted(df.select(*keys, *_chrf_items(hypothesis, reference)), keys, {"c": ("letters", chars), "w": ("words", words)})
+    return each.groupBy(*keys).agg(*_chrf_sums(chars, words))
+
+
+def _chrf_items(hypothesis: str, reference: str) -> list[Column]:
     letters = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
-    rows = df.select(*keys, *[f(F.col(c)).alias(n) for n, f, c in (("ch", letters, hypothesis), ("cr", letters, reference), ("wh", _chrf_words, hypothesis), ("wr", _chrf_words, reference))])
-    each = _counted(rows, keys, {"c": ("letters", chars), "w": ("words", words)})
+    return [f(F.col(c)).alias(n) for n, f, c in (("ch", letters, hypothesis), ("cr", letters, reference), ("wh", _chrf_words, hypothesis), ("wr", _chrf_words, reference))]
+
+
+def _chrf_sums(chars: int = 6, words: int = 2) -> list[Column]:
     orders = [("c", n) for n in range(1, chars + 1)] + [("w", n) for n in range(1, words + 1)]
     sums = {f"m{k}{n}": F.col(f"m{k}{n}") for k, n in orders} | {f"{s}{k}{n}": F.greatest(F.lit(0), F.col(f"{s}{k}") - n + 1) for k, n in orders for s in "hr"}
-    return each.groupBy(*keys).agg(*[F.sum(c).alias(k) for k, c in sums.items()])
+    return [F.sum(c).alias(k) for k, c in sums.items()]
 
 
 def chrf(counts: DataFrame, chars: int = 6, words: int = 2, beta: float = 2.0) -> DataFrame:
@@ -386,14 +396,36 @@ def ter_edits(hyp: list[str], ref: list[str]) -> int:
     return moves + best
 
 
+@F.pandas_udf(LongType())
+def edits(h: pd.Series, r: pd.Series) -> pd.Series:
+    """TER's edits of texts by their words in lower case."""
+    words = lambda x: re.sub(r"\s+", " ", (x or "").lower()).split()
+    return pd.Series([ter_edits(words(a), words(b)) for a, b in zip(h, r, strict=True)])
+
+
+def _ter_items(hypothesis: str, reference: str) -> list[Column]:
+    length = F.size(F.filter(F.split(X.strip(F.lower(reference)), r"(?U)\s+"), lambda w: w != ""))
+    return [edits(F.col(hypothesis), F.col(reference)).alias("_edits"), length.alias("_words")]
+
+
+def _ter_sums() -> list[Column]:
+    return [F.sum("_edits").alias("edits"), F.sum("_words").alias("ref_words")]
+
+
+def with_ter(counts: DataFrame) -> DataFrame:
+    """Adds ter: pooled edits over reference words, times 100."""
+    return counts.withColumn("ter", F.when(F.col("ref_words") > 0, 100 * F.col("edits") / F.col("ref_words")).otherwise(F.when(F.col("edits") > 0, 100.0).otherwise(0.0)))
+
+
 def ter(df: DataFrame, hypothesis: str, reference: str, *keys: str) -> DataFrame:
     """Pooled edits over reference words, times 100."""
+    return with_ter(df.select(*keys, *_ter_items(hypothesis, reference)).groupBy(*keys).agg(*_ter_sums()))
 
-    @F.pandas_udf("long")
-    def edits(h: pd.Series, r: pd.Series) -> pd.Series:
-        words = lambda x: re.sub(r"\s+", " ", (x or "").lower()).split()
-        return pd.Series([ter_edits(words(a), words(b)) for a, b in zip(h, r, strict=True)])
 
-    length = F.size(F.filter(F.split(X.strip(F.lower(reference)), r"(?U)\s+"), lambda w: w != ""))
-    each = df.select(*keys, edits(F.col(hypothesis), F.col(reference)).alias("e"), length.alias("n"))
-    return each.groupBy(*keys).agg(F.sum("e").alias("edits"), F.sum("n").alias("ref_words")).withColumn("ter", F.when(F.col("ref_words") > 0, 100 * F.col("edits") / F.col("ref_words")).otherwise(F.when(F.col("edits") > 0, 100.0).otherwise(0.0)))
+def report(df: DataFrame, source: str, hypothesis: str, reference: str, *keys: str) -> DataFrame:
+    """keys, bleu, chrf, ter and pfs (mean fidelity), from one pass over the rows and one sum of counts."""
+    rows = fidelity_rows(df.select(*keys, source, hypothesis, reference), source, hypothesis)
+    items = rows.select(*keys, F.col("overall").alias("_pfs"), *_ter_items(hypothesis, reference), *_chrf_items(hypothesis, reference), tokens_13a(F.col(hypothesis)).alias("_h"), tokens_13a(F.col(reference)).alias("_r"))
+    each = _counted(items, (*keys, "_pfs", "_edits", "_words"), {"_": ("words", 4), "c": ("letters", 6), "w": ("words", 2)})
+    counts = each.groupBy(*keys).agg(*_bleu_sums(), *_chrf_sums(), *_ter_sums(), F.avg("_pfs").alias("pfs"))
+    return with_ter(chrf(bleu(counts))).select(*keys, "bleu", "chrf", "ter", "pfs")

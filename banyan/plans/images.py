@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from .. import backends as B
 from ..functions import scores as S
+from ..functions import text as X
 from ..operators import ocr as O
 from ..sources import sinks
+from ..sources.storage import stored
 from .translate import Options, translate
 
 LINE = "struct<text: string, confidence: double, bbox: array<double>>"
@@ -93,17 +95,23 @@ def gated(rows: DataFrame, options: ImageOptions) -> DataFrame:
     return asked.withColumns(S.gate(F.col("cleaned_text"), F.col("_predicted"), F.col("_confidence"))).drop("_predicted", "_confidence")
 
 
-def translate_images(images: DataFrame, options: ImageOptions, log: str | None = None, fast_mode: bool = False) -> DataFrame:
-    """Rows path and content to the recognised and cleaned text, the language, and the translation of supported ones; unsupported ones are told before any engine is asked."""
-    rows = gated(cleaned(recognised(images, options), options), options).withColumn("direction", S.direction_of(F.col("language")))
+def translate_images(images: DataFrame, options: ImageOptions, log: str | None = None, fast_mode: bool = False, batch: int | None = None) -> DataFrame:
+    """Rows path and content to the recognised and cleaned text, the language, and the translation of supported ones; unsupported ones are told before any engine is asked.
+
+    Images are recognised once, as their gated rows are stored without the
+    content.  batch: the number under which the log takes the rows, once.
+    """
+    read = cleaned(recognised(images, options), options).withColumn("image_hash", X.image_hash(F.col("content"))).drop("content")
+    rows = stored(gated(read, options).withColumn("direction", S.direction_of(F.col("language"))), "banyan-images")
     if log:
-        sinks.append_log(sinks.decision_log(rows.withColumn("detected_language", F.col("language")), "path"), log)
+        sinks.append_log(sinks.decision_log(rows.withColumn("detected_language", F.col("language")), "path"), log, batch)
     shown = ["path", "engine", "ocr_text", "ocr_confidence", "cleaned_text", F.col("language").alias("detected_language"), F.col("confidence").alias("language_confidence"), "direction", "failure"]
     rejected = rows.where(F.col("direction").isNull()).select(*shown, F.lit(False).alias("supported"), F.lit("language not supported: the text was not translated").alias("message"))
     parts = []
     for direction in ("bn2en", "en2bn"):
-        own = rows.where(F.col("direction") == direction)
-        done = translate(own.select(F.col("path").alias("id"), F.col("cleaned_text").alias("text")), direction, options.translation, fast_mode)
-        result = done.select(F.col("id").alias("path"), F.col("final").alias("translation"), F.struct(*[c for c in done.columns if c not in ("id", "text", "direction")]).alias("translation_result"))
-        parts.append(own.select(*shown, F.lit(True).alias("supported"), F.lit(None).cast("string").alias("message")).join(result, "path"))
+        # the row goes along as its id, so nothing is joined
+        own = rows.where(F.col("direction") == direction).select(F.struct(*shown).alias("id"), F.col("cleaned_text").alias("text"))
+        done = translate(own, direction, options.translation, fast_mode)
+        result = F.struct(*[c for c in done.columns if c not in ("id", "text", "direction")]).alias("translation_result")
+        parts.append(done.select("id.*", F.lit(True).alias("supported"), F.lit(None).cast("string").alias("message"), F.col("final").alias("translation"), result))
     return parts[0].unionByName(parts[1]).unionByName(rejected, allowMissingColumns=True)

@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +32,8 @@ class Options:
     back: (text, engine, direction) to the text translated back; similarity: of the source and that.
     word: (word, engine, direction) to a word of a hashtag; None: words stay.
     segment: Column function from a hashtag to its words.
+    size: inputs of a batch. batched: engine, quality, editor, back and similarity take lists of what they take else and return lists:
+    engine(texts, engine), quality([(source, candidate's text)]), editor([(system, prompt)]), back(texts, engine, direction), similarity([(source, text)]).
     """
 
     engines: tuple[str, ...] = ("indictrans2", "nllb", "banglat5")
@@ -45,6 +46,16 @@ class Options:
     similarity: Callable[[str, str], float] = B.word_overlap
     word: Callable[[str, str, str], str] | None = None
     segment: Callable[[Column], Column] = lambda tag: X.camel_split(X.without_hash(tag))
+    size: int = 8
+    batched: bool = False
+
+    def ask(self, hook: Callable | None, *more) -> Callable[[list], list] | None:
+        """A hook as one of lists, with further arguments."""
+        if hook is None:
+            return None
+        if self.batched:
+            return lambda inputs: hook(inputs, *more)
+        return lambda inputs: [hook(*(x if isinstance(x, tuple) else (x,)), *more) for x in inputs]
 
 
 def prepared(df: DataFrame, direction: str) -> DataFrame:
@@ -60,27 +71,39 @@ def with_candidates(df: DataFrame, options: Options) -> DataFrame:
     """Adds candidates, in the engines' order, each text once an engine, empty ones left out; and failures, the engines that failed."""
     rows = df.withColumn("_clean", X.sanitize(F.col("work")))
 
-    def one(source: str, clean: str) -> tuple[list[tuple], list[str]]:
-        found, failed = [], []
-        for engine in options.engines if clean else ():
-            try:
-                seen = set()
-                for text, method, score in options.engine(clean, engine):
-                    if text and text not in seen:
-                        seen.add(text)
-                        found.append((text, engine, method, score))
-            except Exception as e:  # noqa: BLE001
-                failed.append(f"{engine}: {type(e).__name__}: {e}")
-        if options.quality and found:
-            found = [(*c[:3], float(s)) for c, s in zip(found, options.quality(source, [c[0] for c in found]), strict=True)]
-        return found, failed
-
-    def step(b: pd.DataFrame) -> pd.DataFrame:
-        each = [one(*x) for x in zip(b["work"], b["_clean"], strict=True)]
-        return b.drop(columns="_clean").assign(candidates=[[dict(zip(("text", "engine", "method", "score"), c, strict=True)) for c in x] for x, _ in each], failures=[x for _, x in each])
+    def frames(parts: B.Batches) -> B.Batches:
+        engines = {e: B.Asked(options.ask(options.engine, e), options.size) for e in options.engines}
+        for b in parts:
+            source, clean = list(b["work"]), [x or None for x in b["_clean"]]
+            found, failed = [[] for _ in clean], [[] for _ in clean]
+            for engine, ask in engines.items():
+                for own, bad, text, (answer, error) in zip(found, failed, clean, ask(clean), strict=True):
+                    if error:
+                        bad.append(f"{engine}: {error}")
+                    elif text is not None:
+                        seen = set()
+                        for candidate, method, score in answer:
+                            if candidate and candidate not in seen:
+                                seen.add(candidate)
+                                own.append((candidate, engine, method, score))
+            if options.quality:
+                found = scored(source, found)
+            yield b.drop(columns="_clean").assign(candidates=[[dict(zip(("text", "engine", "method", "score"), c, strict=True)) for c in x] for x in found], failures=failed)
+
+    def scored(source: list[str], found: list[list[tuple]]) -> list[list[tuple]]:
+        if not options.batched:
+            return [[(*c[:3], float(s)) for c, s in zip(x, options.quality(t, [c[0] for c in x]), strict=True)] if x else x for t, x in zip(source, found, strict=True)]
+        pairs = [(t, c[0]) for t, x in zip(source, found, strict=True) for c in x]
+        answers = iter(B.Asked(options.quality, options.size)(pairs))
+        out = []
+        for x in found:
+            own = [next(answers) for _ in x]
+            # a text that can't be scored is ranked last
+            out.append([(*c[:3], None if error else float(s)) for c, (s, error) in zip(x, own, strict=True)])
+        return out
 
     schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
-    return rows.mapInPandas(B.batches(step), f"{schema}, candidates array<{CANDIDATE}>, failures array<string>")
+    return rows.mapInPandas(frames, f"{schema}, candidates array<{CANDIDATE}>, failures array<string>")
 
 
 def picked(df: DataFrame, options: Options) -> DataFrame:
@@ -99,18 +122,16 @@ def edited(df: DataFrame, direction: str, options: Options) -> DataFrame:
     language = F.lit(T.LANGUAGE_NAMES[direction])
     asked = rows.withColumns({"_system": X.postedit_system(language), "_prompt": X.postedit_prompt(F.col("work"), F.col("pre"), F.col("protected_spans"), language)})
 
-    def ask(system: str, prompt: str | None) -> str | None:
-        if prompt is None:
-            return None
-        try:
-            answer = options.editor(system, prompt)
-        except Exception:  # noqa: BLE001
-            return None
-        return None if answer is None else answer.strip()
+    def frames(parts: B.Batches) -> B.Batches:
+        ask = B.Asked(options.ask(options.editor), options.size)
+        for b in parts:
+            asked = [None if prompt is None else (system, prompt) for system, prompt in zip(b["_system"], b["_prompt"], strict=True)]
+            # an edit that fails leaves the text as it is
+            answers = [None if error or x is None else x.strip() for x, error in ask(asked)]
+            yield b.drop(columns=["_system", "_prompt"]).assign(_edited=answers)
 
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
-    step = lambda b: b.drop(columns=["_system", "_prompt"]).assign(_edited=[ask(*x) for x in zip(b["_system"], b["_prompt"], strict=True)])
-    done = asked.mapInPandas(B.batches(step), f"{schema}, _edited string")
+    done = asked.mapInPandas(frames, f"{schema}, _edited string")
     q = S.postedit(F.col("pre"), F.col("_edited"), F.col("protected_spans"))
     return done.withColumns({"post": q["post_edit"], "edit_applied": q["edit_applied"]}).drop("_edited")
 
@@ -119,22 +140,24 @@ def verified(df: DataFrame, direction: str, options: Options) -> DataFrame:
     """Adds the round trip's text and similarity and whether it passed, of post, and of pre where post failed and differs from it."""
     back_direction = T.REVERSE[direction]
 
-    def check(source: str, text: str | None) -> tuple[str | None, float | None, bool]:
-        if text is None:
-            return None, None, False
-        back = options.back(text, options.roundtrip_engine, back_direction)
-        x = float(options.similarity(source, back))
-        return back, x, x >= options.threshold
+    def frames(parts: B.Batches) -> B.Batches:
+        back, alike = B.Asked(options.ask(options.back, options.roundtrip_engine, back_direction), options.size), B.Asked(options.ask(options.similarity), options.size)
 
-    def step(b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for source, pre, post in zip(b["work"], b["pre"], b["post"], strict=True):
-            after = check(source, post)
-            out.append((*after, *((None, None, False) if after[2] or pre == post else check(source, pre))))
-        return b.assign(**dict(zip(NAMES, map(list, zip(*out, strict=True)) if out else [[]] * 6, strict=True)))
+        def checked(sources: list[str], texts: list[str | None]) -> list[tuple[str | None, float | None, bool]]:
+            """A text that can't be translated back or compared isn't verified."""
+            backs = [x for x, _ in back(texts)]
+            found = alike([None if x is None else (s, x) for s, x in zip(sources, backs, strict=True)])
+            return [(x, None if y is None else float(y), y is not None and float(y) >= options.threshold) for x, (y, _) in zip(backs, found, strict=True)]
+
+        for b in parts:
+            source, pre, post = (list(b[c]) for c in ("work", "pre", "post"))
+            after = checked(source, post)
+            before = checked(source, [None if a[2] or x == y else x for a, x, y in zip(after, pre, post, strict=True)])
+            both = [(*x, *y) for x, y in zip(after, before, strict=True)]
+            yield b.assign(**dict(zip(NAMES, map(list, zip(*both, strict=True)) if both else [[]] * 6, strict=True)))
 
     schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
-    return df.mapInPandas(B.batches(step), f"{schema}, " + ", ".join(f"{n} {t}" for n, t in zip(NAMES, ("string", "double", "boolean") * 2, strict=True)))
+    return df.mapInPandas(frames, f"{schema}, " + ", ".join(f"{n} {t}" for n, t in zip(NAMES, ("string", "double", "boolean") * 2, strict=True)))
 
 
 NAMES = ("post_back", "post_similarity", "post_ok", "pre_back", "pre_similarity", "pre_ok")
@@ -177,7 +200,8 @@ def translate(df: DataFrame, direction: str, options: Options | None = None, fas
     options = options or Options()
     if fast_mode:
         engine = options.engine
-        options = replace(options, engines=(options.roundtrip_engine,), engine=lambda text, name: engine(text, name)[:1], quality=None)
+        first = (lambda texts, name: [x[:1] for x in engine(texts, name)]) if options.batched else (lambda text, name: engine(text, name)[:1])
+        options = replace(options, engines=(options.roundtrip_engine,), engine=first, quality=None)
     rows = prepared(df.select("id", F.coalesce("text", F.lit("")).alias("text")), direction)
     rows = picked(with_candidates(rows, options), options)
     null = lambda kind: F.lit(None).cast(kind)

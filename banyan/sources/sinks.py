@@ -23,9 +23,10 @@ def splits(df: DataFrame, path: str) -> None:
 
 
 def decision_log(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows of the gate's log: keys, hash of the content, whether the language was accepted, and the gate's columns that are there."""
+    """Rows of the gate's log: keys, hash of the content (or column image_hash), whether the language was accepted, and the gate's columns that are there."""
     more = [c for c in ("cleaned_text", "detected_language", "confidence", "fasttext_language", "bengali_unicode_ratio") if c in df.columns]
-    return df.select(*keys, X.image_hash(F.col("content")).alias("image_hash"), *more, F.when(F.col("language").isin("bn", "en"), "accepted").otherwise("rejected").alias("routing_decision"))
+    own = F.col("image_hash") if "image_hash" in df.columns else X.image_hash(F.col("content"))
+    return df.select(*keys, own.alias("image_hash"), *more, F.when(F.col("language").isin("bn", "en"), "accepted").otherwise("rejected").alias("routing_decision"))
 
 
 def committed(spark: SparkSession, path: str) -> list[int]:

@@ -72,6 +72,13 @@ def put(spark: SparkSession, path: str) -> None:
     system.create(p, True).close()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: what it took is not done anew for each use; it goes when the application ends."""
+    path = fresh(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def kept_table(spark: SparkSession, path: str, make) -> DataFrame:
     """The Parquet table at path, made and written once where it isn't there."""
     if not exists(spark, f"{path}/_SUCCESS"):
