@@ -53,8 +53,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def decorated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.expr(f"concat(text, {_TAIL.format(s='STRING')})").alias("t"))
+def decorated(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", *more, F.expr(f"concat(text, {_TAIL.format(s='STRING')})").alias("t"))
 
 
 def query(sql: str | None = None):
@@ -93,18 +93,24 @@ def proxy_forced_test_split(spark, sf_dir):
     return C.stratified_split(docs, "source", "doc_id", proxy=F.col("doc_id") % 10 == 0).select("doc_id", "split")
 
 
-_EDGE = "CASE doc_id % 6 WHEN 0 THEN ' ' WHEN 1 THEN 'NaN' WHEN 2 THEN NULL ELSE text END"
+#: Every whole text, and beside each document three texts that aren't valid.
+_EDGES = "SELECT doc_id, 0 AS kind, text FROM documents UNION ALL SELECT doc_id, k AS kind, CASE k WHEN 1 THEN ' ' WHEN 2 THEN 'NaN' END AS text FROM documents, (VALUES (1), (2), (3)) AS t(k)"
 
 
-@query(f"WITH x AS (SELECT doc_id, {_EDGE} AS text FROM documents) SELECT doc_id, text FROM x WHERE {_VALID}")
+def _edges(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    odd = docs.select("doc_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(t).cast("string").alias("text")) for k, t in ((1, " "), (2, "NaN"), (3, None))])).alias("x"))
+    return docs.select("doc_id", F.lit(0).alias("kind"), "text").union(odd.select("doc_id", "x.kind", "x.text"))
+
+
+@query(f"WITH x AS ({_EDGES}) SELECT doc_id, kind, text FROM x WHERE {_VALID}")
 def row_validity(spark, sf_dir):
-    x = table(spark, sf_dir, "documents").select("doc_id", F.expr(_EDGE).alias("text"))
-    return x.where(X.is_valid(F.col("text")))
+    return _edges(spark, sf_dir).where(X.is_valid(F.col("text")))
 
 
-@query(f"WITH x AS (SELECT doc_id, {_EDGE} AS text FROM documents) SELECT doc_id, CASE WHEN lower(text) <> 'nan' THEN text END AS text FROM x")
+@query(f"WITH x AS ({_EDGES}) SELECT doc_id, kind, CASE WHEN lower(text) <> 'nan' THEN text END AS text FROM x")
 def null_canonicalise(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", X.nan_to_null(F.expr(_EDGE)).alias("text"))
+    return _edges(spark, sf_dir).select("doc_id", "kind", X.nan_to_null(F.col("text")).alias("text"))
 
 
 def _unified(spark, sf_dir):
@@ -288,12 +294,19 @@ def hashtag_viterbi(spark, sf_dir):
     return tags.select("tag", F.array_join(segment(F.col("tag")), "|").alias("words"))
 
 
+_TAG_WORDS = "regexp_extract_all(lower(text), '[a-z]+')"
+
+
 @query(
-    "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '#' || array_to_string(list_transform(string_split(concat('good|', lang, '|', source), '|'), lambda w: concat(upper(w[1]), w[2:])), '') WHEN 1 THEN concat('#good', lang, source) ELSE '#kept' END AS tag FROM documents"
+    f"SELECT doc_id, t AS target, CASE t WHEN 'en' THEN '#' || array_to_string(list_transform({_TAG_WORDS}, lambda w: concat(upper(w[1]), w[2:])), '') WHEN 'bn' THEN '#' || array_to_string({_TAG_WORDS}, '') ELSE '#kept' END AS tag FROM documents, (VALUES ('en'), ('bn'), ('none')) AS v(t) WHERE t = 'none' OR len({_TAG_WORDS}) > 0 "
+    f"UNION ALL SELECT doc_id, t, '#kept' FROM documents, (VALUES ('en'), ('bn')) AS v(t) WHERE text IS NULL OR len({_TAG_WORDS}) = 0"
 )
 def rebuild_hashtag(spark, sf_dir):
-    words = F.when(F.col("doc_id") % 3 == 2, F.array().cast("array<string>")).otherwise(F.array(F.lit("good"), F.lit(""), "lang", "source"))
-    return table(spark, sf_dir, "documents").select("doc_id", X.rebuild_hashtag(F.lit("#kept"), words, F.when(F.col("doc_id") % 3 == 0, "en").otherwise("bn")).alias("tag"))
+    """The words of each whole text as a hashtag's, towards both languages; none: the tag is kept."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(X.find_all(F.lower("text"), "[a-z]+"), F.array().cast("array<string>")).alias("w"), F.explode(F.array(F.lit("en"), F.lit("bn"), F.lit("none"))).alias("target"))
+    words = F.when(F.col("target") == "none", F.array().cast("array<string>")).otherwise(F.concat(F.array(F.lit("")), "w"))
+    tag = F.when((F.col("target") == "none") | (F.size("w") == 0), X.rebuild_hashtag(F.lit("#kept"), F.array().cast("array<string>"), F.lit("en"))).when(F.col("target") == "en", X.rebuild_hashtag(F.lit("#kept"), words, F.lit("en"))).otherwise(X.rebuild_hashtag(F.lit("#kept"), words, F.lit("bn")))
+    return rows.select("doc_id", "target", tag.alias("tag"))
 
 
 def reassemble_sql(translated: str, tokens: str) -> str:
@@ -307,13 +320,13 @@ def reassemble_sql(translated: str, tokens: str) -> str:
     return f"list_reduce(list_prepend({{'token': {translated}, 'kind': '', 'new': ''}}, {own}), lambda a, x: {{'token': {step}, 'kind': '', 'new': ''}}).token"
 
 
-@query(f"WITH {_D}, k AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN t ELSE lang END AS o, {tok('t')} AS k FROM d) SELECT doc_id, {reassemble_sql('o', 'k')} AS final FROM k")
+@query(f"WITH {_D}, k AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN t ELSE text END AS o, {tok('t')} AS k FROM d JOIN documents USING (doc_id)) SELECT doc_id, {reassemble_sql('o', 'k')} AS final FROM k")
 def reassemble(spark, sf_dir):
-    """Against translations that keep some tokens and lose others; hashtags are rebuilt from their camel words."""
-    rows = decorated(spark, sf_dir).withColumn("tokens", X.protected(F.col("t")))
+    """Against whole texts that keep all tokens or have lost them; hashtags are rebuilt from their camel words."""
+    rows = decorated(spark, sf_dir, "text").withColumn("tokens", X.protected(F.col("t")))
     tags = F.array_distinct(X.of_kind(F.col("tokens"), "hashtag"))
     rebuilt = F.map_from_entries(F.transform(tags, lambda t: F.struct(t, X.rebuild_hashtag(t, X.camel_split(X.without_hash(t)), F.lit("en")))))
-    translated = F.when(F.col("doc_id") % 2 == 0, F.col("t")).otherwise(F.col("lang"))
+    translated = F.when(F.col("doc_id") % 2 == 0, F.col("t")).otherwise(F.col("text"))
     return rows.select("doc_id", X.bind(rebuilt, lambda m: X.reassemble(F.col("tokens"), translated, m)).alias("final"))
 
 
@@ -485,7 +498,7 @@ def embedding_neighbours(spark, sf_dir):
 
 
 _CASES = {
-    "n": "CASE WHEN doc_id % 6 = 0 THEN 0 ELSE 4 END", "w": "CASE WHEN doc_id % 6 = 1 THEN NULL ELSE 'w' END", "post": "concat('post', doc_id % 2)", "pre": "'post0'",
+    "n": "CASE WHEN doc_id % 6 = 0 THEN 0 ELSE 4 END", "w": "CASE WHEN doc_id % 6 = 1 THEN NULL ELSE text END", "post": "concat(text, ' post', doc_id % 2)", "pre": "concat(text, ' post0')",
     "applied": "doc_id % 5 <> 0", "post_ok": "doc_id % 7 < 3", "pre_ok": "doc_id % 3 = 0",
 }
 _CASE_SQL = ", ".join(f"{v} AS {k}" for k, v in _CASES.items())
@@ -541,10 +554,13 @@ def pfs_aggregate(spark, sf_dir):
 _HYP = "CASE WHEN doc_id % 4 = 0 THEN regexp_replace(text, '^[^ ]+ ', '') WHEN doc_id % 4 = 1 THEN concat(text, ' the end of it') ELSE text END"
 
 
+_FULL = "CASE WHEN doc_id % 5 = 0 THEN concat('so ', text) WHEN doc_id % 5 = 1 THEN replace(text, 'th', 'ht') ELSE text END"
+
+
 def _modes(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     one = d.select(F.lit("single").alias("mode"), "doc_id", F.expr(_HYP).alias("hyp"), F.col("text").alias("ref"))
-    return one.union(d.select(F.lit("full"), "doc_id", F.col("text"), F.col("text")))
+    return one.union(d.select(F.lit("full"), "doc_id", F.expr(_FULL), F.col("text")))
 
 
 def t13a(c: str) -> str:
@@ -557,10 +573,10 @@ def t13a(c: str) -> str:
     return f"list_filter(string_split_regex({x}, '\\s+'), lambda w: w <> '')"
 
 
-def _bleu_sql(end: str) -> str:
+def _bleu_sql(end: str, hyp: str = _HYP) -> str:
     grams = " UNION ALL ".join(f"SELECT doc_id, {n} AS n, unnest(list_transform(range(1, len(x) - {n - 2}), lambda i: array_to_string(x[i:i + {n - 1}], ' '))) AS g FROM {{t}}" for n in range(1, 5))
     return (
-        f"WITH h AS (SELECT doc_id, {t13a(_HYP)} AS x FROM documents), r AS (SELECT doc_id, {t13a('text')} AS x FROM documents), "
+        f"WITH h AS (SELECT doc_id, {t13a(hyp)} AS x FROM documents), r AS (SELECT doc_id, {t13a('text')} AS x FROM documents), "
         f"hg AS (SELECT doc_id, n, g, count(*) AS c FROM ({grams.format(t='h')}) GROUP BY ALL), rg AS (SELECT doc_id, n, g, count(*) AS c FROM ({grams.format(t='r')}) GROUP BY ALL), "
         "m AS (SELECT hg.n AS n, sum(least(hg.c, coalesce(rg.c, 0))) AS m, sum(hg.c) AS t FROM hg LEFT JOIN rg USING (doc_id, n, g) GROUP BY hg.n), l AS (SELECT (SELECT sum(len(x)) FROM h) AS hl, (SELECT sum(len(x)) FROM r) AS rl), "
         "s AS (SELECT max(m) FILTER (n = 1)::BIGINT AS m1, max(m) FILTER (n = 4)::BIGINT AS m4, max(t) FILTER (n = 4)::BIGINT AS t4, any_value(hl)::BIGINT AS hyp_len, any_value(rl)::BIGINT AS ref_len, 100 * CASE WHEN any_value(hl) < any_value(rl) THEN exp(1 - any_value(rl) / any_value(hl)) ELSE 1 END * exp(avg(ln(m / t))) AS bleu FROM m, l) "
@@ -573,8 +589,7 @@ def bleu_corpus(spark, sf_dir):
     return M.bleu(counts).select("m1", "m4", "t4", "hyp_len", "ref_len", F.round("bleu", 6).alias("bleu"))
 
 
-def _chrf_sql() -> str:
-    """Of the mode whose texts differ; the other one's are equal, so its score is 100."""
+def _chrf_sql(mode: str, hyp: str) -> str:
     letters = lambda c: f"regexp_replace({c}, '\\s+', '', 'g')"
     mark = r"[!-/:-@\[-`{-~]"
     words = lambda c: (
@@ -586,12 +601,12 @@ def _chrf_sql() -> str:
     )
     orders = " UNION ALL ".join(f"SELECT * FROM {one(k, n)}" for k, n in [("c", n) for n in range(1, 7)] + [("w", 1), ("w", 2)])
     return (
-        f"WITH x AS (SELECT doc_id, {letters(_HYP)} AS ch, {letters('text')} AS cr, {words(_HYP)} AS wh, {words('text')} AS wr FROM documents), o AS ({orders}), s AS (SELECT avg(m / h) AS p, avg(m / r) AS q FROM o) "
-        "SELECT 'single' AS mode, round(100 * 5 * p * q / (4 * p + q), 6) AS chrf FROM s UNION ALL SELECT 'full', 100.0"
+        f"WITH x AS (SELECT doc_id, {letters(hyp)} AS ch, {letters('text')} AS cr, {words(hyp)} AS wh, {words('text')} AS wr FROM documents), o AS ({orders}), s AS (SELECT avg(m / h) AS p, avg(m / r) AS q FROM o) "
+        f"SELECT '{mode}' AS mode, round(100 * 5 * p * q / (4 * p + q), 6) AS chrf FROM s"
     )
 
 
-@query(_chrf_sql())
+@query(f"SELECT * FROM ({_chrf_sql('single', _HYP)}) UNION ALL SELECT * FROM ({_chrf_sql('full', _FULL)})")
 def chrf_corpus(spark, sf_dir):
     return M.chrf(M.chrf_counts(_modes(spark, sf_dir), "hyp", "ref", "mode")).select("mode", F.round("chrf", 6).alias("chrf"))
 
@@ -602,7 +617,7 @@ def ter_corpus(spark, sf_dir):
     return M.ter(turns, "text", "parallel_text").select("edits", "ref_words", F.round("ter", 6).alias("ter"))
 
 
-@query(_bleu_sql("SELECT 'bleu' AS metric, round(100 - bleu, 6) AS delta FROM s"))
+@query(f"SELECT 'bleu' AS metric, round(f.bleu - s.bleu, 6) AS delta FROM ({_bleu_sql('SELECT bleu FROM s', _FULL)}) AS f, ({_bleu_sql('SELECT bleu FROM s')}) AS s")
 def mode_delta(spark, sf_dir):
     modes = _modes(spark, sf_dir)
     b = M.bleu(M.bleu_counts(modes, "hyp", "ref", "mode")).select("mode", F.lit("bleu").alias("metric"), F.col("bleu").alias("value"))
