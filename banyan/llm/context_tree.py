@@ -27,7 +27,8 @@ N / ``HEAVY``, fewer than ``HEAVY``, are broadcast; all others are joined by a
 64-bit hash.
 
 Null texts count as empty: the end alone.  Rows are told apart by doc_id and
-text; equal rows score alike, and null doc_ids train.  With no training rows the
+text; equal rows and ties of any kind score alike, and null doc_ids train.  A
+text of any length is cut into rows of the chunk that has it.  With no training rows the
 model gives each bit one half, and base_score is that of c = N = V = 0.  An empty
 table gives no rows; further columns are ignored.
 """
@@ -51,8 +52,8 @@ from . import common
 DEPTH = 5
 #: Nearest context bytes that a bucket's grams share, and the number of buckets at least and at most.
 NEAR, BUCKETS, MOST = 3, 1024, 65_536
-#: Chunks whose grams of a bucket go to one task at most.
-TOGETHER = 2048
+#: Chunks whose grams of a bucket go to one task, and how often a task's chunks' grams may be those of its tree, before they are dealt to more tasks.
+TOGETHER, TIMES = 2048, 2
 HEAVY = 1 << 18
 #: Bytes of text of a chunk, unless one text has more, and of a row that holds texts of it.
 CHUNK, PART = 8_000_000, 1_000_000
@@ -60,6 +61,8 @@ CHUNK, PART = 8_000_000, 1_000_000
 SLICE, HELD = 1_000_000, 1_000_000
 #: Words whose hashes a worker keeps.
 WORDS = 200_000
+#: The least probability of a bit: what differs from 1 in a double. A node would need some 10**15 equal bits to get there.
+EPS = 2.0**-53
 END = b"\n"
 LOWEST = -(1 << 63)
 MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -390,8 +393,8 @@ class Model:
                 p[todo[hit]] = ps[at[hit]]
                 todo = todo[~hit]
             p[todo] = self.top.predict(shorter(wanted[todo], self.top.near - 1))
-            p = np.clip(p, 1e-6, 1 - 1e-6)
-            total += np.log10(np.where(bit_of(keys, j), p, 1 - p))
+            # a share of bits is never 0 or 1, but may be so close that a sum of doubles is
+            total += np.log10(np.maximum(np.where(bit_of(keys, j), p, 1 - p), EPS))
         return total
 
     def logs(self, keys: np.ndarray) -> np.ndarray:
@@ -490,7 +493,14 @@ def build(counts: DataFrame, depth: int = DEPTH) -> tuple[Top, list[dict[int, tu
     return top, [predictions(keys, n, top, depth, j) for j in range(8)]
 
 
-def gram_logs(grams_of: DataFrame, built: DataFrame, top: Top, parts: int, depth: int) -> DataFrame:
+def dealt(grams_of: DataFrame, built: DataFrame) -> DataFrame:
+    """bucket and parts, the tasks that its chunks' grams go to. Each gets a copy of the tree, so a bucket has as many as its grams are TIMES its tree at most: the copies have no more grams than the chunks."""
+    sizes = grams_of.groupBy("bucket").agg(F.count("*").alias("chunks"), F.sum("m").alias("grams")).join(built.select("bucket", F.col("m").alias("tree")), "bucket")
+    by_size = F.ceil(F.col("grams") / (TIMES * F.greatest(F.col("tree"), F.lit(HELD))))
+    return sizes.select("bucket", F.greatest(F.lit(1), F.least(F.ceil(F.col("chunks") / TOGETHER), by_size)).cast("int").alias("parts"))
+
+
+def gram_logs(grams_of: DataFrame, built: DataFrame, top: Top, depth: int) -> DataFrame:
     """kind 'g', chunk, m, n, a and b: each chunk's grams of a bucket, and in b their log10 by the exact tree, single precision.
 
     A task reads a bucket's tree first and then the chunks' rows, some at a time.
@@ -529,8 +539,10 @@ def gram_logs(grams_of: DataFrame, built: DataFrame, top: Top, parts: int, depth
         yield from answer()
 
     none = F.lit(None)
-    own = built.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), none.cast("long").alias("chunk"), "m", "a", "b")
-    rows = grams_of.select("bucket", F.pmod("chunk", F.lit(parts)).alias("part"), "chunk", "m", "a", none.cast("binary").alias("b"))
+    # a row a bucket, so MOST at most
+    parts = F.broadcast(dealt(grams_of, built))
+    own = built.join(parts, "bucket").select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("parts") - 1).cast("long"))).alias("part"), none.cast("long").alias("chunk"), "m", "a", "b")
+    rows = grams_of.join(parts, "bucket").select("bucket", F.pmod("chunk", F.col("parts")).alias("part"), "chunk", "m", "a", none.cast("binary").alias("b"))
     # null comes first: the tree before the chunks
     return own.union(rows).repartition("bucket", "part").sortWithinPartitions("bucket", "part", "chunk").mapInArrow(f, "kind string, chunk long, m int, n long, a binary, b binary")
 
@@ -589,7 +601,7 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     grams_of = counts.where("kind = 'g'").select("bucket", "chunk", "m", "a", "b")
     parts = 1 + texts.agg(F.count_distinct("chunk")).first()[0] // TOGETHER
     built = common.cut(trees(grams_of, parts, depth))
-    logs = gram_logs(grams_of, built, top_of(built, depth), parts, depth)
+    logs = gram_logs(grams_of, built, top_of(built, depth), depth)
     rows = common.cut(texts.unionByName(logs).groupBy("chunk").applyInArrow(f, "k long, t long, doc_id long, n_tokens long, known long, base double, score double, size long, hs array<long>, ns array<int>"))
     common.drop(counts)
     common.drop(built)
