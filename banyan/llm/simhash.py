@@ -14,7 +14,9 @@ folder after each step.
 
 Leaves grow with the number of fingerprints up to ``LEAVES``.  A leaf with more
 than ``HOT`` homes, as when many fingerprints share a half, is split again by a
-tree over all 64 bits of its own homes.  Joins by fingerprint or by component
+tree over all 64 bits of its own homes, while there are no more than ``LEAVES``
+further leaves; beyond that leaves grow with the data, and a shard of many homes
+is searched by a tree of its own.  Joins by fingerprint or by component
 send keys of many rows to all tasks, so a large group of copies or a large
 component fills none.
 
@@ -185,10 +187,14 @@ def forest(visitors: np.ndarray, at_home: np.ndarray, radius: int) -> tuple[np.n
     return visitors[child[own]], visitors[roots[own]]
 
 
+def _highest(share: float) -> int:
+    """The greatest hash of such a share of all."""
+    return min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, share)))
+
+
 def _sample(fps: DataFrame, share: float) -> DataFrame:
     """r and fp of about such a share of the rows: the lowest of a hash, so the same whatever the partitions are."""
-    highest = min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, share)))
-    return fps.select("*", F.xxhash64("fp", F.lit(7)).alias("r")).where(F.col("r") <= highest)
+    return fps.select("*", F.xxhash64("fp", F.lit(7)).alias("r")).where(F.col("r") <= _highest(share))
 
 
 def _values(column: pa.ChunkedArray) -> np.ndarray:
@@ -207,45 +213,76 @@ def _trees(fps: DataFrame, n: int, leaf: int) -> list[Tree]:
     return trees
 
 
-def _homes(fps: DataFrame, trees: list[Tree], columns: str, schema: pa.Schema, among: set[int] | None = None) -> DataFrame:
-    """The home leaf of each fingerprint in each tree: with the fingerprint if leaves are given, else counted by task."""
+def _counted_homes(fps: DataFrame, trees: list[Tree]) -> DataFrame:
+    """leaf and n: home leaves in both trees, counted by task."""
+    schema = pa.schema([("leaf", pa.int32()), ("n", pa.int64())])
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(trees[-1].first + trees[-1].leaves, np.int64)
         for b in batches:
             x = b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            for t in trees if len(x) else ():
+                counts += np.bincount(t.route(x, 0)[1], minlength=len(counts))
+        at = np.flatnonzero(counts)
+        yield common.batch(schema, at.astype(np.int32), counts[at])
+
+    return fps.mapInArrow(f, "leaf int, n long").groupBy("leaf").agg(F.sum("n").alias("n"))
+
+
+def _sampled_homes(fps: DataFrame, trees: list[Tree], shares: dict[int, float]) -> DataFrame:
+    """leaf and fp: of each leaf in shares about that share of its homes, the lowest of a hash."""
+    schema = pa.schema([("leaf", pa.int32()), ("fp", pa.int64())])
+    highest = np.full(trees[-1].first + trees[-1].leaves, -(2**63), np.int64)
+    for leaf, share in shares.items():
+        highest[leaf] = _highest(share)
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, r = b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64), b.column("r").to_numpy(zero_copy_only=False)
             for t in trees if len(x) else ():
                 i, leaf_of, _ = t.route(x, 0)
-                if among is None:
-                    counts += np.bincount(leaf_of, minlength=len(counts))
-                else:
-                    own = np.isin(leaf_of, list(among))
-                    yield common.batch(schema, leaf_of[own], x[i[own]].view(np.int64))
-        if among is None:
-            at = np.flatnonzero(counts)
-            yield common.batch(schema, at.astype(np.int32), counts[at])
+                own = r[i] <= highest[leaf_of]
+                yield common.batch(schema, leaf_of[own], x[i[own]].view(np.int64))
 
-    return fps.mapInArrow(f, columns)
+    return _sample(fps, max(shares.values())).mapInArrow(f, "leaf int, fp long")
 
 
 def _split(fps: DataFrame, trees: list[Tree], leaf: int) -> dict[int, Tree]:
-    """For each leaf with more than HOT homes, a tree over all bits of those; at most LEAVES further leaves in all."""
-    counted = _homes(fps, trees, "leaf int, n long", pa.schema([("leaf", pa.int32()), ("n", pa.int64())])).groupBy("leaf").agg(F.sum("n").alias("n"))
-    # two numbers for each leaf at most
-    hot = {r.leaf: r.n for r in counted.where(F.col("n") > HOT).collect()}
+    """For each leaf with more than HOT homes, a tree over all bits of those; at most LEAVES further leaves in all, so of more than half as many hot leaves the largest are split.
+
+    What comes to the driver is two numbers for each leaf, and about 2 * EACH homes of each further leaf.
+    """
+    counted = _counted_homes(fps, trees).where(F.col("n") > HOT).orderBy(F.desc("n"), "leaf").limit(max(1, LEAVES // 2))
+    hot = {r.leaf: r.n for r in counted.collect()}
     if not hot:
         return {}
     wanted = {k: max(2, min(n // leaf, LEAVES // len(hot))) for k, n in hot.items()}
-    share = max(2 * EACH * wanted[k] / n for k, n in hot.items())
-    found = _homes(_sample(fps, share).select("fp"), trees, "leaf int, fp long", pa.schema([("leaf", pa.int32()), ("fp", pa.int64())]), set(hot)).orderBy("leaf", F.xxhash64("fp", F.lit(7))).toArrow()
+    found = _sampled_homes(fps, trees, {k: 2 * EACH * wanted[k] / n for k, n in hot.items()}).orderBy("leaf", F.xxhash64("fp", F.lit(7))).toArrow()
     leaf_of, fp = found.column("leaf").to_numpy(), _values(found.column("fp"))
     out, first = {}, trees[-1].first + trees[-1].leaves
     for k in sorted(hot):
-        out[k] = Tree(fp[leaf_of == k][: EACH * wanted[k]], ALL, wanted[k], first)
+        a, z = np.searchsorted(leaf_of, (k, k + 1))
+        out[k] = Tree(fp[a:z][: EACH * wanted[k]], ALL, wanted[k], first)
         first += out[k].leaves
     return out
 
 
+def routes(x: np.ndarray, trees: list[Tree], split: dict[int, Tree], radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(leaf, index in x, whether it is home) of all leaves that each of x visits. A leaf that is split is gone through once, whatever their number: its visitors stand together."""
+    hot = np.zeros(trees[-1].first + trees[-1].leaves, bool)
+    hot[list(split)] = True
+    for t in trees:
+        i, leaf_of, home = t.route(x, radius // 2)
+        again = hot[leaf_of]
+        yield leaf_of[~again], i[~again], home[~again]
+        order = np.flatnonzero(again)[np.argsort(leaf_of[again], kind="stable")]
+        ends = [*(np.flatnonzero(np.diff(leaf_of[order])) + 1).tolist(), len(order)]
+        for a, z in zip([0, *ends[:-1]], ends, strict=True) if len(order) else ():
+            at = order[a:z]
+            j, part, own = split[int(leaf_of[at[0]])].route(x[i[at]], radius)
+            yield part, i[at[j]], home[at[j]] & own
+
+
 def hamming_links(fps: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame:
     """u, v: links that connect exactly what is connected by pairs within radius. fps: distinct values fp."""
     common.bounded_batches(fps.sparkSession)
@@ -255,14 +292,8 @@ def hamming_links(fps: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> Dat
     link_schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def routed(x: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for t in trees:
-            i, leaf_of, home = t.route(x, radius // 2)
-            again = np.isin(leaf_of, list(split))
-            for k in np.unique(leaf_of[again]).tolist():
-                at = np.flatnonzero(leaf_of == k)
-                j, part, own = split[k].route(x[i[at]], radius)
-                yield common.batch(routed_schema, part, x[i[at[j]]].view(np.int64), home[at[j]] & own)
-            yield common.batch(routed_schema, leaf_of[~again], x[i[~again]].view(np.int64), home[~again])
+        for leaf_of, at, home in routes(x, trees, split, radius):
+            yield common.batch(routed_schema, leaf_of, x[at].view(np.int64), home)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0

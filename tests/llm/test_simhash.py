@@ -86,6 +86,35 @@ def test_hot_leaves_split_and_lose_no_link(spark, monkeypatch):
     check_links(spark, values, 16)
 
 
+def test_what_hot_leaves_send_and_cost(spark, monkeypatch):
+    """Each hot leaf is sampled by its own share, further leaves keep to their limit, and routing goes through a leaf once."""
+    monkeypatch.setattr(simhash, "HOT", 60)
+    monkeypatch.setattr(simhash, "LEAVES", 64)
+    monkeypatch.setattr(simhash, "LEAST", 256)
+    # one leaf of many homes, and many of few: shares differ by much
+    values = sorted({*near_values(6, 3000), *(x & 0xFFFFFFFF | 0xABCDEF01 << 32 for x in near_values(7, 4000))})
+    fps = spark.createDataFrame([(int(np.uint64(x).view(np.int64)),) for x in values], "fp long")
+    trees = simhash._trees(fps, len(values), 16)
+    shares = {}
+    own = simhash._sampled_homes
+    monkeypatch.setattr(simhash, "_sampled_homes", lambda f, t, s: shares.update(s) or own(f, t, s))
+    split = simhash._split(fps, trees, 16)
+    sent = own(fps, trees, shares).count()
+    assert len(split) > 8 and max(shares.values()) > 3 * min(shares.values())
+    assert sum(t.leaves for t in split.values()) <= simhash.LEAVES
+    assert sent <= 3 * simhash.EACH * simhash.LEAVES
+    x = np.array(values, np.uint64)
+    calls = []
+    for t in split.values():
+        route = t.route
+        t.route = lambda x, radius, route=route: calls.append(len(x)) or route(x, radius)
+    found = {(int(k), int(i)) for leaf, at, _ in simhash.routes(x, trees, split, 3) for k, i in zip(leaf, at, strict=True)}
+    assert len(calls) <= len(split) and found
+    homes = Counter(int(i) for _, at, home in simhash.routes(x, trees, split, 3) for i in at[home])
+    assert set(homes.values()) == {2} and len(homes) == len(values)
+    check_links(spark, values[::4], 16)
+
+
 def test_large_stars_and_groups(spark, monkeypatch):
     """One component, and one fingerprint, of most rows: their joins go by broadcast."""
     edges = [(0, k) for k in range(1, 400)] + [(1000 + k, 1001 + k) for k in range(60)]
