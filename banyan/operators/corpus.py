@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as X
 from .numbering import by_digest
@@ -63,8 +64,10 @@ def proxy_ids(df: DataFrame, position: str) -> DataFrame:
 
 
 def cap_per_key(df: DataFrame, key: str, cap: int, id_col: str, seed: int = 42) -> DataFrame:
-    """At most cap rows of each key, chosen by digest."""
-    return by_digest(df, [key], seed, id_col, "_rn").where(F.col("_rn") <= cap).drop("_rn")
+    """At most cap rows of each key, chosen by digest; Spark keeps cap rows a key in each task before keys meet."""
+    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string")))
+    at = F.row_number().over(Window.partitionBy(key).orderBy(digest, id_col))
+    return df.withColumn("_rn", at).where(F.col("_rn") <= cap).drop("_rn")
 
 
 def sample_n(df: DataFrame, n: int, id_col: str, seed: int = 42) -> DataFrame:

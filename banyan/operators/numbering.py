@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.storage import fresh
+
 
 def numbered(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], name: str = "rn", total: str | None = None) -> DataFrame:
     """Adds row numbers from 1 in the order, and the key's rows as total. bucket must not fall along the order."""
@@ -38,6 +40,36 @@ def by_digest(df: DataFrame, keys: list[str], seed: int, id_col: str, name: str
     return out.drop("_digest")
 
 
-def by_number(df: DataFrame, column: str, name: str = "line_no", width_bits: int = 12) -> DataFrame:
-    """Numbers in the order of a whole number, for positional joins; neighbours of 2 ** width_bits go to a bucket."""
-    return numbered(df, [], F.shiftright(F.col(column), width_bits), [F.col(column)], name)
+#: Bits below a partition's number in Spark's increasing ids.
+WITHIN = 33
+
+
+def hash_of(df: DataFrame) -> Column:
+    """Of all columns; maps, which have no hash, as their entries."""
+    return F.xxhash64(*[F.map_entries(f"`{c}`") if kind.startswith("map<") else F.col(f"`{c}`") for c, kind in df.dtypes])
+
+
+def ranked(df: DataFrame, order: list[Column], ranges: int) -> DataFrame:
+    """row (a struct of all columns) and rank, from 0, in the order, whatever its values are; rows that tie follow a hash of all columns.
+
+    Rows are dealt to ranges whose bounds Spark samples from the data, sorted
+    within each and stored; the ranges' counts, a number a range, tell where
+    each starts.  No task has more than a range.
+    """
+    # the row in one column, so that its columns' names meet no other's
+    keys = [f"k{i}" for i in range(len(order) + 1)]
+    keyed = df.select(F.struct(*[f"`{c}`" for c in df.columns]).alias("row"), *[c.alias(k) for c, k in zip([*order, hash_of(df)], keys, strict=True)])
+    path = fresh(df.sparkSession, "banyan-ranks")
+    # the number of a row counts from its partition's start, and partitions follow the ranges
+    keyed.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).select("row", F.monotonically_increasing_id().alias("at")).write.option("compression", "zstd").parquet(path)
+    stored = df.sparkSession.read.parquet(path).withColumn("range", F.shiftright("at", WITHIN))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # a row a range
+    starts = stored.groupBy("range").agg(F.count("*").alias("n")).select("range", before.alias("before"))
+    return stored.join(F.broadcast(starts), "range").select("row", (F.col("before") + F.col("at").bitwiseAND((1 << WITHIN) - 1)).alias("rank"))
+
+
+def by_number(df: DataFrame, column: str, name: str = "line_no", ranges: int | None = None) -> DataFrame:
+    """Numbers from 1 in the order of a column, however its values lie, for positional joins."""
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ranked(df, [F.col(column)], ranges).select("row.*", (F.col("rank") + 1).alias(name))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as X
-from ..sources.storage import kept_table
+from ..sources.storage import kept_table, stored
 
 #: Words a dictionary keeps at most: what is broadcast stays bounded.
 TOP = 200_000
@@ -68,6 +68,63 @@ def viterbi(word: str, costs: dict[str, float], unseen: float, longest: int = LO
     return parts[::-1]
 
 
+def costed(dictionary: DataFrame) -> tuple[DataFrame, float]:
+    """word and cost of the dictionary's TOP words, and what an unseen word costs besides 2 a code point."""
+    top = top_words(dictionary)
+    total = top.agg(F.sum("cnt")).first()[0] or 1
+    return top.where("cnt > 0").select("word", F.log(F.lit(total) / F.col("cnt")).alias("cost")), math.log(total)
+
+
+def split_words(df: DataFrame, word: str, costs: DataFrame, unseen: float, longest: int = LONGEST) -> DataFrame:
+    """word and parts: each different word with its cheapest split, as viterbi gives it, without Python.
+
+    Parts of a word that may be words of the dictionary meet it by broadcast
+    (TOP words); those that are, at most longest a place, come back to the word,
+    and a fold over its places keeps the least cost and the start of the last
+    word up to each.
+    """
+    low = F.lower("w")
+    part = lambda a, n: F.when(F.length(low) == F.length("w"), F.substring(low, a + 1, n)).otherwise(F.lower(F.substring("w", a + 1, n)))
+    # read twice: once for the parts, once for what they come back to
+    words = stored(df.select(F.col(word).alias("w")).where(F.col("w").isNotNull()).distinct(), "banyan-words")
+    starts = words.select("w", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("w") - 1))).alias("a")).where(F.length("w") > 0)
+    sizes = starts.select("w", "a", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("w") - F.col("a")))).alias("n"))
+    known = sizes.withColumn("word", part(F.col("a"), F.col("n"))).join(F.broadcast(costs), "word")
+    # a place's number is its end, and below that its size
+    place = lambda end, n: end * (longest + 1) + n
+    found = known.groupBy("w").agg(F.map_from_entries(F.collect_list(F.struct(place(F.col("a") + F.col("n"), F.col("n")).alias("k"), F.col("cost").alias("c")))).alias("m"))
+    every = words.join(found, "w", "left").withColumn("m", F.coalesce("m", F.create_map().cast("map<int,double>")))
+
+    def step(acc: Column, end: Column) -> Column:
+        one = lambda n: F.struct((F.element_at(acc["best"], end - n + 1) + F.coalesce(F.col("m")[place(end, n)], F.lit(unseen) + 2 * n)).alias("c"), (end - n).alias("a"))
+        # of equal costs the least start
+        least = F.array_min(F.transform(F.sequence(F.least(F.lit(longest), end), F.lit(1), F.lit(-1)), one))
+        return X.bind(least, lambda x: F.struct(F.concat(acc["best"], F.array(x["c"])).alias("best"), F.concat(acc["cuts"], F.array(x["a"])).alias("cuts")))
+
+    start = F.struct(F.array(F.lit(0.0)).alias("best"), F.array(F.lit(0)).alias("cuts"))
+    ends = F.when(F.length("w") > 0, F.sequence(F.lit(1), F.length("w"))).otherwise(F.array().cast("array<int>"))
+    cuts = every.select("w", F.aggregate(ends, start, step, lambda acc: acc["cuts"]).alias("cuts"), ends.alias("ends"))
+
+    def back(acc: Column, end: Column) -> Column:
+        cut = F.element_at(F.col("cuts"), end + 1)
+        return F.when(end == acc["at"], F.struct(cut.alias("at"), F.concat(F.array(F.substring("w", cut + 1, end - cut)), acc["parts"]).alias("parts"))).otherwise(acc)
+
+    none = F.struct(F.length("w").alias("at"), F.array().cast("array<string>").alias("parts"))
+    return cuts.select(F.col("w").alias(word), F.aggregate(F.reverse("ends"), none, back, lambda acc: acc["parts"]).alias("parts"))
+
+
+def segmented(df: DataFrame, tag: str, dictionary: DataFrame, name: str = "words") -> DataFrame:
+    """df with the words of a column of hashtags: by capitals, else by the cheapest split; each different tag is split once and joined back. segmenter gives the same as a column."""
+    costs, unseen = costed(dictionary)
+    raw = X.without_hash(F.col(tag))
+    rows = df.withColumns({"_raw": raw, "_camel": X.camel_split(raw)})
+    rest = F.when((F.size("_camel") <= 1) & (F.col("_raw") != ""), F.col("_raw"))
+    split = split_words(rows.select(rest.alias("_split")), "_split", costs, unseen)
+    joined = rows.withColumn("_split", rest).join(split, "_split", "left")
+    words = F.when(F.col("_raw") == "", F.array().cast("array<string>")).when(F.size("_camel") > 1, F.col("_camel")).otherwise(F.col("parts"))
+    return joined.withColumn(name, words).select(*[f"`{c}`" for c in df.columns], name)
+
+
 def segmenter(dictionary: DataFrame):
     """Column function from hashtags to words; the dictionary, TOP words at most, goes to all workers once."""
     rows = top_words(dictionary).collect()

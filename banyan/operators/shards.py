@@ -1,9 +1,8 @@
 """A global shuffle into ordered shards of a fixed number of rows, with a manifest.
 
-The order is that of md5 of seed and id, which every run repeats.  Rows are dealt
-to ranges of it, whose bounds Spark samples from the data, sorted within each
-range and stored; the ranges' counts, a number a range, then give each row its
-place in the whole order, so its shard and its place there.  A second shuffle
+The order is that of md5 of seed and id, which every run repeats.  Rows get their
+place in the whole order by ranges whose bounds Spark samples from the data
+(``numbering.ranked``), so their shard and their place there.  A second shuffle
 sends each shard to a task of its own (the partition's number is the shard's),
 so no task ever holds more than a range or a shard, whatever the ids are.
 
@@ -16,41 +15,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..sources.storage import fresh
+from .numbering import ranked
 
 ROWS = 100_000
-#: Bits below a partition's number in Spark's increasing ids.
-WITHIN = 33
 
 
 def order_of(id_col: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
 
 
-def _hash_of(df: DataFrame) -> Column:
-    """Of all columns; maps, which have no hash, as their entries."""
-    return F.xxhash64(*[F.map_entries(f"`{c}`") if kind.startswith("map<") else F.col(f"`{c}`") for c, kind in df.dtypes])
-
-
 def placed(df: DataFrame, id_col: str, seed: int = 42, rows: int = ROWS) -> DataFrame:
     """df with shard and place, both from 0: where each row stands in the order, cut into shards of so many rows; columns of these names are replaced. df is read three times: it should be a table."""
-    spark = df.sparkSession
-    ranges = max(1, -(-df.count() // rows))
-    row = df.drop("shard", "place")
-    # the row in one column, so that its columns' names meet no other's
-    keyed = row.select(F.struct(*[f"`{c}`" for c in row.columns]).alias("row"), order_of(id_col, seed).alias("digest"), F.col(id_col).alias("id"), _hash_of(row).alias("tie"))
-    keys = ["digest", "id", "tie"]
-    path = fresh(spark, "banyan-shuffle")
-    # the number of a row counts from its partition's start, and partitions follow the ranges
-    keyed.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).select("row", F.monotonically_increasing_id().alias("at")).write.option("compression", "zstd").parquet(path)
-    stored = spark.read.parquet(path).withColumn("range", F.shiftright("at", WITHIN))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # a row a range
-    starts = stored.groupBy("range").agg(F.count("*").alias("n")).select("range", before.alias("before"))
-    rank = F.col("before") + F.col("at").bitwiseAND((1 << WITHIN) - 1)
-    return stored.join(F.broadcast(starts), "range").select("row.*", F.floor(rank / rows).alias("shard"), F.pmod(rank, F.lit(rows)).alias("place"))
+    found = ranked(df.drop("shard", "place"), [order_of(id_col, seed), F.col(id_col)], max(1, -(-df.count() // rows)))
+    return found.select("row.*", F.floor(F.col("rank") / rows).alias("shard"), F.pmod("rank", F.lit(rows)).alias("place"))
 
 
 def one_task_each(df: DataFrame, shards: int) -> DataFrame:

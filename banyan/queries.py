@@ -284,12 +284,30 @@ def word_cost(spark, sf_dir):
     return G.word_costs(words, _dictionary(spark, sf_dir)).select("word", F.round("cost", 9).alias("cost"))
 
 
-@query()
+#: A fold over the ends of a word's parts: least costs and the last part's start, then the parts from the end. h: costs of known parts by end * 21 + size.
+_VITERBI = f"""
+{_COUNTS}, d AS (SELECT * FROM c ORDER BY cnt DESC, word LIMIT {G.TOP}), s AS (SELECT coalesce(nullif(sum(cnt), 0), 1)::DOUBLE AS total FROM d),
+t AS (SELECT DISTINCT w[k] || w[k + 1] AS w FROM (SELECT regexp_extract_all(lower(text), '[A-Za-z]+|[\\x{{{{0980}}}}-\\x{{{{09FF}}}}]+') AS w FROM documents), unnest(range(1, len(w))) AS r(k)),
+y AS (SELECT w, length(w)::INT AS n FROM t),
+p AS (SELECT w, e, z FROM y, unnest(range(1, n + 1)) AS r(e), unnest(range(1, least({G.LONGEST}, e) + 1)) AS q(z)),
+f AS (SELECT p.w AS w, map_from_entries(list(row(e * {G.LONGEST + 1} + z, ln(total / cnt)))) AS h FROM p JOIN d ON d.word = lower(substr(p.w, e - z + 1, z)), s GROUP BY p.w),
+b AS (SELECT y.w AS w, n, ln(total) AS u, coalesce(h, MAP([]::BIGINT[], []::DOUBLE[])) AS h FROM y LEFT JOIN f USING (w), s),
+v AS (SELECT w, n, list_reduce(list_prepend({{{{'best': [0.0::DOUBLE], 'cuts': [0::BIGINT], 'e': 0::BIGINT}}}}, list_transform(range(1, n + 1), lambda e: {{{{'best': []::DOUBLE[], 'cuts': []::BIGINT[], 'e': e}}}})),
+  lambda a, x: {{{{'best': list_append(a.best, list_min(list_transform(range(greatest(0, x.e - {G.LONGEST}), x.e), lambda i: {{{{'c': a.best[i + 1] + coalesce(h[x.e * {G.LONGEST + 1} + x.e - i], u + 2 * (x.e - i)), 'i': i}}}})).c),
+    'cuts': list_append(a.cuts, list_min(list_transform(range(greatest(0, x.e - {G.LONGEST}), x.e), lambda i: {{{{'c': a.best[i + 1] + coalesce(h[x.e * {G.LONGEST + 1} + x.e - i], u + 2 * (x.e - i)), 'i': i}}}})).i), 'e': x.e}}}}).cuts AS cuts FROM b)
+""".replace("{{", "{").replace("}}", "}")
+
+
+@query(
+    f"WITH {_VITERBI} SELECT '#' || w AS tag, list_reduce(list_prepend({{'at': n::BIGINT, 'words': '', 'e': 0::BIGINT}}, list_transform(range(n, 0, -1), lambda e: {{'at': 0::BIGINT, 'words': '', 'e': e}})), "
+    "lambda a, x: CASE WHEN x.e = a.at THEN {'at': cuts[x.e + 1], 'words': concat(substr(w, cuts[x.e + 1] + 1, x.e - cuts[x.e + 1]), CASE WHEN a.words = '' THEN '' ELSE '|' END, a.words), 'e': x.e} ELSE a END).words AS words FROM v"
+)
 def hashtag_viterbi(spark, sf_dir):
     """A hashtag of each two neighbouring words of the texts, each tag once."""
     words = X.find_all(F.lower("text"), P.WORD)
     pairs = X.bind(words, lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.lit(0), F.size(w) - 1)), F.slice(w, 2, F.size(w)), lambda a, b: F.concat(F.lit("#"), a, b)))
     tags = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(pairs)).alias("tag")).distinct()
+    # G.segmented gives the same without Python and takes over three times as long
     segment = G.segmenter(_dictionary(spark, sf_dir))
     return tags.select("tag", F.array_join(segment(F.col("tag")), "|").alias("words"))
 

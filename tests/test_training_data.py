@@ -14,6 +14,7 @@ from banyan.functions import scores as S
 from banyan.operators import batches as B
 from banyan.operators import embedding as E
 from banyan.operators import language as L
+from banyan.operators import segmentation as G
 from banyan.operators import shards as H
 from banyan.plans import corpus_build, images, translate
 
@@ -234,3 +235,21 @@ def test_the_round_trip_uses_the_embedder(spark):
     assert got[1].roundtrip_similarity == 1.0 and not got[1].low_confidence
     assert got[2].roundtrip_similarity < 0.5 and got[2].low_confidence
     assert json.dumps(got[1].roundtrip_text)
+
+
+def test_words_are_split_without_python_as_with_it(spark, sf):
+    """All pairs of words of some texts, and odd tags, against the function that workers run; each different tag is split once."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(12).select("text")
+    dictionary = G.top_words(G.word_counts(docs, "text"), 400).cache()
+    words = [w for r in docs.collect() for w in r.text.split()][:300]
+    tags = ["#" + a + b for a, b in zip(words, words[1:], strict=False)] + ["#GoodDay", "#good", "#", "", None, "#İstanbul", "#ভালোবাসা", "#" + "q" * 45, "#a1b2", "#ab", "#ab"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(tags)], "w long, tag string").repartition(3)
+    segment = G.segmenter(dictionary)
+    want = {r.w: r.words for r in rows.select("w", segment(F.col("tag")).alias("words")).collect()}
+    got = G.segmented(rows, "tag", dictionary).collect()
+    assert len(got) == len(tags) and {r.w: r.words for r in got} == want
+    # pieces that are known and unknown, longer than the longest, and of which there are none
+    costs, unseen = G.costed(dictionary)
+    split = {r.t: r.parts for r in G.split_words(spark.createDataFrame([("",), ("theof" * 9,), ("İab",), (None,)], "t string"), "t", costs, unseen).collect()}
+    own = G.costs_of({r.word: r.cnt for r in dictionary.collect()})
+    assert split == {t: G.viterbi(t, *own) for t in ("", "theof" * 9, "İab")}
