@@ -115,7 +115,7 @@ class Merges:
                 return True
 
 
-#: Bits of a guess: above them its last token, in them the place in the tokens' tree of the bytes after it; and a guess of no token yet.
+#: Bits of a guess: above them its last token (-1: none), in them the place in the tokens' tree of the bytes after it.
 NODE = 24
 PLACE = (1 << NODE) - 1
 

@@ -8,7 +8,8 @@ bytes of their canonical forms do, else not (0.0).
 
 Null texts count as empty and all empty or white texts are alike.  Rows that
 repeat a doc_id are ordered by a hash of text; null doc_ids come before all
-others.  A group's id is the smallest doc_id in it, null if there is none.  An
+others.  A group's id is the smallest doc_id in it, null if there is none.  A
+very long text is digested whole; a task holds it and the one before it.  An
 empty table gives no rows; further columns are ignored.
 """
 

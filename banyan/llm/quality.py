@@ -11,7 +11,8 @@ null, which fail no rule by themselves (``few_words`` fails).  Every row is
 judged by itself: repeated rows and ties get equal bits, an empty table gives
 no rows, and the input's other columns are never read.  Repeated windows of
 eight words are sought by hash within one text, and those whose hashes agree are
-compared by their words.
+compared by their words.  A very long text is one row, whose words and windows
+one task holds at a time.
 """
 
 from __future__ import annotations

@@ -23,7 +23,8 @@ component fills none.
 Null texts count as empty; texts without words have fingerprint zero, which
 links like any other.  Rows with a null doc_id get the component of their
 fingerprint, null if no doc_id is in it.  Repeated rows and ties share a
-fingerprint and a component.  An empty table gives no rows; further columns are
+fingerprint and a component.  A very long text is hashed whole by one task, and
+only its fingerprint goes on.  An empty table gives no rows; further columns are
 ignored.
 """
 

@@ -11,8 +11,10 @@ most ``2 ** bits``, go to all tasks, which score every whole text.
 
 Null and empty texts have the bias alone.  Labels of null and of documents that
 are not there are ignored; of several labels of a doc_id the highest counts.
-With no labelled rows every score is 0.5.  Repeated rows score alike; an empty
-table gives no rows; further columns are never read.
+With no labelled rows every score is 0.5.  Repeated rows score alike; rows of
+equal hash are chosen by doc_id, and a score of 0.5 is predicted as 1.  A very
+long text is one row of features, held by one task at a time.  An empty table
+gives no rows; further columns are never read.
 """
 
 from __future__ import annotations
