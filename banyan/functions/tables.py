@@ -25,7 +25,7 @@ CONSONANTS = {
 }
 VIRAMA = "্"
 MARKS = {"ং": "ng", "ঃ": "h", "ঁ": "n"}
-DIGITS = {"০": "0", "১": "1", "২": "2", "৩": "3", "৪": "4", "৫": "5", "৬": "6", "৭": "7", "৮": "8", "৯": "9", "０": "0"}
+DIGITS = {"０": "0", "১": "1", "২": "2", "৩": "3", "৪": "4", "৫": "5", "৬": "6", "৭": "7", "৮": "8", "৯": "9", "০": "0"}
 #: Letters with a dot below; as two code points they are read letter by letter unless asked otherwise.
 NUKTA = {"ড়": "r", "ঢ়": "rh", "য়": "y"}
 

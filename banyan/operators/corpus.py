@@ -47,15 +47,15 @@ def count_by(df: DataFrame, *keys: str) -> DataFrame:
     return df.rollup(*keys).agg(F.count("*").alias("cnt"))
 
 
-def first_wins(df: DataFrame, key: Column, order: Column) -> DataFrame:
-    """The first row of each key, whole. Aggregated by each task before rows meet, so a common key is no burden."""
+def first_wins(df: DataFrame, key: Column, order: Column, long: bool = False) -> DataFrame:
+    """The first row of each key, whole. Aggregated by each task before rows meet, so a common key is no burden. long: keys are texts, which go by their SHA-256 and aren't shuffled beside the rows that hold them."""
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    return df.groupBy(key.alias("_key")).agg(F.min_by(row, order).alias("_row")).select("_row.*")
+    return df.groupBy((F.sha2(key, 256) if long else key).alias("_key")).agg(F.min_by(row, order).alias("_row")).select("_row.*")
 
 
 def valid_first_wins(df: DataFrame, text: str, order: str) -> DataFrame:
     """Rows with valid text, the first of each text without outer white space; kept texts stay as they are."""
-    return first_wins(df.where(X.is_valid(F.col(text))), X.strip(F.col(text)), F.col(order))
+    return first_wins(df.where(X.is_valid(F.col(text))), X.strip(F.col(text)), F.col(order), long=True)
 
 
 def proxy_ids(df: DataFrame, position: str) -> DataFrame:
@@ -158,7 +158,7 @@ def proxy_set(sources: dict[str, tuple[DataFrame, str, str]], seed: int = 42) ->
         rows = sample_n(df.select(F.col(text).cast("string").alias("text"), F.col(row_id).cast("long").alias("row_id")), n, "row_id", seed)
         parts.append(rows.withColumns({"source_dataset": F.lit(name), "domain": F.lit(domain), "language_hint": F.lit(language), "_at": F.struct(F.lit(k).alias("k"), F.col("row_id").alias("r"))}))
     every = union_all(*parts)
-    return first_wins(every.where(X.is_valid(F.col("text"))), X.strip(F.col("text")), F.col("_at")).drop("_at")
+    return first_wins(every.where(X.is_valid(F.col("text"))), X.strip(F.col("text")), F.col("_at"), long=True).drop("_at")
 
 
 def infer_column(columns: list[str], *parts: str) -> str:

@@ -44,6 +44,9 @@ def clipped(ids: np.ndarray, owner: np.ndarray, is_ref: np.ndarray, rows: int, o
 
     ids: numbers of all items, those of a text together; owner: their row.
     """
+    width = (int(ids.max(initial=0)) + 1).bit_length()
+    if width * orders + rows.bit_length() <= 62:
+        return _clipped_by_one_sort(ids, owner, is_ref, rows, orders, width)
     out, width = [], max(1, int(ids.max(initial=0)).bit_length())
     text = owner + rows * is_ref
     at, gram, bits = np.arange(len(ids)), ids, width
@@ -65,6 +68,28 @@ def clipped(ids: np.ndarray, owner: np.ndarray, is_ref: np.ndarray, rows: int, o
     return out
 
 
+def _clipped_by_one_sort(ids: np.ndarray, owner: np.ndarray, is_ref: np.ndarray, rows: int, orders: int, width: int) -> list[np.ndarray]:
+    """The same where a row, its longest n-gram and a side fit in 63 bits: sorted by those, n-grams of every order stand together."""
+    text = owner + rows * is_ref
+    gram = np.zeros(len(ids), np.int64)
+    for n in range(orders):
+        # items from 1 on; what a text's end leaves out is 0
+        item, m = np.zeros(len(ids), np.int64), max(0, len(ids) - n)
+        item[:m] = np.where(text[n:] == text[:m], ids[n:] + 1, 0)
+        gram = gram << width | item
+    key = np.sort((owner << (width * orders) | gram) << 1 | is_ref)
+    side, key, out = key & 1, key >> 1, []
+    for n in range(1, orders + 1):
+        head = key >> (width * (orders - n))
+        starts = np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]])) if len(head) else np.zeros(0, np.int64)
+        refs = np.add.reduceat(side, starts) if len(starts) else starts
+        least = np.minimum(refs, np.diff(starts, append=len(head)) - refs)
+        # n-grams that the text's end cuts short are none
+        least[head[starts] & ((1 << width) - 1) == 0] = 0
+        out.append(np.bincount(head[starts] >> (width * n), least, rows).astype(np.int64))
+    return out
+
+
 def _words(h: pa.Array, r: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """ids, owner and is_ref of two columns of word lists; null counts as empty."""
     sizes = [pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (h, r)]

@@ -548,11 +548,11 @@ def postedit_guard(spark, sf_dir):
 _OUT = "CASE doc_id % 3 WHEN 0 THEN replace(t, '@user', 'user') WHEN 1 THEN replace(t, '🔥', '') ELSE concat(t, ' #More') END"
 
 
-def _pfs_sql() -> str:
+def _pfs_sql(out: str = _OUT, rows: str = "d") -> str:
     of = lambda c, *k: f"list_transform(list_filter({c}, lambda x: x.kind IN ({', '.join(map(repr, k))})), lambda x: x.token)"
     share = lambda *k: f"CASE WHEN len({of('s', *k)}) > 0 THEN len(list_intersect(list_distinct({of('s', *k)}), list_distinct({of('o', *k)}))) / len(list_distinct({of('s', *k)}))::DOUBLE END"
     tags = f"CASE WHEN len({of('s', 'hashtag')}) > 0 THEN least(1.0, len({of('o', 'hashtag')}) / len({of('s', 'hashtag')})::DOUBLE) END"
-    return f"WITH {_D}, k AS (SELECT doc_id, {tok('t')} AS s, {tok(_OUT)} AS o FROM d), p AS (SELECT doc_id, {share('emoji')} AS e, {share('mention', 'url')} AS v, {tags} AS h FROM k), q AS (SELECT *, list_avg(list_filter([e, v, h], lambda x: x IS NOT NULL)) AS a FROM p)"
+    return f"WITH {_D}, k AS (SELECT doc_id, {tok('t')} AS s, {tok(out)} AS o FROM {rows}), p AS (SELECT doc_id, {share('emoji')} AS e, {share('mention', 'url')} AS v, {tags} AS h FROM k), q AS (SELECT *, list_avg(list_filter([e, v, h], lambda x: x IS NOT NULL)) AS a FROM p)"
 
 
 @query(_pfs_sql() + " SELECT doc_id, round(a, 9) AS overall, round(e, 9) AS emoji_preservation, round(v, 9) AS verbatim_preservation, round(h, 9) AS hashtag_count_preservation FROM q")
@@ -642,6 +642,18 @@ def mode_delta(spark, sf_dir):
     return R.mode_delta(b, "full", "single").select("metric", F.round("delta", 6).alias("delta"))
 
 
+@query(
+    f"SELECT 'single' AS mode, 'bleu' AS metric, round(bleu, 6) AS value FROM ({_bleu_sql('SELECT bleu FROM s')}) UNION ALL SELECT mode, 'chrf', chrf FROM ({_chrf_sql('single', _HYP)}) "
+    f"UNION ALL SELECT 'single', 'pfs', round(avg(a), 6) FROM ({_pfs_sql(_HYP, 'd JOIN documents USING (doc_id)')} SELECT a FROM q)"
+)
+def evaluation_report(spark, sf_dir):
+    """The metrics of an evaluation from one pass over whole texts; edits, which SQL can't count, are left out."""
+    from .operators import evaluation
+
+    rows = decorated(spark, sf_dir, "text").select(F.lit("single").alias("mode"), F.col("t").alias("source"), F.expr(_HYP).alias("hypothesis"), F.col("text").alias("reference"))
+    return evaluation.report(rows).where("metric <> 'ter'").select("mode", "metric", F.round("value", 6).alias("value"))
+
+
 def codemix_sql(source: str, columns: str) -> str:
     """source: SQL of rows with i, an id as text, and w, a text; new: w with some of its words in Latin letters, null if that changes nothing."""
     bn = _BN_SQL[1].format(t="p").replace("lambda p:", "lambda q:").replace("c[p[1]]", "c[q[1]]").replace("length(p) = 2", "length(q) = 2").replace("s[p[2]]", "s[q[2]]").replace("o[p], p)", "o[q], q)")

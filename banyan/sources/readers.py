@@ -71,7 +71,7 @@ def optional_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 #: Lines of a proxy test set.
 PROXY = "text string, source_dataset string, domain string, language_hint string"
-#: Columns that may hold labels of translated comments.
+# Columns that may hold labels of translated comments.
 LABELS = ("Label", "Political", "Religious", "Gender", "Personal Offense", "Abusive/Violence", "Origin", "Body Shaming", "Misc")
 
 

@@ -187,3 +187,25 @@ def test_the_editor_is_told_all_rules(spark):
 
     said = spark.range(1).select(X.postedit_system(F.lit("Bengali"))).first()[0]
     assert "Bengali" in said and all(x in said for x in ("fluency", "meaning stays", "no information is added", "none is left out", "protected token", "nothing else"))
+
+
+def test_batches_are_small_while_rows_are_stored(spark, tmp_path):
+    from banyan.sources import storage
+
+    sizes = tmp_path / "sizes"
+    sizes.mkdir()
+
+    def frames(parts):
+        for b in parts:
+            (sizes / uuid.uuid4().hex).write_text(str(len(b)))
+            yield b
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    texts = spark.range(60).repartition(1).select(F.repeat(F.lit("x"), 1_000_000).alias("t"))
+    assert storage.stored(texts.mapInPandas(frames, "t string"), "banyan-test").count() == 60
+    found = [int(f.read_text()) for f in sizes.iterdir()]
+    assert sum(found) == 60 and max(found) <= 9 and spark.conf.get(name) == before
+    with pytest.raises(Exception):
+        storage.stored(texts.select(F.raise_error(F.lit("no"))), "banyan-test")
+    assert spark.conf.get(name) == before
