@@ -19,6 +19,7 @@ import hashlib
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Repeated fingerprints (16 bytes each) that are sent to all tasks at most.
-KEYS = 1_000_000
+#: First hexadecimal digits of fingerprints that tell which texts may have a repeated one: 16 ** DIGITS bits, 2 MB, go to all tasks.
+DIGITS = 6
 LOWEST = -(1 << 63)
 
 PAIR_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, form string"
@@ -54,14 +55,22 @@ def likeness(a: tuple[str, str], b: tuple[str, str]) -> float:
     return float(a[1] == b[1] and a[0] == b[0])
 
 
-def canonical_forms(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint and canonical form."""
+def canonical_forms(docs: DataFrame, some: np.ndarray | None = None) -> DataFrame:
+    """doc_id, fingerprint and canonical form. some: bits by the fingerprint's first digits; rows whose bit isn't set are left out."""
+    shared = None if some is None else docs.sparkSession.sparkContext.broadcast(some)
     schema = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.string()), ("canonical", pa.string())])
 
     def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [canonical(x or "") for x in b.column("text").to_pylist()]
-            yield common.batch(schema, b.column("doc_id"), [fingerprint(x) for x in found], found)
+            rows = []
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                form = canonical(text or "")
+                own = fingerprint(form)
+                at = int(own[:DIGITS], 16)
+                if shared is None or shared.value[at >> 3] >> (at & 7) & 1:
+                    rows.append((doc_id, own, form))
+            if rows:
+                yield common.batch(schema, *zip(*rows, strict=True))
 
     return common.map_batches(common.doc_columns(docs), forms, "doc_id long, fingerprint string, canonical string")
 
@@ -69,15 +78,17 @@ def canonical_forms(docs: DataFrame) -> DataFrame:
 def canonical_groups(docs: DataFrame, found: DataFrame) -> DataFrame:
     """found with group_id and group_size. found: rows of docs with doc_id, fingerprint and form, the SHA-256 of the canonical form.
 
-    Only texts whose fingerprint occurs twice or more are compared: each task
-    collapses its equal forms by their bytes, and one row of each goes on, so
-    the rows of a large group are never brought together.  Where those
-    fingerprints are too many to be sent to all tasks, all texts are compared.
+    Only texts whose fingerprint may occur twice or more are compared: a bit
+    for each start of a repeated fingerprint, a bounded number, goes to all
+    tasks.  Each task collapses its equal forms by their bytes, and one row of
+    each goes on, so the rows of a large group are never brought together.  The
+    more fingerprints repeat, the more other texts are compared with them.
     """
-    twice = found.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
-    forms = canonical_forms(docs)
-    if twice.count() <= KEYS:
-        forms = forms.join(F.broadcast(twice), "fingerprint", "left_semi")
+    twice = found.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1")
+    at = twice.select(F.conv(F.substring("fingerprint", 1, DIGITS), 16, 10).cast("int").alias("at")).distinct().toArrow().column("at").to_numpy()
+    some = np.zeros(16**DIGITS, bool)
+    some[at] = True
+    forms = canonical_forms(docs, np.packbits(some, bitorder="little"))
     groups = forms.groupBy("fingerprint", "canonical").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("group_size"))
     groups = common.cut(groups.where("group_size > 1").select("fingerprint", F.sha2("canonical", 256).alias("form"), "group_id", "group_size"))
     out = common.join_counted(found, groups, ["fingerprint", "form"], "group_size")
