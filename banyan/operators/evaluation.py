@@ -40,10 +40,10 @@ def mean_score(scored: DataFrame, score: str = "score", error: str = "error") ->
 METRICS = ("bleu", "chrf", "ter", "pfs")
 
 
-def report(hypotheses: DataFrame) -> DataFrame:
-    """mode, metric and value: bleu, chrf, ter and mean fidelity (pfs), each from counts pooled over a mode, in one pass."""
-    wide = M.report(hypotheses, "source", "hypothesis", "reference", "mode")
-    return wide.select("mode", F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in METRICS])))
+def report(hypotheses: DataFrame, edits: bool = True) -> DataFrame:
+    """mode, metric and value: bleu, chrf, ter (with edits) and mean fidelity (pfs), each from counts pooled over a mode, in one pass."""
+    wide = M.report(hypotheses, "source", "hypothesis", "reference", "mode", edits=edits)
+    return wide.select("mode", F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in METRICS if edits or c != "ter"])))
 
 
 def translate_words(df: DataFrame, words: Column, key: str, backend: Backend, romanised_first: bool = True) -> DataFrame:

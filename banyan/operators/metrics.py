@@ -447,10 +447,12 @@ def ter(df: DataFrame, hypothesis: str, reference: str, *keys: str) -> DataFrame
     return with_ter(df.select(*keys, *_ter_items(hypothesis, reference)).groupBy(*keys).agg(*_ter_sums()))
 
 
-def report(df: DataFrame, source: str, hypothesis: str, reference: str, *keys: str) -> DataFrame:
-    """keys, bleu, chrf, ter and pfs (mean fidelity), from one pass over the rows and one sum of counts."""
+def report(df: DataFrame, source: str, hypothesis: str, reference: str, *keys: str, edits: bool = True) -> DataFrame:
+    """keys, bleu, chrf, ter and pfs (mean fidelity), from one pass over the rows and one sum of counts. Without edits there is no ter, by far the dearest."""
     rows = fidelity_rows(df.select(*keys, source, hypothesis, reference), source, hypothesis)
-    items = rows.select(*keys, F.col("overall").alias("_pfs"), *_ter_items(hypothesis, reference), *_chrf_items(hypothesis, reference), tokens_13a(F.col(hypothesis)).alias("_h"), tokens_13a(F.col(reference)).alias("_r"))
-    each = _counted(items, (*keys, "_pfs", "_edits", "_words"), {"_": ("words", 4), "c": ("letters", 6), "w": ("words", 2)})
-    counts = each.groupBy(*keys).agg(*_bleu_sums(), *_chrf_sums(), *_ter_sums(), F.avg("_pfs").alias("pfs"))
-    return with_ter(chrf(bleu(counts))).select(*keys, "bleu", "chrf", "ter", "pfs")
+    ters, passed = (_ter_items(hypothesis, reference), ("_edits", "_words")) if edits else ([], ())
+    items = rows.select(*keys, F.col("overall").alias("_pfs"), *ters, *_chrf_items(hypothesis, reference), tokens_13a(F.col(hypothesis)).alias("_h"), tokens_13a(F.col(reference)).alias("_r"))
+    each = _counted(items, (*keys, "_pfs", *passed), {"_": ("words", 4), "c": ("letters", 6), "w": ("words", 2)})
+    counts = each.groupBy(*keys).agg(*_bleu_sums(), *_chrf_sums(), *(_ter_sums() if edits else ()), F.avg("_pfs").alias("pfs"))
+    scored = chrf(bleu(counts))
+    return (with_ter(scored) if edits else scored).select(*keys, "bleu", "chrf", *(("ter",) if edits else ()), "pfs")
