@@ -20,7 +20,8 @@ _PLAIN = r"[\w&&[^hw0-9\x{1F170}\x{1F171}\x{1F17E}\x{1F17F}\x{24C2}]]"
 #: A word stops where a URL or an emoji starts, so that one pass finds what two would.
 TOKEN = rf"(?U){URL}|#\w+|@\w+|{EMOJI}|(?:{_PLAIN}++|(?!https?://\S|www\.\S|{EMOJI})\w)++|[^\w\s]"
 #: The tokens that pass through translation as they are. TOKEN finds the same ones, as none of its other parts takes their first character.
-PROTECTED = rf"(?U){URL}|#\w+|@\w+|{EMOJI}"
+#: The look ahead, a class of all first characters, passes over the others at once.
+PROTECTED = rf"(?U)(?=[hw#@*0-9\x{{1F1E6}}-\x{{1F1FF}}{_ONE[1:]})(?:{URL}|#\w+|@\w+|{EMOJI})"
 WORD_OR_GAP = r"(?U)\w+|[^\w]+"
 # Patterns that results depend on.
 CAMEL = "[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[০-৯0-9]+|[\\x{0980}-\\x{09FF}]+"

@@ -1,9 +1,10 @@
 """Corpus metrics: platform fidelity, BLEU, chrF++ and TER.
 
 Counts are pooled over the corpus before any formula; each row's n-grams are
-counted within the row, so no n-gram is ever shuffled.  N-grams are counted by
-batch: items are numbered, an n-gram is the number of its first part and of its
-last item, and equal numbers mean equal n-grams.
+counted within the row, so no n-gram is ever shuffled.  Texts are parted and
+n-grams counted by slices of a batch, a bounded number of bytes or one row: items
+are numbered, an n-gram is the number of its first part and of its last item, and
+equal numbers mean equal n-grams.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import scores as S
 from ..functions import text as X
+from ..sources.storage import bounded_batches
 
 PFS = ("overall", "emoji_preservation", "verbatim_preservation", "hashtag_count_preservation")
 
@@ -90,36 +92,141 @@ def _clipped_by_one_sort(ids: np.ndarray, owner: np.ndarray, is_ref: np.ndarray,
     return out
 
 
-def _words(h: pa.Array, r: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """ids, owner and is_ref of two columns of word lists; null counts as empty."""
-    sizes = [pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (h, r)]
-    flat = pa.concat_arrays([x.flatten() for x in (h, r)]).dictionary_encode()
-    return flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([np.repeat(np.arange(len(x)), x) for x in sizes]), np.repeat([False, True], [x.sum() for x in sizes])
-
-
-def _letters(h: pa.Array, r: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same of two columns of texts, by code point."""
-    texts = [[t or "" for t in x.to_pylist()] for x in (h, r)]
-    sizes = [np.fromiter(map(len, x), np.int64, len(x)) for x in texts]
-    points = np.frombuffer("".join(map("".join, texts)).encode("utf-32-le"), np.uint32)
-    return np.unique(points, return_inverse=True)[1].astype(np.int64), np.concatenate([np.repeat(np.arange(len(x)), x) for x in sizes]), np.repeat([False, True], [x.sum() for x in sizes])
-
-
-def _counted(rows: DataFrame, keys: tuple[str, ...], parts: dict[str, tuple[str, int]]) -> DataFrame:
-    """keys and, for each part of columns {part}h and {part}r with its kind (words or letters) and orders, lengths h{part}, r{part} and matches m{part}1, ..."""
+#: Bytes of texts that are counted at once: a slice's arrays stay small, and its numbers fit one sort.
+SLICE = 1 << 18
+_WIDE = "\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_WIDE_SPACE = re.compile(f"[{_WIDE}]")
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_DIGIT = np.isin(np.arange(256), list(b"0123456789"))
+_POINT = np.isin(np.arange(256), list(b".,"))
+#: What BLEU's tokens set apart wherever it stands, and marks that chrF's words lose at an end.
+_APART = np.isin(np.arange(256), list(b"{|}~[\\]^_`!\"#$%&()*+:;<=>?@/"))
+_MARK = np.isin(np.arange(256), list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"))
+Items = tuple[np.ndarray, np.ndarray]
+
+
+def _utf8(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of texts, white space beyond ASCII as spaces and a space after each text, and where each text ends."""
+    parts = [(t if t.isascii() else _WIDE_SPACE.sub(" ", t)).encode() for t in texts]
+    return np.frombuffer(b" ".join([*parts, b""]), np.uint8), np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
+
+
+def _numbered(data: np.ndarray, ends: np.ndarray, space: np.ndarray, start: np.ndarray) -> Items:
+    """Numbers of words, equal for equal ones, and the text of each; start: where words begin."""
+    at, inside = np.flatnonzero(start), np.cumsum(~space, dtype=np.int32)
+    offsets = np.append(inside[at] - 1, inside[-1] if len(inside) else 0).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data[~space])])
+    return words.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64), np.searchsorted(ends, at, "right")
+
+
+def _before(x: np.ndarray, first: bool) -> np.ndarray:
+    return np.concatenate([[first], x[:-1]]) if len(x) else x
+
+
+def items_13a(texts: list[str]) -> Items:
+    """tokens_13a of texts, as numbers."""
+    for a, b in (("<skipped>", ""), ("\n", " "), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        texts = [t.replace(a, b) for t in texts]
+    data, ends = _utf8(texts)
+    space, digit, alone = _SPACE[data], _DIGIT[data], _APART[data]
+    alone |= (data == 45) & _before(digit, False)
+    point = np.flatnonzero(_POINT[data])
+    if len(point):
+        # a point or comma stands apart, but one before a digit that no pair of the rules takes: pairs of a non-digit and a mark are taken from the left
+        first = np.concatenate([[True], np.diff(point) != 1])
+        start = point[np.maximum.accumulate(np.where(first, np.arange(len(point)), 0))]
+        taken = (point - start) % 2 == np.where(_before(digit, False)[start], 1, 0)
+        alone[point[taken | ~digit[point + 1]]] = True
+    return _numbered(data, ends, space, ~space & (alone | _before(space, True) | _before(alone, False)))
+
+
+def items_chrf(texts: list[str]) -> Items:
+    """chrF's words of texts, as numbers: one mark of ASCII punctuation at an end is a word of its own."""
+    data, ends = _utf8(texts)
+    space = _SPACE[data]
+    start = ~space & _before(space, True)
+    first, last = np.flatnonzero(start), np.flatnonzero(~space[:-1] & space[1:])
+    long = first != last
+    behind = long & _MARK[data[last]]
+    start[last[behind]] = True
+    start[first[long & ~behind & _MARK[data[first]]] + 1] = True
+    return _numbered(data, ends, space, start)
+
+
+def items_letters(texts: list[str]) -> Items:
+    """Code points of texts but white space, as numbers."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    owner = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
+    there = np.zeros(int(points.max(initial=0)) + 1, bool)
+    there[points] = True
+    for a, b in ((9, 14), (32, 33), (0x85, 0x86), (0xA0, 0xA1), (0x1680, 0x1681), (0x2000, 0x200B), (0x2028, 0x202A), (0x202F, 0x2030), (0x205F, 0x2060), (0x3000, 0x3001)):
+        there[a:b] = False
+    kept = there[points]
+    return (np.cumsum(there, dtype=np.int64) - 1)[points[kept]], owner[kept]
+
+
+def items_of_lists(lists: list[list[str] | None]) -> Items:
+    """Words of lists, as numbers."""
+    flat = pa.array([w for x in lists for w in x or ()], pa.string()).dictionary_encode()
+    return flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(lists)), [len(x or ()) for x in lists])
+
+
+ITEMS = {"13a": items_13a, "chrf": items_chrf, "letters": items_letters, "lists": items_of_lists}
+
+
+def _slices(b: pa.RecordBatch, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows whose texts have SLICE bytes at most, but for one row that has more."""
+    size = np.zeros(b.num_rows, np.int64)
+    for c in columns:
+        x = b.column(c)
+        size += pc.fill_null(pc.binary_length(x) if pa.types.is_string(x.type) else pc.multiply(pc.list_value_length(x), 16), 0).to_numpy(zero_copy_only=False)
+    total, a = np.cumsum(size), 0
+    while a < b.num_rows:
+        to = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + SLICE, "right")))
+        yield b.slice(a, to - a)
+        a = to
+
+
+def _compared(h: list, r: list, kind: str, orders: int) -> list[np.ndarray]:
+    """By row the items of both sides, and by order their matches. Sides that are equal match wholly and are read once."""
+    n, none = len(h), [] if kind == "lists" else ""
+    h, r = ([none if x is None else x for x in side] for side in (h, r))
+    same = np.fromiter((x == y for x, y in zip(h, r, strict=True)), bool, n)
+    other = np.flatnonzero(~same)
+    ids, text = ITEMS[kind](h + [r[k] for k in other])
+    sizes = np.bincount(text, minlength=n + len(other))
+    hyp, ref = sizes[:n], sizes[:n].copy()
+    ref[other] = sizes[n:]
+    # rows that differ, in order; a text beyond the hypotheses is a reference
+    place = np.cumsum(~same) - 1
+    is_ref = text >= n
+    used = is_ref.copy()
+    used[~is_ref] = ~same[text[~is_ref]]
+    owner = np.where(is_ref, text - n, place[np.minimum(text, n - 1)])[used]
+    found = clipped(ids[used], owner, is_ref[used], len(other), orders)
+    matches = [np.where(same, np.maximum(hyp - k, 0), 0) for k in range(orders)]
+    for m, x in zip(matches, found, strict=True):
+        m[other] = x
+    return [hyp, ref, *matches]
+
+
+def _counted(rows: DataFrame, keys: tuple[str, ...], parts: dict[str, tuple[str, int, str, str]]) -> DataFrame:
+    """keys and, for each part, of a kind of ITEMS and so many orders, between two columns: lengths h{part}, r{part} and matches m{part}1, ..."""
     own = rows.select(*keys).schema
-    names = [c for p, (_, n) in parts.items() for c in (f"h{p}", f"r{p}", *(f"m{p}{k}" for k in range(1, n + 1)))]
+    names = [c for p, (_, n, *_) in parts.items() for c in (f"h{p}", f"r{p}", *(f"m{p}{k}" for k in range(1, n + 1)))]
     schema = StructType([*own.fields, *(StructField(c, LongType()) for c in names)])
+    read = sorted({c for _, _, *both in parts.values() for c in both})
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            columns = [b.column(k) for k in keys]
-            for p, (kind, orders) in parts.items():
-                ids, owner, is_ref = {"words": _words, "letters": _letters}[kind](b.column(f"{p}h"), b.column(f"{p}r"))
-                columns += [pa.array(np.bincount(owner[x], minlength=b.num_rows)) for x in (~is_ref, is_ref)]
-                columns += map(pa.array, clipped(ids, owner, is_ref, b.num_rows, orders))
-            yield pa.RecordBatch.from_arrays(columns, names=[*keys, *names])
-
+        for whole in batches:
+            for b in _slices(whole, read):
+                texts = {c: b.column(c).to_pylist() for c in read}
+                columns = [b.column(k) for k in keys]
+                for kind, orders, h, r in parts.values():
+                    columns += map(pa.array, _compared(texts[h], texts[r], kind, orders))
+                yield pa.RecordBatch.from_arrays(columns, names=[*keys, *names])
+
+    bounded_batches(rows.sparkSession)
     return rows.mapInArrow(f, schema)
 
 
@@ -140,8 +247,10 @@ def _bleu_sums() -> list[Column]:
 
 def bleu_counts(df: DataFrame, hypothesis: str, reference: str, *keys: str, tokens=tokens_13a) -> DataFrame:
     """Pooled matches m1-m4, totals t1-t4 and lengths, by keys."""
-    rows = df.select(*keys, tokens(F.col(hypothesis)).alias("_h"), tokens(F.col(reference)).alias("_r"))
-    return _counted(rows, keys, {"_": ("words", 4)}).groupBy(*keys).agg(*_bleu_sums())
+    # the usual tokens are found where they are counted
+    of, kind = ((lambda c: c.cast("string")), "13a") if tokens is tokens_13a else (tokens, "lists")
+    rows = df.select(*keys, of(F.col(hypothesis)).alias("_h"), of(F.col(reference)).alias("_r"))
+    return _counted(rows, keys, {"_": (kind, 4, "_h", "_r")}).groupBy(*keys).agg(*_bleu_sums())
 
 
 def bleu(counts: DataFrame) -> DataFrame:
@@ -155,24 +264,13 @@ def bleu(counts: DataFrame) -> DataFrame:
     return counts.withColumn("bleu", F.when((F.col("hyp_len") == 0) | (F.col("m1") == 0), 0.0).otherwise(F.coalesce(100 * brevity * F.exp(logs), F.lit(0.0))))
 
 
-def _chrf_words(text: Column) -> Column:
-    """Words with one mark of ASCII punctuation at an end split off."""
-    mark = r"[!-/:-@\[-`{-~]"
-    parts = F.transform(F.filter(F.split(X.strip(text), r"(?U)\s+"), lambda w: w != ""), lambda w: F.when(F.length(w) == 1, F.array(w)).when(w.rlike(f"{mark}$"), F.array(F.substring(w, F.lit(1), F.length(w) - 1), F.substring(w, -1, 1))).when(w.rlike(f"^{mark}"), F.array(F.substring(w, 1, 1), F.substring(w, 2, 1 << 30))).otherwise(F.array(w)))
-    return F.flatten(parts)
-
-
 def chrf_counts(df: DataFrame, hypothesis: str, reference: str, *keys: str, chars: int = 6, words: int = 2) -> DataFrame:
     """Pooled matches (m), hypothesis (h) and reference (r) n-grams of characters (c1..) and words (w1..)."""
-    each = _counted(df.select(*keys, *_chrf_items(hypothesis, reference)), keys, {"c": ("letters", chars), "w": ("words", words)})
+    rows = df.select(*keys, F.col(hypothesis).cast("string").alias("_h"), F.col(reference).cast("string").alias("_r"))
+    each = _counted(rows, keys, {"c": ("letters", chars, "_h", "_r"), "w": ("chrf", words, "_h", "_r")})
     return each.groupBy(*keys).agg(*_chrf_sums(chars, words))
 
 
-def _chrf_items(hypothesis: str, reference: str) -> list[Column]:
-    letters = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
-    return [f(F.col(c)).alias(n) for n, f, c in (("ch", letters, hypothesis), ("cr", letters, reference), ("wh", _chrf_words, hypothesis), ("wr", _chrf_words, reference))]
-
-
 def _chrf_sums(chars: int = 6, words: int = 2) -> list[Column]:
     orders = [("c", n) for n in range(1, chars + 1)] + [("w", n) for n in range(1, words + 1)]
     sums = {f"m{k}{n}": F.col(f"m{k}{n}") for k, n in orders} | {f"{s}{k}{n}": F.greatest(F.lit(0), F.col(f"{s}{k}") - n + 1) for k, n in orders for s in "hr"}
@@ -444,6 +542,7 @@ def with_ter(counts: DataFrame) -> DataFrame:
 
 def ter(df: DataFrame, hypothesis: str, reference: str, *keys: str) -> DataFrame:
     """Pooled edits over reference words, times 100."""
+    bounded_batches(df.sparkSession)
     return with_ter(df.select(*keys, *_ter_items(hypothesis, reference)).groupBy(*keys).agg(*_ter_sums()))
 
 
@@ -451,8 +550,9 @@ def report(df: DataFrame, source: str, hypothesis: str, reference: str, *keys: s
     """keys, bleu, chrf, ter and pfs (mean fidelity), from one pass over the rows and one sum of counts. Without edits there is no ter, by far the dearest."""
     rows = fidelity_rows(df.select(*keys, source, hypothesis, reference), source, hypothesis)
     ters, passed = (_ter_items(hypothesis, reference), ("_edits", "_words")) if edits else ([], ())
-    items = rows.select(*keys, F.col("overall").alias("_pfs"), *ters, *_chrf_items(hypothesis, reference), tokens_13a(F.col(hypothesis)).alias("_h"), tokens_13a(F.col(reference)).alias("_r"))
-    each = _counted(items, (*keys, "_pfs", *passed), {"_": ("words", 4), "c": ("letters", 6), "w": ("words", 2)})
+    items = rows.select(*keys, F.col("overall").alias("_pfs"), *ters, F.col(hypothesis).cast("string").alias("_h"), F.col(reference).cast("string").alias("_r"))
+    both = ("_h", "_r")
+    each = _counted(items, (*keys, "_pfs", *passed), {"_": ("13a", 4, *both), "c": ("letters", 6, *both), "w": ("chrf", 2, *both)})
     counts = each.groupBy(*keys).agg(*_bleu_sums(), *_chrf_sums(), *(_ter_sums() if edits else ()), F.avg("_pfs").alias("pfs"))
     scored = chrf(bleu(counts))
     return (with_ter(scored) if edits else scored).select(*keys, "bleu", "chrf", *(("ter",) if edits else ()), "pfs")

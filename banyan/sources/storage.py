@@ -74,6 +74,24 @@ def put(spark: SparkSession, path: str) -> None:
     system.create(p, True).close()
 
 
+#: Rows and bytes of an Arrow batch at most, but for one row that has more.
+BATCH_ROWS, BATCH_BYTES = 2048, 4_000_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of few rows and bytes from now on, as texts can be very long and a worker holds a batch at a time; smaller ones stay."""
+    for k, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        k = f"spark.sql.execution.arrow.{k}"
+        # not above 0: no limit
+        if not 0 < _bytes_of(spark.conf.get(k)) <= most:
+            spark.conf.set(k, str(most))
+
+
+def _bytes_of(value: str) -> int:
+    """A setting's number; what has a unit counts as beyond any limit."""
+    return int(value) if value.lstrip("-").isdigit() else 1 << 62
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 2048, size: int = 8_000_000) -> Iterator[None]:
     """Arrow batches of few rows and bytes while something runs, as texts may be very long; what was set before holds again afterwards."""
