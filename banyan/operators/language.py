@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.storage import bounded_batches
 
 LONGEST, PRIME = 3, 16_381
 BUCKETS = LONGEST * PRIME
@@ -48,21 +49,45 @@ def letters(text: Column) -> Column:
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of all grams of texts that letters() gave, and the text that each is of; a space alone is none."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     owner = np.repeat(np.arange(len(texts)), sizes)
-    numbers, owners, value = [], [], np.zeros(len(points), np.int64)
+    numbers, owners, value = [], [], points
+    kept = (sizes > 2)[owner]
     for n in range(1, LONGEST + 1):
-        at = np.arange(len(points) - n + 1)
-        value = (value[: len(at)] << 20) + points[n - 1 :] if n > 1 else points
-        own = owner[at] == owner[at + n - 1]
+        size = max(0, len(points) - n + 1)
+        if n > 1:
+            # the remainder of value << 20 + point from that of value, in 32 bits
+            value = _remainder(value[:size] * np.uint32((1 << 20) % PRIME) + rest[n - 1 :])
+        else:
+            rest = value = _remainder(points)
+        own = kept[:size] & (owner[:size] == owner[n - 1 :])
         if n == 1:
             own &= points != 32
         # between words there is one space: no longer run is all spaces but that of a text without letters
-        numbers.append((n - 1) * PRIME + value[own] % PRIME)
-        owners.append(owner[at[own]])
-    keep = sizes > 2
-    number, of = np.concatenate(numbers), np.concatenate(owners)
-    return number[keep[of]], of[keep[of]]
+        numbers.append(value[own].astype(np.int64) + (n - 1) * PRIME)
+        owners.append(owner[:size][own])
+    return np.concatenate(numbers), np.concatenate(owners)
+
+
+def _remainder(x: np.ndarray) -> np.ndarray:
+    """By PRIME, of 32-bit numbers."""
+    return x - x // np.uint32(PRIME) * np.uint32(PRIME)
+
+
+#: Characters of texts whose grams are numbered at once, but for one text that has more.
+SLICE = 1 << 18
+
+
+def runs(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Where runs of texts of SLICE characters at most start and end."""
+    a = size = 0
+    for k, t in enumerate(texts):
+        if k > a and size + len(t) > SLICE:
+            yield a, k
+            a, size = k, 0
+        size += len(t)
+    if texts:
+        yield a, len(texts)
 
 
 @dataclass(frozen=True)
@@ -74,8 +99,11 @@ class Model:
 
     def predict(self, texts: list[str]) -> list[tuple[str | None, float]]:
         """Label and confidence of texts that letters() gave."""
-        if not self.labels or not texts:
+        if not self.labels:
             return [(None, 0.0)] * len(texts)
+        return [x for a, b in runs(texts) for x in self._predict(texts[a:b])]
+
+    def _predict(self, texts: list[str]) -> list[tuple[str | None, float]]:
         number, of = grams(texts)
         n = np.bincount(of, minlength=len(texts))
         mean = np.stack([np.bincount(of, w[number], len(texts)) for w in self.weights.T], 1) / np.maximum(n, 1)[:, None]
@@ -93,14 +121,17 @@ def counts(rows: DataFrame, text: str, label: str) -> DataFrame:
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
         for b in batches:
-            number, of = grams(b.column("t").to_pylist())
-            named = np.array(b.column("label").to_pylist(), object)
-            for x in dict.fromkeys(named):
-                totals[x] = totals.get(x, 0) + np.bincount(number[(named == x)[of]], minlength=BUCKETS)
+            texts, labels = b.column("t").to_pylist(), b.column("label").to_pylist()
+            for first, last in runs(texts):
+                number, of = grams(texts[first:last])
+                named = np.array(labels[first:last], object)
+                for x in dict.fromkeys(named):
+                    totals[x] = totals.get(x, 0) + np.bincount(number[(named == x)[of]], minlength=BUCKETS)
         for x, total in totals.items():
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([x] * len(at), pa.string()), pa.array(at), pa.array(total[at].astype(np.int64))], schema=schema)
 
+    bounded_batches(rows.sparkSession)
     return own.mapInArrow(f, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
 
 
@@ -150,6 +181,7 @@ def identified(df: DataFrame, model: Model, text: str, label: str = "predicted",
             kept = b.drop_columns(["_letters"])
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*kept.schema.names, "_label", "_sure"])
 
+    bounded_batches(df.sparkSession)
     done = rows.mapInArrow(f, schema)
     told = F.col("_script").isNotNull()
     return done.withColumns({label: F.when(told, F.col("_script.language")).otherwise(F.col("_label")), confidence: F.when(told, F.col("_script.share")).otherwise(F.col("_sure"))}).drop("_script", "_label", "_sure")
