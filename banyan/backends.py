@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from .functions import tables as T
+from .sources.storage import bounded_batches
 
 #: Frames in, frames out.
 Batches = Iterator[pd.DataFrame]
@@ -30,6 +31,7 @@ def loaded(key: tuple, load: Callable[[], object]):
 
 
 def run(df: DataFrame, backend: Backend, schema: str) -> DataFrame:
+    bounded_batches(df.sparkSession)
     return df.mapInPandas(backend, schema)
 
 
@@ -62,16 +64,21 @@ def guarded(each: Callable[[pd.Series], object], column: str, default=None) -> B
     return batches(step)
 
 
+def _characters(x: object) -> int:
+    """Of all texts of an input or an answer; anything else counts as eight."""
+    return len(x) if isinstance(x, str) else sum(map(_characters, x)) if isinstance(x, (tuple, list)) else 8
+
+
 class Asked:
-    """Answers of a model to many inputs: each different input is asked once a task, in batches of about equally long ones.
+    """Answers of a model to many inputs: each different input is asked once a task, in batches of about equally long ones, as long as its answer is kept.
 
     ask takes a list of inputs and returns as many answers.  A batch that fails
     is asked again by halves, so one input's failure is told with that input
-    alone.  most: answers that are kept.
+    alone.  most: answers that are kept; room: characters of inputs and answers that are.
     """
 
-    def __init__(self, ask: Callable[[list], list], size: int = 8, most: int = 100_000):
-        self.ask, self.size, self.most = ask, size, most
+    def __init__(self, ask: Callable[[list], list], size: int = 8, most: int = 100_000, room: int = 4_000_000):
+        self.ask, self.size, self.most, self.room = ask, size, most, room
         self.kept: dict = {}
 
     def _solve(self, part: list, out: dict) -> None:
@@ -96,8 +103,9 @@ class Asked:
             self._solve(new[a : a + self.size], out)
         found = [(None, None) if x is None else self.kept.get(x) or out[x] for x in inputs]
         for x, answer in out.items():
-            if len(self.kept) < self.most and answer[1] is None:
+            if len(self.kept) < self.most and answer[1] is None and (size := _characters((x, answer))) <= self.room:
                 self.kept[x] = answer
+                self.room -= size
         return found
 
 
