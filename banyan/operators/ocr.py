@@ -5,11 +5,12 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import text as X
+from ..sources.storage import bounded_batches
 
 
 @F.pandas_udf(StringType())
@@ -19,6 +20,7 @@ def nfc(s: pd.Series) -> pd.Series:
 
 
 def clean_text(text: Column) -> Column:
+    bounded_batches(SparkSession.active())
     return X.ocr_rules(nfc(text))
 
 
