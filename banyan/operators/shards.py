@@ -3,8 +3,10 @@
 The order is that of md5 of seed and id, which every run repeats.  Rows get their
 place in the whole order by ranges whose bounds Spark samples from the data
 (``numbering.ranked``), so their shard and their place there.  A second shuffle
-sends each shard to a task of its own (the partition's number is the shard's),
-so no task ever holds more than a range or a shard, whatever the ids are.
+sends each shard to one task, small shards by runs of ``LEAST`` rows at most, so
+no task ever holds more than a range, a run or a shard, whatever the ids are, and
+there are as many tasks as the rows need, however small the shards are: each task
+tells the driver something.
 
 Null ids count as the empty text.  Rows of equal id follow a hash of all their
 columns: a hot id is spread over ranges and shards like any other rows, and rows
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 from .numbering import ranked
 
 ROWS = 100_000
+#: Rows of a range and of a task at least, if there are as many: smaller shards share them.
+LEAST = 16_384
 
 
 def order_of(id_col: str, seed: int) -> Column:
@@ -27,13 +31,13 @@ def order_of(id_col: str, seed: int) -> Column:
 
 def placed(df: DataFrame, id_col: str, seed: int = 42, rows: int = ROWS) -> DataFrame:
     """df with shard and place, both from 0: where each row stands in the order, cut into shards of so many rows; columns of these names are replaced. df is read three times: it should be a table."""
-    found = ranked(df.drop("shard", "place"), [order_of(id_col, seed), F.col(id_col)], max(1, -(-df.count() // rows)))
+    found = ranked(df.drop("shard", "place"), [order_of(id_col, seed), F.col(id_col)], max(1, -(-df.count() // max(rows, LEAST))))
     return found.select("row.*", F.floor(F.col("rank") / rows).alias("shard"), F.pmod("rank", F.lit(rows)).alias("place"))
 
 
-def one_task_each(df: DataFrame, shards: int) -> DataFrame:
-    """Rows with shard and place, each shard in a partition of its own and in order."""
-    return df.repartitionById(max(1, shards), F.col("shard").cast("int")).sortWithinPartitions("shard", "place")
+def one_task_each(df: DataFrame, shards: int, per: int = 1) -> DataFrame:
+    """Rows with shard and place, each shard, or each run of per shards, in a partition of its own and in order."""
+    return df.repartitionById(max(1, -(-shards // per)), F.floor(F.col("shard") / per).cast("int")).sortWithinPartitions("shard", "place")
 
 
 def checksum(df: DataFrame) -> DataFrame:
@@ -61,7 +65,7 @@ def write_shards(df: DataFrame, path: str, id_col: str, seed: int = 42, rows: in
     spark = df.sparkSession
     found = placed(df, id_col, seed, rows)
     shards = (found.agg(F.max("shard")).first()[0] or 0) + 1
-    one_task_each(found, shards).write.mode("overwrite").partitionBy("shard").parquet(path)
+    one_task_each(found, shards, max(1, LEAST // rows)).write.mode("overwrite").partitionBy("shard").parquet(path)
     # of what was written, not of what was to be
     checksum(read_shards(spark, path, found.schema)).write.mode("overwrite").parquet(f"{path}_manifest")
     return spark.read.parquet(f"{path}_manifest")

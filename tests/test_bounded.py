@@ -96,3 +96,17 @@ def test_words_of_slices_are_those_of_columns(spark):
     pairs = set(zip(ids.tolist(), [w for x in lists for w in x], strict=True))
     assert len(pairs) == len({i for i, _ in pairs}) == len({w for _, w in pairs})
     assert sum(b.num_rows for b in M._slices(pa.record_batch({"h": pa.array(["x" * M.SLICE, None, "y"] * 3)}), ["h"])) == 9
+
+
+def test_small_shards_share_tasks(spark, tmp_path, monkeypatch):
+    from banyan.operators import shards as H
+
+    parts = []
+    kind = type(spark.range(0))
+    for name in ("repartitionById", "repartitionByRange"):
+        monkeypatch.setattr(kind, name, lambda self, n, *a, own=getattr(kind, name): parts.append(n) or own(self, n, *a))
+    made = H.write_shards(spark.range(3000).withColumn("text", F.md5(F.col("id").cast("string"))), f"{tmp_path}/a", "id", rows=10)
+    assert made.count() == 300 == len(list((tmp_path / "a").glob("shard=*/*.parquet"))) and parts == [1, 1]
+    assert H.damaged(spark, f"{tmp_path}/a").count() == 0
+    monkeypatch.setattr(H, "LEAST", 500)
+    assert H.write_shards(spark.range(3000), f"{tmp_path}/b", "id", rows=10).count() == 300 and parts[2:] == [6, 6]
