@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
+from ..sources.storage import bounded_batches
 from . import shards
 
 Tokenizer = Callable[[list[str]], list[list[int]]]
@@ -62,10 +63,11 @@ def tokenised(df: DataFrame, columns: dict[str, str], tokenizer: Tokenizer = byt
             new = []
             for c in columns:
                 texts = [x or "" for x in b.column(c).to_pylist()]
-                ids = [i[:longest] for a in range(0, len(texts), ASKED) for i in tokenizer(texts[a : a + ASKED])]
-                new.append(pa.array(ids, pa.list_(pa.int32())))
+                ids = [pa.array([i[:longest] for i in tokenizer(texts[a : a + ASKED])], pa.list_(pa.int32())) for a in range(0, len(texts), ASKED)]
+                new.append(pa.concat_arrays(ids) if ids else pa.array([], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *columns.values()])
 
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(f, schema)
 
 
