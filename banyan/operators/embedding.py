@@ -7,9 +7,9 @@ kept, vectors of any two runs agree, and alike texts have a cosine near that of
 their whole weighted word counts.  Weights of the ``WORDS`` most common words,
 a bounded number, go to all tasks; another word counts as one of no text.
 
-``vectors`` is column work: words are exploded and added up by text and place
-within each task, so ``SIZE`` numbers a text are shuffled at most.  ``Embedder``
-does the same for single texts in a worker, as a hook.
+``vectors`` adds up a batch of texts at once, each different word looked up once
+a batch, so ``SIZE`` numbers a text are shuffled.  ``Embedder`` does the same for
+single texts in a worker, as a hook.
 
 Null texts count as empty; a text without words has the zero vector, whose
 similarity is 1.0 to an equal text and 0.0 to others.  Rows equal in id and text
@@ -21,13 +21,17 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions import text as X
+from ..sources.storage import bounded_batches
 
 SIZE, NONZERO, SEED, WORDS = 64, 4, 42, 200_000
 WORD = r"[\p{L}\p{M}\p{N}]+"
@@ -56,15 +60,21 @@ def places(word: Column, value: Column) -> Column:
 
 def vectors(df: DataFrame, id_col: str, text: str, known: DataFrame) -> DataFrame:
     """id, _text (a hash of the text) and vector of each text; known: what frequencies gave, WORDS rows at most."""
-    # one number: what a word of no text weighs
-    n = known.agg(F.max("n")).first()[0] or 0
-    each = df.select(F.col(id_col), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_text"), F.explode_outer(words(F.col(text))).alias("word"))
-    weighed = each.join(F.broadcast(known.select("word", weight(F.col("n"), F.col("df")).alias("w"))), "word", "left")
-    value = F.when(F.col("word").isNull(), 0.0).otherwise(F.coalesce("w", F.lit(math.log(n + 1) + 1)))
-    parts = weighed.select(id_col, "_text", F.inline(places(F.coalesce("word", F.lit("")), value)))
-    summed = parts.groupBy(id_col, "_text", "at").agg(F.sum("x").alias("x"))
-    whole = summed.groupBy(id_col, "_text").agg(F.map_from_entries(F.collect_list(F.struct("at", "x"))).alias("m"))
-    return whole.select(id_col, "_text", X.bind(F.col("m"), lambda m: F.transform(F.sequence(F.lit(0), F.lit(SIZE - 1)), lambda i: F.coalesce(m[i], F.lit(0.0)))).alias("vector"))
+    spark = df.sparkSession
+    found = known.select("word", weight(F.col("n"), F.col("df")).alias("w"), "n").limit(WORDS).toArrow()
+    other = math.log((found.column("n")[0].as_py() if found.num_rows else 0) + 1) + 1
+    shared = spark.sparkContext.broadcast(dict(zip(found.column("word").to_pylist(), found.column("w").to_pylist(), strict=True)))
+    rows = df.select(F.col(id_col), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_text"), words(F.col(text)).alias("_words"))
+    schema = StructType([*rows.drop("_words").schema.fields, StructField("vector", ArrayType(DoubleType()))])
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Embedder(shared.value, other)
+        for b in batches:
+            vector = own.sums(b.column("_words"))
+            yield pa.RecordBatch.from_arrays([b.column(id_col), b.column("_text"), pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * SIZE), pa.array(vector.ravel()))], names=[id_col, "_text", "vector"])
+
+    bounded_batches(spark)
+    return rows.mapInArrow(f, schema).groupBy(id_col, "_text").agg(F.first("vector").alias("vector"))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -89,6 +99,20 @@ class Embedder:
                 self._places[word] = found
         return found
 
+    def sums(self, lists: pa.ListArray) -> np.ndarray:
+        """A vector for each list of words: each different word is looked up once."""
+        n = len(lists)
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        coded = lists.flatten().dictionary_encode()
+        different = coded.dictionary.to_pylist()
+        number, owner = coded.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(n), sizes)
+        found = np.array([self.places(w) for w in different], np.int64).reshape(-1, NONZERO, 2)
+        weights = np.array([self.weights.get(w, self.other) for w in different], np.float64)
+        out = np.zeros(n * SIZE)
+        for k in range(NONZERO):
+            out += np.bincount(owner * SIZE + found[number, k, 0], (found[:, k, 1] * weights)[number], n * SIZE)
+        return out.reshape(n, SIZE)
+
     def __call__(self, text: str) -> np.ndarray:
         out = np.zeros(SIZE)
         # letters, marks and numbers; the underscore is none

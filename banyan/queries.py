@@ -26,7 +26,7 @@ from .operators import segmentation as G
 from .operators import shards as H
 from .operators.numbering import by_number
 from .plans.translate import translate
-from .sources.storage import fresh
+from .sources.storage import fresh, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -510,7 +510,8 @@ ev AS MATERIALIZED (SELECT doc_id, ('0x' || substr(h, 3 * j + 1, 2))::INT % {E.S
 def embedding_neighbours(spark, sf_dir):
     """Similarity of each document to the one of the next id."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    v = E.vectors(docs, "doc_id", "text", E.frequencies(docs, "text")).drop("_text")
+    # read twice
+    v = stored(E.vectors(docs, "doc_id", "text", E.frequencies(docs, "text")).drop("_text"), "banyan-vectors")
     pairs = v.select(F.col("doc_id").alias("a_id"), F.col("vector").alias("a"), (F.col("doc_id") + 1).alias("b_id")).join(v.select(F.col("doc_id").alias("b_id"), F.col("vector").alias("b")), "b_id")
     return pairs.select("a_id", "b_id", F.round(E.similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 

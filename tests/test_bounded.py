@@ -110,3 +110,14 @@ def test_small_shards_share_tasks(spark, tmp_path, monkeypatch):
     assert H.damaged(spark, f"{tmp_path}/a").count() == 0
     monkeypatch.setattr(H, "LEAST", 500)
     assert H.write_shards(spark.range(3000), f"{tmp_path}/b", "id", rows=10).count() == 300 and parts[2:] == [6, 6]
+
+
+def test_vectors_explode_no_words(spark, texts):
+    from banyan.operators import embedding as E
+
+    docs = texts.limit(50).select("id", "h")
+    found = E.vectors(docs, "id", "h", E.frequencies(docs, "h"))
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    one = E.Embedder({r.word: r.w for r in E.frequencies(docs, "h").select("word", E.weight(F.col("n"), F.col("df")).alias("w")).collect()})
+    text = {r.id: r.h for r in docs.collect()}
+    assert all(r.vector == pytest.approx(one(text[r.id]).tolist()) for r in found.collect()) and found.count() == 50
