@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as X
-from ..sources.storage import kept_table, stored
+from ..sources.storage import bounded_batches, kept_table, stored
 
 #: Words a dictionary keeps at most: what is broadcast stays bounded.
 TOP = 200_000
@@ -46,26 +47,56 @@ def costs_of(counts: dict[str, int]) -> tuple[dict[str, float], float]:
     return {w: math.log(total / n) for w, n in counts.items() if n}, math.log(total)
 
 
+class Splitter:
+    """The cheapest splits of words; of equal ones, that with the longest last word.
+
+    Least costs of a word's heads are those of any other word with this head, so
+    they are kept for the next word: words that come in order cost little each.
+    """
+
+    def __init__(self, costs: dict[str, float], unseen: float, longest: int = LONGEST):
+        self.costs, self.longest = costs, longest
+        self.plain = [unseen + 2 * n for n in range(longest + 1)]
+        self.low, self.best, self.cuts = "", [0.0], [0]
+
+    def __call__(self, word: str) -> list[str]:
+        low = word.lower()
+        if len(low) != len(word):
+            return self._parts(word, self._solved(word, 0, [0.0], [0], lambda a, b: word[a:b].lower())[1])
+        shared = len(os.path.commonprefix((low, self.low)))
+        self.best, self.cuts = self._solved(word, shared, self.best[: shared + 1], self.cuts[: shared + 1], None, low)
+        self.low = low
+        return self._parts(word, self.cuts)
+
+    def _solved(self, word: str, done: int, best: list[float], cuts: list[int], part, low: str | None = None) -> tuple[list[float], list[int]]:
+        known, plain = self.costs.get, self.plain
+        for end in range(done + 1, len(word) + 1):
+            least, cut = math.inf, 0
+            for start in range(max(0, end - self.longest), end):
+                before = best[start]
+                # no word costs less than nothing
+                if before >= least:
+                    continue
+                cost = known(part(start, end) if low is None else low[start:end])
+                cost = before + (plain[end - start] if cost is None else cost)
+                if cost < least:
+                    least, cut = cost, start
+            best.append(least)
+            cuts.append(cut)
+        return best, cuts
+
+    @staticmethod
+    def _parts(word: str, cuts: list[int]) -> list[str]:
+        parts, end = [], len(word)
+        while end:
+            parts.append(word[cuts[end] : end])
+            end = cuts[end]
+        return parts[::-1]
+
+
 def viterbi(word: str, costs: dict[str, float], unseen: float, longest: int = LONGEST) -> list[str]:
     """The cheapest split of word; of equal ones, that with the longest last word."""
-    low = word.lower()
-    whole = len(low) == len(word)
-    best, cuts = [0.0], [0]
-    for end in range(1, len(word) + 1):
-        least, cut = math.inf, 0
-        for start in range(max(0, end - longest), end):
-            part = low[start:end] if whole else word[start:end].lower()
-            cost = costs.get(part)
-            cost = best[start] + (unseen + 2 * (end - start) if cost is None else cost)
-            if cost < least:
-                least, cut = cost, start
-        best.append(least)
-        cuts.append(cut)
-    parts, end = [], len(word)
-    while end:
-        parts.append(word[cuts[end] : end])
-        end = cuts[end]
-    return parts[::-1]
+    return Splitter(costs, unseen, longest)(word)
 
 
 def costed(dictionary: DataFrame) -> tuple[DataFrame, float]:
@@ -127,14 +158,17 @@ def segmented(df: DataFrame, tag: str, dictionary: DataFrame, name: str = "words
 
 def segmenter(dictionary: DataFrame):
     """Column function from hashtags to words; the dictionary, TOP words at most, goes to all workers once."""
+    bounded_batches(dictionary.sparkSession)
     rows = top_words(dictionary).collect()
     counts = {r.word: r.cnt for r in rows}
     shared = dictionary.sparkSession.sparkContext.broadcast(costs_of(counts))
 
     @F.pandas_udf("array<string>")
     def by_cost(tags: pd.Series) -> pd.Series:
-        costs, unseen = shared.value
-        return tags.map(lambda t: None if t is None else viterbi(t, costs, unseen))
+        split = Splitter(*shared.value)
+        # in order, so that words share what is known of their heads
+        found = {t: split(t) for t in sorted(t for t in tags.unique() if t is not None)}
+        return tags.map(lambda t: None if t is None else found[t])
 
     def segment(tag: Column) -> Column:
         raw = X.without_hash(tag)

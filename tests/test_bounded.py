@@ -121,3 +121,46 @@ def test_vectors_explode_no_words(spark, texts):
     one = E.Embedder({r.word: r.w for r in E.frequencies(docs, "h").select("word", E.weight(F.col("n"), F.col("df")).alias("w")).collect()})
     text = {r.id: r.h for r in docs.collect()}
     assert all(r.vector == pytest.approx(one(text[r.id]).tolist()) for r in found.collect()) and found.count() == 50
+
+
+def test_splits_in_order_share_heads():
+    import math
+
+    from banyan.operators import segmentation as G
+
+    def plain(word, costs, unseen):
+        """Every split of every head."""
+        low, best, cuts = word.lower(), [0.0], [0]
+        for end in range(1, len(word) + 1):
+            least, cut = math.inf, 0
+            for start in range(max(0, end - G.LONGEST), end):
+                part = low[start:end] if len(low) == len(word) else word[start:end].lower()
+                cost = best[start] + (unseen + 2 * (end - start) if costs.get(part) is None else costs[part])
+                if cost < least:
+                    least, cut = cost, start
+            best.append(least)
+            cuts.append(cut)
+        parts, end = [], len(word)
+        while end:
+            parts.append(word[cuts[end] : end])
+            end = cuts[end]
+        return parts[::-1]
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key):
+            self.asked += 1
+            return super().get(key)
+
+    rng = random.Random(5)
+    costs, unseen = G.costs_of({"".join(rng.choices("abİ", k=rng.randrange(1, 5))): rng.randrange(1, 9) for _ in range(40)})
+    words = ["".join(rng.choices("abABİ", weights=[5, 5, 1, 1, 0.2], k=rng.randrange(30))) for _ in range(500)]
+    split = G.Splitter(costs, unseen)
+    assert all(split(w) == plain(w, costs, unseen) == G.viterbi(w, costs, unseen) for w in [*words, *sorted(words)])
+    counted = Counted(costs)
+    split = G.Splitter(counted, unseen)
+    split("ab" * 10)
+    before = counted.asked
+    split("ab" * 10 + "a")
+    assert counted.asked - before <= G.LONGEST
