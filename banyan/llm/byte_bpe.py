@@ -14,8 +14,10 @@ lives as long as some token starts with its bytes,
 so all borders that are open lie within one longest token, and what stands
 before the last border that all of them share is decided: it is emitted at the
 word's end, in a long word after every ``BLOCK`` bytes.  States and transitions
-are kept as they are met; once there are ``STATES`` of them they are forgotten
-and made anew, so memory is bounded and results don't change.
+are kept as they are met; once there are ``STATES`` of them those stay, as common
+words come first, and others are made anew each time, so memory is bounded and
+results don't change.  When ``RENEW`` times as many were made so, other words may
+have become common: all are forgotten and kept as they are met again.
 
 Pieces are the matches of the vocabulary's pattern.  A piece that is a token is
 that token, as in the tiktoken library.  The pattern's classes are those of that
@@ -35,6 +37,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import string
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -47,14 +50,16 @@ from pyspark.sql import DataFrame
 from . import common
 
 #: A worker keeps so many states and answers on neighbours; the ids of so many words, of so many characters each.
-STATES, PAIRS, CACHE, KEEP = 100_000, 1_000_000, 300_000, 48
+STATES, PAIRS, CACHE, KEEP = 200_000, 1_000_000, 600_000, 48
+#: States that are not kept, by those that are, after which all are forgotten.
+RENEW = 4
 #: Bytes of a long word whose last tokens wait at most before those that are decided go out.
 BLOCK = 4096
 #: What stands for a character whose class the pattern's library tells otherwise than ours: by letter, number, other.
 STAND_INS = {"L": "x", "N": "7", "": "☃"}
 REPLACEMENT = "�"
 #: Marks that stand after words: a run of them is one piece.
-MARKS = ".,;:!?)"
+MARKS = string.punctuation
 NEVER = 1 << 60
 
 
@@ -65,7 +70,8 @@ class Merges:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self._joins: dict[int, tuple[int, int] | None] = {}
-        self._follows: dict[int, bool] = {}
+        #: By both tokens what follows told before.
+        self.kept: dict[int, bool] = {}
 
     def joins(self, token: int) -> tuple[int, int] | None:
         """The two tokens that the last merge of a token joins; None if merges never make it."""
@@ -92,11 +98,11 @@ class Merges:
     def follows(self, a: int, b: int) -> bool:
         """Whether an encoding can have tokens a (-1: none) and b as neighbours."""
         key = a << 32 | b
-        found = self._follows.get(key)
+        found = self.kept.get(key)
         if found is None:
-            if len(self._follows) >= PAIRS:
-                self._follows.clear()
-            found = self._follows[key] = self.made(b) and (a < 0 or self._tell(a, b))
+            if len(self.kept) >= PAIRS:
+                self.kept.clear()
+            found = self.kept[key] = self.made(b) and (a < 0 or self._tell(a, b))
         return found
 
     def _tell(self, a: int, b: int) -> bool:
@@ -120,6 +126,20 @@ NODE = 24
 PLACE = (1 << NODE) - 1
 
 
+class State(dict):
+    """By byte the next state, which is made when it is first asked for."""
+
+    __slots__ = ("guesses", "last", "size", "make")
+
+    def __init__(self, guesses: tuple[int, ...], size: int, make):
+        self.guesses = guesses
+        #: The last token of what has been read (-1: none), and its bytes.
+        self.last, self.size, self.make = guesses[-1] >> NODE, size, make
+
+    def __missing__(self, byte: int) -> State:
+        return self.make(self, byte)
+
+
 class Transducer:
     """Bytes in, tokens out."""
 
@@ -143,78 +163,81 @@ class Transducer:
             self.token[at] = i
         if len(self.token) > PLACE:
             raise ValueError("too many tokens")
+        self.start = State((-1 << NODE,), 0, self._step)
+        #: By guesses.
+        self.states: dict[tuple[int, ...], State] = {}
         self._clear()
 
     def _clear(self) -> None:
-        #: Guesses by state, and the other way.
-        self.states: list[tuple[int, ...]] = []
-        self.number: dict[tuple[int, ...], int] = {}
-        #: By state: by byte the next state, and the last token of what has been read with that byte.
-        self.next: list[dict[int, tuple[int, int]]] = []
-        self._state((-1 << NODE,))
-
-    def _state(self, guesses: tuple[int, ...]) -> int:
-        at = self.number.get(guesses)
-        if at is None:
-            at = self.number[guesses] = len(self.states)
-            self.states.append(guesses)
-            self.next.append({})
-        return at
-
-    def _step(self, at: int, byte: int) -> tuple[int, int]:
-        """The next state and the last token; kept."""
+        for state in self.states.values():
+            state.clear()  # states point at each other in circles
+        self.states = {self.start.guesses: self.start}
+        #: States made since the table is full.
+        self.passed = 0
+
+    def _step(self, state: State, byte: int) -> State:
+        """The next state; kept while there is room."""
         alive = []
         whole = -1
-        child, ends, goes_on, follows = self.child, self.token, self.goes_on, self.merges.follows
-        for guess in self.states[at]:
+        child, ends, goes_on, may_follow = self.child, self.token, self.goes_on, self.merges.kept
+        for guess in state.guesses:
             down = child.get((guess & PLACE) << 8 | byte)
             if down is None:
                 continue
-            if whole < 0 and (token := ends[down]) >= 0 and follows(guess >> NODE, token):
-                whole = token
+            last = guess & ~PLACE
+            # of all guesses one is right at most
+            if whole < 0 and (token := ends[down]) >= 0:
+                may = may_follow.get(last << 32 - NODE | token)
+                if may or may is None and self.merges.follows(guess >> NODE, token):
+                    whole = token
             if goes_on[down]:
-                alive.append(guess & ~PLACE | down)
+                alive.append(last | down)
         alive.append(whole << NODE)
-        if len(self.states) >= STATES:
-            self._clear()
-            return self._state(tuple(alive)), whole
-        found = (self._state(tuple(alive)), whole)
-        self.next[at][byte] = found
+        guesses = tuple(alive)
+        found = self.states.get(guesses)
+        if found is None:
+            found = State(guesses, self.sizes[whole], self._step)
+            if len(self.states) >= STATES:
+                self.passed += 1
+                if self.passed < RENEW * STATES:
+                    return found
+                self._clear()
+            self.states[guesses] = found
+        state[byte] = found
         return found
 
-    def _shared(self, lasts: list[int], at: int) -> int:
-        """Bytes, of those that lasts has a token for, up to the border that all guesses of the state have."""
-        borders = {len(lasts) - self.depth[guess & PLACE] for guess in self.states[at]}
+    def _shared(self, path: list[State], at: State) -> int:
+        """Bytes, of those that the path has a state for, up to the border that all guesses of its last state have."""
+        borders = {len(path) - self.depth[guess & PLACE] for guess in at.guesses}
         while len(borders) > 1:
             far = max(borders)
             borders.remove(far)
-            borders.add(far - self.sizes[lasts[far - 1]])
+            borders.add(far - path[far - 1].size)
         return borders.pop()
 
-    def _tokens(self, lasts: list[int], end: int) -> list[int]:
+    @staticmethod
+    def _tokens(path: list[State], end: int) -> list[int]:
         out = []
         while end > 0:
-            out.append(lasts[end - 1])
-            end -= self.sizes[out[-1]]
+            state = path[end - 1]
+            out.append(state.last)
+            end -= state.size
         out.reverse()
         return out
 
     def __call__(self, word: bytes) -> bytes:
         """Packed unsigned 32-bit ids of the word's encoding by merges."""
-        at, out, lasts = 0, array("I"), []
-        follow = self.next
-        for byte in word:
-            found = follow[at].get(byte)
-            if found is None:
-                found = self._step(at, byte)
-                follow = self.next
-            at = found[0]
-            lasts.append(found[1])
-            if len(lasts) == BLOCK:
-                n = self._shared(lasts, at)
-                out.extend(self._tokens(lasts, n))
-                del lasts[:n]
-        out.extend(self._tokens(lasts, len(lasts)))
+        at = self.start
+        if len(word) <= BLOCK:
+            path = [at := at[byte] for byte in word]
+            return array("I", self._tokens(path, len(path))).tobytes()
+        out, path = array("I"), []
+        for a in range(0, len(word), BLOCK):
+            path += [at := at[byte] for byte in word[a : a + BLOCK]]
+            n = self._shared(path, at)
+            out.extend(self._tokens(path, n))
+            del path[:n]
+        out.extend(self._tokens(path, len(path)))
         return out.tobytes()
 
 
@@ -247,6 +270,8 @@ class Encoder:
         self.stands: dict[int, str] = {}
         self.pieces = Words(self.piece)
         self.words = Words(self.word)
+        self.heads = Words(self.head)
+        self.newline = self.piece("\n")
         self.runs = regex.compile(r" (?:\s|$)").search
 
     def piece(self, piece: str) -> bytes:
@@ -263,6 +288,15 @@ class Encoder:
             return self.words[core] + self.pieces[word[len(core) :]]
         return self.whole(f" {word}")
 
+    def head(self, word: str) -> bytes:
+        """What stands before the first space of a line."""
+        if word.isalpha():
+            return self.piece(word)
+        core = word.rstrip(MARKS)
+        if core != word and core.isalpha():
+            return self.heads[core] + self.pieces[word[len(core) :]]
+        return self.whole(word)
+
     def masked(self, text: str) -> str:
         """The text, with stand-ins for characters whose class the two libraries tell apart."""
         if text.isascii():
@@ -283,9 +317,16 @@ class Encoder:
             return b""
         if self.runs(text):
             return self.whole(text)
-        # one space belongs to the piece after it, so a text parts before each
-        first, *rest = text.split(" ")
-        return self.whole(first) + b"".join(map(self.words.__getitem__, rest))
+        lines = text.split("\n")
+        # a newline beside no other white space is a piece, except that spaces after it belong to what follows
+        if len(lines) > 1 and not (all(lines[1:-1]) and all(not x[-1:].isspace() for x in lines[:-1]) and all(x[:1] == " " or not x[:1].isspace() for x in lines[1:])):
+            return self.whole(text)
+        return self.newline.join(map(self.line, lines))
+
+    def line(self, line: str) -> bytes:
+        # one space belongs to the piece after it, so a line parts before each
+        first, *rest = line.split(" ")
+        return self.heads[first] + b"".join(map(self.words.__getitem__, rest))
 
 
 #: By the bytes of a character so far: (least, greatest) next byte, by the Unicode standard's table of well-formed sequences.
@@ -315,7 +356,7 @@ class Decoder:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.tokens = {i: t for t, i in ranks.items()}
-        self.texts = [None] * (max(self.tokens, default=-1) + 1)
+        self.texts = np.full(max(self.tokens, default=0) + 1, None, object)
         #: Ids whose tokens are whole characters.
         self.is_whole = np.zeros(len(self.texts), bool)
         for i, t in self.tokens.items():
@@ -351,15 +392,17 @@ class Decoder:
             inside = ids < len(self.texts)
             whole = inside.copy()
             whole[inside] = self.is_whole[ids[inside]]
-            numbers = ids.tolist()
+            odd = np.flatnonzero(~whole).tolist()
+            texts = self.texts.take(ids, mode="clip").tolist()
+            numbers = ids.tolist() if state or odd else texts
             while state and at < len(numbers):
                 state, told = self.step(state, numbers[at])
                 out.append(told)
                 at += 1
-            for k in () if state else np.flatnonzero(~whole).tolist():
+            for k in () if state else odd:
                 if k < at:
                     continue
-                out += map(self.texts.__getitem__, numbers[at:k])
+                out += texts[at:k]
                 at = k
                 # until the machine is between characters again
                 while at < len(numbers) and (state or not whole[at]):
@@ -369,7 +412,7 @@ class Decoder:
                 if state:
                     break
             if not state:
-                out += map(self.texts.__getitem__, numbers[at:])
+                out += texts[at:]
             yield "".join(out)
         if state:
             yield REPLACEMENT

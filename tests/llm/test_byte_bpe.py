@@ -62,6 +62,50 @@ def test_bounded_tables_change_nothing(coder, monkeypatch):
     assert len(own.transducer.states) <= 20 and len(own.words) <= 5
 
 
+def test_common_words_keep_their_states(monkeypatch):
+    """Rare words once pushed them out, so nearly every word made its states anew."""
+    ranks = byte_bpe.coder()[0].ranks
+    steps, step = [], byte_bpe.Transducer._step
+    monkeypatch.setattr(byte_bpe, "STATES", 300)
+    monkeypatch.setattr(byte_bpe.Transducer, "_step", lambda *a: steps.append(1) or step(*a))
+    t, r, lib = byte_bpe.Transducer(ranks), random.Random(4), library(ranks)
+    common = [b" thinning", b" ofonanoush", b" andthlyessh"]
+    want = [lib._core_bpe.encode_single_piece(w) if w not in ranks else [ranks[w]] for w in common]
+    assert [ids(t(w)) for w in common] == want
+    rare = lambda n: [t(bytes(r.choice(b"abcdefghijklmnopqrstuvwxyz") for _ in range(12))) for _ in range(n)]
+    rare(60)
+    steps.clear()
+    assert [ids(t(w)) for w in common] == want and not steps and len(t.states) == 300
+    # where other words become common, they are kept in the end
+    other, kept = b" heatiesre", False
+    for _ in range(200):
+        rare(1)
+        t(other)
+        steps.clear()
+        t(other)
+        kept |= not steps
+    assert kept and len(t.states) <= 300
+
+
+def test_lines_and_marks_need_no_pattern(monkeypatch):
+    """Words on both sides of a newline were one word before, which hardly came twice."""
+    encode = byte_bpe.coder()[0]
+    own, lib, asked = byte_bpe.Encoder(encode.ranks, public_tokenizers.PATTERN), library(encode.ranks), []
+    whole = own.whole
+    monkeypatch.setattr(own, "whole", lambda x: asked.append(x) or whole(x))
+    x = "Erst ist.\nUnd ofea### ab, $$$\n Über%%%\nx"
+    assert ids(own(x)) == lib.encode_ordinary(x)
+    assert list(filter(None, asked)) == [" $$$"]
+
+
+def test_white_space_beside_newlines(coder):
+    encode, _, lib = coder
+    r = random.Random(5)
+    for _ in range(6000):
+        x = "".join(r.choice(["\n", "\n", " ", "\t", "\r", "\xa0", "\x1c", "a", "Bé", "'s", "'", ".", "_", "7", "#*"]) for _ in range(r.randint(1, 9)))
+        assert ids(encode(x)) == lib.encode_ordinary(x), x
+
+
 def test_a_long_word_waits_for_few_tokens(coder, monkeypatch):
     """Lookahead: what isn't emitted is shorter than some longest tokens."""
     encode, _, _ = coder
